@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, packing
+from evenkeel.llm import decontaminate, htmlcut, langid, packing, simhash, tiff
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = simhash.close_groups(spark, _table(spark, sf_dir, "documents"), size=3)
+    return made.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, c = decontaminate.decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     ids = F.col(f"{c}.item_ids")
@@ -29,8 +34,27 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
+def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, c = tiff.store(spark, _table(spark, sf_dir, "documents"), keep=["doc_id"])
+    media, payload = F.col(f"{c}.media"), F.col(f"{c}.payload")
+    length = lambda x: F.octet_length(x).cast("long")
+    return made.select("doc_id", f"{c}.n_bytes", length(payload).alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -32, 32)).alias("tail_crc32"), length(media).alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"), f"{c}.feature")
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    made, c = langid.identify(spark, docs, langid.train(spark, docs, ~held), keep=["doc_id"])
+    return made.select("doc_id", held.alias("held_out"), f"{c}.lang_pred", f"{c}.score", f"{c}.rejected")
+
+
+def op10_htmlcut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, c = htmlcut.main_text(spark, _table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return made.select("page_id", "url", f"{c}.text", f"{c}.n_chars")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontaminate, op6_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op6_packing, op8_tiff, op9_langid, op10_htmlcut)}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
