@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, htmlcut, langid, packing, simhash, tiff
+from evenkeel.llm import decontaminate, htmlcut, langid, licenses, packing, repair, secretscan, simhash, tiff
+from evenkeel.llm.common import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +30,42 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", f"{c}.n_words", f"{c}.n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.col(f"{c}.n_hit") > 0).alias("contaminated"))
 
 
+def spans_digest(spans, kinds: list[str], only: int | None = None):
+    """kind:start:end of the spans (the first `only` kinds), comma-joined in their order."""
+    names = F.array(*[F.lit(k) for k in kinds])
+    kept = spans if only is None else F.filter(spans, lambda s: s["rank"] < only)
+    return F.array_join(F.transform(kept, lambda s: F.concat(F.element_at(names, s["rank"] + 1), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = secretscan.BASE + secretscan.MORE
+    kinds = [r.kind for r in rules]
+    made, c = secretscan.scan(spark, _table(spark, sf_dir, "documents"), rules, keep=["doc_id"])
+    count = lambda k: F.size(F.filter(c, lambda s: s["rank"] == k)).cast("long").alias(f"n_{kinds[k]}")
+    return made.select("doc_id", count(0), count(1), count(2), F.sha2(spans_digest(F.col(c), kinds, 3), 256).alias("base_sha256"), spans_digest(F.col(c), kinds).alias("spans"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = licenses.scan(spark, _table(spark, sf_dir, "documents"))
+    base = F.array_sort(F.transform("hits", lambda h: h["label"]))
+    return made.select(
+        "doc_id", "n_words", F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + h["n"]).alias("n_base"),
+        F.array_min(F.transform("hits", lambda h: h["before"])).alias("first_word"),
+        (F.col("n_words") - F.array_min(F.transform("hits", lambda h: h["after"]))).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, "labels")), ",").alias("labels"), "score",
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = packing.pack(spark, _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
+def op7_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = repair.write(spark, _table(spark, sf_dir, "documents"), Scratch(spark, "repair"), tokenizer_path("word_bpe_49k.json"))
+    return repair.read(spark, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, c = tiff.store(spark, _table(spark, sf_dir, "documents"), keep=["doc_id"])
     media, payload = F.col(f"{c}.media"), F.col(f"{c}.payload")
@@ -54,7 +86,7 @@ def op10_htmlcut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op6_packing, op8_tiff, op9_langid, op10_htmlcut)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op4_secrets, op5_licenses, op6_packing, op7_repair, op8_tiff, op9_langid, op10_htmlcut)}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -75,5 +107,42 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+
+def _rule_sql(rank: int, rule: secretscan.Rule) -> str:
+    p = rule.pattern.replace("'", "''")
+    held = f"list_transform(regexp_extract_all(t, '{p}', {rule.group}), lambda x: len(x))"
+    return f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, unnest([{{'s': list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0), 'n': len(hits[i]), 'held': held[i]}} FOR i IN range(1, len(hits) + 1)]) AS m, {rule.least} AS least
+FROM (SELECT doc_id, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS hits, {held} AS held FROM d WHERE regexp_matches(t, '{p}'))"""
+
+
+_RULES_SQL = "\nUNION ALL\n".join(_rule_sql(i, r) for i, r in enumerate(secretscan.BASE + secretscan.MORE))
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_RULES_SQL}),
+spans AS (SELECT doc_id, rank, CAST(m.s AS BIGINT) AS s, concat_ws(':', kind, CAST(m.s AS BIGINT), CAST(m.s + m.n AS BIGINT)) AS label FROM found WHERE m.held >= least),
+told AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  string_agg(label, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(label, ',' ORDER BY s, rank) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (doc_id)
+"""
+
+_PHRASES_SQL = " UNION ALL ".join(f"SELECT '{label}' AS label, {p.split()} AS p" for p, label in licenses.PHRASES)
+_SETS_SQL = " UNION ALL ".join(f"SELECT '{label}' AS label, {words} AS words, {need} AS need" for label, words, need in licenses.template_sets())
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+phrases AS ({_PHRASES_SQL}),
+places AS (SELECT doc_id, label, i - 1 AS pos FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) AS BIGINT) + 1)) AS i FROM d) JOIN phrases ON w[i:i + len(p) - 1] = p),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS ls FROM places GROUP BY doc_id),
+sets AS ({_SETS_SQL}),
+pieces AS (SELECT doc_id, unnest(list_concat(string_split(t, chr(10)), CASE WHEN regexp_matches(t, '\n[^\n0-9A-Za-z\x{{80}}-\x{{10FFFF}}]*\n') THEN list_filter(regexp_split_to_array(t, '\n[^\n0-9A-Za-z\x{{80}}-\x{{10FFFF}}]*\n'), lambda x: contains(x, chr(10))) ELSE [] END)) AS b FROM d),
+worded AS (SELECT doc_id, list_distinct({_WORDS.replace("text", "b")}) AS bw FROM pieces),
+hits AS (SELECT doc_id, label, len(list_intersect(bw, words)) / len(words) AS share FROM worded, sets WHERE len(bw) >= need AND len(list_intersect(bw, words)) >= need),
+own AS (SELECT doc_id, list(DISTINCT label) AS ls, max(share) AS score FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base.ls, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(own.ls, [])))), ','), '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op4_secrets": OP4_SQL, "op5_licenses": OP5_SQL}

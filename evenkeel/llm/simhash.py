@@ -198,8 +198,9 @@ LONG = T.StructType([T.StructField("lanes", T.ArrayType(T.LongType())), T.Struct
 def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lanes (null without words) and component_id: groups linked by pairs of about `similarity` or more.
 
-    similarity is the Jaccard similarity of the sets of `size`-word shingles, as estimated from LANES * 64 bits; a pair
-    at the threshold meets in a band with probability `recall`, closer pairs more surely.  Texts without words are
+    similarity is the Jaccard similarity of the sets of `size`-word shingles, as estimated from LANES * 64 bits and with
+    one standard error's leeway (0.03 or so); a pair at the threshold meets in a band with probability `recall`, closer
+    pairs more surely.  Texts without words are
     linked to nothing and are their own component.  Rows with a null id stay and take their component's id; repeated
     rows stay.  An empty table gives no rows.  In a band's bucket of more than two, each fingerprint is compared with its two neighbours in order and
     with the least and the greatest, so that a bucket yields a few candidates a member; members that differ from those
@@ -231,7 +232,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similari
     made = annotate(docs, text_col, make, LONG, name, [id_col])
     prints = scratch.keep(made.select(col(id_col).alias("id"), F.xxhash64(f"{name}.lanes").alias("f"), F.col(f"{name}.lanes").alias("lanes"), F.col(f"{name}.bands").alias("bands")), "prints")
     firsts = prints.where("lanes IS NOT NULL").groupBy("f").agg(F.min("id").alias("first"), F.min("lanes").alias("lanes"), F.min("bands").alias("bands"))
-    most = math.floor(64 * LANES * expected_share(similarity))
+    share = expected_share(similarity)
+    most = math.floor(64 * LANES * share + math.sqrt(64 * LANES * share * (1 - share)))
     members = scratch.keep(firsts.select("f", F.explode("bands").alias("band")), "members")
     ends = members.groupBy("band").agg(F.count("*").alias("n"), F.min("f").alias("a"), F.max("f").alias("b")).where("n > 1")
     busy = members.join(ends, "band")
