@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, htmlcut, langid, licenses, packing, repair, secretscan, simhash, tiff
+from evenkeel.llm import decontaminate, htmlcut, langid, licenses, lmscore, packing, repair, secretscan, simhash, tiff
 from evenkeel.llm.common import Scratch
 
 
@@ -30,6 +30,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", f"{c}.n_words", f"{c}.n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.col(f"{c}.n_hit") > 0).alias("contaminated"))
 
 
+def op3_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _table(spark, sf_dir, "documents"), lmscore.held_out()
+    scratch = Scratch(spark, "lmscore")
+    model = lmscore.train(spark, scratch, docs.where(~held))
+    made, c = lmscore.score(spark, docs, model, scratch, keep=["doc_id"])
+    return made.select("doc_id", held.alias("held_out"), f"{c}.n_tokens", f"{c}.n_known", F.lit(model.filter.tokens).cast("long").alias("train_tokens"), f"{c}.base_score", f"{c}.score")
+
+
 def spans_digest(spans, kinds: list[str], only: int | None = None):
     """kind:start:end of the spans (the first `only` kinds), comma-joined in their order."""
     names = F.array(*[F.lit(k) for k in kinds])
@@ -86,7 +94,7 @@ def op10_htmlcut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op4_secrets, op5_licenses, op6_packing, op7_repair, op8_tiff, op9_langid, op10_htmlcut)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_lmscore, op4_secrets, op5_licenses, op6_packing, op7_repair, op8_tiff, op9_langid, op10_htmlcut)}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

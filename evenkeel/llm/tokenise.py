@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces a worker remembers before it starts anew; about 100 MB.
+#: Pieces that each of the two halves of a worker's memory holds; about 100 MB in all.
 CACHE_PIECES = 300_000
 
+#: Pieces that are encoded in one call, with a bar between them.
+PIECES_AT_ONCE = 1000
+
 _AFTER_SPACE = re.compile(r"\s ")
+_SIGN = re.compile(r"[!-/:-@\[-`{-~]")
 _CUT = re.compile(r"(?<=\S) ")
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -29,40 +34,95 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        bar = self.tokenizer.encode(" |", add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in got]
+        return [np.array(e.ids, "<u4").tobytes() for e in got]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces, each as it stands after a space, into the young half.
+
+        A piece without a bar, and without white space at its end, has the same ids among others when bars stand
+        between them, and the bar's id then marks its end.
+        """
+        easy = [p for p in pieces if p and "|" not in p and not p[-1].isspace()] if self.bar is not None else []
+        for k in range(0, len(easy), PIECES_AT_ONCE):
+            part = easy[k : k + PIECES_AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " | ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.bar)
+            if len(ends) == len(part) - 1:
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                self.young.update(zip(part, [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)], strict=True))
+        hard = [p for p in pieces if p not in self.young]
+        self.young.update(zip(hard, self._whole([" " + p for p in hard]), strict=True))
+
+    def _recall(self, pieces: set[str]) -> None:
+        """Sees to it that all pieces are in the young half.
+
+        Letters that an ASCII sign follows are a word of their own in both vocabularies, so that a word with a short
+        tail of signs is put together from the two.
+        """
+        young, old = self.young, self.old
+        plain, joined = [], []
+        for p in pieces:
+            if p in old:
+                young[p] = old[p]
+                continue
+            m = _SIGN.search(p)
+            if m and len(p) - m.start() <= 3:
+                stem = p[: m.start()]
+                if stem.isalpha():
+                    joined.append((p, stem, p[m.start() :]))
+                    if stem not in young:
+                        if stem in old:
+                            young[stem] = old[stem]
+                        elif stem not in pieces:
+                            plain.append(stem)
+                    continue
+            plain.append(p)
+        self._learn(list(dict.fromkeys(plain)))
+        tails = list({t for _, _, t in joined}.difference(self.tails))
+        self.tails.update(zip(tails, self._whole(tails), strict=True))
+        for p, stem, tail in joined:
+            young[p] = young[stem] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[list[str] | None] = []
+        if len(self.young) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        if len(self.first) + len(self.tails) > 40_000:
+            self.first.clear()
+            self.tails.clear()
+        get, rows, lost, heads = self.young.get, [], set(), set()
         for t in texts:
             if any(s in t for s in self.special):
-                cut.append(None)  # a special token may take the space beside it
-            else:
-                cut.append(_CUT.split(t) if _AFTER_SPACE.search(t) else t.split(" "))
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        new: set[str] = set()
-        for parts in cut:
-            if parts:
-                new.update(parts)
-        missing = [p for p in new if p not in cache]
-        for p, ids in zip(missing, self._whole([" " + p for p in missing]), strict=True):
-            cache[p] = ids
-        if len(self.first) > 20_000:
-            self.first.clear()
-        heads = list({parts[0] for parts in cut if parts and parts[0] not in self.first})
+                rows.append(None)  # a special token may take the space beside it
+                continue
+            parts = _CUT.split(t) if _AFTER_SPACE.search(t) else t.split(" ")
+            heads.add(parts[0])
+            ids = list(map(get, parts))
+            ids[0] = b""
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            lost.update([parts[i] for i in gaps])
+            rows.append((parts, ids, gaps))
+        self._recall(lost)
+        heads = list(heads.difference(self.first))
         self.first.update(zip(heads, self._whole(heads), strict=True))
-        for i, parts in enumerate(cut):
-            if parts is None:
-                out[i] = self._whole([texts[i]])[0]
-            else:
-                out[i] = self.first[parts[0]] + b"".join([cache[p] for p in parts[1:]])
+        out, young = [], self.young
+        for t, row in zip(texts, rows, strict=True):
+            if row is None:
+                out += self._whole([t])
+                continue
+            parts, ids, gaps = row
+            ids[0] = self.first[parts[0]]
+            for i in gaps:
+                ids[i] = young[parts[i]]
+            out.append(b"".join(ids))
         return out
 
 
