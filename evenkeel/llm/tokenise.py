@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -21,6 +22,20 @@ CACHE_PIECES = 300_000
 PIECES_AT_ONCE = 1000
 
 _AFTER_SPACE = re.compile(r"\s ")
+#: Letters before this one are composed, and have one lower-case letter each.
+_BEYOND = "\u0130"
+
+# Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for the letters after U+00FF.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+_SPACE = _BYTES[32]
+_SAMPLES = ("the", "The", "thoundring", "IT", "straße", "Élan", "ñandú", "ÿÖx", "a", "É")
+
+
+def _shown(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+
+
 _SIGN = re.compile(r"[!-/:-@\[-`{-~]")
 _CUT = re.compile(r"(?<=\S) ")
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -40,17 +55,32 @@ class PieceEncoder:
         self.tails: dict[str, bytes] = {}
         bar = self.tokenizer.encode(" |", add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
+        self.model = self.tokenizer.model
+        # How a word of plain letters reaches the vocabulary's model: with a mark for the space before it, or lower-cased.
+        for self.plain in (lambda w: _SPACE + _shown(w), lambda w: _shown(w.lower())):
+            if all(self._direct(w) == self._whole([" " + w])[0] for w in _SAMPLES):
+                break
+        else:
+            self.plain = None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
+    def _direct(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(self.plain(word))]).tobytes()
+
     def _learn(self, pieces: list[str]) -> None:
         """Encodes pieces, each as it stands after a space, into the young half.
 
-        A piece without a bar, and without white space at its end, has the same ids among others when bars stand
+        A word of letters is one piece to the library, which hands it to the vocabulary's model; here that is done
+        without the steps before.  Another piece without a bar, and without white space at its end, has the same ids among others when bars stand
         between them, and the bar's id then marks its end.
         """
+        if self.plain is not None:
+            letters = [p for p in pieces if p.isalpha() and max(p) < _BEYOND]
+            self.young.update(zip(letters, map(self._direct, letters), strict=True))
+            pieces = [p for p in pieces if p not in self.young]
         easy = [p for p in pieces if p and "|" not in p and not p[-1].isspace()] if self.bar is not None else []
         for k in range(0, len(easy), PIECES_AT_ONCE):
             part = easy[k : k + PIECES_AT_ONCE]
