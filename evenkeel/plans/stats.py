@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.functions.special import chi2_sf, normal_sf, t_quantile_column, t_sf
+from evenkeel.functions.special import chi2_sf, normal_sf, t_cdf, t_quantile_column, t_sf
 from evenkeel.session import ship
 
 # Counts ----------------------------------------------------------------------------------------------------------
@@ -322,14 +322,6 @@ def permutation(cases: DataFrame, cells: Sequence[str], k_a: str, n_a: str, k_b:
     kinds = cases.groupBy(*cells, k_a, n_a, k_b, n_b).agg(F.count("*").alias("times"))
     schema = T.StructType([*(cases.schema[c] for c in cells), *(T.StructField(n, T.DoubleType()) for n in ("n", "active", "observed", "null_mean", "null_sd", "p"))])
 
-    def jsd(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        out = 0.0
-        for a, b in ((p, q), (1 - p, 1 - q)):
-            m = (a + b) / 2
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out = out + np.where(a > 0, a * np.log2(np.where(a > 0, a / m, 1)), 0) / 2 + np.where(b > 0, b * np.log2(np.where(b > 0, b / m, 1)), 0) / 2
-        return out
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import zlib
 
@@ -338,10 +330,10 @@ def permutation(cases: DataFrame, cells: Sequence[str], k_a: str, n_a: str, k_b:
         total, seen, active, null = 0, 0.0, 0, np.zeros(replicates)
         for a, na, b, nb, times in pdf.sort_values([k_a, n_a, k_b, n_b])[[k_a, n_a, k_b, n_b, "times"]].itertuples(index=False):
             total += times
-            seen += times * float(jsd(np.float64(a / na), np.float64(b / nb)))
+            seen += times * float(_jsd_np(np.float64(a / na), np.float64(b / nb)))
             if 0 < a + b < na + nb:
                 active += times
-                table = jsd(np.arange(na + 1) / na, np.clip((a + b - np.arange(na + 1)) / nb, 0, 1))
+                table = _jsd_np(np.arange(na + 1) / na, np.clip((a + b - np.arange(na + 1)) / nb, 0, 1))
                 low = rng.hypergeometric(a + b, na + nb - a - b, na, size=(replicates, min(times, 10_000)))
                 null += table[low].mean(axis=1) * times
         null, seen = null / total, seen / total
@@ -354,10 +346,32 @@ def permutation(cases: DataFrame, cells: Sequence[str], k_a: str, n_a: str, k_b:
 # Simulation ------------------------------------------------------------------------------------------------------
 
 
-def power(grid: DataFrame, n: int = 200, sims: int = 100, replicates: int = 200, seed: int = 42, sims_a_task: int = 25) -> DataFrame:
-    """Detection rate and mean p of each metric, for each row (sigma_pert, sigma) of the grid.
+def _jsd_np(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    out = 0.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for a, b in ((p, q), (1 - p, 1 - q)):
+            m = (a + b) / 2
+            out = out + np.where(a > 0, a * np.log2(np.where(a > 0, a / m, 1)), 0) / 2 + np.where(b > 0, b * np.log2(np.where(b > 0, b / m, 1)), 0) / 2
+    return out
+
+
+def _kl_np(p: np.ndarray, q: np.ndarray, floor: float = 1e-10) -> np.ndarray:
+    up = lambda x: np.maximum(x, floor) / (np.maximum(x, floor) + np.maximum(1 - x, floor))
+    p, q = up(p), up(q)
+    return p * np.log2(p / q) + (1 - p) * np.log2((1 - p) / (1 - q))
+
+
+def _t_greater(d: np.ndarray) -> float:
+    """One-sided p of a paired t-test; 1 without variance."""
+    sd = d.std(ddof=1)
+    return 1 - t_cdf(float(d.mean() * math.sqrt(len(d)) / sd), len(d) - 1) if sd > 0 else 1.0
+
+
+def power(grid: DataFrame, n: int = 200, sims: int = 100, replicates: int = 200, seed: int = 42, sims_a_task: int = 25, spread: float = 2.0) -> DataFrame:
+    """Detection rate and mean p of each of the five metrics, for each row (sigma_pert, sigma) of the grid.
 
-    Logits N(0, 1); the targeted edit adds N(0, sigma_pert^2) to noise N(0, sigma^2), the benign one only the noise.
+    Logits are N(0, spread^2), the original answers their signs.  The targeted edit adds N(0, sigma_pert^2) to noise
+    N(0, sigma^2), the benign one the noise alone; their answers are drawn from the logits' probabilities.
     Simulations are dealt out in stretches of sims_a_task, each with a seed of its own.
     """
     spark = grid.sparkSession
@@ -370,13 +384,14 @@ def power(grid: DataFrame, n: int = 200, sims: int = 100, replicates: int = 200,
             for r in b.itertuples(index=False):
                 rng = np.random.default_rng([seed, int(r.sigma_pert * 1e6), int(r.sigma * 1e6), int(r.stretch)])
                 for _ in range(min(sims_a_task, sims - int(r.stretch) * sims_a_task)):
-                    z = rng.standard_normal(n)
-                    votes = [rng.random(n) < 1 / (1 + np.exp(-(z + extra))) for extra in (0, rng.normal(0, r.sigma_pert, n) + rng.normal(0, r.sigma, n), rng.normal(0, r.sigma, n))]
-                    kinds = np.bincount(votes[0] * 4 + votes[1] * 2 + votes[2], minlength=8)
+                    z = rng.normal(0, spread, n)
+                    o, p, q = (1 / (1 + np.exp(-x)) for x in (z, z + rng.normal(0, r.sigma_pert, n) + rng.normal(0, r.sigma, n), z + rng.normal(0, r.sigma, n)))
+                    kinds = np.bincount((z > 0) * 4 + (rng.random(n) < p) * 2 + (rng.random(n) < q), minlength=8)
                     draws = rng.multinomial(n, kinds / n, size=replicates).astype(float)
                     for m, (_, side) in POPULATION.items():
                         d = np_metric(m, *_four(draws, "p")) - np_metric(m, *_four(draws, "b"))
                         rows.append((r.sigma_pert, r.sigma, m, float(np.mean(d <= 0 if side == "greater" else d >= 0))))
+                    rows += [(r.sigma_pert, r.sigma, m, _t_greater(f(o, p) - f(o, q))) for m, f in (("jsd", _jsd_np), ("kl", _kl_np))]
             yield pd.DataFrame(rows, columns=["sigma_pert", "sigma", "metric", "p"])
 
     ship(spark)

@@ -35,7 +35,7 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def json_map(spark: SparkSession, path: str, value: str, key: str = "id") -> DataFrame:
     """A JSON object whose keys are ids: one row per entry, with the record's fields beside `key`."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias(key, "__record"))
     return entries.select(key, "__record.*")
 
@@ -45,10 +45,10 @@ def json_cases(spark: SparkSession, path: str, schema: str, id_col: str, answer:
 
     schema is that of the record's fixed fields; every other key must hold an `answer`.
     """
-    text = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "array<string>")).alias("r"))
+    text = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("r"))
     fixed = F.from_json("r", schema)
     names = [f.name for f in T.StructType.fromDDL(schema).fields]
-    items = text.select(fixed[id_col].alias(id_col), F.explode(F.from_json("r", f"map<string,string>")).alias("k", "v")).where(~F.col("k").isin(*names))
+    items = text.select(fixed[id_col].alias(id_col), F.explode(F.from_json("r", "map<string,string>")).alias("k", "v")).where(~F.col("k").isin(*names))
     return items.select(id_col, F.regexp_extract("k", r"^(.*)_([^_]+)$", 1).alias("variant"), F.regexp_extract("k", r"^(.*)_([^_]+)$", 2).alias("task"), F.from_json("v", answer).alias("a")).select(id_col, "variant", "task", "a.*")
 
 
