@@ -80,3 +80,26 @@ def best_so_far(df: DataFrame, group: Sequence[str], order: str, value: str, dis
     """The value at the least distance among the rows before this one."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(name, F.min_by(F.col(value), F.struct(F.col(distance), F.col(order))).over(w))
+
+
+def few_shot(df: DataFrame, context: str, key: str, cost: str, budget: int, draws: int = 100, seed: int = 42) -> DataFrame:
+    """Two other rows of the same context for each row: the first drawn pair whose costs fit the budget.
+
+    Adds first and second (keys; null if no draw fits, or the context has fewer than three rows) and attempt.  Draws
+    are hashes of the seed, the key and the attempt's number; each row makes `draws` of them, in its own shuffle key.
+    """
+    rows = index_within(df.select(context, key, cost), [context], [key], "__i")
+    sized = rows.join(df.groupBy(context).agg(F.count("*").alias("__n")), context).where("__n > 2")
+    tried = sized.select(context, key, "__i", "__n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("attempt"))
+    draw = lambda k, n: F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("attempt"), F.lit(k)), n)
+    tried = tried.withColumn("__a", draw(1, F.col("__n") - 1))
+    tried = tried.withColumn("__a", F.col("__a") + (F.col("__a") >= F.col("__i")).cast("long"))
+    low, high = F.least("__a", "__i"), F.greatest("__a", "__i")
+    second = draw(2, F.col("__n") - 2)
+    second = second + (second >= low).cast("long")
+    tried = tried.withColumn("__b", second + (second >= high).cast("long"))
+    one = rows.select(context, F.col("__i").alias("__a"), F.col(key).alias("first"), F.col(cost).alias("__ca"))
+    two = rows.select(context, F.col("__i").alias("__b"), F.col(key).alias("second"), F.col(cost).alias("__cb"))
+    fits = tried.join(one, [context, "__a"]).join(two, [context, "__b"]).where(F.col("__ca") + F.col("__cb") <= budget)
+    best = fits.groupBy(context, key).agg(F.min_by(F.struct("first", "second", "attempt"), "attempt").alias("r")).select(context, key, "r.first", "r.second", "r.attempt")
+    return df.join(best, [context, key], "left")

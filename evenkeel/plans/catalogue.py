@@ -482,6 +482,12 @@ def context_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.index_within(alignment.by_position(docs, ["source"], ["doc_id"], ["Ada", "Ben", "Cy", "Di"]), ["source"], ["doc_id"]).select("doc_id", "source", "idx", "name")
 
 
+@query("TXT-21 WIN-7")
+def few_shot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(F.split("text", " ")).alias("cost"))
+    return windows.few_shot(docs, "source", "doc_id", "cost", 400, draws=10)
+
+
 @query("WIN-6 FLT-1", "SELECT doc_id, source FROM documents WHERE source IS DISTINCT FROM 'src0' ORDER BY doc_id LIMIT 25")
 def head_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source").where(alignment.dataset_not("source", "src0"))

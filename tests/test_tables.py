@@ -75,6 +75,19 @@ def test_windows(spark):
     assert windows.row_index(many.limit(0), ["id"]).count() == 0
 
 
+def test_few_shot(spark):
+    df = spark.createDataFrame([("a", i, 10 * i) for i in range(8)] + [("b", 1, 1), ("b", 2, 1)], "c string, k int, cost int")
+    rows = windows.few_shot(df, "c", "k", "cost", 60).collect()
+    assert len(rows) == 10
+    for r in rows:
+        if r["c"] == "b":
+            assert r["first"] is None
+        else:
+            assert len({r["k"], r["first"], r["second"]}) == 3 and 10 * (r["first"] + r["second"]) <= 60
+    again = windows.few_shot(df.repartition(3), "c", "k", "cost", 60).collect()
+    assert sorted(again, key=str) == sorted(rows, key=str)
+
+
 def test_alignment(spark):
     long = spark.createDataFrame([(1, "o", "a"), (1, "s", "b"), (2, "o", "c"), (3, "o", "d"), (3, "s", "e"), (3, "x", "f")], "c int, v string, t string")
     assert {tuple(r) for r in alignment.align(long, ["c"], "v", "t", ["o", "s"]).collect()} == {(1, "a", "b"), (3, "d", "e")}
