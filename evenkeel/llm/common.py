@@ -1,13 +1,10 @@
-"""What the operators share: scratch tables, shipping of this package, Arrow kernels over whole texts."""
+"""What the operators share: scratch tables, Arrow kernels over whole texts."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
+from evenkeel.session import ship as ship
+
 #: bytes.translate table that lower-cases A-Z and nothing else.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -26,20 +25,6 @@ ROWS_AT_ONCE = 256
 CHARS_AT_ONCE = 4_000_000
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that kernels can be imported there."""
-    done = f"evenkeel-{spark.sparkContext.applicationId}"
-    if os.environ.get("EVENKEEL_SHIPPED") == done:
-        return
-    root = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp()) / "evenkeel_ship.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(path))
-    os.environ["EVENKEEL_SHIPPED"] = done
-
-
 class Scratch:
     """Tables in the folder that the cluster names in spark.checkpoint.dir, which every executor can read.
 

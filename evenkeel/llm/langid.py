@@ -132,7 +132,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 4.0, seed: i
     test = [(b, y) for b, y, h in bags if h] or [(b, y) for b, y, _ in bags]
     logits = np.array([share @ table[ids] + bias for (ids, share), _ in test])
     truth = np.array([y for _, y in test])
-    best = min(np.geomspace(0.2, 8, 41), key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean())
+    best = min(np.geomspace(0.05, 8, 61), key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean())
     p = _softmax(logits / best)
     right = p.argmax(axis=1) == truth
     below = float(np.quantile(p.max(axis=1)[right], lost)) if right.any() else 0.0

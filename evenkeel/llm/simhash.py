@@ -8,7 +8,7 @@ every pair; each is then verified on the bits.
 common grid cell, and each fingerprint enters its own cell and those next to it.  Cells with many fingerprints are
 refined, without a cap, by the fingerprints that lie halfway (`hubs`), so that no cell yields all its pairs.
 
-`link_similar` is for wide thresholds (five-word shingles of similarity 0.8 differ in an eighth of the bits).  There the
+`similar_groups` is for wide thresholds (five-word shingles of similarity 0.8 differ in an eighth of the bits).  There the
 segments are single bits of a longer fingerprint and the grid is laid over bands of them, as many as make a pair at the
 threshold meet in one with the stated probability.
 """
