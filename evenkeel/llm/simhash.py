@@ -16,11 +16,14 @@ threshold meet in one with the stated probability.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evenkeel.llm.common import ASCII_LOWER, Scratch, annotate, col, fresh, ship
 from evenkeel.llm.components import components
@@ -192,7 +195,34 @@ def long_print(text: str | None, size: int, cache: dict[bytes, int]) -> np.ndarr
     return (total * 2 > len(grams)).astype(np.uint8)
 
 
-LONG = T.StructType([T.StructField("lanes", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType()))])
+LONG = T.StructType([T.StructField("lanes", T.ArrayType(T.LongType()))])
+_MEMBER = T.StructType([T.StructField("f", T.LongType()), T.StructField("band", T.LongType())])
+
+
+def band_keys(lanes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """For rows of lanes: the cell of each band (its number above BAND bits of the fingerprint)."""
+    bits = np.unpackbits(np.ascontiguousarray(lanes, "<i8").view(np.uint8), axis=1, bitorder="little")
+    out = np.empty((len(lanes), len(chosen)), np.int64)
+    for k, places in enumerate(chosen):
+        packed = np.zeros((len(lanes), 32), np.uint8)
+        packed[:, :BAND] = bits[:, places]
+        out[:, k] = (k << BAND) + np.packbits(packed, axis=1, bitorder="little").view("<u4").ravel()
+    return out
+
+
+def _members(firsts: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(f, band) for every distinct fingerprint and band."""
+    arrow = to_arrow_schema(_MEMBER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                lanes = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, LANES)
+                f = np.repeat(part.column(0).to_numpy(zero_copy_only=False), len(chosen))
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(band_keys(lanes, chosen).ravel())], schema=arrow)
+
+    return firsts.select("f", "lanes").mapInArrow(run, _MEMBER)
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,44 +230,35 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similari
 
     similarity is the Jaccard similarity of the sets of `size`-word shingles, as estimated from LANES * 64 bits and with
     one standard error's leeway (0.03 or so); a pair at the threshold meets in a band with probability `recall`, closer
-    pairs more surely.  Texts without words are
-    linked to nothing and are their own component.  Rows with a null id stay and take their component's id; repeated
-    rows stay.  An empty table gives no rows.  In a band's bucket of more than two, each fingerprint is compared with its two neighbours in order and
-    with the least and the greatest, so that a bucket yields a few candidates a member; members that differ from those
-    still meet in the other bands.
+    pairs more surely.  Texts without words are linked to nothing and are their own component.  Rows with a null id
+    stay and take their component's id; repeated rows stay.  An empty table gives no rows.  In a band's cell each
+    fingerprint is compared with the least and the greatest, so that a cell yields two candidates a member at most;
+    members that differ from those still meet in the other bands.
     """
     ship(spark)
     scratch = Scratch(spark, "simhash-wide")
     chosen = band_bits(bands_needed(similarity, recall))
-    weights = (np.int64(1) << np.arange(BAND, dtype=np.int64))[None, :]
 
     def make():
         cache: dict[bytes, int] = {}
 
         def kernel(texts):
-            lanes, bands = [], []
-            for t in texts:
-                bits = long_print(t, size, cache)
-                if bits is None:
-                    lanes.append(None)
-                    bands.append(None)
-                else:
-                    lanes.append(np.packbits(bits, bitorder="little").view("<i8"))
-                    bands.append((bits[chosen].astype(np.int64) * weights).sum(axis=1) + (np.arange(len(chosen), dtype=np.int64) << BAND))
-            return {"lanes": lanes, "bands": bands}
+            bits = [long_print(t, size, cache) for t in texts]
+            return {"lanes": [None if b is None else np.packbits(b, bitorder="little").view("<i8") for b in bits]}
 
         return kernel
 
     name = fresh(docs, "simhash")
     made = annotate(docs, text_col, make, LONG, name, [id_col])
-    prints = scratch.keep(made.select(col(id_col).alias("id"), F.xxhash64(f"{name}.lanes").alias("f"), F.col(f"{name}.lanes").alias("lanes"), F.col(f"{name}.bands").alias("bands")), "prints")
-    firsts = prints.where("lanes IS NOT NULL").groupBy("f").agg(F.min("id").alias("first"), F.min("lanes").alias("lanes"), F.min("bands").alias("bands"))
+    prints = scratch.keep(made.select(col(id_col).alias("id"), F.xxhash64(f"{name}.lanes").alias("f"), F.col(f"{name}.lanes").alias("lanes")), "prints")
+    firsts = scratch.keep(prints.where("lanes IS NOT NULL").groupBy("f").agg(F.min("id").alias("first"), F.first("lanes").alias("lanes")), "firsts")
     share = expected_share(similarity)
     most = math.floor(64 * LANES * share + math.sqrt(64 * LANES * share * (1 - share)))
-    members = scratch.keep(firsts.select("f", F.explode("bands").alias("band")), "members")
-    ends = members.groupBy("band").agg(F.count("*").alias("n"), F.min("f").alias("a"), F.max("f").alias("b")).where("n > 1")
+    members = _members(firsts, chosen)
+    ends = scratch.keep(members.groupBy("band").agg(F.min("f").alias("a"), F.max("f").alias("b")).where("a != b"), "ends")
     busy = members.join(ends, "band")
-    pairs = busy.select(F.col("a"), F.col("f").alias("b")).union(busy.where("n > 2").select(F.col("f"), F.col("b"))).where("a != b").distinct()
+    pairs = busy.select("a", F.col("f").alias("b")).union(busy.select(F.col("f").alias("a"), "b")).where("a != b").distinct()
+    pairs = scratch.keep(pairs, "pairs")
     far = "aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
     lanes = firsts.select("f", "lanes")
     edges = pairs.join(lanes.select(F.col("f").alias("a"), F.col("lanes").alias("x")), "a").join(lanes.select(F.col("f").alias("b"), F.col("lanes").alias("y")), "b").where(f"{far} <= {most}").select("a", "b")
