@@ -229,27 +229,33 @@ def train(spark: SparkSession, scratch: Scratch, docs: DataFrame, text_col: str
     rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     segments = 1 << max(0, math.ceil(math.log2(max(1, size / SEGMENT_BYTES))))
     built = scratch.keep(_built(_counted(texts, segments), segments), "built", "uncompressed")
-    distinct = built.agg(F.coalesce(F.sum(F.expr("octet_length(words) div 8")), F.lit(0))).first()[0]
-    sizes, offsets = np.full(segments, 64, np.uint64), np.zeros(segments, np.int64)
+    held = built.select("segment", F.octet_length("bits").alias("bits"), (F.octet_length("words") / 8).cast("long").alias("words")).collect()
+    distinct = sum(r["words"] for r in held)
     send = distinct <= MAX_SENT_WORDS
-    bits, words, counts, at, total = [], [], [], 0, 0
-    for r in built.select("segment", "bits", "words" if send else F.lit(None).alias("words"), "counts").toLocalIterator():
-        sizes[r["segment"]], offsets[r["segment"]] = 8 * len(r["bits"]), at
-        bits.append(r["bits"])
-        at += len(r["bits"])
-        n = np.frombuffer(r["counts"], "<i8")
+    # Everything is put where it belongs as it arrives, so that nothing is held twice.
+    flat = np.zeros(sum(r["bits"] for r in held) + 8, np.uint8)
+    words, counts = (np.empty(distinct if send else 0, t) for t in (np.uint64, np.int64))
+    sizes, offsets, at, w, total = np.full(segments, 64, np.uint64), np.full(segments, len(flat) - 8, np.int64), 0, 0, 0
+    columns = ["segment", "bits", "counts", *["words"] * send]
+    for r in built.select(*columns).toLocalIterator():
+        bits, n = np.frombuffer(r["bits"], np.uint8), np.frombuffer(r["counts"], "<i8")
+        sizes[r["segment"]], offsets[r["segment"]] = 8 * len(bits), at
+        flat[at : at + len(bits)] = bits
+        at += len(bits)
         total += int(n.sum())
         if send:
-            words.append(np.frombuffer(r["words"], "<u8"))
-            counts.append(n)
-    bits.append(bytes(8))
-    flat = np.frombuffer(b"".join(bits), np.uint8)
+            words[w : w + len(n)] = np.frombuffer(r["words"], "<u8")
+            counts[w : w + len(n)] = n
+            w += len(n)
     found = Filter(segments, sizes, offsets, flat, rows, total, distinct)
     if not send:
         return Model(found, None, None, built)
-    every, n = np.concatenate([np.zeros(0, np.uint64), *words]), np.concatenate([np.zeros(0, np.int64), *counts])
-    order = np.argsort(every)
-    return Model(found, every[order], n[order].astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64), built)
+    if counts.max(initial=0) < 1 << 32:
+        counts = counts.astype(np.uint32)
+    order = np.argsort(words)
+    counts = counts[order]
+    words.sort()
+    return Model(found, words, counts, built)
 
 
 # Scoring ------------------------------------------------------------------------------------------------------------
