@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds on DataFrames.
+"""Connected components by alternating small-star and large-star rounds on DataFrames.
 
 No node's neighbours are gathered in one place: each round takes a minimum per node (pre-aggregated before the shuffle)
 and joins it back (a join that Spark may split where a key is hot).  Rounds are cut by written tables.
@@ -31,14 +31,16 @@ def components(scratch: Scratch, edges: DataFrame, label: str = "components") ->
     now = scratch.keep(_ordered(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()), f"{label}-0")
     mark, k = _mark(now), 0
     while mark[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Smaller neighbours first: that leaves about one edge a node, so that the step that needs both directions is small.
+        low = now.groupBy("u").agg(F.min("v").alias("m"))
+        small = now.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = scratch.keep(_ordered(small), f"{label}-small-{k}")
+        both = small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         k += 1
-        then, now = f"{label}-{k - 1}", scratch.keep(_ordered(small), f"{label}-{k}")
-        scratch.drop(then)
+        then, now = f"{label}-{k - 1}", scratch.keep(_ordered(large), f"{label}-{k}")
+        scratch.drop(then, f"{label}-small-{k - 1}")
         last, mark = mark, _mark(now)
         if last == mark:
             break
