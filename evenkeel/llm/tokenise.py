@@ -15,8 +15,11 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces that each of the two halves of a worker's memory holds; about 100 MB in all.
-CACHE_PIECES = 300_000
+#: Pieces that each of the two halves of a worker's memory holds; about 250 MB in all.
+CACHE_PIECES = 600_000
+
+#: Pieces at the starts of texts and lines that a worker remembers.
+CACHE_FIRST = 200_000
 
 #: Pieces that are encoded in one call, with a bar between them.
 PIECES_AT_ONCE = 1000
@@ -62,6 +65,8 @@ class PieceEncoder:
                 break
         else:
             self.plain = None
+        self.bare = (lambda w: self.plain(w).removeprefix(_SPACE)) if self.plain is not None else None
+        self.feed = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -95,37 +100,73 @@ class PieceEncoder:
     def _recall(self, pieces: set[str]) -> None:
         """Sees to it that all pieces are in the young half.
 
-        Letters that an ASCII sign follows are a word of their own in both vocabularies, so that a word with a short
+        A line feed between two signs or letters is a piece of its own (or none), so that what stands before and after
+        it is looked up apart.  Letters that an ASCII sign follows are a word of their own, so that a word with a short
         tail of signs is put together from the two.
         """
         young, old = self.young, self.old
-        plain, joined = [], []
-        for p in pieces:
+        lines, plain, joined = [], [], []
+        wanted = list(pieces)
+        for p in wanted:  # grows by what stands before line feeds
+            if p in young:
+                continue
             if p in old:
                 young[p] = old[p]
-                continue
-            m = _SIGN.search(p)
-            if m and len(p) - m.start() <= 3:
-                stem = p[: m.start()]
-                if stem.isalpha():
-                    joined.append((p, stem, p[m.start() :]))
+            elif p.isalpha():
+                plain.append(p)
+            elif "\n" in p:
+                head, _, rest = p.partition("\n")
+                if head and rest and "\n" not in rest and not head[-1].isspace() and not rest[0].isspace():
+                    lines.append((p, head, rest))
+                    wanted.append(head)
+                else:
+                    plain.append(p)
+            else:
+                stem, tail = _tailed(p)
+                if tail:
+                    joined.append((p, stem, tail))
                     if stem not in young:
                         if stem in old:
                             young[stem] = old[stem]
-                        elif stem not in pieces:
+                        else:
                             plain.append(stem)
-                    continue
-            plain.append(p)
+                else:
+                    plain.append(p)
         self._learn(list(dict.fromkeys(plain)))
-        tails = list({t for _, _, t in joined}.difference(self.tails))
-        self.tails.update(zip(tails, self._whole(tails), strict=True))
+        self._learn_tails({t for _, _, t in joined})
         for p, stem, tail in joined:
             young[p] = young[stem] + self.tails[tail]
+        if lines:
+            self._learn_first({r for _, _, r in lines})
+            for p, head, rest in lines:
+                young[p] = young[head] + self.feed + self.first[rest]
+
+    def _learn_tails(self, tails: set[str]) -> None:
+        new = list(tails.difference(self.tails))
+        self.tails.update(zip(new, self._whole(new), strict=True))
+
+    def _learn_first(self, pieces: set[str]) -> None:
+        """Pieces that stand at the start of a text or line."""
+        first, plain, joined = self.first, [], []
+        for p in pieces.difference(first):
+            stem, tail = _tailed(p)
+            if tail:
+                joined.append((p, stem, tail))
+            plain.append(stem)
+        plain = [p for p in dict.fromkeys(plain) if p not in first]
+        if self.plain is not None:
+            letters = [p for p in plain if p.isalpha() and max(p) < _BEYOND]
+            first.update((p, array("I", [t.id for t in self.model.tokenize(self.bare(p))]).tobytes()) for p in letters)
+            plain = [p for p in plain if p not in first]
+        first.update(zip(plain, self._whole(plain), strict=True))
+        self._learn_tails({t for _, _, t in joined})
+        for p, stem, tail in joined:
+            first[p] = first[stem] + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
-        if len(self.first) + len(self.tails) > 40_000:
+        if len(self.first) + len(self.tails) > CACHE_FIRST:
             self.first.clear()
             self.tails.clear()
         get, rows, lost, heads = self.young.get, [], set(), set()
@@ -141,8 +182,7 @@ class PieceEncoder:
             lost.update([parts[i] for i in gaps])
             rows.append((parts, ids, gaps))
         self._recall(lost)
-        heads = list(heads.difference(self.first))
-        self.first.update(zip(heads, self._whole(heads), strict=True))
+        self._learn_first(heads)
         out, young = [], self.young
         for t, row in zip(texts, rows, strict=True):
             if row is None:
@@ -156,6 +196,17 @@ class PieceEncoder:
         return out
 
 
+def _tailed(piece: str) -> tuple[str, str]:
+    """(letters, one to three characters from an ASCII sign on), or the piece and nothing.
+
+    U+0130 is left whole: its lower case ends in a mark that would go with the sign.
+    """
+    m = _SIGN.search(piece)
+    if m and len(piece) - m.start() <= 3 and not piece[-1].isspace() and piece[: m.start()].isalpha() and "\u0130" not in piece:
+        return piece[: m.start()], piece[m.start() :]
+    return piece, ""
+
+
 def encoder(path: str) -> PieceEncoder:
     """One encoder per file and Python worker."""
     if path not in _ENCODERS:
