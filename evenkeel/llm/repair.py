@@ -38,65 +38,67 @@ SHARD_IDS = 1 << 19  # a shard ends with the document that reaches this
 ROUNDS = 5
 RULES_A_ROUND = 1024
 LEAST = 16  # a pair must be seen so often to become a rule
+SLOT_BITS = 18
 
 
-def _pairs(seq: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of neighbouring symbols, and whether the pair lies within a document."""
-    return seq[:-1].astype(np.int64) << 32 | seq[1:], ~first[1:]
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """A hash of SLOT_BITS bits of each pair."""
+    if keys.dtype == np.uint32:
+        return keys * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)
+    return keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)
 
 
 def compress(docs: list[np.ndarray], terminals: int) -> bytes:
     """The shard file of documents given as arrays of ids below `terminals`."""
     sizes = np.array([len(d) for d in docs], np.int64)
-    seq = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
-    first = np.zeros(len(seq), bool)
+    narrow = terminals + ROUNDS * RULES_A_ROUND <= 1 << 16
+    whole, half = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
+    seq = np.concatenate(docs).astype(whole) if docs else np.zeros(0, whole)
+    inside = np.ones(len(seq), bool)  # not the first of a document
     starts = np.cumsum(sizes) - sizes
-    first[starts[sizes > 0]] = True
-    left, right, spans, rounds = [], [], [], []
+    inside[starts[sizes > 0]] = False
+    left, right, rounds = [], [], []
     expands = np.ones(0, np.int64)
     at = terminals
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        keys, inside = _pairs(seq, first)
-        # Pairs are counted by a small hash first; only those in full enough places are sorted.
-        slot = (keys * -0x61C8864680B583EB >> 44) & 0xFFFFF
-        full = np.bincount(slot[inside], minlength=1 << 20) >= LEAST
-        some = np.sort(keys[inside & full[slot]])
+        keys = seq[:-1] << half | seq[1:]
+        # Pairs are counted by a hash first; only those whose places in it are among the fullest are sorted.
+        slot = _slots(keys)
+        held = np.bincount(slot[inside[1:]], minlength=1 << SLOT_BITS)
+        least = max(LEAST, int(np.partition(held, -RULES_A_ROUND)[-RULES_A_ROUND]))
+        some = np.flatnonzero((held >= least)[slot] & inside[1:])
         if not len(some):
             break
-        edge = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
-        counts = np.diff(np.concatenate((edge, [len(some)])))
-        best = np.lexsort((some[edge], -counts))[:RULES_A_ROUND]
+        ordered = np.sort(keys[some])
+        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        counts = np.diff(np.concatenate((edge, [len(ordered)])))
+        best = np.lexsort((ordered[edge], -counts))[:RULES_A_ROUND]
         best = best[counts[best] >= LEAST]
         if not len(best):
             break
-        chosen = np.sort(some[edge[best]])
-        mark = np.zeros(1 << 20, bool)
-        mark[(chosen * -0x61C8864680B583EB >> 44) & 0xFFFFF] = True
-        where = np.flatnonzero(inside & mark[slot])
-        rule = np.minimum(np.searchsorted(chosen, keys[where]), len(chosen) - 1)
-        good = chosen[rule] == keys[where]
-        where, rule = where[good], rule[good]
+        chosen = np.sort(ordered[edge[best]])
+        rule = np.minimum(np.searchsorted(chosen, keys[some]), len(chosen) - 1)
+        good = chosen[rule] == keys[some]
+        where, rule = some[good], rule[good]
         # Of candidates that overlap in a row, every other one is taken from the left.
-        head = np.concatenate(([True], np.diff(where) != 1))
-        run = np.flatnonzero(head)
+        run = np.flatnonzero(np.concatenate(([True], np.diff(where) != 1)))
         place = np.arange(len(where)) - np.repeat(run, np.diff(np.concatenate((run, [len(where)]))))
         take = place % 2 == 0
         where, rule = where[take], rule[take]
-        seq[where] = at + rule
-        gone = np.ones(len(seq), bool)
-        gone[where + 1] = False
-        seq, first = seq[gone], first[gone]
-        a, b = chosen >> 32, chosen & 0xFFFFFFFF
-        size = lambda x: np.where(x < terminals, 1, expands[np.maximum(x - terminals, 0)] if len(expands) else 1)  # noqa: E731, B023
-        grown = size(a) + size(b)
+        seq[where] = (at + rule).astype(whole)
+        kept = np.ones(len(seq), bool)
+        kept[where + 1] = False
+        seq, inside = seq[kept], inside[kept]
+        a, b = (chosen >> half).astype(np.int64), (chosen & whole((1 << int(half)) - 1)).astype(np.int64)
+        sized = np.concatenate((expands, [1]))  # the last stands for an id itself
+        expands = np.concatenate((expands, sum(sized[np.where(x < terminals, len(expands), x - terminals)] for x in (a, b))))
         left.append(a)
         right.append(b)
-        spans.append(grown)
-        expands = np.concatenate((expands, grown))
         rounds.append(len(chosen))
         at += len(chosen)
+    first = ~inside
     width = 2 if at <= 1 << 16 else 4
     kind = f"<u{width}"
     rules = np.stack((np.concatenate(left), np.concatenate(right)), axis=1) if left else np.zeros((0, 2), np.int64)
