@@ -225,6 +225,72 @@ def _members(firsts: DataFrame, chosen: np.ndarray) -> DataFrame:
     return firsts.select("f", "lanes").mapInArrow(run, _MEMBER)
 
 
+BLOCK = 1024  # members of a full cell that are compared with another such block, or with one another, at a time
+_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _compare(f: np.ndarray, root: np.ndarray, side: np.ndarray, lanes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different roots and `most` differing bits at most: between the sides, or among all where there is one."""
+    one = np.flatnonzero(side == side[0])
+    two = np.flatnonzero(side != side[0])
+    alike = not len(two)
+    two = one if alike else two
+    out = []
+    for i in range(0, len(one), 64):
+        rows = one[i : i + 64]
+        differ = np.zeros((len(rows), len(two)), np.uint16)
+        for k in range(LANES):
+            differ += np.bitwise_count(lanes[rows, k][:, None] ^ lanes[two, k][None, :])
+        good = (differ <= most) & (root[rows][:, None] != root[two][None, :])
+        x, y = np.nonzero(good)
+        x, y = rows[x], two[y]
+        out.append((x[x < y], y[x < y]) if alike else (x, y))
+    x, y = (f[np.concatenate(z)] for z in zip(*out, strict=True))
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def dense_pairs(scratch: Scratch, members: DataFrame, lanes: DataFrame, most: int) -> DataFrame:
+    """(a, b), a < b: all pairs that share a cell, are of different roots and differ in `most` bits at most.
+
+    members: (band, f, root).  Cells of one root are passed over.  A cell is dealt at random into blocks of about BLOCK
+    members, and each two blocks (and each block by itself) are compared apart, so that nothing is capped and no task
+    holds a whole cell.
+    """
+    mixed = members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    mixed = scratch.keep(mixed, "mixed")
+    if mixed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        mixed = F.broadcast(mixed)
+    dealt = members.join(mixed, "band").join(lanes, "f").withColumn("side", F.expr("pmod(xxhash64(f, 'side'), blocks)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    place = ["band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")]
+    dealt = dealt.select(*place, "f", "root", "side", "lanes").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    arrow = to_arrow_schema(_PAIR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def pairs_of(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            a, b = _compare(*part[3:], most)
+            for i in range(0, len(a), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000])], schema=arrow)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            now.append(batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(-1, LANES).view(np.uint64))
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in held[:3]], axis=0)) + 1
+            for i, j in zip([0, *cuts[:-1]], cuts, strict=False):
+                yield from pairs_of([x[i:j] for x in held])
+            if len(cuts):
+                held = [x[cuts[-1] :] for x in held]
+        if held is not None:
+            yield from pairs_of(held)
+
+    return scratch.keep(dealt.mapInArrow(run, _PAIR).distinct(), "rest")
+
+
 def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lanes (null without words) and component_id: groups linked by pairs of about `similarity` or more.
 
@@ -232,8 +298,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similari
     one standard error's leeway (0.03 or so); a pair at the threshold meets in a band with probability `recall`, closer
     pairs more surely.  Texts without words are linked to nothing and are their own component.  Rows with a null id
     stay and take their component's id; repeated rows stay.  An empty table gives no rows.  In a band's cell each
-    fingerprint is compared with the least and the greatest, so that a cell yields two candidates a member at most;
-    members that differ from those still meet in the other bands.
+    fingerprint is compared with the least and the greatest; then, in cells that still hold several components, with
+    every other outside its own, so that no pair that shares a cell is left out (`dense_pairs`).
     """
     ship(spark)
     scratch = Scratch(spark, "simhash-wide")
@@ -255,13 +321,19 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similari
     share = expected_share(similarity)
     most = math.floor(64 * LANES * share + math.sqrt(64 * LANES * share * (1 - share)))
     members = _members(firsts, chosen)
-    ends = scratch.keep(members.groupBy("band").agg(F.min("f").alias("a"), F.max("f").alias("b")).where("a != b"), "ends")
-    busy = members.join(ends, "band")
-    pairs = busy.select("a", F.col("f").alias("b")).union(busy.select(F.col("f").alias("a"), "b")).where("a != b").distinct()
-    pairs = scratch.keep(pairs, "pairs")
+    ends = scratch.keep(members.groupBy("band").agg(F.count("*").alias("n"), F.min("f").alias("a"), F.max("f").alias("b")).where("n > 1"), "ends")
+    full = ends.where("n > 2").select("band", "a", "b")
+    if full.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        full = F.broadcast(full)
+    dense = scratch.keep(members.join(full, "band"), "dense")
+    pairs = ends.where("n = 2").select("a", "b").union(dense.select("a", F.col("f").alias("b"))).union(dense.select(F.col("f").alias("a"), "b")).where("a != b").distinct()
     far = "aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
     lanes = firsts.select("f", "lanes")
-    edges = pairs.join(lanes.select(F.col("f").alias("a"), F.col("lanes").alias("x")), "a").join(lanes.select(F.col("f").alias("b"), F.col("lanes").alias("y")), "b").where(f"{far} <= {most}").select("a", "b")
+    near = pairs.join(lanes.select(F.col("f").alias("a"), F.col("lanes").alias("x")), "a").join(lanes.select(F.col("f").alias("b"), F.col("lanes").alias("y")), "b").where(f"{far} <= {most}").select("a", "b")
+    edges = scratch.keep(near, "edges")
+    rooted = dense.select("f", "band").join(components(scratch, edges, "first").withColumnRenamed("node", "f"), "f", "left")
+    rest = dense_pairs(scratch, rooted.select("band", "f", F.coalesce("root", "f").alias("root")), lanes, most)
+    edges = edges.unionByName(rest)
     done = _labelled(scratch, prints.where("lanes IS NOT NULL").select("id", "f", "lanes"), firsts.select("f", "first"), edges)
     alone = prints.where("lanes IS NULL").select("id", "f", "lanes", F.col("id").alias("component"))
     return done.select("id", "f", "lanes", "component").unionByName(alone).select(F.col("id").alias(id_col), "lanes", F.col("component").alias("component_id"))

@@ -119,3 +119,32 @@ def test_long_print_estimates_similarity():
     similarity = len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
     a, b = (simhash.long_print(" ".join(t), 5, {}) for t in (words, other))
     assert abs((a != b).mean() - simhash.expected_share(similarity)) < 0.06
+
+
+def test_full_cells_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2, 256)
+    groups = []
+    for _ in range(40):  # all agree in the band's bits, so that one cell has them all
+        centre = base.copy()
+        centre[24:] = rng.integers(0, 2, 232)
+        groups.append([centre ^ (np.arange(256) == 30 + k) for k in range(3)])
+    bits = np.array([p for g in groups for p in g], np.uint8)
+    lanes = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    rows = [(7, k, k, [int(v) for v in lanes[k]]) for k in range(120)] + [(8, k, 5, [int(v) for v in lanes[k]]) for k in range(4)]
+    df = spark.createDataFrame(rows, "band long, f long, root long, lanes array<long>").repartition(3)
+    got = simhash.dense_pairs(Scratch(spark, "test"), df.select("band", "f", "root"), df.where("band = 7").select("f", "lanes"), 40)
+    assert sorted(map(tuple, got.collect())) == [(3 * g + x, 3 * g + y) for g in range(40) for x, y in ((0, 1), (0, 2), (1, 2))]
+
+
+def test_groups_that_share_every_cell_are_linked_inside(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "band_bits", lambda bands: np.zeros((1, simhash.BAND), np.int64))  # two cells in all
+    rng = random.Random(6)
+    rows = []
+    for g in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows += [(10 * g + c, " ".join([*words, *["more"] * c])) for c in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark, df).collect()}
+    assert got == {i: i - i % 10 for i, _ in rows}
