@@ -173,8 +173,8 @@ def band_bits(bands: int) -> np.ndarray:
     return np.array([rng.choice(64 * LANES, BAND, replace=False) for _ in range(bands)])
 
 
-def long_print(text: str | None, size: int, cache: dict[bytes, int]) -> np.ndarray | None:
-    """Bits (0 or 1) of the SimHash over distinct shingles, LANES * 64 of them; None for a text without words."""
+def distinct_shingles(text: str | None, size: int, cache: dict[bytes, int]) -> np.ndarray | None:
+    """Hashes of the distinct shingles, ascending; None for a text without words."""
     from xxhash import xxh64_intdigest
 
     words = words_of(text)
@@ -190,12 +190,24 @@ def long_print(text: str | None, size: int, cache: dict[bytes, int]) -> np.ndarr
         grams = np.zeros(k, np.uint64)
         for j in range(min(size, len(words))):
             grams = mix(grams * _GOLD + h[j : j + k])
-        grams = np.unique(grams)
+    return np.unique(grams)
+
+
+def _bits_of(grams: np.ndarray) -> np.ndarray:
+    """Bits (0 or 1) of the SimHash over distinct shingles, LANES * 64 of them."""
+    with np.errstate(over="ignore"):
         total = np.concatenate([sum(_bit_counts(mix(g + _GOLD * np.uint64(lane + 1))) for g in np.array_split(grams, 1 + len(grams) // _STEP)) for lane in range(LANES)])
     return (total * 2 > len(grams)).astype(np.uint8)
 
 
-LONG = T.StructType([T.StructField("lanes", T.ArrayType(T.LongType()))])
+def long_print(text: str | None, size: int, cache: dict[bytes, int]) -> np.ndarray | None:
+    """Bits (0 or 1) of the SimHash over distinct shingles, LANES * 64 of them; None for a text without words."""
+    grams = distinct_shingles(text, size, cache)
+    return None if grams is None else _bits_of(grams)
+
+
+LONG = T.StructType([T.StructField("f", T.LongType()), T.StructField("lanes", T.ArrayType(T.LongType()))])
+_SET = T.StructType([T.StructField("grams", T.ArrayType(T.LongType(), False))])
 _MEMBER = T.StructType([T.StructField("f", T.LongType()), T.StructField("band", T.LongType())])
 
 
@@ -225,6 +237,7 @@ def _members(firsts: DataFrame, chosen: np.ndarray) -> DataFrame:
     return firsts.select("f", "lanes").mapInArrow(run, _MEMBER)
 
 
+LEEWAY = 3  # standard errors
 BLOCK = 1024  # members of a full cell that are compared with another such block, or with one another, at a time
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
@@ -291,17 +304,42 @@ def dense_pairs(scratch: Scratch, members: DataFrame, lanes: DataFrame, most: in
     return scratch.keep(dealt.mapInArrow(run, _PAIR).distinct(), "rest")
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, lanes (null without words) and component_id: groups linked by pairs of about `similarity` or more.
+def verified(scratch: Scratch, pairs: DataFrame, firsts: DataFrame, texts: DataFrame, size: int, similarity: float, label: str) -> DataFrame:
+    """The pairs (a, b) whose sets of shingle hashes have a Jaccard similarity of `similarity` or more.
 
-    similarity is the Jaccard similarity of the sets of `size`-word shingles, as estimated from LANES * 64 bits and with
-    one standard error's leeway (0.03 or so); a pair at the threshold meets in a band with probability `recall`, closer
-    pairs more surely.  Texts without words are linked to nothing and are their own component.  Rows with a null id
+    firsts: (f, row), texts: (row, text).  The sets are made anew for the texts that some pair names.
+    """
+    pairs = scratch.keep(pairs, f"{label}-candidates")
+    named = scratch.keep(pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct().join(firsts.select("f", "row"), "f"), f"{label}-named")
+    if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)
+
+    def make():
+        cache: dict[bytes, int] = {}
+        return lambda found: {"grams": [distinct_shingles(t, size, cache).view(np.int64) for t in found]}
+
+    sets = annotate(texts.join(named, "row"), "text", make, _SET, "set", ["f"])
+    sets = scratch.keep(sets.select("f", F.col("set.grams").alias("grams")), f"{label}-sets")
+    both = pairs.join(sets.select(F.col("f").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("f").alias("b"), F.col("grams").alias("y")), "b")
+    common = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return scratch.keep(common.where(F.col("common") / (F.col("n") - F.col("common")) >= similarity).select("a", "b"), label)
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """id_col, lanes (null without words) and component_id: groups linked by pairs of `similarity` or more.
+
+    similarity is the Jaccard similarity of the sets of `size`-word shingles (64-bit hashes), computed for each
+    candidate, so that no pair below it is linked.  A pair at the threshold meets in a band with probability `recall`,
+    closer pairs more surely; candidates may differ in LEEWAY standard errors more bits than expected at the threshold.
+    key_col names a column of values that no two rows share and that are the same whenever docs is read; without it the
+    rows are written with one.  Texts without words are linked to nothing and are their own component.  Rows with a null id
     stay and take their component's id; repeated rows stay.  An empty table gives no rows.  In a band's cell each
     fingerprint is compared with the least and the greatest; then, in cells that still hold several components, with
     every other outside its own, so that no pair that shares a cell is left out (`dense_pairs`).
     """
     ship(spark)
+    from xxhash import xxh64_intdigest
+
     scratch = Scratch(spark, "simhash-wide")
     chosen = band_bits(bands_needed(similarity, recall))
 
@@ -309,17 +347,22 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similari
         cache: dict[bytes, int] = {}
 
         def kernel(texts):
-            bits = [long_print(t, size, cache) for t in texts]
-            return {"lanes": [None if b is None else np.packbits(b, bitorder="little").view("<i8") for b in bits]}
+            grams = [distinct_shingles(t, size, cache) for t in texts]
+            lanes = [None if g is None else np.packbits(_bits_of(g), bitorder="little").view("<i8") for g in grams]
+            return {"f": [None if g is None else np.uint64(xxh64_intdigest(g.tobytes(), 3)).view(np.int64) for g in grams], "lanes": lanes}
 
         return kernel
 
+    if key_col is None:
+        key_col = fresh(docs, "__row")
+        docs = scratch.keep(docs.select(*{id_col: col(id_col), text_col: col(text_col)}.values(), F.monotonically_increasing_id().alias(key_col)), "rows")
     name = fresh(docs, "simhash")
-    made = annotate(docs, text_col, make, LONG, name, [id_col])
-    prints = scratch.keep(made.select(col(id_col).alias("id"), F.xxhash64(f"{name}.lanes").alias("f"), F.col(f"{name}.lanes").alias("lanes")), "prints")
-    firsts = scratch.keep(prints.where("lanes IS NOT NULL").groupBy("f").agg(F.min("id").alias("first"), F.first("lanes").alias("lanes")), "firsts")
+    made = annotate(docs, text_col, make, LONG, name, list(dict.fromkeys([id_col, key_col])))
+    prints = scratch.keep(made.select(col(id_col).alias("id"), col(key_col).alias("row"), F.col(f"{name}.f").alias("f"), F.col(f"{name}.lanes").alias("lanes")), "prints")
+    firsts = scratch.keep(prints.where("lanes IS NOT NULL").groupBy("f").agg(F.min("id").alias("first"), F.min("row").alias("row"), F.first("lanes").alias("lanes")), "firsts")
+    texts = docs.select(col(key_col).alias("row"), col(text_col).alias("text"))
     share = expected_share(similarity)
-    most = math.floor(64 * LANES * share + math.sqrt(64 * LANES * share * (1 - share)))
+    most = math.floor(64 * LANES * share + LEEWAY * math.sqrt(64 * LANES * share * (1 - share)))
     members = _members(firsts, chosen)
     ends = scratch.keep(members.groupBy("band").agg(F.count("*").alias("n"), F.min("f").alias("a"), F.max("f").alias("b")).where("n > 1"), "ends")
     full = ends.where("n > 2").select("band", "a", "b")
@@ -330,10 +373,10 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similari
     far = "aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
     lanes = firsts.select("f", "lanes")
     near = pairs.join(lanes.select(F.col("f").alias("a"), F.col("lanes").alias("x")), "a").join(lanes.select(F.col("f").alias("b"), F.col("lanes").alias("y")), "b").where(f"{far} <= {most}").select("a", "b")
-    edges = scratch.keep(near, "edges")
+    edges = verified(scratch, near, firsts, texts, size, similarity, "edges")
     rooted = dense.select("f", "band").join(components(scratch, edges, "first").withColumnRenamed("node", "f"), "f", "left")
     rest = dense_pairs(scratch, rooted.select("band", "f", F.coalesce("root", "f").alias("root")), lanes, most)
-    edges = edges.unionByName(rest)
+    edges = edges.unionByName(verified(scratch, rest, firsts, texts, size, similarity, "rest-edges"))
     done = _labelled(scratch, prints.where("lanes IS NOT NULL").select("id", "f", "lanes"), firsts.select("f", "first"), edges)
     alone = prints.where("lanes IS NULL").select("id", "f", "lanes", F.col("id").alias("component"))
     return done.select("id", "f", "lanes", "component").unionByName(alone).select(F.col("id").alias(id_col), "lanes", F.col("component").alias("component_id"))

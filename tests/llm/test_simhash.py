@@ -148,3 +148,16 @@ def test_groups_that_share_every_cell_are_linked_inside(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark, df).collect()}
     assert got == {i: i - i % 10 for i, _ in rows}
+
+
+def test_links_are_the_exact_similarities(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for g in range(60):  # 100 shingles each; c shared words at the front give c - 4 shared shingles
+        one, two = ([f"w{rng.randrange(10**6)}" for _ in range(104)] for _ in range(2))
+        shared = 95 if g % 2 else 90  # similarities 91/109 = 0.83 and 86/114 = 0.75
+        rows += [(10 * g, " ".join(one)), (10 * g + 1, " ".join(one[:shared] + two[shared:]))]
+        want |= {10 * g: 10 * g, 10 * g + 1: 10 * g + 1 - g % 2}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark, df, recall=0.99).collect()}
+    assert got == want
