@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm import decontaminate, langid, packing, secretscan, simhash
-from evenkeel.llm.common import Scratch
+from evenkeel.llm.common import Scratch, fresh
 from evenkeel.llm.queries import tokenizer_path
 
 
@@ -21,10 +21,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by a similarity of 0.8 or more (5-word shingles)."""
-    groups = simhash.similar_groups(spark, docs, size=5, similarity=0.8)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document, that with the smallest id, of each group linked by a similarity of 0.8 or more (5-word shingles).
+
+    Rows are told apart by a key of their own: of rows with one id in a group a single one stays, rows with a null id
+    stay where their group has no other, and rows whose id recurs on another text are judged each by its text.
+    """
+    scratch, key = Scratch(spark, "near-copies"), fresh(docs, "__key")
+    docs, columns = scratch.keep(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), docs.columns
+    groups = simhash.similar_groups(spark, docs, size=5, similarity=0.8, id_col=key, key_col=key)
+    best = groups.join(docs.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("best"))
+    return docs.join(best.select(F.col(f"best.{key}").alias(key)), key, "left_semi").select(*columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

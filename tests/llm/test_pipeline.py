@@ -51,3 +51,13 @@ def test_run_packs_what_is_left(spark, folder):
     got = corpus_pipeline.run(spark, root)
     whole = got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
     assert len(whole) == 121 and all(r["n"] == r["m"] for r in whole)
+
+
+def test_near_copies_keep_one_row_of_each_group(spark):
+    rng = random.Random(11)
+    one, two, three, four, five = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(5))
+    rows = [(1, one), (1, one), (1, two), (None, three), (None, four), (None, four), (9, five), (None, five), (8, five + " more"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, one), (1, two), (None, three), (None, four), (8, five + " more"), (3, None)], key=str)
