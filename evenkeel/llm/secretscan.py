@@ -41,9 +41,17 @@ BASE = (
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 
+#: A private key from its header over the body to the END line (single hyphens as in "Proc-Type"); without an END line,
+#: over header fields and the base64 characters that follow across line ends (real ones or written \n), at least 16; else
+#: the header alone.
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,40}-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    r"|(?:\s*[A-Za-z-]{2,30}:[^\n]{0,200}\n){0,4}[\s\\nr]*[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\r\n\\]*)?"
+)
+
 #: More kinds: formats that the issuers document.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    Rule("private_key", _PEM),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),

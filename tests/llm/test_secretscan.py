@@ -74,3 +74,26 @@ def test_redaction(spark, text, want):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     made, c = s.scan(spark, df)
     assert made.select(s.redacted(F.col("text"), F.col(c)).alias("t")).first()["t"] == want
+
+
+BODY = "\n".join(["MIIEpAIBAAKCAQEA7bq9" + "aB+/" * 11] * 12 + ["Qm9i"])
+HEAD, TAIL = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        (f"a\n{HEAD}\n{BODY}\n{TAIL}\nz", "a\n[secret]\nz"),
+        (f"é😀 {HEAD}\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,0123\r\n\r\n{BODY}\n{TAIL} z {HEAD}\n{BODY}\n{TAIL}", "é😀 [secret] z [secret]"),
+        (f'{{"key": "{HEAD}' + BODY.replace("\n", "\\n") + f'\\n{TAIL}"}}', '{"key": "[secret]"}'),
+        (f"{HEAD}\n{BODY} z", "[secret] z"),
+        (f"{HEAD}\nProc-Type: 4,ENCRYPTED\n\n{BODY}, z", "[secret], z"),
+        (f"the line {HEAD} starts a key; {HEAD}\n{BODY}\n{TAIL} z", "the line [secret] starts a key; [secret] z"),
+        (f"{HEAD}\n" + "aB+/" * 50_000 + f"\n{TAIL}.", "[secret]."),
+        (f"{HEAD}\n" + f"{'aB+/' * 16}\n" * 20_000, "[secret]"),
+    ],
+)
+def test_private_keys_go_whole(spark, text, want):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    made, c = s.scan(spark, df, (s.MORE[0],))
+    assert made.select(s.redacted(F.col("text"), F.col(c)).alias("t")).first()["t"] == want
