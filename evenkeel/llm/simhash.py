@@ -238,6 +238,7 @@ def _members(firsts: DataFrame, chosen: np.ndarray) -> DataFrame:
 
 
 LEEWAY = 3  # standard errors
+ROWS_A_TASK = 8000  # fingerprints whose members one task aggregates; bounds its memory
 BLOCK = 1024  # members of a full cell that are compared with another such block, or with one another, at a time
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
@@ -363,7 +364,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similari
     texts = docs.select(col(key_col).alias("row"), col(text_col).alias("text"))
     share = expected_share(similarity)
     most = math.floor(64 * LANES * share + LEEWAY * math.sqrt(64 * LANES * share * (1 - share)))
-    members = _members(firsts, chosen)
+    members = _members(firsts.repartition(1 + firsts.count() // ROWS_A_TASK, "f"), chosen)
     ends = scratch.keep(members.groupBy("band").agg(F.count("*").alias("n"), F.min("f").alias("a"), F.max("f").alias("b")).where("n > 1"), "ends")
     full = ends.where("n > 2").select("band", "a", "b")
     if full.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
