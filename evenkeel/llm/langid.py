@@ -20,10 +20,16 @@ WIDTH = 16
 GRAMS = (1, 2, 3, 4)
 UNDETERMINED = "und"
 
-#: Labelled rows taken for each language at most.  The sample is fixed by a hash of the text.
+#: Labelled texts taken for each language, about; which ones is fixed by a hash of the text.
 ROWS_PER_LABEL = 800
+#: Bytes of text taken for each language, about; bounds the sample where texts are long.
+BYTES_PER_LABEL = 8 << 20
+#: Texts of more bytes are not learned from (they are predicted like any other).
+LONGEST_LEARNED = 1 << 20
 #: Languages learned at most, the most frequent first; bounds the sample with ROWS_PER_LABEL.
 MAX_LABELS = 256
+#: Length of the linear layer's vectors at most; with the rate it keeps a step of SGD from overshooting.
+LONGEST_VECTOR = 4.0
 
 _FOLD = np.array([c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint32)
 _ODD = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
@@ -96,11 +102,14 @@ def snippets(text: str, rng: np.random.Generator) -> list[str]:
     return [text, " ".join(w[at : at + k])]
 
 
-def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 4.0, seed: int = 11, lost: float = 0.002) -> Model:
+def fit(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.25, seed: int = 11, lost: float = 0.002) -> Model:
     """rows: (text, label).  A fifth is kept from training to set the temperature and the threshold of rejection.
 
-    The threshold is the probability under which a share `lost` of the rightly predicted calibration texts fall, and
-    0.6 at most.
+    A step moves the mean embedding of its text by the rate times the gradient, however many subwords share it, so that
+    long texts and short ones are learned at one pace.  The temperature is the one of least log loss on the kept texts,
+    with targets of (n + 1) / (n + 2) for n texts, so that a faultless n still tells no certainty.  The threshold is the
+    probability under which a share `lost` of the rightly predicted kept texts fall, and 0.5 at most.  Weights that are
+    not finite are an error.
     """
     rng = np.random.default_rng(seed)
     rows = sorted((t, y) for t, y in rows if has_letter(t))
@@ -112,9 +121,9 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 4.0, seed: i
     held = set(order[: len(rows) // 5].tolist())
     bags = [(_bag(s), index[y], i in held) for i, (t, y) in enumerate(rows) for s in snippets(t, rng) if has_letter(s)]
     train = [(b, y) for b, y, h in bags if not h] or [(b, y) for b, y, _ in bags]
-    emb = (rng.standard_normal((BUCKETS, WIDTH)) / WIDTH).astype(np.float32)
-    out = np.zeros((WIDTH, len(labels)), np.float32)
-    bias = np.zeros(len(labels), np.float32)
+    emb = rng.standard_normal((BUCKETS, WIDTH)) / WIDTH
+    out = rng.standard_normal((WIDTH, len(labels))) / WIDTH
+    bias = np.zeros(len(labels))
     steps, step = epochs * len(train), 0
     for _ in range(epochs):
         for k in rng.permutation(len(train)):
@@ -125,35 +134,43 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 4.0, seed: i
             err = _softmax(x @ out + bias)
             err[y] -= 1
             back = out @ err
-            out -= lr * 0.25 * np.outer(x, err)
-            bias -= lr * 0.02 * err
-            emb[ids] -= (lr * len(ids) ** 0.5) * np.outer(share, back)
-    table = (emb @ out).astype(np.float64)
+            back /= max(1.0, np.linalg.norm(back))
+            out -= lr * np.outer(x / max(1.0, np.linalg.norm(x)), err)
+            out *= np.minimum(1.0, LONGEST_VECTOR / np.maximum(np.linalg.norm(out, axis=0), 1e-9))
+            bias -= 0.1 * lr * err
+            emb[ids] -= np.outer(share * (lr / (share @ share)), back)
+    table = emb @ out
+    if not (np.isfinite(table).all() and np.isfinite(bias).all()):
+        raise FloatingPointError("training did not converge: weights are not finite")
     test = [(b, y) for b, y, h in bags if h] or [(b, y) for b, y, _ in bags]
     logits = np.array([share @ table[ids] + bias for (ids, share), _ in test])
     truth = np.array([y for _, y in test])
-    best = min(np.geomspace(0.05, 8, 61), key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean())
+    target = np.full(logits.shape, 1 / (len(test) + 2) / max(1, len(labels) - 1))
+    target[np.arange(len(truth)), truth] = (len(test) + 1) / (len(test) + 2)
+    best = min(np.geomspace(0.01, 100, 161), key=lambda t: -(target * np.log(_softmax(logits / t) + 1e-300)).sum())
     p = _softmax(logits / best)
     right = p.argmax(axis=1) == truth
     below = float(np.quantile(p.max(axis=1)[right], lost)) if right.any() else 0.0
-    return Model(labels, table, bias.astype(np.float64), float(best), min(0.6, below))
+    return Model(labels, table, bias, float(best), min(0.5, below))
 
 
-def train(spark: SparkSession, docs: DataFrame, where: Column | None = None, text_col: str = "text", label_col: str = "lang", per_label: int = ROWS_PER_LABEL) -> Model:
-    """A model of the labels of `docs`, from at most per_label rows for each of MAX_LABELS labels.
+def train(spark: SparkSession, docs: DataFrame, where: Column | None = None, text_col: str = "text", label_col: str = "lang", per_label: int = ROWS_PER_LABEL, bytes_per_label: int = BYTES_PER_LABEL) -> Model:
+    """A model of the labels of `docs`, from a sample of per_label texts and bytes_per_label bytes for each of MAX_LABELS
+    labels, about.
 
-    Rows with a null text or label are not learned from.  The sample is the rows with the smallest hashes of their
-    texts, by a threshold set from the labels' counts, so that no table is sorted.
+    Rows with a null text or label, and texts of more than LONGEST_LEARNED bytes, are not learned from; equal texts of
+    one label count once.  The sample is the texts with the smallest hashes, by a threshold set from the labels' counts
+    and sizes, so that it is the same however the table is dealt out, and no table is sorted.
     """
     rows = docs.where(col(text_col).isNotNull() & col(label_col).isNotNull() & (F.lit(True) if where is None else where))
-    rows = rows.select(col(text_col).cast("string").alias("t"), col(label_col).cast("string").alias("y"))
-    counts = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_LABELS).collect()
+    rows = rows.select(col(text_col).cast("string").alias("t"), col(label_col).cast("string").alias("y")).where(F.octet_length("t") <= LONGEST_LEARNED)
+    counts = rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("size")).orderBy(F.desc("n"), "y").limit(MAX_LABELS).collect()
     if not counts:
         return fit([])
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["y"], min(1.0, per_label / r["count"]))])
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["y"], min(1.0, per_label / r["n"], bytes_per_label / max(1, r["size"])))])
     place = F.pmod(F.xxhash64("t"), F.lit(1_000_003)) / F.lit(1_000_003)
-    taken = rows.where(place < F.coalesce(F.try_element_at(share, F.col("y")), F.lit(0.0)))
-    return fit([(r["t"], r["y"]) for r in taken.limit(2 * per_label * len(counts)).collect()])
+    taken = rows.where(place < F.coalesce(F.try_element_at(share, F.col("y")), F.lit(0.0))).distinct()
+    return fit([(r["t"], r["y"]) for r in taken.collect()])
 
 
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

@@ -1,5 +1,10 @@
+import os
 import random
+import zlib
 
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.llm import langid
@@ -22,7 +27,7 @@ def test_held_out_accuracy_and_odd_texts(spark):
     odd = [(1000, None, "aa"), (1001, "", "aa"), (1002, "12 + 3 = ?", "bb"), (1003, rows[0][1] * 400, None), (1003, rows[0][1] * 400, None), (None, rows[1][1], None)]
     df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").withColumn("language", F.lit(0))
     model = langid.train(spark, df, F.coalesce(F.col("doc_id") % 4 != 2, F.lit(False)))
-    assert model.labels == ["aa", "bb", "cc"] and model.reject_below <= 0.6
+    assert model.labels == ["aa", "bb", "cc"] and model.reject_below <= 0.5
     made, c = langid.identify(spark, df, model)
     got = made.collect()
     assert len(got) == len(rows) + len(odd)
@@ -47,3 +52,46 @@ def test_one_label(spark):
     df = spark.createDataFrame([(1, "abc def", "x"), (2, "ghi jkl mno pqr", "x")], "doc_id long, text string, lang string")
     made, c = langid.identify(spark, df, langid.train(spark, df))
     assert {r[c]["lang_pred"] for r in made.collect()} == {"x"}
+
+
+def test_the_sample_does_not_depend_on_the_tables_order(spark):
+    rows = texts(400, 2)
+    rows += [rows[0]] * 50  # copies count once
+    one = langid.train(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7), per_label=40)
+    two = langid.train(spark, spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string").repartition(2), per_label=40)
+    assert one.labels == two.labels and np.array_equal(one.table, two.table) and one.temperature == two.temperature
+
+
+def test_long_and_short_texts_train_together():
+    rows = [(t, y) for _, t, y in texts(60, 3)] + [(t * 3000, y) for _, t, y in texts(6, 4)]
+    model = langid.fit(rows)
+    assert np.isfinite(model.table).all() and np.isfinite(model.bias).all()
+    got = [model.predict(t) for t, _ in rows]
+    assert sum(g[0] == y for g, (_, y) in zip(got, rows, strict=True)) >= 0.97 * len(rows)
+
+
+def test_texts_beyond_the_longest_learned_are_predicted(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LONGEST_LEARNED", 5000)
+    rows = texts(200, 5)
+    rows.append((999, rows[0][1] * 200, rows[0][2]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    made, c = langid.identify(spark, df, langid.train(spark, df))
+    assert {r["doc_id"]: r[c]["lang_pred"] for r in made.collect()}[999] == rows[0][2]
+
+
+TABLE = "/root/testdata/sf0.1/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(TABLE), reason="no test table")
+def test_the_test_table_is_learned_finite_accurate_and_calibrated(spark):
+    docs = spark.read.parquet(TABLE)
+    model = langid.train(spark, docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    assert np.isfinite(model.table).all()
+    test = [r for r in pq.read_table(TABLE).to_pylist() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and langid.has_letter(r["text"])]
+    got = [model.predict(r["text"]) for r in test]
+    right = np.array([g[0] == r["lang"] for g, r in zip(got, test, strict=True)])
+    sure = np.array([g[1] for g in got])
+    assert right.mean() >= 0.99 and (0 <= sure).all() and (sure <= 1).all()
+    bins = np.digitize(sure, [0.5, 0.8, 0.9, 0.95, 0.99])
+    error = sum(abs(right[bins == b].mean() - sure[bins == b].mean()) * (bins == b).mean() for b in set(bins.tolist()))
+    assert error < 0.03  # expected calibration error
