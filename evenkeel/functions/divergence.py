@@ -5,7 +5,7 @@ The variants differ on purpose (base of the logarithm, guards, renormalisation)
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,26 +36,31 @@ def jsd_nats(p: Column, q: Column) -> Column:
 
 
 def jsd_bits(p: Column, q: Column, base: float = 2.0) -> Column:
-    """Jensen-Shannon divergence of two Bernoulli probabilities; exactly 0 for equal ones."""
+    """Jensen-Shannon divergence of two Bernoulli probabilities; exactly 0 for equal ones.
+
+    Each of p and q is written several times into the expression: give columns, not computations (`probabilities`).
+    """
     total = F.lit(0.0)
+    log = F.log2 if base == 2.0 else (lambda x: F.log(base, x))
     for a, b in ((p, q), (1.0 - p, 1.0 - q)):
         m = (a + b) / 2
-        total = total + _term(a, m, lambda x: F.log(base, x)) / 2 + _term(b, m, lambda x: F.log(base, x)) / 2
+        total = total + _term(a, m, log) / 2 + _term(b, m, log) / 2
     return F.when(p == q, F.lit(0.0)).otherwise(total)
 
 
-def jsd_bits_of_logits(z: Column, w: Column) -> Column:
-    return jsd_bits(sigmoid(z), sigmoid(w))
+def probabilities(df: DataFrame, **logits: str) -> DataFrame:
+    """Adds a probability column for each name=logit column, to be computed once however often it is used."""
+    return df.withColumns({n: sigmoid(F.col(c)) for n, c in logits.items()})
 
 
 def _kl(p: Column, q: Column) -> Column:
     return p * F.log2(p / q) + (1.0 - p) * F.log2((1.0 - p) / (1.0 - q))
 
 
-def kl_bits_clipped(z: Column, w: Column, eps: float = 1e-15) -> Column:
-    """KL(original || other) of Bernoulli logits, probabilities clipped to [eps, 1 - eps] and not renormalised."""
-    clip = lambda x: F.greatest(F.least(sigmoid(x), F.lit(1.0 - eps)), F.lit(eps))
-    return _kl(clip(z), clip(w))
+def kl_bits_clipped(p: Column, q: Column, eps: float = 1e-15) -> Column:
+    """KL(p || q) of Bernoulli probabilities, clipped to [eps, 1 - eps] and not renormalised."""
+    clip = lambda x: F.greatest(F.least(x, F.lit(1.0 - eps)), F.lit(eps))
+    return _kl(clip(p), clip(q))
 
 
 def kl_bits_floored(p: Column, q: Column, floor: float = 1e-10) -> Column:

@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Subgroups that comparisons are made of at most (a study has tens).
+MOST_SUBGROUPS = 1000
+
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left outer join on keys that are compared as text where their types differ; unmatched rows have nulls."""
@@ -36,12 +39,18 @@ def pending(items: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame
     return items.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def checked_lookup(rows: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join to a table with one row per key; raises if a row has no target."""
-    missing = rows.join(targets, list(keys), "left_anti").limit(1).count()
-    if missing:
+def checked_lookup(rows: DataFrame, targets: DataFrame, keys: Sequence[str], at_once: bool = True) -> DataFrame:
+    """Inner join to a table with one row per key; an error if a row has no target.
+
+    at_once asks first, at the price of another pass.  Otherwise the check is part of the one join (an outer join whose
+    unmatched rows raise), and the error comes when the result is computed.
+    """
+    if at_once and not rows.join(targets, list(keys), "left_anti").isEmpty():
         raise ValueError(f"rows without a match on {', '.join(keys)}")
-    return rows.join(targets, list(keys))
+    mark = "__found"
+    joined = rows.join(targets.withColumn(mark, F.lit(True)), list(keys), "left")
+    message = F.concat(F.lit("a row without a match: "), F.to_json(F.struct(*keys)))
+    return joined.where(F.when(F.col(mark).isNull(), F.raise_error(message).cast("boolean")).otherwise(True)).drop(mark)
 
 
 def grid(spark: SparkSession, **values: Sequence) -> DataFrame:
@@ -57,6 +66,8 @@ def unordered_pairs(items: DataFrame, position: str, name: str) -> DataFrame:
     """Pairs a < b by position of a short list of items, such as subgroups."""
     a = items.select(F.col(position).alias("pa"), F.col(name).alias("a"))
     b = items.select(F.col(position).alias("pb"), F.col(name).alias("b"))
+    if (n := b.limit(MOST_SUBGROUPS + 1).count()) > MOST_SUBGROUPS:
+        raise ValueError(f"{n} items or more; pairs are made of {MOST_SUBGROUPS} subgroups at most")
     return a.join(F.broadcast(b), F.col("pa") < F.col("pb")).select("a", "b")
 
 
@@ -75,12 +86,16 @@ def contrasts(source: DataFrame, unit: str, attributes: Sequence[str], reference
     return one.join(ref, unit)
 
 
+def named(index: Column, names: Sequence[str]) -> Column:
+    """The i-th of a list of names; null beyond the list."""
+    return F.get(F.array(*[F.lit(n) for n in names]), index.cast("int"))
+
+
 def by_position(rows: DataFrame, group: Sequence[str], order: Sequence[str], names: Sequence[str], name: str = "name") -> DataFrame:
     """Gives the i-th row of each group the i-th of a list of names, starting anew in each group; null beyond the list."""
-    from evenkeel.operators.windows import index_within
+    from evenkeel.operators.windows import index_within_large
 
-    listed = F.array(*[F.lit(n) for n in names])
-    return index_within(rows, group, order, "__i").withColumn(name, F.get(listed, F.col("__i").cast("int"))).drop("__i")
+    return index_within_large(rows, group, order, "__i").withColumn(name, named(F.col("__i"), names)).drop("__i")
 
 
 def grouped_map(rows: DataFrame, keys: Sequence[str], key: str, value: str, name: str = "variants") -> DataFrame:
@@ -95,6 +110,8 @@ def triple(scores: DataFrame, comparisons: DataFrame, value: str) -> DataFrame:
     paraphrases), value.  comparisons: a short table (comparison, a, b).  A unit needs both demographic scores; benign
     ones may be missing.
     """
+    if (n := comparisons.limit(MOST_SUBGROUPS**2 + 1).count()) > MOST_SUBGROUPS**2:
+        raise ValueError(f"{n} comparisons or more; {MOST_SUBGROUPS**2} at most are sent to the workers")
     pairs = F.broadcast(comparisons)
     demo = scores.where("variant_type = 'demographic'").select("unit", "subgroup", F.col(value).alias("v"))
     a = demo.join(pairs, F.col("subgroup") == F.col("a")).select("comparison", "a", "b", "unit", F.col("v").alias("original"))

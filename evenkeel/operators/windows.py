@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenkeel.scratch import Scratch
+
+#: Rows that a table sent to all workers may have; it is joined by a shuffle beyond that.
+BROADCAST_ROWS = 500_000
+
 
 def _c(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
@@ -29,30 +34,64 @@ def hashed(seed: int, *names: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names)))
 
 
+def few(df: DataFrame, label: str = "few") -> DataFrame:
+    """df (one row for each group, say), computed and written once; marked for sending to all workers if it is small."""
+    kept = Scratch(df.sparkSession, label).keep(df, "rows")
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
+def _same(group: Sequence[str]) -> list[Column]:
+    return [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+
+
 def balanced_sample(df: DataFrame, group: Sequence[str], ids: Sequence[str], seed: int = 42) -> DataFrame:
-    """As many rows of each group as the smallest has, picked by a hash of the ids and numbered in a hashed order."""
-    least = df.groupBy(*group).count().agg(F.min("count").alias("__n"))
-    ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(hashed(seed, *ids), *ids)))
-    return ranked.crossJoin(F.broadcast(least)).where("__rn <= __n").drop("__rn", "__n").withColumn("shuffled", hashed(seed + 1, *ids))
+    """As many rows of each group as the smallest has, picked by a hash of the ids and numbered in a hashed order.
+
+    Rows are first cut at a hash that leaves each group about that many and a margin of ten standard deviations, so that
+    what is ranked does not grow with a large group; a group that the cut leaves short (as where ids repeat) is ranked
+    whole.
+    """
+    sizes = few(df.groupBy(*group).agg(F.count("*").alias("__size")))
+    least = sizes.agg(F.min("__size")).first()[0] or 0
+    place = F.conv(F.substring(hashed(seed, *ids), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    joined = df.alias("a").join(sizes.alias("b"), _same(group)).select("a.*", (place <= (least + 10.0 * (least + 1) ** 0.5) / F.col("__size")).alias("__in"))
+    short = few(joined.groupBy(*group).agg(F.count_if("__in").alias("__left")).where(F.col("__left") < least).select(*group, F.lit(True).alias("__whole")))
+    cut = joined.alias("a").join(short.alias("b"), _same(group), "left").select("a.*", "__whole").where("__in OR __whole")
+    ranked = cut.withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(hashed(seed, *ids), *ids)))
+    return ranked.where(F.col("__rn") <= least).select(*df.columns, hashed(seed + 1, *ids).alias("shuffled"))
+
+
+def _placed(df: DataFrame, keys: list[Column], label: str) -> tuple[DataFrame, DataFrame, int]:
+    """Rows written once in their order, each with its place (`__part`, `__in`), a row (`__part`, `__base`) for each
+    part, and the number of rows.
+
+    The order is that of range partitions, sorted within; what is written no longer depends on how they were cut.
+    """
+    spark, columns = df.sparkSession, df.columns
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    kept = Scratch(spark, label).keep(ranged.withColumn("__id", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__id", 33)
+    counts = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).orderBy("__part").collect()
+    before, rows = 0, []
+    for r in counts:  # one for each task of the sort
+        rows.append((r["__part"], before))
+        before += r["n"]
+    bases = F.broadcast(spark.createDataFrame(rows, "__part long, __base long"))
+    return kept.select(*columns, part.alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__in")), bases, before
+
+
+def _indexed(df: DataFrame, order: Sequence[str | Column], name: str) -> tuple[DataFrame, int]:
+    placed, bases, n = _placed(df, _c(order), "row-index")
+    return placed.join(bases, "__part").select(*df.columns, (F.col("__base") + F.col("__in")).alias(name)), n
 
 
 def row_index(df: DataFrame, order: Sequence[str | Column], name: str = "rn") -> DataFrame:
     """A global number from 0 in the given order, without bringing all rows into one task.
 
-    Rows are range-partitioned, counted by partition, and numbered within; the partitions' counts are the only thing
-    that is collected.
+    Rows are range-partitioned, sorted and written once with their places (by one shuffle); one count for each part is
+    collected, and gives the parts' first numbers.  Rows that tie in the order are numbered in any order, but for good.
     """
-    keys = _c(order)
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    part = ranged.withColumn("__part", F.spark_partition_id())
-    part = part.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1)
-    counts = {r["__part"]: r["count"] for r in part.groupBy("__part").count().collect()}
-    before, pairs = 0, []
-    for k in sorted(counts):
-        pairs += [F.lit(k), F.lit(before)]
-        before += counts[k]
-    base = F.element_at(F.create_map(*pairs), F.col("__part")) if pairs else F.lit(0)
-    return part.withColumn(name, (F.col("__in") + base).cast("long")).drop("__part", "__in")
+    return _indexed(df, order, name)[0]
 
 
 def stride_shard(df: DataFrame, order: Sequence[str], shards: int, shard: int) -> DataFrame:
@@ -62,16 +101,79 @@ def stride_shard(df: DataFrame, order: Sequence[str], shards: int, shard: int) -
 
 def contiguous_shard(df: DataFrame, order: Sequence[str], shards: int, name: str = "shard") -> DataFrame:
     """Equal runs of floor(n / shards) rows; the remainder goes to the last."""
-    indexed = row_index(df, order, "__i")
-    n = df.count()
+    indexed, n = _indexed(df, order, "__i")
     size = max(1, n // shards)
     return indexed.withColumn(name, F.least(F.floor(F.col("__i") / size), F.lit(shards - 1)).cast("long")).drop("__i")
 
 
 def index_within(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str = "idx") -> DataFrame:
+    """A number from 0 within each group, by a window; for groups that a task can hold."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*group).orderBy(*_c(order))) - 1).cast("long"))
 
 
+def index_within_large(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str = "idx") -> DataFrame:
+    """The same for groups of any size: numbers in the order of the whole table, less the group's first."""
+    rows = row_index(df, [*group, *order], "__n")
+    firsts = few(rows.groupBy(*group).agg(F.min("__n").alias("__first")))
+    return rows.alias("a").join(firsts.alias("b"), _same(group)).select(*[F.col(f"a.{c}") for c in df.columns], (F.col("__n") - F.col("__first")).alias(name))
+
+
+def running_total(df: DataFrame, order: Sequence[str | Column], weight: str, name: str = "before") -> DataFrame:
+    """The sum of `weight` (double) over the rows before this one in the order of the whole table.
+
+    Sums within a range partition are taken as it is written, those of the partitions before from one row for each.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark, keys = df.sparkSession, _c(order)
+    source = df.withColumn(weight, F.col(weight).cast("double"))
+    schema = T.StructType([*source.schema.fields, T.StructField("__part", T.LongType()), T.StructField("__run", T.DoubleType())])
+    arrow, at = to_arrow_schema(schema), source.columns.index(weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0.0
+        for b in batches:
+            w = b.column(at).to_numpy(zero_copy_only=False)
+            sums = total + np.cumsum(w)
+            made = [*b.columns, pa.array(np.full(len(w), part)), pa.array(sums - w)]
+            total = float(sums[-1]) if len(w) else total
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow, strict=True)], schema=arrow)
+
+    ranged = source.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    kept = Scratch(spark, "running-total").keep(ranged.mapInArrow(run, schema), "ordered")
+    before, rows = 0.0, []
+    for r in kept.groupBy("__part").agg(F.sum(weight).alias("n")).orderBy("__part").collect():
+        rows.append((r["__part"], before))
+        before += r["n"]
+    bases = F.broadcast(spark.createDataFrame(rows, "__part long, __base double"))
+    return kept.join(bases, "__part").select(*source.columns, (F.col("__base") + F.col("__run")).alias(name))
+
+
+def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+    """One row with q0, q1, ... : exact quantiles (linear between neighbours) of non-null values; null without any.
+
+    Equal values are counted before anything is ordered; the few ranks that are wanted are looked up in the running
+    counts of range partitions, so that no task holds all values.
+    """
+    tied = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").cast("double").alias("__w"))
+    ranked = running_total(tied, [value], "__w", "__before")
+    n = df.agg(F.count(value)).first()[0]
+    out = []
+    for i, share in enumerate(shares):
+        at = share * (n - 1)
+        low, part = int(at), at - int(at)
+        pick = lambda k: F.max(F.when((F.col("__before") <= k) & (F.lit(k) < F.col("__before") + F.col("__w")), F.col(value)))
+        a, b = pick(low), pick(min(low + 1, n - 1))
+        out.append((a + (b - a) * part).alias(f"q{i}"))
+    return ranked.agg(*out)
+
+
 def head(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
     return df.orderBy(*_c(order)).limit(k)
 
@@ -88,8 +190,8 @@ def few_shot(df: DataFrame, context: str, key: str, cost: str, budget: int, draw
     Adds first and second (keys; null if no draw fits, or the context has fewer than three rows) and attempt.  Draws
     are hashes of the seed, the key and the attempt's number; each row makes `draws` of them, in its own shuffle key.
     """
-    rows = index_within(df.select(context, key, cost), [context], [key], "__i")
-    sized = rows.join(df.groupBy(context).agg(F.count("*").alias("__n")), context).where("__n > 2")
+    rows = index_within_large(df.select(context, key, cost), [context], [key], "__i")
+    sized = rows.join(few(df.groupBy(context).agg(F.count("*").alias("__n"))), context).where("__n > 2")
     tried = sized.select(context, key, "__i", "__n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("attempt"))
     draw = lambda k, n: F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("attempt"), F.lit(k)), n)
     tried = tried.withColumn("__a", draw(1, F.col("__n") - 1))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from evenkeel.functions import divergence as dv
 from evenkeel.plans import stats
 
-#: Row metrics: name -> divergence of (original, edited) logits.  Others are added here.
-SAMPLE = {"jsd": dv.jsd_bits_of_logits, "kl": dv.kl_bits_clipped}
+#: Row metrics: name -> divergence of (original, edited) probabilities.  Others are added here.
+SAMPLE = {"jsd": dv.jsd_bits, "kl": dv.kl_bits_clipped}
 
 
 def answers(triples: DataFrame, o: str = "logit_original", p: str = "logit_swapped", b: str = "logit_baseline") -> DataFrame:
@@ -29,11 +29,14 @@ def battery(triples: DataFrame, cells: Sequence[str], tests: int, replicates: in
     boot = stats.bootstrap(counts, cells, replicates)
     arms = counts.select(*cells, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), f(stats.margins("p")).alias("statistic_perturbation"), f(stats.margins("b")).alias("statistic_baseline"), F.lit(side).alias("alternative")) for m, (f, side) in stats.POPULATION.items()])).alias("a")).select(*cells, "a.*")
     out = boot.join(arms, [*cells, "metric"]).select(*cells, "metric", "n", "statistic_perturbation", "statistic_baseline", F.col("observed").alias("difference"), "p_two", F.when(F.col("alternative") == "less", F.col("p_less")).otherwise(F.col("p_greater")).alias("p_one"), "alternative")
-    # Row metrics of both arms in one scan and one shuffle.
-    long = rows.select(*cells, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), f(F.col("logit_original"), F.col("logit_swapped")).alias("dp"), f(F.col("logit_original"), F.col("logit_baseline")).alias("db")) for m, f in SAMPLE.items()])).alias("m")).select(*cells, "m.*")
-    t = stats.paired_t(long, [*cells, "metric"], F.col("dp") - F.col("db"))
-    means = long.groupBy(*cells, "metric").agg(F.avg("dp").alias("statistic_perturbation"), F.avg("db").alias("statistic_baseline"))
-    sample = t.join(means, [*cells, "metric"]).select(*cells, "metric", "n", "statistic_perturbation", "statistic_baseline", F.col("mean").alias("difference"), "p_two", F.col("p_greater").alias("p_one"), F.lit("greater").alias("alternative"))
+    # Row metrics of both arms in one scan and one shuffle: moments of all metrics side by side, long afterwards.
+    p = dv.probabilities(rows, po="logit_original", pp="logit_swapped", pb="logit_baseline")
+    both = p.select(*cells, *[f(F.col("po"), F.col(q)).alias(f"{m}_{q}") for m, f in SAMPLE.items() for q in ("pp", "pb")])
+    long = [stats.moments(F.col(f"{m}_pp") - F.col(f"{m}_pb"), m) + [F.avg(f"{m}_pp").alias(f"{m}_x"), F.avg(f"{m}_pb").alias(f"{m}_y")] for m in SAMPLE]
+    wide = both.groupBy(*cells).agg(*[c for cs in long for c in cs])
+    each = [F.struct(F.lit(m).alias("metric"), *[F.col(f"{m}_{k}").alias(k) for k in ("n", "mean", "sd", "x", "y")]) for m in SAMPLE]
+    t = stats.t_test(wide.select(*cells, F.explode(F.array(*each)).alias("m")).select(*cells, "m.*"))
+    sample = t.select(*cells, "metric", "n", F.col("x").alias("statistic_perturbation"), F.col("y").alias("statistic_baseline"), F.col("mean").alias("difference"), "p_two", F.col("p_greater").alias("p_one"), F.lit("greater").alias("alternative"))
     return out.unionByName(sample).withColumn("significant", stats.bonferroni(F.col("p_two"), tests, alpha))
 
 

@@ -62,6 +62,11 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with probabilities po, pp, pb."""
+    return dv.probabilities(triples(spark, sf_dir), po="logit_original", pp="logit_swapped", pb="logit_baseline")
+
+
 # SQL parts -------------------------------------------------------------------------------------------------------
 
 
@@ -198,20 +203,17 @@ def flipped_only_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("MET-2 MET-3 MET-4 TST-1 TST-2 FUN-1", f"WITH {E_SQL} {t_sql(jsd_sql('po', 'pp') + ' - ' + jsd_sql('po', 'pb'))}")
 def jsd_bits_paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dv.jsd_bits_of_logits(F.col("logit_original"), F.col("logit_swapped")) - dv.jsd_bits_of_logits(F.col("logit_original"), F.col("logit_baseline"))
-    return rounded(stats.paired_t(triples(spark, sf_dir), CELLS, d))
+    return rounded(stats.paired_t(chances(spark, sf_dir), CELLS, dv.jsd_bits(F.col("po"), F.col("pp")) - dv.jsd_bits(F.col("po"), F.col("pb"))))
 
 
 @query("MET-5 TST-2 SCR-3", f"WITH {E_SQL} {t_sql(kl_sql(clip_sql('po'), clip_sql('pp')) + ' - ' + kl_sql(clip_sql('po'), clip_sql('pb')))}")
 def kl_clip_paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dv.kl_bits_clipped(F.col("logit_original"), F.col("logit_swapped")) - dv.kl_bits_clipped(F.col("logit_original"), F.col("logit_baseline"))
-    return rounded(stats.paired_t(triples(spark, sf_dir), CELLS, d))
+    return rounded(stats.paired_t(chances(spark, sf_dir), CELLS, dv.kl_bits_clipped(F.col("po"), F.col("pp")) - dv.kl_bits_clipped(F.col("po"), F.col("pb"))))
 
 
 @query("MET-6 TST-2", f"WITH {E_SQL} {t_sql(kl_sql(floor_sql('po'), floor_sql('pp')) + ' - ' + kl_sql(floor_sql('po'), floor_sql('pb')))}")
 def kl_floor_paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, p, b = (dv.sigmoid(F.col(f"logit_{n}")) for n in ("original", "swapped", "baseline"))
-    return rounded(stats.paired_t(triples(spark, sf_dir), CELLS, dv.kl_bits_floored(o, p) - dv.kl_bits_floored(o, b)))
+    return rounded(stats.paired_t(chances(spark, sf_dir), CELLS, dv.kl_bits_floored(F.col("po"), F.col("pp")) - dv.kl_bits_floored(F.col("po"), F.col("pb"))))
 
 
 def _soft_sql(a: int) -> str:
@@ -237,9 +239,9 @@ def jsd_nats_softmax4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("AGG-5 AGG-6 FUN-4 SNK-8", f"WITH {E_SQL} SELECT metric, {R('value')} AS value FROM (SELECT unnest(['mean', 'median', 'p95', 'sd', 'max']) AS metric, unnest([avg(d), quantile_cont(d, 0.5), quantile_cont(d, 0.95), stddev_pop(d), max(d)]) AS value FROM (SELECT {jsd_sql('po', 'pp')} AS d FROM v))")
 def aggregate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = triples(spark, sf_dir).select(dv.jsd_bits_of_logits(F.col("logit_original"), F.col("logit_swapped")).alias("d"))
-    one = d.agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.5)).alias("median"), F.percentile("d", F.lit(0.95)).alias("p95"), F.stddev_pop("d").alias("sd"), F.max("d").alias("max"))
-    return rounded(writers.metric_value(one))
+    d = chances(spark, sf_dir).select(dv.jsd_bits(F.col("po"), F.col("pp")).alias("d"))
+    one = d.agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"), F.max("d").alias("max")).crossJoin(F.broadcast(windows.quantiles(d, "d", (0.5, 0.95))))  # one row each
+    return rounded(writers.metric_value(one.select("mean", F.col("q0").alias("median"), F.col("q1").alias("p95"), "sd", "max")))
 
 
 @query(
@@ -259,8 +261,7 @@ def paired_t_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("TST-7", f"WITH {E_SQL} SELECT perturbation, task, {R('CASE WHEN stddev_samp(d) > 0 THEN avg(d) / stddev_samp(d) ELSE 0 END')} AS d FROM (SELECT perturbation, task, {jsd_sql('po', 'pp')} - {jsd_sql('po', 'pb')} AS d FROM v) GROUP BY 1, 2")
 def cohens_d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dv.jsd_bits_of_logits(F.col("logit_original"), F.col("logit_swapped")) - dv.jsd_bits_of_logits(F.col("logit_original"), F.col("logit_baseline"))
-    return rounded(stats.cohens_d(triples(spark, sf_dir), CELLS, d))
+    return rounded(stats.cohens_d(chances(spark, sf_dir), CELLS, dv.jsd_bits(F.col("po"), F.col("pp")) - dv.jsd_bits(F.col("po"), F.col("pb"))))
 
 
 @query(
@@ -337,7 +338,7 @@ FROM (SELECT test.*, my + b * (test.z - mz) + c * (test.s - ms) AS fit FROM test
 def heldout_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = triples(spark, sf_dir).select(*CELLS, "cluster_id", F.col("logit_original").alias("z"), (F.col("cluster_id") % 3).cast("double").alias("s"), F.col("logit_swapped").alias("y"))
     fit = stats.ols_clustered(rows.where("cluster_id % 2 = 0"), CELLS, "z", "s", "y", "cluster_id").select(*CELLS, "a", "b", "c")
-    test = rows.where("cluster_id % 2 = 1").join(F.broadcast(fit), CELLS)
+    test = rows.where("cluster_id % 2 = 1").join(windows.few(fit), CELLS)
     return rounded(stats.held_out(test, CELLS, F.col("y"), F.col("a") + F.col("b") * F.col("z") + F.col("c") * F.col("s")))
 
 
@@ -380,20 +381,20 @@ def dose_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Resampling ------------------------------------------------------------------------------------------------------
 
-_HASH = """WITH t AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, quality AS x, toxic AS y, count(*) OVER () AS n FROM labels),
+_HASH = """WITH t AS (SELECT row_number() OVER (ORDER BY quality, toxic, doc_id) - 1 AS i, quality AS x, toxic AS y, count(*) OVER () AS n FROM labels),
 d AS (SELECT b, CAST(('0x' || substr(md5(concat_ws(':', b, k, 42)), 1, 8)) AS BIGINT) % (SELECT max(n) FROM t) AS i FROM range(200) r(b), range((SELECT max(n) FROM t)) s(k)),
 v AS (SELECT b AS rep, x AS o, y AS p FROM d JOIN t USING (i)), c AS (""" + count4("p", "rep") + ")"
 
 
 @query("TST-9 TST-11 UDF-2", f"{_HASH} SELECT rep AS b, {R('(p01 + p10) / n')} AS flip FROM c")
 def bootstrap_flip_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = stats.bootstrap_hash(table(spark, sf_dir, "labels"), ["doc_id"], "quality", "toxic")
+    c = stats.bootstrap_hash(table(spark, sf_dir, "labels"), "quality", "toxic")
     return rounded(c.select("b", stats.flip_rate({k: F.col(k) for k in ("n00", "n01", "n10", "n11")}).alias("flip")))
 
 
 @query("TST-9 MET-10", f"{_HASH} SELECT rep AS b, {R(phi_sql('p'))} AS phi FROM c")
 def bootstrap_phi_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = stats.bootstrap_hash(table(spark, sf_dir, "labels"), ["doc_id"], "quality", "toxic")
+    c = stats.bootstrap_hash(table(spark, sf_dir, "labels"), "quality", "toxic")
     return rounded(c.select("b", stats.phi({k: F.col(k) for k in ("n00", "n01", "n10", "n11")}).alias("phi")))
 
 
@@ -432,10 +433,10 @@ def fp_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT user_id, event_type AS task, count(*) AS n, CAST(sum(CAST(value > 20 AS INT)) > count(*) / 2.0::DOUBLE AS INT) AS majority, CAST(sum(CAST(value > 20 AS INT)) >= 2 AS INT) AS two_or_more FROM events GROUP BY 1, 2",
 )
 def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes gathered per case as arrays, then counted; ties are 0."""
-    arrays = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("task")).agg(F.collect_list((F.col("value") > 20).cast("int")).alias("votes"))
-    ones = F.aggregate("votes", F.lit(0), lambda s, v: s + v)
-    return arrays.select("user_id", "task", F.size("votes").cast("long").alias("n"), (ones > F.size("votes") / 2).cast("int").alias("majority"), (ones >= 2).cast("int").alias("two_or_more"))
+    """Votes counted per case; ties are 0."""
+    n, ones = F.col("n"), F.col("ones")
+    c = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("task")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 20).alias("ones"))
+    return c.select("user_id", "task", "n", (ones > n / 2).cast("int").alias("majority"), (ones >= 2).cast("int").alias("two_or_more"))
 
 
 @query(
@@ -443,9 +444,8 @@ def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT user_id, count(*) AS votes, count(*) FILTER (value < 50) AS clean, CASE WHEN count(*) FILTER (value < 50) = 0 THEN 'no answers' WHEN count(*) FILTER (value < 50) < 5 THEN 'too few' END AS reason FROM events GROUP BY 1",
 )
 def vote_filter_min5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrays = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("value").alias("all"))
-    clean = F.filter("all", lambda v: v < 50)
-    return arrays.select("user_id", F.size("all").cast("long").alias("votes"), F.size(clean).cast("long").alias("clean"), F.when(F.size(clean) == 0, "no answers").when(F.size(clean) < 5, "too few").alias("reason"))
+    c = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("votes"), F.count_if(F.col("value") < 50).alias("clean"))
+    return c.withColumn("reason", F.when(F.col("clean") == 0, "no answers").when(F.col("clean") < 5, "too few"))
 
 
 @query(
@@ -478,8 +478,8 @@ def contiguous_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WIN-3 JOIN-13", "SELECT doc_id, source, idx, CASE WHEN idx < 4 THEN ['Ada', 'Ben', 'Cy', 'Di'][idx + 1] END AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx FROM documents)")
 def context_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return windows.index_within(alignment.by_position(docs, ["source"], ["doc_id"], ["Ada", "Ben", "Cy", "Di"]), ["source"], ["doc_id"]).select("doc_id", "source", "idx", "name")
+    docs = windows.index_within_large(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], ["doc_id"])
+    return docs.select("doc_id", "source", "idx", alignment.named(F.col("idx"), ["Ada", "Ben", "Cy", "Di"]).alias("name"))
 
 
 @query("TXT-21 WIN-7")
@@ -538,8 +538,7 @@ def left_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("JOIN-3 JOIN-4", "SELECT o.o_orderkey, o.o_orderstatus, c.c_mktsegment FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
 def checked_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_custkey").alias("c_custkey"))
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return alignment.checked_lookup(orders.join(customers.select("c_custkey"), "c_custkey", "left_semi"), customers, ["c_custkey"]).drop("c_custkey")
+    return alignment.checked_lookup(orders, table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), ["c_custkey"], at_once=False).drop("c_custkey")
 
 
 @query("JOIN-10 JOIN-12", "SELECT CAST(a AS DOUBLE) AS sigma_pert, CAST(b AS DOUBLE) AS sigma, c AS condition FROM (SELECT unnest([0, 0.5, 1]) AS a), (SELECT unnest([0.1, 0.2]) AS b), (SELECT unnest(['x', 'y']) AS c)")
@@ -601,7 +600,7 @@ def json_map_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("MET-15 MET-13", f"WITH {E_SQL} SELECT cluster_id, {R('avg(j) FILTER (perturbation = $$A$$)')} AS a, {R('avg(j) FILTER (perturbation = $$N$$)')} AS n, {R('avg(j) FILTER (perturbation = $$R$$)')} AS r, coalesce(max(j) > quantile_cont(k, 0.95) + 1e-9::DOUBLE, false) AS outlier FROM (SELECT cluster_id, perturbation, {jsd_sql('po', 'pp')} AS j, {jsd_sql('po', 'pb')} AS k FROM v) GROUP BY 1")
 def case_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence by case and cell, and whether a case's largest exceeds the 95th percentile of its benign ones."""
-    rows = triples(spark, sf_dir).select("cluster_id", "perturbation", dv.jsd_bits_of_logits(F.col("logit_original"), F.col("logit_swapped")).alias("j"), dv.jsd_bits_of_logits(F.col("logit_original"), F.col("logit_baseline")).alias("k"))
+    rows = chances(spark, sf_dir).select("cluster_id", "perturbation", dv.jsd_bits(F.col("po"), F.col("pp")).alias("j"), dv.jsd_bits(F.col("po"), F.col("pb")).alias("k"))
     return rounded(rows.groupBy("cluster_id").agg(*[F.avg(F.when(F.col("perturbation") == c, F.col("j"))).alias(c.lower()) for c in "ANR"], F.coalesce(F.max("j") > F.percentile("k", F.lit(0.95)) + 1e-9, F.lit(False)).alias("outlier")))
 
 

@@ -82,13 +82,14 @@ def overlap(df: DataFrame, cells: Sequence[str], g: Column, b: Column) -> DataFr
 # Moments ---------------------------------------------------------------------------------------------------------
 
 
-def paired_t(df: DataFrame, cells: Sequence[str], d: Column, degenerate: str = "one", confidence: Sequence[float] = ()) -> DataFrame:
-    """n, mean, sd, t, p_two, p_greater, p_less of paired differences; null differences are left out.
+def moments(d: Column, prefix: str = "") -> list[Column]:
+    """Aggregates n, mean and sd of the non-null differences, named with the prefix and an underscore if there is one."""
+    name = lambda k: f"{prefix}_{k}" if prefix else k
+    return [F.count(d).cast("double").alias(name("n")), F.avg(d).alias(name("mean")), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias(name("sd"))]
 
-    Without variance or with one case: t = 0 and p_two = 1, and the one-sided values are 1 (degenerate="one") or 0.5
-    ("half").  confidence adds ci_low_<i>, ci_high_<i> for each level (the mean where there is no variance).
-    """
-    m = df.where(d.isNotNull()).groupBy(*cells).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(d).alias("mean"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("sd"))
+
+def t_test(m: DataFrame, degenerate: str = "one", confidence: Sequence[float] = ()) -> DataFrame:
+    """Adds t, p_two, p_greater, p_less (and intervals) to rows with n, mean, sd."""
     usable = (F.col("n") > 1) & (F.col("sd") > 0)
     m = m.withColumn("t", F.when(usable, F.col("mean") * F.sqrt("n") / F.when(usable, F.col("sd")).otherwise(1.0)).otherwise(0.0))
     up = t_sf(F.col("t"), F.greatest(F.col("n") - 1, F.lit(1.0)))
@@ -101,6 +102,16 @@ def paired_t(df: DataFrame, cells: Sequence[str], d: Column, degenerate: str = "
     return m
 
 
+def paired_t(df: DataFrame, cells: Sequence[str], d: Column, degenerate: str = "one", confidence: Sequence[float] = ()) -> DataFrame:
+    """n, mean, sd, t, p_two, p_greater, p_less of paired differences; null differences are left out.
+
+    Without variance or with one case: t = 0 and p_two = 1, and the one-sided values are 1 (degenerate="one") or 0.5
+    ("half").  confidence adds ci_low_<i>, ci_high_<i> for each level (the mean where there is no variance).
+    """
+    d = df.select(*cells, d.alias("__d")).where("__d IS NOT NULL")
+    return t_test(d.groupBy(*cells).agg(*moments(F.col("__d"))), degenerate, confidence)
+
+
 def cohens_d(df: DataFrame, cells: Sequence[str], d: Column) -> DataFrame:
     m = df.groupBy(*cells).agg(F.avg(d).alias("mean"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("sd"))
     return m.select(*cells, F.when(F.col("sd") > 0, F.col("mean") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).otherwise(0.0).alias("d"))
@@ -109,16 +120,22 @@ def cohens_d(df: DataFrame, cells: Sequence[str], d: Column) -> DataFrame:
 def wilcoxon(df: DataFrame, cells: Sequence[str], d: Column, exact_below: int = 26) -> DataFrame:
     """Signed-rank test of non-zero differences: n, w (the smaller rank sum), z, p_two, and p_exact where it applies.
 
-    Ranks are taken over the distinct absolute values of a cell, each with its counts, rather than over its rows.
-    p_two is the normal approximation with correction for ties; p_exact is set for fewer than `exact_below` differences
-    without ties.  Without differences: w = 0, p = 1.
+    Ranks are taken over the distinct absolute values of a cell, each with its counts, rather than over its rows, and
+    from running totals of range partitions, so that a cell of any size is dealt over many tasks.  p_two is the normal
+    approximation with correction for ties; p_exact is set for fewer than `exact_below` differences without ties.
+    Without differences: w = 0, p = 1.
     """
+    from evenkeel.operators.windows import few, running_total
+
     ship(df.sparkSession)
     cases = df.select(*cells, d.alias("__d"))
     values = cases.where("__d != 0").groupBy(*cells, F.abs("__d").alias("a")).agg(F.count_if(F.col("__d") > 0).cast("double").alias("up"), F.count_if(F.col("__d") < 0).cast("double").alias("down"))
-    w = Window.partitionBy(*cells).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
     tie = F.col("up") + F.col("down")
-    ranked = values.withColumn("rank", F.coalesce(F.sum(tie).over(w), F.lit(0.0)) + (tie + 1) / 2)
+    every = running_total(values.withColumn("tie", tie), [*cells, "a"], "tie", "__before")
+    firsts = few(every.groupBy(*cells).agg(F.min("__before").alias("__first")))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in cells]
+    ranked = every.alias("x").join(firsts.alias("y"), same).select(*[F.col(f"x.{c}").alias(c) for c in cells], "up", "down", "tie", (F.col("__before") - F.col("__first") + (F.col("tie") + 1) / 2).alias("rank"))
+    tie = F.col("tie")
     sums = ranked.groupBy(*cells).agg(F.sum(tie).alias("n"), F.sum(F.col("up") * F.col("rank")).alias("wp"), F.sum(F.col("down") * F.col("rank")).alias("wm"), F.sum(tie * tie * tie - tie).alias("ties"))
     every = cases.select(*cells).distinct().join(sums, list(cells), "left").fillna(0.0, ["n", "wp", "wm", "ties"])
     n, low = F.col("n"), F.least("wp", "wm")
@@ -165,6 +182,8 @@ def ols_clustered(df: DataFrame, cells: Sequence[str], z: str, s: str, y: str, c
     sends one row per cell.  Collinear regressors, or a single cluster, give nulls.  p_two is normal, p_less Student's
     with n - 3 degrees of freedom.
     """
+    from evenkeel.operators.windows import few
+
     m = df.groupBy(*cells).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.avg(z).alias("mz"), F.avg(s).alias("ms"), F.avg(y).alias("my"),
         F.var_pop(z).alias("vz"), F.var_pop(s).alias("vs"), F.var_pop(y).alias("vy"), F.covar_pop(z, s).alias("zs"), F.covar_pop(z, y).alias("zy"), F.covar_pop(s, y).alias("sy"),
@@ -175,7 +194,7 @@ def ols_clustered(df: DataFrame, cells: Sequence[str], z: str, s: str, y: str, c
     m = m.withColumns({"b": part(F.col("vs") * F.col("zy") - F.col("zs") * F.col("sy")), "c": part(F.col("vz") * F.col("sy") - F.col("zs") * F.col("zy")), "i11": part(F.col("vs")), "i12": part(-F.col("zs")), "i22": part(F.col("vz"))})
     dz, ds = F.col(z) - F.col("mz"), F.col(s) - F.col("ms")
     e = F.col(y) - F.col("my") - F.col("b") * dz - F.col("c") * ds
-    fit = F.broadcast(m.select(*cells, "mz", "ms", "my", "b", "c"))  # one row per cell
+    fit = few(m.select(*cells, "mz", "ms", "my", "b", "c"))  # one row per cell
     joined = df.join(fit, list(cells)) if cells else df.crossJoin(fit)
     scores = joined.groupBy(*cells, cluster).agg(F.sum(dz * e).alias("u1"), F.sum(ds * e).alias("u2"), F.sum(e * e).alias("rss"))
     meat = scores.groupBy(*cells).agg(F.count(F.lit(1)).cast("double").alias("clusters"), F.sum(F.col("u1") * F.col("u1")).alias("m11"), F.sum(F.col("u1") * F.col("u2")).alias("m12"), F.sum(F.col("u2") * F.col("u2")).alias("m22"), F.sum("rss").alias("rss"))
@@ -295,52 +314,70 @@ def bootstrap_rng(df: DataFrame, cells: Sequence[str], order: Sequence[str], o:
     return small.select(*cells, "rows").mapInPandas(run, schema)
 
 
-def bootstrap_hash(df: DataFrame, order: Sequence[str], x: str, y: str, replicates: int = 200, seed: int = 42, most: int = 20_000) -> DataFrame:
-    """Replicates (b, n00, n01, n10, n11) whose cases are picked by md5(b:i:seed); the same in any SQL engine.
+def bootstrap_hash(df: DataFrame, x: str, y: str, replicates: int = 200, seed: int = 42) -> DataFrame:
+    """Replicates (b, n00, n01, n10, n11) whose n picks are md5(b:k:seed) modulo n; the same in any SQL engine.
 
-    For small tables: n * replicates picks are made.
+    Cases are taken in the order of their kind (00, 01, 10, 11), so that a pick tells its kind by the four counts alone
+    and no case is looked up.  n * replicates hashes are taken, dealt over all tasks and counted before the shuffle;
+    `bootstrap` draws the same distribution at a cost that does not depend on n.
     """
-    from evenkeel.operators.windows import row_index
-
-    n = df.count()
-    if n > most:
-        raise ValueError(f"{n} rows; bootstrap_hash takes {most}")
-    spark = df.sparkSession
-    rows = row_index(df, order, "i").select("i", x, y)
-    picks = spark.range(replicates).select(F.col("id").alias("b")).crossJoin(spark.range(n).select(F.col("id").alias("k")))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b").cast("string"), F.col("k").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long") % n
-    return pair_counts(picks.select("b", draw.alias("i")).join(F.broadcast(rows), "i"), ["b"], x, y)
+    kinds = [f"n{i}{j}" for i in (0, 1) for j in (0, 1)]
+    held = pair_counts(df, [], x, y).first()
+    sizes = [int(held[k]) for k in kinds]
+    n, spark = sum(sizes), df.sparkSession
+    key = F.concat_ws(":", F.floor(F.col("id") / max(1, n)).cast("string"), (F.col("id") % max(1, n)).cast("string"), F.lit(str(seed)))
+    at = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % max(1, n)
+    picks = spark.range(n * replicates).select(F.floor(F.col("id") / max(1, n)).alias("b"), at.alias("at"))
+    ends = [sum(sizes[: i + 1]) for i in range(4)]
+    return picks.groupBy("b").agg(*[F.count_if((F.col("at") >= end - size) & (F.col("at") < end)).cast("double").alias(k) for k, size, end in zip(kinds, sizes, ends, strict=True)])
+
+
+def hypergeometric(good: int, bad: int, drawn: int) -> np.ndarray:
+    """Probabilities of 0 to `drawn` good ones among `drawn` of good + bad."""
+    lg = np.array([math.lgamma(i + 1) for i in range(good + bad + 1)])
+    k = np.arange(drawn + 1)
+    can = (k <= good) & (drawn - k <= bad)
+    k = k[can]
+    p = np.zeros(drawn + 1)
+    p[can] = np.exp(lg[good] - lg[k] - lg[good - k] + lg[bad] - lg[drawn - k] - lg[bad - drawn + k] - lg[good + bad] + lg[drawn] + lg[good + bad - drawn])
+    return p / p.sum()
 
 
 def permutation(cases: DataFrame, cells: Sequence[str], k_a: str, n_a: str, k_b: str, n_b: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """Within-case label permutation of the mean Jensen-Shannon divergence of two sets of votes.
 
     cases: one row per case with ones and totals of both sets.  Shuffling a pool of votes leaves the first set's ones
-    hypergeometric, so only counts are drawn; cases with equal counts are drawn together.
+    hypergeometric, so only counts are drawn.  Cases with equal counts are one kind, and how many of a kind's cases get
+    each outcome is one multinomial draw, so that the work grows with the kinds and not with the cases.  Kinds are
+    dealt over all tasks, each with a seed of its own, and their sums are added for each replicate.
     p = (1 + replicates at or above the observed mean) / (1 + replicates).
     """
     kinds = cases.groupBy(*cells, k_a, n_a, k_b, n_b).agg(F.count("*").alias("times"))
-    schema = T.StructType([*(cases.schema[c] for c in cells), *(T.StructField(n, T.DoubleType()) for n in ("n", "active", "observed", "null_mean", "null_sd", "p"))])
+    drawn = T.StructType([*(cases.schema[c] for c in cells), *(T.StructField(n, T.DoubleType()) for n in ("total", "active", "seen")), T.StructField("null", T.ArrayType(T.DoubleType()))])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zlib
 
-        name = tuple(pdf[c].iloc[0] for c in cells)
-        rng = np.random.default_rng([seed, zlib.crc32(repr(name).encode())])
-        total, seen, active, null = 0, 0.0, 0, np.zeros(replicates)
-        for a, na, b, nb, times in pdf.sort_values([k_a, n_a, k_b, n_b])[[k_a, n_a, k_b, n_b, "times"]].itertuples(index=False):
-            total += times
-            seen += times * float(_jsd_np(np.float64(a / na), np.float64(b / nb)))
-            if 0 < a + b < na + nb:
-                active += times
-                table = _jsd_np(np.arange(na + 1) / na, np.clip((a + b - np.arange(na + 1)) / nb, 0, 1))
-                low = rng.hypergeometric(a + b, na + nb - a - b, na, size=(replicates, min(times, 10_000)))
-                null += table[low].mean(axis=1) * times
-        null, seen = null / total, seen / total
-        return pd.DataFrame([(*name, float(total), float(active), seen, float(null.mean()), float(null.std()), float((1 + (null >= seen - 1e-12).sum()) / (1 + replicates)))], columns=schema.names)
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                a, na, b, nb, times = (int(r[c]) for c in (k_a, n_a, k_b, n_b, "times"))
+                seen = times * float(_jsd_np(np.float64(a / na), np.float64(b / nb)))
+                null = np.zeros(replicates)
+                if active := 0 < a + b < na + nb:
+                    rng = np.random.default_rng([seed, zlib.crc32(repr((tuple(r[c] for c in cells), a, na, b, nb)).encode())])
+                    table = _jsd_np(np.arange(na + 1) / na, np.clip((a + b - np.arange(na + 1)) / nb, 0, 1))
+                    null = rng.multinomial(times, hypergeometric(a + b, na + nb - a - b, na), size=replicates) @ table
+                rows.append((*(r[c] for c in cells), float(times), float(times * active), seen, null.tolist()))
+            yield pd.DataFrame(rows, columns=drawn.names)
 
     ship(cases.sparkSession)
-    return kinds.groupBy(*cells).applyInPandas(run, schema)
+    sums = kinds.repartition(*cells, k_a, n_a, k_b, n_b).mapInPandas(run, drawn)
+    whole = sums.groupBy(*cells).agg(F.sum("total").alias("n"), F.sum("active").alias("active"), F.sum("seen").alias("seen"))
+    null = sums.select(*cells, F.posexplode("null").alias("rep", "v")).groupBy(*cells, "rep").agg(F.sum("v").alias("v"))
+    joined = null.join(whole, list(cells)) if cells else null.crossJoin(whole)
+    stat = joined.groupBy(*cells, "n", "active", "seen").agg(F.avg(F.col("v") / F.col("n")).alias("null_mean"), F.stddev_pop(F.col("v") / F.col("n")).alias("null_sd"), F.count_if(F.col("v") / F.col("n") >= F.col("seen") / F.col("n") - 1e-12).alias("above"))
+    return stat.select(*cells, "n", "active", (F.col("seen") / F.col("n")).alias("observed"), "null_mean", "null_sd", ((1 + F.col("above")) / (1.0 + replicates)).alias("p"))
 
 
 # Simulation ------------------------------------------------------------------------------------------------------

@@ -55,8 +55,8 @@ def test_divergences_by_hand(spark):
     assert s == [0.5, 0.5, 0.0]
     z, w = 0.4, -1.1
     p, q = 1 / (1 + math.exp(-z)), 1 / (1 + math.exp(-w))
-    assert math.isclose(one(spark, dv.kl_bits_clipped(F.col("z"), F.col("w")), z=z, w=w), p * math.log2(p / q) + (1 - p) * math.log2((1 - p) / (1 - q)))
-    assert math.isfinite(one(spark, dv.kl_bits_clipped(F.col("z"), F.col("w")), z=500.0, w=-500.0))
+    assert math.isclose(one(spark, dv.kl_bits_clipped(dv.sigmoid(F.col("z")), dv.sigmoid(F.col("w"))), z=z, w=w), p * math.log2(p / q) + (1 - p) * math.log2((1 - p) / (1 - q)))
+    assert math.isfinite(one(spark, dv.kl_bits_clipped(dv.sigmoid(F.col("z")), dv.sigmoid(F.col("w"))), z=500.0, w=-500.0))
     assert math.isclose(one(spark, dv.logit(F.col("p")), p=1.0), math.log((1 - 1e-6) / 1e-6))
 
 
