@@ -1,18 +1,17 @@
-"""What the operators share: scratch tables, Arrow kernels over whole texts."""
+"""What the operators share: Arrow kernels over whole texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
+from evenkeel.scratch import Scratch as Scratch
 from evenkeel.session import ship as ship
 
 #: bytes.translate table that lower-cases A-Z and nothing else.
@@ -25,35 +24,22 @@ ROWS_AT_ONCE = 256
 CHARS_AT_ONCE = 4_000_000
 
 
-class Scratch:
-    """Tables in the folder that the cluster names in spark.checkpoint.dir, which every executor can read.
+#: Keys that count as hot at most.
+MOST_HOT = 100_000
+#: Rows of a key below which it is not hot.
+LEAST_HOT = 1000
 
-    They stand in for lineage: a lost executor re-reads them.  Where the setting is absent (tests, local mode) a
-    temporary folder is taken; a cluster without the setting is refused, for its executors would not see such files.
-    """
 
-    def __init__(self, spark: SparkSession, label: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="evenkeel-")
-        self.spark, self.root = spark, f"{base.rstrip('/')}/evenkeel/{label}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Writes df and returns a DataFrame that reads what was written."""
-        df.write.option("compression", codec).parquet(f"{self.root}/{name}")
-        return self.read(df.schema, name)
-
-    def read(self, schema: T.StructType, name: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Removes tables that no returned DataFrame reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+def join_hot(rows: DataFrame, by_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined to by_key (one row for each key, with the key's number of rows in the column n), hot keys apart.
+
+    A key with more than total / MOST_HOT rows is hot.  There are fewer than MOST_HOT such keys, so that they can be sent
+    to all workers, and rows of one key need not meet in one task; all others are joined by a shuffle.
+    """
+    hot = F.col(n) > max(LEAST_HOT, total // MOST_HOT)
+    some = F.broadcast(by_key.where(hot))
+    rest = rows.join(F.broadcast(by_key.where(hot).select(key)), key, "left_anti").join(by_key.where(~hot), key)
+    return rows.join(some, key).unionByName(rest)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -1,7 +1,8 @@
 """Connected components by alternating small-star and large-star rounds on DataFrames.
 
 No node's neighbours are gathered in one place: each round takes a minimum per node (pre-aggregated before the shuffle)
-and joins it back (a join that Spark may split where a key is hot).  Rounds are cut by written tables.
+and joins it back, for nodes of very many neighbours by sending their minima to all workers.  Rounds are cut by written
+tables.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import Scratch
+from evenkeel.llm.common import Scratch, join_hot
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -32,12 +33,12 @@ def components(scratch: Scratch, edges: DataFrame, label: str = "components") ->
     mark, k = _mark(now), 0
     while mark[0]:
         # Smaller neighbours first: that leaves about one edge a node, so that the step that needs both directions is small.
-        low = now.groupBy("u").agg(F.min("v").alias("m"))
-        small = now.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = now.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(now, low, "u", "n", mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         small = scratch.keep(_ordered(small), f"{label}-small-{k}")
         both = small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both, low, "u", "n", 2 * mark[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         k += 1
         then, now = f"{label}-{k - 1}", scratch.keep(_ordered(large), f"{label}-{k}")
         scratch.drop(then, f"{label}-small-{k - 1}")

@@ -8,15 +8,18 @@ every pair; each is then verified on the bits.
 common grid cell, and each fingerprint enters its own cell and those next to it.  Cells with many fingerprints are
 refined, without a cap, by the fingerprints that lie halfway (`hubs`), so that no cell yields all its pairs.
 
-`similar_groups` is for wide thresholds (five-word shingles of similarity 0.8 differ in an eighth of the bits).  There the
-segments are single bits of a longer fingerprint and the grid is laid over bands of them, as many as make a pair at the
-threshold meet in one with the stated probability.
+`similar_groups` is for the similarity (Jaccard, 0.8 by default) of the sets of word shingles.  Pairs at that threshold
+differ in an eighth of a fingerprint's bits, where the popcount bound selects nothing and every rule over bits loses
+links.  The fingerprints' links of two bits therefore come first, and the links that they cannot see are found by
+minima of hashes (MinHash) in bands, as many as let a pair at the threshold meet with the stated probability.  Every
+link is verified by the exact similarity.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from evenkeel.llm.common import ASCII_LOWER, Scratch, annotate, col, fresh, ship
+from evenkeel.llm.common import ASCII_LOWER, Scratch, annotate, col, fresh, join_hot, ship
 from evenkeel.llm.components import components
+from evenkeel.operators.windows import few
 
 #: Bit j of byte value v, for counting bits by byte.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -130,23 +134,23 @@ def close_groups(spark: SparkSession, docs: DataFrame, size: int = 5, id_col: st
     scratch = Scratch(spark, "simhash")
     made, name = fingerprints(spark, docs, size, text_col, [id_col])
     prints = scratch.keep(made.select(col(id_col).alias("id"), F.col(f"{name}.fingerprint").alias("f")), "prints")
-    firsts = prints.groupBy("f").agg(F.min("id").alias("first"))
+    firsts = prints.groupBy("f").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     edges = link_close(scratch, prints.select("f").distinct())
     return _labelled(scratch, prints, firsts, edges).select(F.col("id").alias(id_col), F.col("f").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def _labelled(scratch: Scratch, prints: DataFrame, firsts: DataFrame, edges: DataFrame) -> DataFrame:
-    """prints and the smallest id of each print's component."""
+    """prints and the smallest id of each print's component.  firsts: f, first (id) and n (rows)."""
     linked = scratch.keep(components(scratch, edges).join(firsts, F.col("node") == F.col("f")).select("f", "root", "first"), "linked")
-    labels = linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("f", "component")
-    every = firsts.join(labels, "f", "left").select("f", F.coalesce("component", "first").alias("component"))
-    return prints.join(every, "f")
+    labels = linked.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("m"))
+    labels = join_hot(linked.select("f", "root"), labels, "root", "m", linked.count()).select("f", "component")
+    every = firsts.join(labels, "f", "left").select("f", "n", F.coalesce("component", "first").alias("component"))
+    return join_hot(prints, every, "f", "n", prints.count()).drop("n")
 
 
-# Wide thresholds ------------------------------------------------------------------------------------------------
+# Similarity of shingle sets ---------------------------------------------------------------------------------------
 
-LANES = 4  # 64-bit lanes of the long fingerprint
-BAND = 24  # bits of a band
+ROWS = 6  # minima that a band holds
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,20 +161,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def expected_share(similarity: float) -> float:
-    """Share of differing SimHash bits of two sets with this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def bands_needed(similarity: float, recall: float) -> int:
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**ROWS))
 
 
-def bands_needed(similarity: float, recall: float) -> int:
-    meet = (1 - expected_share(similarity)) ** BAND
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+@lru_cache
+def _factors(bands: int) -> np.ndarray:
+    """Odd factors of the hash functions, fixed by a seed."""
+    return np.random.default_rng(20).integers(0, 1 << 63, (bands * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_bits(bands: int) -> np.ndarray:
-    """Which bits of the long fingerprint each band takes, fixed by a seed."""
-    rng = np.random.default_rng(20)
-    return np.array([rng.choice(64 * LANES, BAND, replace=False) for _ in range(bands)])
+def band_cells(grams: np.ndarray, bands: int) -> np.ndarray:
+    """The cell of each band: a hash of the band's number and its minima over the shingles."""
+    least = np.full(bands * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    with np.errstate(over="ignore"):
+        for i in range(0, len(grams), 2048):
+            x = grams[None, i : i + 2048] * _factors(bands)
+            x ^= x >> np.uint64(32)
+            least = np.minimum(least, x.min(axis=1))
+        out = np.arange(1, bands + 1, dtype=np.uint64)
+        for row in least.reshape(bands, ROWS).T:
+            out = mix(out * _GOLD + row)
+    return out.view(np.int64)
 
 
 def distinct_shingles(text: str | None, size: int, cache: dict[bytes, int]) -> np.ndarray | None:
@@ -193,116 +205,32 @@ def distinct_shingles(text: str | None, size: int, cache: dict[bytes, int]) -> n
     return np.unique(grams)
 
 
-def _bits_of(grams: np.ndarray) -> np.ndarray:
-    """Bits (0 or 1) of the SimHash over distinct shingles, LANES * 64 of them."""
-    with np.errstate(over="ignore"):
-        total = np.concatenate([sum(_bit_counts(mix(g + _GOLD * np.uint64(lane + 1))) for g in np.array_split(grams, 1 + len(grams) // _STEP)) for lane in range(LANES)])
-    return (total * 2 > len(grams)).astype(np.uint8)
-
-
-def long_print(text: str | None, size: int, cache: dict[bytes, int]) -> np.ndarray | None:
-    """Bits (0 or 1) of the SimHash over distinct shingles, LANES * 64 of them; None for a text without words."""
-    grams = distinct_shingles(text, size, cache)
-    return None if grams is None else _bits_of(grams)
+def set_print(grams: np.ndarray) -> int:
+    """Signed 64-bit SimHash over distinct shingles."""
+    total = sum(_bit_counts(g) for g in np.array_split(grams, 1 + len(grams) // _STEP))
+    return int(np.packbits(total * 2 > len(grams), bitorder="little").view("<i8")[0])
 
 
-LONG = T.StructType([T.StructField("f", T.LongType()), T.StructField("lanes", T.ArrayType(T.LongType()))])
+_MADE = T.StructType([T.StructField("f", T.LongType()), T.StructField("print", T.LongType()), T.StructField("size", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType(), False))])
 _SET = T.StructType([T.StructField("grams", T.ArrayType(T.LongType(), False))])
-_MEMBER = T.StructType([T.StructField("f", T.LongType()), T.StructField("band", T.LongType())])
-
-
-def band_keys(lanes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """For rows of lanes: the cell of each band (its number above BAND bits of the fingerprint)."""
-    bits = np.unpackbits(np.ascontiguousarray(lanes, "<i8").view(np.uint8), axis=1, bitorder="little")
-    out = np.empty((len(lanes), len(chosen)), np.int64)
-    for k, places in enumerate(chosen):
-        packed = np.zeros((len(lanes), 32), np.uint8)
-        packed[:, :BAND] = bits[:, places]
-        out[:, k] = (k << BAND) + np.packbits(packed, axis=1, bitorder="little").view("<u4").ravel()
-    return out
-
-
-def _members(firsts: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """(f, band) for every distinct fingerprint and band."""
-    arrow = to_arrow_schema(_MEMBER)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                lanes = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, LANES)
-                f = np.repeat(part.column(0).to_numpy(zero_copy_only=False), len(chosen))
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(band_keys(lanes, chosen).ravel())], schema=arrow)
-
-    return firsts.select("f", "lanes").mapInArrow(run, _MEMBER)
-
-
-LEEWAY = 3  # standard errors
-ROWS_A_TASK = 8000  # fingerprints whose members one task aggregates; bounds its memory
-BLOCK = 1024  # members of a full cell that are compared with another such block, or with one another, at a time
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
+HUBS = 4  # orders by which the text is picked that a cell's others are compared with first
+BLOCK = 512  # members of a full cell that are compared with another such block, or with one another, at a time
+BLOCK_SHINGLES = 1 << 20  # shingles of a block, about; bounds a task where texts are long
 
-def _compare(f: np.ndarray, root: np.ndarray, side: np.ndarray, lanes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different roots and `most` differing bits at most: between the sides, or among all where there is one."""
-    one = np.flatnonzero(side == side[0])
-    two = np.flatnonzero(side != side[0])
-    alike = not len(two)
-    two = one if alike else two
-    out = []
-    for i in range(0, len(one), 64):
-        rows = one[i : i + 64]
-        differ = np.zeros((len(rows), len(two)), np.uint16)
-        for k in range(LANES):
-            differ += np.bitwise_count(lanes[rows, k][:, None] ^ lanes[two, k][None, :])
-        good = (differ <= most) & (root[rows][:, None] != root[two][None, :])
-        x, y = np.nonzero(good)
-        x, y = rows[x], two[y]
-        out.append((x[x < y], y[x < y]) if alike else (x, y))
-    x, y = (f[np.concatenate(z)] for z in zip(*out, strict=True))
-    return np.minimum(x, y), np.maximum(x, y)
-
-
-def dense_pairs(scratch: Scratch, members: DataFrame, lanes: DataFrame, most: int) -> DataFrame:
-    """(a, b), a < b: all pairs that share a cell, are of different roots and differ in `most` bits at most.
-
-    members: (band, f, root).  Cells of one root are passed over.  A cell is dealt at random into blocks of about BLOCK
-    members, and each two blocks (and each block by itself) are compared apart, so that nothing is capped and no task
-    holds a whole cell.
-    """
-    mixed = members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    mixed = scratch.keep(mixed, "mixed")
-    if mixed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        mixed = F.broadcast(mixed)
-    dealt = members.join(mixed, "band").join(lanes, "f").withColumn("side", F.expr("pmod(xxhash64(f, 'side'), blocks)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    place = ["band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")]
-    dealt = dealt.select(*place, "f", "root", "side", "lanes").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    arrow = to_arrow_schema(_PAIR)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(f, grams) for the texts that are wanted.  docs: (row, text), wanted: (f, row)."""
 
-        def pairs_of(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            a, b = _compare(*part[3:], most)
-            for i in range(0, len(a), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000])], schema=arrow)
+    def make():
+        cache: dict[bytes, int] = {}
+        return lambda found: {"grams": [distinct_shingles(t, size, cache).view(np.int64) for t in found]}
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            now.append(batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(-1, LANES).view(np.uint64))
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in held[:3]], axis=0)) + 1
-            for i, j in zip([0, *cuts[:-1]], cuts, strict=False):
-                yield from pairs_of([x[i:j] for x in held])
-            if len(cuts):
-                held = [x[cuts[-1] :] for x in held]
-        if held is not None:
-            yield from pairs_of(held)
-
-    return scratch.keep(dealt.mapInArrow(run, _PAIR).distinct(), "rest")
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    sets = annotate(docs.join(wanted, "row"), "text", make, _SET, "set", ["f"])
+    return sets.select("f", F.col("set.grams").alias("grams"))
 
 
 def verified(scratch: Scratch, pairs: DataFrame, firsts: DataFrame, texts: DataFrame, size: int, similarity: float, label: str) -> DataFrame:
@@ -312,45 +240,117 @@ def verified(scratch: Scratch, pairs: DataFrame, firsts: DataFrame, texts: DataF
     """
     pairs = scratch.keep(pairs, f"{label}-candidates")
     named = scratch.keep(pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct().join(firsts.select("f", "row"), "f"), f"{label}-named")
-    if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        named = F.broadcast(named)
-
-    def make():
-        cache: dict[bytes, int] = {}
-        return lambda found: {"grams": [distinct_shingles(t, size, cache).view(np.int64) for t in found]}
-
-    sets = annotate(texts.join(named, "row"), "text", make, _SET, "set", ["f"])
-    sets = scratch.keep(sets.select("f", F.col("set.grams").alias("grams")), f"{label}-sets")
+    sets = scratch.keep(shingle_sets(texts, named, size), f"{label}-sets")
     both = pairs.join(sets.select(F.col("f").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("f").alias("b"), F.col("grams").alias("y")), "b")
     common = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
     return scratch.keep(common.where(F.col("common") / (F.col("n") - F.col("common")) >= similarity).select("a", "b"), label)
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
-    """id_col, lanes (null without words) and component_id: groups linked by pairs of `similarity` or more.
+def forest(f: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between the sides (or among all where there is one) that join what the similar pairs join, without cycles.
+
+    Members of one root count as joined already.
+    """
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = parent[x]
+        return x
+
+    sizes = np.array([len(s) for s in sets])
+    owner, every = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    owner, every = owner[order], every[order]
+    cross, out = (side != side[0]).any(), []
+    for i in range(len(sets)):
+        if cross and side[i] != side[0]:
+            continue
+        low, high = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        common = np.bincount(owner[at], minlength=len(sets))
+        good = common / (sizes + sizes[i] - common) >= similarity
+        good &= root != root[i]
+        good &= (side != side[0]) if cross else np.arange(len(sets)) > i
+        for j in np.flatnonzero(good).tolist():
+            x, y = find(int(root[i])), find(int(root[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(min(f[i], f[j])), int(max(f[i], f[j]))))
+    return out
+
+
+def dense_links(scratch: Scratch, members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: similar pairs that share a cell, as many as join all that such pairs join.
+
+    members: (cell, f, size, root), members of one root being joined already.  Cells of one root are passed over.  A cell
+    is dealt at random into blocks of about BLOCK members and BLOCK_SHINGLES shingles, and each two blocks (and each block by itself) are compared
+    apart on the sets themselves, so that nothing is capped, no task holds a whole cell, and only links come out.
+    """
+    mixed = members.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("cell", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    mixed = few(mixed, "mixed-cells")
+    dealt = members.join(mixed, "cell").withColumn("side", F.expr("pmod(xxhash64(f, 'side'), blocks)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).join(sets, "f")
+    place = ["cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")]
+    dealt = dealt.select(*place, "f", "root", "side", "grams").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    arrow = to_arrow_schema(_PAIR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            f, root, side = (np.array([h[k] for h in held]) for k in range(3))
+            found = forest(f, root, side, [h[3] for h in held], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], schema=arrow)
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            rest = [batch.column(k).to_pylist() for k in range(3, 6)]
+            for r, key in enumerate(keys):
+                if key != now and held:
+                    yield from links()
+                    held = []
+                now = key
+                held.append((*(x[r] for x in rest), batch.column(6)[r].values.to_numpy(zero_copy_only=False)))
+        if held:
+            yield from links()
+
+    return scratch.keep(dealt.mapInArrow(run, _PAIR).distinct(), "dense")
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similarity: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """id_col, fingerprint (64-bit SimHash of the set; null without words) and component_id: groups linked by pairs of
+    `similarity` or more.
+
+    similarity is the Jaccard similarity of the sets of `size`-word shingles (64-bit hashes), computed for each link, so
+    that no pair below it is one.  Candidates are texts whose fingerprints are linked by two bits or fewer, and texts
+    that share the cell of a band of minima; a pair at the threshold shares one with probability `recall`, closer pairs
+    more surely.  In a cell each text is compared with one of them (another in each band); then, in cells that still hold
+    several components, all that are not joined yet are compared (`dense_links`), so that no link in a cell is left out.
 
-    similarity is the Jaccard similarity of the sets of `size`-word shingles (64-bit hashes), computed for each
-    candidate, so that no pair below it is linked.  A pair at the threshold meets in a band with probability `recall`,
-    closer pairs more surely; candidates may differ in LEEWAY standard errors more bits than expected at the threshold.
     key_col names a column of values that no two rows share and that are the same whenever docs is read; without it the
-    rows are written with one.  Texts without words are linked to nothing and are their own component.  Rows with a null id
-    stay and take their component's id; repeated rows stay.  An empty table gives no rows.  In a band's cell each
-    fingerprint is compared with the least and the greatest; then, in cells that still hold several components, with
-    every other outside its own, so that no pair that shares a cell is left out (`dense_pairs`).
+    rows are written with one.  Texts without words are linked to nothing and are their own component.  Rows with a null
+    id stay and take their component's id; repeated rows stay.  An empty table gives no rows.  Very long texts are taken
+    whole.  Other columns are not read.
     """
     ship(spark)
     from xxhash import xxh64_intdigest
 
-    scratch = Scratch(spark, "simhash-wide")
-    chosen = band_bits(bands_needed(similarity, recall))
+    scratch, bands = Scratch(spark, "simhash-sets"), bands_needed(similarity, recall)
 
     def make():
         cache: dict[bytes, int] = {}
 
         def kernel(texts):
             grams = [distinct_shingles(t, size, cache) for t in texts]
-            lanes = [None if g is None else np.packbits(_bits_of(g), bitorder="little").view("<i8") for g in grams]
-            return {"f": [None if g is None else np.uint64(xxh64_intdigest(g.tobytes(), 3)).view(np.int64) for g in grams], "lanes": lanes}
+            return {
+                "f": [None if g is None else np.uint64(xxh64_intdigest(g.tobytes(), 3)).view(np.int64) for g in grams],
+                "print": [None if g is None else set_print(g) for g in grams],
+                "size": [None if g is None else len(g) for g in grams],
+                "cells": [None if g is None else band_cells(g, bands) for g in grams],
+            }
 
         return kernel
 
@@ -358,26 +358,37 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similari
         key_col = fresh(docs, "__row")
         docs = scratch.keep(docs.select(*{id_col: col(id_col), text_col: col(text_col)}.values(), F.monotonically_increasing_id().alias(key_col)), "rows")
     name = fresh(docs, "simhash")
-    made = annotate(docs, text_col, make, LONG, name, list(dict.fromkeys([id_col, key_col])))
-    prints = scratch.keep(made.select(col(id_col).alias("id"), col(key_col).alias("row"), F.col(f"{name}.f").alias("f"), F.col(f"{name}.lanes").alias("lanes")), "prints")
-    firsts = scratch.keep(prints.where("lanes IS NOT NULL").groupBy("f").agg(F.min("id").alias("first"), F.min("row").alias("row"), F.first("lanes").alias("lanes")), "firsts")
+    made = annotate(docs, text_col, make, _MADE, name, list(dict.fromkeys([id_col, key_col])))
+    prints = scratch.keep(made.select(col(id_col).alias("id"), col(key_col).alias("row"), f"{name}.*"), "prints")
+    worded = prints.where("f IS NOT NULL")
+    firsts = worded.groupBy("f").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.min_by(F.struct("row", "print", "size", "cells"), "row").alias("r"))
+    firsts = scratch.keep(firsts.select("f", "first", "n", "r.*"), "firsts")
     texts = docs.select(col(key_col).alias("row"), col(text_col).alias("text"))
-    share = expected_share(similarity)
-    most = math.floor(64 * LANES * share + LEEWAY * math.sqrt(64 * LANES * share * (1 - share)))
-    members = _members(firsts.repartition(1 + firsts.count() // ROWS_A_TASK, "f"), chosen)
-    ends = scratch.keep(members.groupBy("band").agg(F.count("*").alias("n"), F.min("f").alias("a"), F.max("f").alias("b")).where("n > 1"), "ends")
-    full = ends.where("n > 2").select("band", "a", "b")
-    if full.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        full = F.broadcast(full)
-    dense = scratch.keep(members.join(full, "band"), "dense")
-    pairs = ends.where("n = 2").select("a", "b").union(dense.select("a", F.col("f").alias("b"))).union(dense.select(F.col("f").alias("a"), "b")).where("a != b").distinct()
-    far = "aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
-    lanes = firsts.select("f", "lanes")
-    near = pairs.join(lanes.select(F.col("f").alias("a"), F.col("lanes").alias("x")), "a").join(lanes.select(F.col("f").alias("b"), F.col("lanes").alias("y")), "b").where(f"{far} <= {most}").select("a", "b")
-    edges = verified(scratch, near, firsts, texts, size, similarity, "edges")
-    rooted = dense.select("f", "band").join(components(scratch, edges, "first").withColumnRenamed("node", "f"), "f", "left")
-    rest = dense_pairs(scratch, rooted.select("band", "f", F.coalesce("root", "f").alias("root")), lanes, most)
-    edges = edges.unionByName(verified(scratch, rest, firsts, texts, size, similarity, "rest-edges"))
-    done = _labelled(scratch, prints.where("lanes IS NOT NULL").select("id", "f", "lanes"), firsts.select("f", "first"), edges)
-    alone = prints.where("lanes IS NULL").select("id", "f", "lanes", F.col("id").alias("component"))
-    return done.select("id", "f", "lanes", "component").unionByName(alone).select(F.col("id").alias(id_col), "lanes", F.col("component").alias("component_id"))
+
+    # Links of fingerprints; one text stands for those of one fingerprint.
+    alike = scratch.keep(firsts.groupBy("print").agg(F.min("f").alias("hub")), "alike")
+    close = link_close(scratch, alike.select(F.col("print").alias("f")))
+    hub = lambda c: alike.select(F.col("print").alias(c), F.col("hub").alias(f"{c}_hub"))
+    pairs = close.join(hub("a"), "a").join(hub("b"), "b").select(F.col("a_hub").alias("a"), F.col("b_hub").alias("b"))
+    pairs = pairs.unionByName(firsts.select("f", "print").join(alike, "print").select(F.col("hub").alias("a"), F.col("f").alias("b")))
+
+    # Cells of the bands.
+    members = firsts.select("f", "size", F.explode("cells").alias("cell"))
+    hub = F.min_by("f", F.xxhash64("f", F.pmod("cell", F.lit(HUBS))))
+    cells = scratch.keep(members.groupBy("cell").agg(F.count("*").alias("m"), hub.alias("hub")).where("m > 1"), "band-cells")
+    shared = scratch.keep(join_hot(members, cells, "cell", "m", firsts.count() * bands), "shared")
+    pairs = pairs.unionByName(shared.select(F.col("hub").alias("a"), F.col("f").alias("b")))
+    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = verified(scratch, pairs, firsts, texts, size, similarity, "edges")
+
+    # Cells that are not of one component yet.
+    roots = components(scratch, edges, "first").withColumnRenamed("node", "f")
+    rooted = shared.where("m > 2").select("cell", "f", "size").join(roots, "f", "left").select("cell", "f", "size", F.coalesce("root", "f").alias("root"))
+    mixed = rooted.groupBy("cell").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("cell")
+    left = scratch.keep(rooted.join(few(mixed, "mixed-cells"), "cell"), "left")
+    wanted = scratch.keep(left.select("f").distinct().join(firsts.select("f", "row"), "f"), "left-named")
+    edges = edges.unionByName(dense_links(scratch, left, scratch.keep(shingle_sets(texts, wanted, size), "left-sets"), similarity))
+
+    done = _labelled(scratch, worded.select("id", "f", "print"), firsts.select("f", "first", "n"), edges)
+    alone = prints.where("f IS NULL").select("id", "f", "print", F.col("id").alias("component"))
+    return done.select("id", "f", "print", "component").unionByName(alone).select(F.col("id").alias(id_col), F.col("print").alias("fingerprint"), F.col("component").alias("component_id"))

@@ -111,53 +111,90 @@ def test_similar_texts_meet(spark):
     assert got == want | {1000: 1000, 1001: 1001, 1002: 1002}
 
 
-def test_long_print_estimates_similarity():
+def test_bands_meet_as_often_as_stated():
     rng = np.random.default_rng(1)
-    words = [f"w{x}" for x in rng.integers(0, 10**6, 2000)]
-    other = [w if rng.random() > 0.02 else "x" for w in words]
-    shingles = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (words, other)]
-    similarity = len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
-    a, b = (simhash.long_print(" ".join(t), 5, {}) for t in (words, other))
-    assert abs((a != b).mean() - simhash.expected_share(similarity)) < 0.06
+    bands, met, n = 8, 0, 150
+    for _ in range(n):
+        every = rng.integers(0, 1 << 63, 110, np.uint64)
+        met += bool((simhash.band_cells(every[:100], bands) == simhash.band_cells(every[10:], bands)).any())  # similarity 90 / 110
+    want = 1 - (1 - (90 / 110) ** simhash.ROWS) ** bands
+    assert abs(met / n - want) < 4 * (want * (1 - want) / n) ** 0.5
+    assert 1 - (1 - 0.8**simhash.ROWS) ** simhash.bands_needed(0.8, 0.9999) >= 0.9999
 
 
-def test_full_cells_lose_no_pair(spark, monkeypatch):
+def test_full_cells_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     rng = np.random.default_rng(4)
-    base = rng.integers(0, 2, 256)
-    groups = []
-    for _ in range(40):  # all agree in the band's bits, so that one cell has them all
-        centre = base.copy()
-        centre[24:] = rng.integers(0, 2, 232)
-        groups.append([centre ^ (np.arange(256) == 30 + k) for k in range(3)])
-    bits = np.array([p for g in groups for p in g], np.uint8)
-    lanes = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-    rows = [(7, k, k, [int(v) for v in lanes[k]]) for k in range(120)] + [(8, k, 5, [int(v) for v in lanes[k]]) for k in range(4)]
-    df = spark.createDataFrame(rows, "band long, f long, root long, lanes array<long>").repartition(3)
-    got = simhash.dense_pairs(Scratch(spark, "test"), df.select("band", "f", "root"), df.where("band = 7").select("f", "lanes"), 40)
-    assert sorted(map(tuple, got.collect())) == [(3 * g + x, 3 * g + y) for g in range(40) for x, y in ((0, 1), (0, 2), (1, 2))]
-
-
-def test_groups_that_share_every_cell_are_linked_inside(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "band_bits", lambda bands: np.zeros((1, simhash.BAND), np.int64))  # two cells in all
-    rng = random.Random(6)
-    rows = []
-    for g in range(20):
-        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
-        rows += [(10 * g + c, " ".join([*words, *["more"] * c])) for c in range(3)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark, df).collect()}
-    assert got == {i: i - i % 10 for i, _ in rows}
+    sets, rows = {}, []
+    for g in range(40):  # three of a group: the second is like the first and the third, which are not alike
+        x = rng.integers(0, 1 << 40, 130)
+        for k in range(3):
+            sets[3 * g + k] = np.unique(x[10 * k : 10 * k + 100]).tolist()
+    rows = [(7, f, len(sets[f]), f) for f in sets] + [(8, f, len(sets[f]), 5) for f in range(4)]
+    members = spark.createDataFrame(rows, "cell long, f long, size long, root long").repartition(3)
+    grams = spark.createDataFrame(list(sets.items()), "f long, grams array<long>")
+    got = simhash.dense_links(Scratch(spark, "test"), members, grams, 0.8)
+    assert sorted(map(tuple, got.collect())) == [(3 * g + x, 3 * g + x + 1) for g in range(40) for x in (0, 1)]
+
+
+def exact_groups(texts, similarity=0.8, size=5):
+    """Index of the first of each text's group, by all pairs of shingle sets."""
+    sets = []
+    for t in texts:
+        w = plain_words(t)
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else None)
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and len(x & sets[j]) >= similarity * len(x | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return [find(i) for i in range(len(texts))]
+
 
+def plain_words(text):
+    return (text or "").translate(FOLD).encode().split()
 
-def test_links_are_the_exact_similarities(spark):
+
+@pytest.mark.parametrize("cells", ["as made", "two in all"])
+def test_groups_equal_those_of_all_pairs(spark, monkeypatch, cells):
+    if cells == "two in all":  # every cell is full, and of many groups
+        monkeypatch.setattr(simhash, "band_cells", lambda grams, bands: np.array([0, 1 + int(grams[0]) % 2], np.int64))
+        monkeypatch.setattr(simhash, "BLOCK", 32)
     rng = random.Random(12)
-    rows, want = [], {}
-    for g in range(60):  # 100 shingles each; c shared words at the front give c - 4 shared shingles
-        one, two = ([f"w{rng.randrange(10**6)}" for _ in range(104)] for _ in range(2))
-        shared = 95 if g % 2 else 90  # similarities 91/109 = 0.83 and 86/114 = 0.75
-        rows += [(10 * g, " ".join(one)), (10 * g + 1, " ".join(one[:shared] + two[shared:]))]
-        want |= {10 * g: 10 * g, 10 * g + 1: 10 * g + 1 - g % 2}
+    texts = [None, "", " ", "one", "ONE", "one two", "long " * 3000]
+    for _ in range(12):  # around and under the threshold, in chains and stars
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([12, 60, 150]))]
+        texts.append(" ".join(base))
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 30))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+            if rng.random() < 0.3:
+                base = copy
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("component_id", F.lit("taken")).repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark, df).collect()}
+    assert got == dict(enumerate(exact_groups(texts)))
+    assert simhash.similar_groups(spark, df.limit(0)).count() == 0
+
+
+def test_hot_fingerprints(spark, monkeypatch):
+    from evenkeel.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    base = " ".join(f"word{i}" for i in range(300))
+    rows = [(100 + i, base) for i in range(30)] + [(i, f"{base} and {i}") for i in range(20)] + [(500 + i, f"other words of {i} kind") for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark, df, recall=0.99).collect()}
-    assert got == want
+    got = {r["doc_id"]: r["component_id"] for r in simhash.close_groups(spark, df, 3).collect()}
+    want = dict(zip([i for i, _ in rows], plain_groups([plain_print(t) for _, t in rows]), strict=True))
+    least = {}
+    for i, g in want.items():
+        least[g] = min(least.get(g, i), i)
+    assert got == {i: least[g] for i, g in want.items()}
