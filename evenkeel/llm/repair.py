@@ -35,10 +35,12 @@ from evenkeel.llm.tokenise import encoder
 
 MAGIC = b"EVKRPR01"
 SHARD_IDS = 1 << 19  # a shard ends with the document that reaches this
-ROUNDS = 5
-RULES_A_ROUND = 1024
-LEAST = 16  # a pair must be seen so often to become a rule
 SLOT_BITS = 18
+#: Symbols that two bytes can tell apart.  Wider ones would double the sequence and the rules, which no rule earns.
+SYMBOLS = 1 << 16
+#: A round replaces the pairs that are seen at least this share as often as its most frequent one, or half as often as
+#: the round before asked for if that is less.
+NEXT_BEST = 0.125
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
@@ -48,65 +50,114 @@ def _slots(keys: np.ndarray) -> np.ndarray:
     return keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)
 
 
+def _settled(where: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the places (ascending, with their pairs' ranks) are replaced, so that no two overlap.
+
+    Of two pairs that overlap the better ranked goes first; a pair that overlaps itself takes every other place.
+    """
+    near = np.diff(where) == 1
+    better, same = near & (rank[:-1] < rank[1:]), near & (rank[:-1] == rank[1:])
+    keep = np.ones(len(where), bool)
+    keep[1:] &= ~better
+    keep[:-1] &= ~(near & (rank[1:] < rank[:-1]))
+    if same.any():
+        run = np.flatnonzero(np.concatenate(([True], ~same)))
+        place = np.arange(len(where)) - np.repeat(run, np.diff(np.concatenate((run, [len(where)]))))
+        keep &= place % 2 == 0
+    return keep
+
+
 def compress(docs: list[np.ndarray], terminals: int) -> bytes:
-    """The shard file of documents given as arrays of ids below `terminals`."""
+    """The shard file of documents given as arrays of ids below `terminals`.
+
+    Rounds go on until no pair pays for its rule: one whose replacements, each of which saves a symbol, save more bytes
+    than the rule takes.  (They end sooner only where two bytes hold no more symbols, see SYMBOLS.)
+    """
     sizes = np.array([len(d) for d in docs], np.int64)
-    narrow = terminals + ROUNDS * RULES_A_ROUND <= 1 << 16
+    narrow = terminals < SYMBOLS
+    room = SYMBOLS - terminals if narrow else 1 << 30
+    width = 2 if narrow else 4
+    pays = (2 * width + 4) // width + 1  # replacements; a rule takes its two symbols and the length it expands to
     whole, half = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
     seq = np.concatenate(docs).astype(whole) if docs else np.zeros(0, whole)
-    inside = np.ones(len(seq), bool)  # not the first of a document
-    starts = np.cumsum(sizes) - sizes
-    inside[starts[sizes > 0]] = False
+    begin = (np.cumsum(sizes) - sizes)[sizes > 0]
     left, right, rounds = [], [], []
     expands = np.ones(0, np.int64)
-    at = terminals
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        keys = seq[:-1] << half | seq[1:]
-        # Pairs are counted by a hash first; only those whose places in it are among the fullest are sorted.
-        slot = _slots(keys)
-        held = np.bincount(slot[inside[1:]], minlength=1 << SLOT_BITS)
-        least = max(LEAST, int(np.partition(held, -RULES_A_ROUND)[-RULES_A_ROUND]))
-        some = np.flatnonzero((held >= least)[slot] & inside[1:])
-        if not len(some):
-            break
-        ordered = np.sort(keys[some])
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.concatenate((edge, [len(ordered)])))
-        best = np.lexsort((ordered[edge], -counts))[:RULES_A_ROUND]
-        best = best[counts[best] >= LEAST]
-        if not len(best):
+    at, newest, least = terminals, 0, 1 << 62
+    while len(seq) > 1 and room:
+        across = begin[1:] - 1  # pairs of a document's last symbol and the next one's first
+        if newest:  # only pairs with the symbols of the last round have come up
+            some = np.flatnonzero(seq >= whole(newest))
+            some = np.unique(np.concatenate((some - 1, some)))
+            some = some[(some >= 0) & (some < len(seq) - 1)]
+            some = some[~np.isin(some, across)]
+            keys = seq[some] << half | seq[some + 1]
+        else:
+            # Pairs are counted by a hash first; only those in places that hold enough are sorted.
+            every = seq[:-1] << half | seq[1:]
+            slot = _slots(every)
+            held = np.bincount(slot, minlength=1 << SLOT_BITS)
+            np.subtract.at(held, slot[across], 1)
+            least = max(pays, min(int(held.max() * NEXT_BEST), least // 2))
+            some = (held >= least)[slot]
+            some[across] = False
+            some = np.flatnonzero(some)
+            keys = every[some]
+        if narrow:
+            ordered = np.sort(keys.astype(np.uint64) << np.uint64(32) | some.astype(np.uint64))
+            found, places = ordered >> np.uint64(32), (ordered & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        else:
+            order = np.argsort(keys, kind="stable")
+            found, places = keys[order], some[order]
+        edge = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
+        counts = np.diff(np.concatenate((edge, [len(found)])))
+        chosen = np.zeros(0, np.int64)
+        best = np.flatnonzero(counts >= least)
+        while len(best):
+            best = best[np.argsort(-counts[best], kind="stable")[:room]]  # in the order of their ranks
+            n = counts[best]
+            pick = np.arange(n.sum()) + np.repeat(edge[best] - np.cumsum(n) + n, n)
+            where, rank = places[pick], np.repeat(np.arange(len(best)), n)
+            order = np.argsort(where)
+            where, rank = where[order], rank[order]
+            keep = _settled(where, rank)
+            where, rank = where[keep], rank[keep]
+            enough = np.bincount(rank, minlength=len(best)) >= pays
+            if enough.any():
+                chosen = np.sort(best[enough])  # in the order of their symbols
+                good = enough[rank]
+                where, rule = where[good], np.searchsorted(chosen, best[rank[good]])
+                break
+            best = best[1:]  # the best one overlaps itself too much
+        if not len(chosen):
+            if newest:
+                newest = 0  # all pairs once more
+                continue
+            if least > pays:  # places that several pairs share seemed to hold a frequent one
+                continue
             break
-        chosen = np.sort(ordered[edge[best]])
-        rule = np.minimum(np.searchsorted(chosen, keys[some]), len(chosen) - 1)
-        good = chosen[rule] == keys[some]
-        where, rule = some[good], rule[good]
-        # Of candidates that overlap in a row, every other one is taken from the left.
-        run = np.flatnonzero(np.concatenate(([True], np.diff(where) != 1)))
-        place = np.arange(len(where)) - np.repeat(run, np.diff(np.concatenate((run, [len(where)]))))
-        take = place % 2 == 0
-        where, rule = where[take], rule[take]
+        newest = at if least == pays else 0
+        pairs = found[edge[chosen]].astype(whole)
         seq[where] = (at + rule).astype(whole)
         kept = np.ones(len(seq), bool)
         kept[where + 1] = False
-        seq, inside = seq[kept], inside[kept]
-        a, b = (chosen >> half).astype(np.int64), (chosen & whole((1 << int(half)) - 1)).astype(np.int64)
+        seq = seq[kept]
+        begin = begin - np.searchsorted(where, begin)
+        a, b = (pairs >> half).astype(np.int64), (pairs & whole((1 << int(half)) - 1)).astype(np.int64)
         sized = np.concatenate((expands, [1]))  # the last stands for an id itself
         expands = np.concatenate((expands, sum(sized[np.where(x < terminals, len(expands), x - terminals)] for x in (a, b))))
         left.append(a)
         right.append(b)
-        rounds.append(len(chosen))
-        at += len(chosen)
-    first = ~inside
-    width = 2 if at <= 1 << 16 else 4
+        rounds.append(len(pairs))
+        at += len(pairs)
+        room -= len(pairs)
     kind = f"<u{width}"
     rules = np.stack((np.concatenate(left), np.concatenate(right)), axis=1) if left else np.zeros((0, 2), np.int64)
-    begin = np.zeros(len(docs), np.int64)
-    begin[sizes > 0] = np.flatnonzero(first)
+    first = np.zeros(len(docs), np.int64)
+    first[sizes > 0] = begin
     return b"".join((
         MAGIC, struct.pack("<6I", terminals, len(rules), len(docs), len(seq), len(rounds), width), np.array(rounds, "<u4").tobytes(),
-        rules.astype(kind).tobytes(), expands.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), begin.astype("<u4").tobytes(), seq.astype(kind).tobytes(),
+        rules.astype(kind).tobytes(), expands.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), first.astype("<u4").tobytes(), seq.astype(kind).tobytes(),
     ))
 
 
@@ -167,23 +218,23 @@ class Shard:
 def write(spark: SparkSession, docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 2, terminals: int = 49408, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all documents' ids, in ascending id order, to shard files; returns the table that holds them.
 
-    Columns: part and shard (in this order, shards follow one another), keys (the documents' ids), n (ids in the
-    shard), data (the file).  A null or empty text is its end id alone; null ids come first; rows of equal id are in
+    Columns: part and shard (in this order, shards follow one another), before (ids in the part's shards before it),
+    keys (the documents' ids), n (ids in the shard), data (the file).  A null or empty text is its end id alone; null ids come first; rows of equal id are in
     the order of a hash of their texts.  An empty table has no shards.
     """
     ship(spark)
     key = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("keys", T.ArrayType(key)), T.StructField("n", T.LongType()), T.StructField("data", T.BinaryType())])
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("before", T.LongType()), T.StructField("keys", T.ArrayType(key)), T.StructField("n", T.LongType()), T.StructField("data", T.BinaryType())])
     arrow, end = to_arrow_schema(schema), struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         keys: list = []
         held: list[np.ndarray] = []
-        n = 0
+        n = before = 0
 
         def row() -> pa.RecordBatch:
-            made = [[part], [shard], [keys], [n], [compress(held, terminals)]]
+            made = [[part], [shard], [before], [keys], [n], [compress(held, terminals)]]
             return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
@@ -196,6 +247,7 @@ def write(spark: SparkSession, docs: DataFrame, scratch: Scratch, tokenizer: str
                     n += len(held[-1])
                     if n >= SHARD_IDS:
                         yield row()
+                        before += n
                         shard, keys, held, n = shard + 1, [], [], 0
         if held:
             yield row()
@@ -216,9 +268,7 @@ def read(spark: SparkSession, shards: DataFrame, id_col: str = "doc_id") -> Data
         totals.append((r["part"], before))
         before += r["n"]
     heads = spark.createDataFrame(totals, "part long, head long")
-    within = shards.select("part", "shard", "n").alias("a").join(shards.select(F.col("part").alias("p"), F.col("shard").alias("s"), F.col("n").alias("m")), F.expr("part = p AND s < shard"), "left")
-    within = within.groupBy("part", "shard").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("inner")).join(F.broadcast(heads), "part")
-    placed = shards.join(within, ["part", "shard"]).select((F.col("head") + F.col("inner")).alias("base"), "keys", "data")
+    placed = shards.join(F.broadcast(heads), "part").select((F.col("head") + F.col("before")).alias("base"), "keys", "data")  # one row for each part
     key = shards.schema["keys"].dataType.elementType
     schema = T.StructType([T.StructField(id_col, key), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     arrow = to_arrow_schema(schema)

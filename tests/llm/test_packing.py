@@ -84,3 +84,62 @@ def test_files_in_id_order(spark):
         at += r["n_tokens"]
     empty = repair.write(spark, df.limit(0), Scratch(spark, "test"), tokenizer_path("word_bpe_49k.json"))
     assert repair.read(spark, empty).count() == 0
+
+
+def pair_uses(symbols, begins):
+    """How often each pair of neighbours can be replaced (overlaps from the left), not across documents' starts."""
+    uses, last = {}, {}
+    for i in range(len(symbols) - 1):
+        if i + 1 in begins:
+            continue
+        p = (symbols[i], symbols[i + 1])
+        if last.get(p) == i - 1:
+            continue
+        last[p] = i
+        uses[p] = uses.get(p, 0) + 1
+    return uses
+
+
+def plain_repair(docs, terminals, pays=5):
+    """Re-Pair, one most frequent pair at a time; bytes of symbols and rules."""
+    seqs, at = [list(d) for d in docs], terminals
+    while True:
+        uses = {}
+        for s in seqs:
+            for p, n in pair_uses(s, set()).items():
+                uses[p] = uses.get(p, 0) + n
+        best = max(uses, key=uses.get, default=None)
+        if best is None or uses[best] < pays:
+            return 2 * sum(map(len, seqs)) + 8 * (at - terminals)
+        for k, s in enumerate(seqs):
+            out, i = [], 0
+            while i < len(s):
+                if i + 1 < len(s) and (s[i], s[i + 1]) == best:
+                    out.append(at)
+                    i += 2
+                else:
+                    out.append(s[i])
+                    i += 1
+            seqs[k] = out
+        at += 1
+
+
+def test_no_pair_is_left_that_pays_and_the_size_is_near_that_of_single_steps():
+    rng = np.random.default_rng(9)
+    words = [rng.integers(0, 300, rng.integers(1, 5)) for _ in range(150)]
+    docs = [np.concatenate([words[min(149, int(k))] for k in rng.zipf(1.4, rng.integers(5, 60)) % 150]).astype("<u4") for _ in range(60)]
+    docs += docs[:5] + [np.full(301, 7, "<u4")]
+    data = repair.compress(docs, 400)
+    shard = repair.Shard(data)
+    assert shard.ids().tolist() == np.concatenate(docs).tolist()
+    assert max(pair_uses(shard.symbols.tolist(), set(shard.begin.tolist())).values()) < 5
+    size = 2 * len(shard.symbols) + 8 * len(shard.rules)
+    assert size <= 1.03 * plain_repair(docs, 400)
+
+
+def test_wide_symbols():
+    rng = np.random.default_rng(3)
+    docs = [np.concatenate([rng.integers(0, 200_000, 40)] * 6).astype("<u4") for _ in range(5)]
+    shard = repair.Shard(repair.compress(docs, 200_000))
+    assert len(shard.rules) and shard.ids().tolist() == np.concatenate(docs).tolist()
+    assert max(pair_uses(shard.symbols.tolist(), set(shard.begin.tolist())).values()) < 4
