@@ -135,16 +135,17 @@ FROM d LEFT JOIN told USING (doc_id)
 """
 
 _PHRASES_SQL = " UNION ALL ".join(f"SELECT '{label}' AS label, {p.split()} AS p" for p, label in licenses.PHRASES)
-_SETS_SQL = " UNION ALL ".join(f"SELECT '{label}' AS label, {words} AS words, {need} AS need" for label, words, need in licenses.template_sets())
+_SETS_SQL = " UNION ALL ".join(f"SELECT '{label}' AS label, {words} AS words, {need} AS need, {reach} AS reach" for label, words, need, reach in licenses.template_sets())
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 phrases AS ({_PHRASES_SQL}),
 places AS (SELECT doc_id, label, i - 1 AS pos FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) AS BIGINT) + 1)) AS i FROM d) JOIN phrases ON w[i:i + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS ls FROM places GROUP BY doc_id),
 sets AS ({_SETS_SQL}),
-pieces AS (SELECT doc_id, unnest(list_concat(string_split(t, chr(10)), CASE WHEN regexp_matches(t, '\n[^\n0-9A-Za-z\x{{80}}-\x{{10FFFF}}]*\n') THEN list_filter(regexp_split_to_array(t, '\n[^\n0-9A-Za-z\x{{80}}-\x{{10FFFF}}]*\n'), lambda x: contains(x, chr(10))) ELSE [] END)) AS b FROM d),
-worded AS (SELECT doc_id, list_distinct({_WORDS.replace("text", "b")}) AS bw FROM pieces),
-hits AS (SELECT doc_id, label, len(list_intersect(bw, words)) / len(words) AS share FROM worded, sets WHERE len(bw) >= need AND len(list_intersect(bw, words)) >= need),
+pieces AS (SELECT doc_id, i, {_WORDS.replace("text", "b")} AS w FROM (SELECT doc_id, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i, unnest(string_split(t, chr(10))) AS b FROM d)),
+lines AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM pieces WHERE len(w) > 0),
+runs AS (SELECT a.doc_id, a.k, reach, list_distinct(flatten(list(b.w))) AS bw FROM lines a JOIN lines b ON a.doc_id = b.doc_id JOIN (SELECT DISTINCT reach FROM sets) r ON b.k >= a.k AND b.k <= a.k + reach AND (b.k = a.k OR b.upto - len(b.w) - a.upto < reach - 1) GROUP BY 1, 2, 3),
+hits AS (SELECT doc_id, label, len(list_intersect(bw, words)) / len(words) AS share FROM runs JOIN sets USING (reach) WHERE len(bw) >= need AND len(list_intersect(bw, words)) >= need),
 own AS (SELECT doc_id, list(DISTINCT label) AS ls, max(share) AS score FROM hits GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base.ls, ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(own.ls, [])))), ','), '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
