@@ -1,9 +1,12 @@
 """HTML extraction by minimum-cut labelling.
 
-A page is read into text blocks.  A linear classifier gives each block the costs of calling it content or boilerplate;
-these become the capacities of its edges to the two terminals.  Neighbouring blocks, and blocks of one parent element,
-are joined by smoothness edges that weaken with their distance in the document tree.  A maximum flow then separates
-the blocks with least total cost.
+A page is read into text blocks, and into regions: elements whose tag, role or names say something about what they hold,
+nested in one another.  Both are nodes.  A linear classifier gives each block, from its text alone, the cost of calling
+it content or boilerplate, and each region the cost of going against its marks, times its blocks; these are the
+capacities of their edges to the two terminals.  A block is tied to its region, and a region to the one around it, as
+strongly as that is marked (proximity in the document tree); neighbouring blocks, and blocks of one parent element, are
+tied by edges that weaken with their distance in the tree.  A maximum flow then separates content from boilerplate at
+the least total cost.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,25 +47,40 @@ HINTS = {
 }
 _HINT = {w: v for v, ws in HINTS.items() for w in ws}
 
-#: Capacity of an edge that the cut should not take unless it must.
+#: Evidence that the cut should not go against.
 HARD = 60.0
+#: Evidence for content that nested elements add up to at most.
+MOST = 12.0
+#: Steps in the tree beyond which blocks are not tied.
+FAR = 12
+#: Tags that a start tag may close.
+CLOSES = {t: [k for k, v in CLOSED_BY.items() if t in v] for t in frozenset().union(*CLOSED_BY.values())}
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]  # elements from the root down
-    tag: str
-    evidence: float  # from the elements around it
+    at: _Element  # the block element it stands in
     linked: float  # share of characters within links
-    page_head: bool
 
 
 class _Element:
-    __slots__ = ("key", "tag", "evidence", "within", "head")
+    """An open element.  `block` is the nearest element that is not inline, `region` the number of its region."""
 
-    def __init__(self, key: int, tag: str, evidence: float, within: bool, head: bool):
-        self.key, self.tag, self.evidence, self.within, self.head = key, tag, evidence, within, head
+    __slots__ = ("tag", "depth", "parent", "block", "region", "within")
+
+    def __init__(self, tag: str, parent: _Element | None, region: int, within: bool, inline: bool):
+        self.tag, self.parent, self.region, self.within = tag, parent, region, within
+        self.depth = parent.block.depth + 1 if parent else 0
+        self.block = parent.block if parent and inline else self
+
+
+@dataclass
+class Region:
+    parent: int
+    own: float  # what its element says about the blocks in it
+    evidence: float  # that and what the regions around it say
+    blocks: int = 0  # in it and in the regions within
 
 
 def _evidence(tag: str, attributes: str) -> float:
@@ -82,28 +101,28 @@ def _evidence(tag: str, attributes: str) -> float:
     return total
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks in page order, white space turned into single spaces, references decoded, none empty."""
+def blocks(page: str) -> tuple[list[Block], list[Region]]:
+    """The text blocks in page order, white space turned into single spaces, references decoded, none empty; and the
+    regions, of which the first is the page and others come after those around them."""
     out: list[Block] = []
-    root = _Element(0, "", 0.0, False, False)
-    stack, key, at = [root], 0, 0
+    regions = [Region(-1, 0.0, 0.0)]
+    stack = [_Element("", None, 0, False, False)]
+    opened: Counter[str] = Counter()
+    at = 0
     parts: list[str] = []
-    inside, links = 0, 0
+    links = 0
 
     def flush() -> None:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            block = [e for e in stack if e.tag not in INLINE]
-            top = block[-1]
-            out.append(Block(text, tuple(e.key for e in block), top.tag, top.evidence, min(1.0, links / len(text)), top.head))
+            out.append(Block(text, stack[-1].block, min(1.0, links / len(text))))
         parts.clear()
         links = 0
 
     def close(k: int) -> None:
-        nonlocal inside
         for e in stack[k:]:
-            inside -= e.tag == "a"
+            opened[e.tag] -= 1
         del stack[k:]
 
     def text_of(raw: str) -> None:
@@ -111,7 +130,7 @@ def blocks(page: str) -> list[Block]:
         if raw:
             raw = html.unescape(raw) if "&" in raw else raw
             parts.append(raw)
-            if inside > 0:
+            if opened["a"] > 0:
                 links += len(raw.strip())
 
     while True:
@@ -126,7 +145,7 @@ def blocks(page: str) -> list[Block]:
         tag = m[2].lower()
         if m[1]:
             if tag in INLINE:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if stack[k].tag == tag:
                         close(k)
                         break
@@ -136,7 +155,7 @@ def blocks(page: str) -> list[Block]:
                     parts.append(" ")
                 continue
             flush()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
@@ -151,15 +170,13 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in INLINE:
             if tag in VOID:
-                parts.append(" " if tag in ("br", "wbr", "input", "img") and tag != "wbr" else "")
+                parts.append(" " if tag in ("br", "input", "img") else "")
             else:
-                key += 1
-                inside += tag == "a"
-                top = stack[-1]
-                stack.append(_Element(key, tag, top.evidence, top.within, top.head))
+                opened[tag] += 1
+                stack.append(_Element(tag, stack[-1], stack[-1].region, stack[-1].within, True))
             continue
         flush()
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in CLOSES.get(tag, ())) else ():
             if tag in CLOSED_BY.get(stack[k].tag, ()):
                 close(k)
                 break
@@ -169,41 +186,51 @@ def blocks(page: str) -> list[Block]:
             continue
         while len(stack) > 1 and stack[-1].tag in INLINE and tag not in ("li", "td", "th"):
             close(len(stack) - 1)  # an unclosed inline element ends at the next block
-        key += 1
         top = stack[-1]
-        own = _evidence(tag, m[3])
-        within = top.within or tag in ("article", "main") or own >= 8.0
-        evidence = -HARD if own <= -HARD or top.evidence <= -HARD else max(-HARD + 1, min(top.evidence + own, own if own < -4 else 12.0))
-        stack.append(_Element(key, tag, evidence, within, top.head or tag == "header" and not within))
+        own = -HARD if tag == "header" and not top.within else _evidence(tag, m[3])
+        region, around = top.region, regions[top.region].evidence
+        if own and around > -HARD:
+            evidence = -HARD if own <= -HARD else max(-HARD + 1, min(around + own, own if own < -4 else MOST))
+            if evidence != around:  # one that adds nothing to those around it is no region of its own
+                regions.append(Region(region, max(own, -HARD), evidence))
+                region = len(regions) - 1
+        opened[tag] += 1
+        stack.append(_Element(tag, top, region, top.within or tag in ("article", "main") or own >= 8.0, False))
     flush()
-    return out
+    for b in out:
+        regions[b.at.region].blocks += 1
+    for r in reversed(regions[1:]):
+        regions[r.parent].blocks += r.blocks
+    return out, regions
 
 
 def cost(b: Block) -> float:
-    """Log-odds that a block is content."""
-    if b.evidence <= -HARD or b.page_head:
-        return -HARD
+    """Log-odds that a block is content, from its text, its links and its own tag."""
     words = b.text.count(" ") + 1
-    z = -1.5 + b.evidence + 0.9 * math.log(words) + 0.6 * min(3, sum(map(b.text.count, ".!?,;:")))
+    z = -1.5 + 0.9 * math.log(words) + 0.6 * min(3, sum(map(b.text.count, ".!?,;:")))
     z -= 6.0 * b.linked * (words < 60)
-    z += {"p": 1.0, "h1": 1.5, "h2": 1.0, "h3": 1.0, "blockquote": 1.0, "pre": 1.0, "figcaption": 0.5, "li": -0.3, "td": -0.3}.get(b.tag, 0.0)
-    return max(-HARD + 1, min(HARD, z))
+    return z + {"p": 1.0, "h1": 1.5, "h2": 1.0, "h3": 1.0, "blockquote": 1.0, "pre": 1.0, "figcaption": 0.5, "li": -0.3, "td": -0.3}.get(b.at.tag, 0.0)
 
 
 def closeness(a: Block, b: Block) -> float:
-    """Smoothness of two blocks: halves with each step of their distance in the tree."""
-    shared = 0
-    for x, y in zip(a.path, b.path, strict=False):
-        if x != y:
-            break
-        shared += 1
-    return 2.0 * 0.5 ** (max(0, len(a.path) + len(b.path) - 2 * shared - 2))
-
-
-def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Labels (True: content) that maximise the sum of gains of content less the weights of edges between labels.
-
-    Dinic's algorithm; a block's positive gain is its edge from the source, a negative one its edge to the sink.
+    """Smoothness of two blocks: halves with each step of their distance in the tree; none beyond FAR steps."""
+    x, y, steps = a.at, b.at, 0
+    while x is not y:
+        if steps >= FAR:
+            return 0.0
+        if x.depth >= y.depth:
+            x = x.parent.block
+        else:
+            y = y.parent.block
+        steps += 1
+    return 2.0 * 0.5 ** max(0, steps - 2)
+
+
+def min_cut(gain: list[float], edges: list[tuple]) -> list[bool]:
+    """Labels (True: content) that maximise the sum of gains of content less the weights of cut edges.
+
+    An edge (a, b, w, v) costs w where a is content and b is not, and v (w if left out) the other way round.  Dinic's algorithm; a node's
+    positive gain is its edge from the source, a negative one its edge to the sink.
     """
     n = len(gain)
     if not n:
@@ -226,8 +253,8 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
             add(s, i, g, 0.0)
         elif g < 0:
             add(i, t, -g, 0.0)
-    for a, b, w in edges:
-        add(a, b, w, w)
+    for a, b, forth, *back in edges:
+        add(a, b, forth, back[0] if back else forth)
     tiny = 1e-9
     while True:
         level = [-1] * (n + 2)
@@ -268,16 +295,29 @@ def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool
                 break
 
 
-def labelled(page: str | None) -> list[tuple[Block, bool]]:
-    found = blocks(page or "")
-    edges = [(i, i + 1, closeness(found[i], found[i + 1])) for i in range(len(found) - 1)]
+def graph(found: list[Block], regions: list[Region]) -> tuple[list[float], list[tuple[int, int, float, float]]]:
+    """Gains and edges: the blocks' nodes come first, then the regions'."""
+    n = len(found)
+    gain = [cost(b) for b in found] + [r.own * r.blocks for r in regions]
+    edges = [(n + b.at.region, i, max(0.0, e), max(0.0, -e)) for i, b in enumerate(found) if (e := regions[b.at.region].evidence)]
+    for k, r in enumerate(regions[1:], 1):
+        e = regions[r.parent].evidence
+        if e and r.blocks:  # what is marked against its surroundings is expected to differ from them
+            edges.append((n + r.parent, n + k, 0.0 if r.own < 0 else max(0.0, e) * r.blocks, max(0.0, -e) * r.blocks))
     last: dict[int, int] = {}
     for i, b in enumerate(found):
-        parent = b.path[-2] if len(b.path) > 1 else 0
+        if i and (w := closeness(found[i - 1], b)):
+            edges.append((i - 1, i, w, w))
+        parent = id(b.at.parent)
         if parent in last and last[parent] < i - 1:
-            edges.append((last[parent], i, 1.0))  # kin that others stand between
+            edges.append((last[parent], i, 1.0, 1.0))  # kin that others stand between
         last[parent] = i
-    return list(zip(found, min_cut([cost(b) for b in found], edges), strict=True))
+    return gain, edges
+
+
+def labelled(page: str | None) -> list[tuple[Block, bool]]:
+    found, regions = blocks(page or "")
+    return list(zip(found, min_cut(*graph(found, regions)), strict=False))
 
 
 def extract(page: str | None) -> str:
