@@ -4,10 +4,16 @@ Word pairs and words are counted over all training texts, and their counts quant
 level 1 + floor(log(c) / log(BASE)).  The filter holds (n-gram, 1), ... (n-gram, level); a level is read back by probing
 1, 2, ... until one is missing, so that an n-gram's level is never read too low, and too high with a chance that falls
 with each level.  The filter is laid out in segments by the n-gram's hash; each segment is built in a task of its own,
-from counts that were summed before the shuffle, and all are sent to the workers.
+from counts that were summed before the shuffle, with BITS_EACH bits for each entry, however many there are: its error
+rate does not depend on the size of the corpus, and its size grows with it.
+
+As long as the filter and the exact counts of words are small enough they are sent to all workers.  Beyond that the
+probes are sent to the segments instead: the distinct n-grams of a stretch of texts go to the tasks that hold their
+segments, and the levels come back to the stretch.  Both ways give the same scores.
 
 The model is a bigram model with a Dirichlet prior:  P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU)  with
-P(w) = (c(w) + 1) / (N + V + 1), every c read from the filter; N tokens and V distinct ones are exact.
+P(w) = (c(w) + 1) / (N + V + 1), every c read from the filter; N tokens and V distinct ones are exact.  As the counts are
+quantised and may be read too high, the probabilities of all w need not add up to one; they are not renormalised.
 
 The base score uses exact counts.  Words are known by their 64-bit hashes.
 """
@@ -15,11 +21,13 @@ The base score uses exact counts.  Words are known by their 64-bit hashes.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,15 +38,20 @@ from evenkeel.llm.common import ASCII_LOWER, Scratch, annotate, col, fresh, ship
 BASE = 1.5
 MU = 24.0
 PROBES = 5
-BITS_EACH = 7.3  # bits for each entry: PROBES / ln 2
-#: Bytes of the filter at most.  Where all entries would take more, each gets fewer bits and reading errs more often.
+BITS_EACH = 7.3  # bits for each entry: PROBES / ln 2; an entry that is not there is then read with a chance of 0.031
+#: Bytes of a filter that is sent to the workers at most.
 MAX_FILTER_BYTES = 192 << 20
-#: Words whose exact counts are sent to the workers (12 to 16 bytes each); with more, base scores come from a join.
+#: Words whose exact counts are sent to the workers (12 to 16 bytes each) at most.
 MAX_SENT_WORDS = 12_000_000
-#: Bytes of text for each segment, about.
+#: Bytes of text for each segment, about, as long as there are fewer than MAX_SEGMENTS.
 SEGMENT_BYTES = 4 << 20
-#: Tokens counted together before they are passed on.
+MAX_SEGMENTS = 1 << 16
+#: Tokens counted or scored together before they are passed on: so many, and so many for each segment if that is more,
+#: so that what is passed on for a segment is worth a row.
 TOKENS_AT_ONCE = 1_500_000
+TOKENS_A_SEGMENT = 64
+#: Bytes of counts that a segment's task takes before it adds them up.
+SUM_BYTES = 64 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _END, _START = np.uint64(0x1D), np.uint64(0x51)
@@ -87,30 +100,60 @@ def before(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _probe(keys: np.ndarray, level: int, k: int) -> np.ndarray:
     """The k-th hash of (n-gram, level)."""
-    x = mix(keys + _GOLD * np.uint64(level + 1))
+    with np.errstate(over="ignore"):
+        x = mix(keys + _GOLD * np.uint64(level + 1))
     return (x & np.uint64(0xFFFFFFFF)) + np.uint64(k) * ((x >> np.uint64(32)) | np.uint64(1))
 
 
+def read_levels(bits: np.ndarray, size: np.ndarray, offset: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The level of each n-gram, 0 if absent; its segment has `size` bits from byte `offset` of `bits` on."""
+    out = np.zeros(len(keys), np.int64)
+    alive = np.arange(len(keys))
+    for j in range(1, len(LEVELS)):
+        for k in range(PROBES):
+            at = _probe(keys[alive], j, k) % size[alive]
+            hit = bits[offset[alive] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+            alive = alive[hit.astype(bool)]
+        if not len(alive):
+            break
+        out[alive] = j
+    return out
+
+
+def place(hashes: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of each n-gram; a word's goes by mix(word), a pair's by its own hash."""
+    return (hashes >> np.uint64(64 - segments.bit_length() + 1)).astype(np.int64) if segments > 1 else np.zeros(len(hashes), np.int64)
+
+
 # Counting and building ----------------------------------------------------------------------------------------------
 
-_COUNTED = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("tokens", T.LongType())])
-_BUILT = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("bits", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("entries", T.LongType())])
+_COUNTED = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+_BUILT = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("bits", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("entries", T.LongType()), T.StructField("tokens", T.LongType())])
+
+
+def _by_segment(words: np.ndarray, grams: np.ndarray, segments: int) -> tuple[np.ndarray, Iterator[tuple[int, slice, slice]]]:
+    """The order of sorted distinct words by their segments, and each segment's slices of words in that order and of
+    sorted distinct pairs."""
+    of = place(mix(words), segments)
+    order = np.argsort(of, kind="stable")
+    a = np.searchsorted(of[order], np.arange(segments + 1))
+    b = np.searchsorted(place(grams, segments), np.arange(segments + 1))
+    full = np.flatnonzero((a[1:] > a[:-1]) | (b[1:] > b[:-1]))
+    return order, ((s, slice(a[s], a[s + 1]), slice(b[s], b[s + 1])) for s in full.tolist())
 
 
 def _counted(texts: DataFrame, segments: int) -> DataFrame:
     """Counts by segment: words' and pairs' hashes (their places in `counts` follow one another), summed per stretch."""
     arrow = to_arrow_schema(_COUNTED)
-    shift = np.uint64(64 - segments.bit_length() + 1)
+    most = max(TOKENS_AT_ONCE, TOKENS_A_SEGMENT * segments)
 
     def passed_on(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         words, n_words = np.unique(np.concatenate([h[0] for h in held]), return_counts=True)
         grams, n_grams = np.unique(np.concatenate([h[1] for h in held]), return_counts=True)
-        part = (lambda x: x >> shift) if segments > 1 else np.zeros_like
-        order = np.argsort(part(mix(words)), kind="stable")
+        with np.errstate(over="ignore"):
+            order, parts = _by_segment(words, grams, segments)
         words, n_words = words[order], n_words[order]
-        a = np.searchsorted(part(mix(words)), np.arange(segments + 1, dtype=np.uint64))
-        b = np.searchsorted(part(grams), np.arange(segments + 1, dtype=np.uint64))
-        rows = [(s, words[a[s] : a[s + 1]].tobytes(), grams[b[s] : b[s + 1]].tobytes(), np.concatenate((n_words[a[s] : a[s + 1]], n_grams[b[s] : b[s + 1]])).astype("<u4").tobytes(), int(n_words[a[s] : a[s + 1]].sum())) for s in range(segments) if a[s] < a[s + 1] or b[s] < b[s + 1]]
+        rows = [(s, words[a].tobytes(), grams[b].tobytes(), np.concatenate((n_words[a], n_grams[b])).astype("<u4").tobytes()) for s, a, b in parts]
         return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +164,7 @@ def _counted(texts: DataFrame, segments: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     held.append((words, pair(before(words, starts), words)))
                 n += len(words)
-                if n >= TOKENS_AT_ONCE:
+                if n >= most:
                     yield passed_on(held)
                     held, n = [], 0
         if n:
@@ -130,132 +173,149 @@ def _counted(texts: DataFrame, segments: int) -> DataFrame:
     return texts.mapInArrow(run, _COUNTED)
 
 
-def _summed(keys: list[bytes], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every, n = np.frombuffer(b"".join(keys), "<u8"), np.concatenate(counts) if counts else np.zeros(0)
-    distinct, at = np.unique(every, return_inverse=True)
-    return distinct, np.bincount(at, weights=n, minlength=len(distinct)).astype(np.int64)
+class _Sums:
+    """Counts by key, added up whenever SUM_BYTES have come in."""
+
+    def __init__(self):
+        self.keys, self.n, self.size = [], [], 0
 
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.n.append(n)
+        self.size += 16 * len(keys)
+        if self.size > SUM_BYTES + 32 * len(self.keys[0]):
+            self.done()
 
-def _built(counted: DataFrame, segments: int) -> DataFrame:
-    """The segments' bits, and their words with exact counts."""
-    most = 8 * MAX_FILTER_BYTES // segments
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        every = np.concatenate(self.keys) if self.keys else np.zeros(0, np.uint64)
+        distinct, at = np.unique(every, return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(self.n) if self.n else None, minlength=len(distinct)).astype(np.int64)
+        self.keys, self.n, self.size = [distinct], [n], 0
+        return distinct, n
 
-    def run(table: pa.Table) -> pa.Table:
-        words, grams, n_words, n_grams = [], [], [], []
-        for w, g, c in zip(*(table.column(n).to_pylist() for n in ("words", "grams", "counts")), strict=True):
-            counts = np.frombuffer(c, "<u4")
-            words.append(w)
-            grams.append(g)
-            n_words.append(counts[: len(w) // 8])
-            n_grams.append(counts[len(w) // 8 :])
-        words, n_words = _summed(words, n_words)
-        grams, n_grams = _summed(grams, n_grams)
-        segment = table.column("segment")[0].as_py()
+
+def _built(counted: DataFrame) -> DataFrame:
+    """The segments' bits, and their words with exact counts; a task holds one segment at a time."""
+    arrow = to_arrow_schema(_BUILT)
+
+    def made(segment: int, words: _Sums, grams: _Sums) -> pa.RecordBatch:
+        (words, n_words), (grams, n_grams) = words.done(), grams.done()
         with np.errstate(over="ignore"):
             # A word's own entry may belong to another segment than its pairs' and is put where the word is.
             keys, level = np.concatenate((single(words), grams)), np.concatenate((levels(n_words), levels(n_grams)))
             entries = int(level.sum())
-            size = max(64, min(most, math.ceil(entries * BITS_EACH / 64) * 64))
+            size = max(64, math.ceil(entries * BITS_EACH / 64) * 64)
             bits = np.zeros(size, bool)
             for j in range(1, int(level.max()) + 1):
                 at = keys[level >= j]
                 for k in range(PROBES):
                     bits[_probe(at, j, k) % np.uint64(size)] = True
-        made = [[segment], [np.packbits(bits, bitorder="little").tobytes()], [words.astype("<u8").tobytes()], [n_words.astype("<i8").tobytes()], [entries]]
-        return pa.Table.from_arrays([pa.array(x, type=f.type) for x, f in zip(made, to_arrow_schema(_BUILT), strict=True)], schema=to_arrow_schema(_BUILT))
+        row = [[segment], [np.packbits(bits, bitorder="little").tobytes()], [words.astype("<u8").tobytes()], [n_words.astype("<i8").tobytes()], [entries], [int(n_words.sum())]]
+        return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(row, arrow, strict=True)], schema=arrow)
 
-    return counted.groupBy("segment").applyInArrow(run, _BUILT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words, grams = None, _Sums(), _Sums()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                segment = batch.column(0)[i].as_py()
+                if segment != now:
+                    if now is not None:
+                        yield made(now, words, grams)
+                    now, words, grams = segment, _Sums(), _Sums()
+                w, g, n = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((1, "<u8"), (2, "<u8"), (3, "<u4")))
+                words.add(w.copy(), n[: len(w)].copy())
+                grams.add(g.copy(), n[len(w) :].copy())
+        if now is not None:
+            yield made(now, words, grams)
+
+    return counted.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, _BUILT)
 
 
 @dataclass
-class Filter:
-    """The filter, as it is sent to the workers."""
+class Totals:
+    """What a score needs beside the counts."""
 
-    segments: int
-    sizes: np.ndarray  # bits of each segment
-    offsets: np.ndarray  # bytes before each segment
-    bits: np.ndarray  # bytes
     texts: int
     tokens: int
     distinct: int
 
-    def levels(self, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
-        """The level of each n-gram, 0 if absent."""
-        out = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
-        size, offset = self.sizes[segment], self.offsets[segment]
-        for j in range(1, len(LEVELS)):
-            for k in range(PROBES):
-                at = _probe(keys[alive], j, k) % size[alive]
-                hit = self.bits[offset[alive] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-                alive = alive[hit.astype(bool)]
-            if not len(alive):
-                break
-            out[alive] = j
-        return out
-
-    def place(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - self.segments.bit_length() + 1)).astype(np.int64) if self.segments > 1 else np.zeros(len(hashes), np.int64)
-
-    def score(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
-        with np.errstate(over="ignore"):
-            prior = before(words, starts)
-            singles, at = np.unique(np.concatenate((words, prior)), return_inverse=True)
-            counts = LEVELS[self.levels(single(singles), self.place(mix(singles)))]
-            counts[singles == _START] = self.texts
-            word, context = counts[at[: len(words)]], counts[at[len(words) :]]
-            pairs, at = np.unique(pair(prior, words), return_inverse=True)
-            both = LEVELS[self.levels(pairs, self.place(pairs))][at]
+    def score(self, words: np.ndarray, starts: np.ndarray, prior: np.ndarray, word: np.ndarray, context: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, from the counts of its words, of those before them, and of the pairs."""
+        context = np.where(prior == _START, self.texts, context)
         plain = (word + 1) / (self.tokens + self.distinct + 1)
         both = np.minimum(both, np.minimum(context, word))  # a pair is no more frequent than its words
         p = (both + MU * plain) / (context + MU)
         return np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
 
+    def base(self, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(known tokens, base score) of each text."""
+        whole = self.tokens + self.distinct + 1
+        return np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(np.log10((counts + 1) / whole), starts)
+
+
+@dataclass
+class Filter:
+    """The filter and the exact counts, as they are sent to the workers."""
+
+    segments: int
+    sizes: np.ndarray  # bits of each segment
+    offsets: np.ndarray  # bytes before each segment
+    bits: np.ndarray  # bytes
+    words: np.ndarray  # sorted hashes
+    counts: np.ndarray  # and their counts
+
+    def levels(self, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        return read_levels(self.bits, self.sizes[segment], self.offsets[segment], keys)
+
+    def exact(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.counts[at].astype(np.int64), 0)
+
 
 @dataclass
 class Model:
-    filter: Filter
-    words: np.ndarray | None  # sorted hashes with exact counts, where they may be sent
-    counts: np.ndarray | None
-    table: DataFrame  # (segment, words, counts)
+    totals: Totals
+    segments: int
+    filter: Filter | None  # where it may be sent
+    table: DataFrame  # the segments (_BUILT)
+    filter_bytes: int
+    entries: int
 
 
 def train(spark: SparkSession, scratch: Scratch, docs: DataFrame, text_col: str = "text") -> Model:
     """Counts all of docs' texts; null ones are empty.  What the driver holds is bounded by MAX_FILTER_BYTES and
-    MAX_SENT_WORDS."""
+    MAX_SENT_WORDS; a larger model stays in its table."""
     ship(spark)
     texts = docs.select(F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    segments = 1 << max(0, math.ceil(math.log2(max(1, size / SEGMENT_BYTES))))
-    built = scratch.keep(_built(_counted(texts, segments), segments), "built", "uncompressed")
-    held = built.select("segment", F.octet_length("bits").alias("bits"), (F.octet_length("words") / 8).cast("long").alias("words")).collect()
-    distinct = sum(r["words"] for r in held)
-    send = distinct <= MAX_SENT_WORDS
+    segments = min(MAX_SEGMENTS, 1 << max(0, math.ceil(math.log2(max(1, size / SEGMENT_BYTES)))))
+    built = scratch.keep(_built(_counted(texts, segments)), "built", "uncompressed")
+    none = F.lit(0).cast("long")
+    size, distinct, total, entries = built.agg(*[F.coalesce(F.sum(c), none) for c in (F.octet_length("bits"), F.octet_length("words") / 8, F.col("tokens"), F.col("entries"))]).first()
+    distinct = int(distinct)
+    totals = Totals(rows, total, distinct)
+    if size > MAX_FILTER_BYTES or distinct > MAX_SENT_WORDS:
+        return Model(totals, segments, None, built, size, entries)
     # Everything is put where it belongs as it arrives, so that nothing is held twice.
-    flat = np.zeros(sum(r["bits"] for r in held) + 8, np.uint8)
-    words, counts = (np.empty(distinct if send else 0, t) for t in (np.uint64, np.int64))
-    sizes, offsets, at, w, total = np.full(segments, 64, np.uint64), np.full(segments, len(flat) - 8, np.int64), 0, 0, 0
-    columns = ["segment", "bits", "counts", *["words"] * send]
-    for r in built.select(*columns).toLocalIterator():
+    flat = np.zeros(size + 8, np.uint8)
+    words, counts = np.empty(distinct, np.uint64), np.empty(distinct, np.int64)
+    sizes, offsets, at, w = np.full(segments, 64, np.uint64), np.full(segments, size, np.int64), 0, 0
+    for r in built.select("segment", "bits", "counts", "words").toLocalIterator():
         bits, n = np.frombuffer(r["bits"], np.uint8), np.frombuffer(r["counts"], "<i8")
         sizes[r["segment"]], offsets[r["segment"]] = 8 * len(bits), at
         flat[at : at + len(bits)] = bits
         at += len(bits)
-        total += int(n.sum())
-        if send:
-            words[w : w + len(n)] = np.frombuffer(r["words"], "<u8")
-            counts[w : w + len(n)] = n
-            w += len(n)
-    found = Filter(segments, sizes, offsets, flat, rows, total, distinct)
-    if not send:
-        return Model(found, None, None, built)
+        words[w : w + len(n)] = np.frombuffer(r["words"], "<u8")
+        counts[w : w + len(n)] = n
+        w += len(n)
     if counts.max(initial=0) < 1 << 32:
         counts = counts.astype(np.uint32)
     order = np.argsort(words)
     counts = counts[order]
     words.sort()
-    return Model(found, words, counts, built)
+    return Model(totals, segments, Filter(segments, sizes, offsets, flat, words, counts), built, size, entries)
 
 
 # Scoring ------------------------------------------------------------------------------------------------------------
@@ -263,77 +323,167 @@ def train(spark: SparkSession, scratch: Scratch, docs: DataFrame, text_col: str
 FIELDS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
 
-def _base(words: np.ndarray, starts: np.ndarray, known: np.ndarray, counts: np.ndarray, whole: int) -> tuple[np.ndarray, np.ndarray]:
-    """(known tokens, base score) of each text."""
-    distinct, back = np.unique(words, return_inverse=True)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
-        c = np.where(known[at] == distinct, counts[at].astype(np.int64), 0)[back]
-    else:
-        c = np.zeros(len(words), np.int64)
-    return np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(np.log10((c + 1) / whole), starts)
+def _needed(words: np.ndarray, starts: np.ndarray):
+    """The tokens before, the distinct words (of both) with their places, the distinct pairs with theirs."""
+    with np.errstate(over="ignore"):
+        prior = before(words, starts)
+        singles, at = np.unique(np.concatenate((words, prior)), return_inverse=True)
+        pairs, back = np.unique(pair(prior, words), return_inverse=True)
+    return prior, singles, at[: len(words)], at[len(words) :], pairs, back
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, scratch: Scratch, text_col: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, str]:
     """docs' columns (`keep`, all by default) and a struct FIELDS; and that column's name.
 
     n_tokens counts the end; n_known those tokens that the training texts have; base_score is exact; score is the
-    model's log10 probability of the text and its end.  Null and empty texts are an end alone.  Repeated rows stay; an
-    empty table gives no rows; after training on nothing all tokens are unknown.
+    model's log10 probability of the text and its end.  Null and empty texts are an end alone.  Texts of any length are
+    scored whole.  Repeated rows stay; an empty table gives no rows; after training on nothing all tokens are unknown.
     """
     ship(spark)
-    whole = model.filter.tokens + model.filter.distinct + 1
-    sent = spark.sparkContext.broadcast((model.filter, model.words, model.counts))
-    exact = model.words is not None
+    name, keep = fresh(docs, "lm"), list(docs.columns if keep is None else keep)
+    if model.filter is None:
+        return _score_routed(docs, model, scratch, text_col, name, keep), name
+    sent = spark.sparkContext.broadcast((model.totals, model.filter))
 
     def make():
-        lm, known, counts = sent.value
+        totals, lm = sent.value
 
         def kernel(texts):
             words, starts = tokens(texts)
-            n = np.diff(np.append(starts, len(words)))
-            sure, base = _base(words, starts, known, counts, whole) if exact else (None, None)
-            none = [None] * len(texts)
-            return {"n_tokens": n, "n_known": sure if exact else none, "base_score": base if exact else none, "score": lm.score(words, starts)}
+            prior, singles, word, context, pairs, back = _needed(words, starts)
+            with np.errstate(over="ignore"):
+                counts = LEVELS[lm.levels(single(singles), place(mix(singles), lm.segments))]
+                both = LEVELS[lm.levels(pairs, place(pairs, lm.segments))][back]
+            sure, base = totals.base(lm.exact(singles)[word], starts)
+            return {"n_tokens": np.diff(np.append(starts, len(words))), "n_known": sure, "base_score": base, "score": totals.score(words, starts, prior, counts[word], counts[context], both)}
 
         return kernel
 
-    name = fresh(docs, "lm")
-    if exact:
-        return annotate(docs, text_col, make, FIELDS, name, keep), name
-    return _score_joined(docs, model, scratch, make, whole, text_col, name, list(docs.columns if keep is None else keep)), name
+    return annotate(docs, text_col, make, FIELDS, name, keep), name
 
 
-def _score_joined(docs: DataFrame, model: Model, scratch: Scratch, make, whole: int, text_col: str, name: str, keep: list[str]) -> DataFrame:
-    """The same, with exact counts joined to each text's distinct words instead of sent; equal texts are joined once."""
-    key = fresh(docs, "__text_key")
-    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(col(text_col).cast("string"), F.lit(""))))
-    bag = T.StructType([T.StructField("word", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))])
+def _score_routed(docs: DataFrame, model: Model, scratch: Scratch, text_col: str, name: str, keep: list[str]) -> DataFrame:
+    """The same, with the probes sent to the segments.
 
-    def bags():
-        def kernel(texts):
-            words, starts = tokens(texts)
-            found = [np.unique(w, return_counts=True) for w in np.split(words, starts[1:])]
-            return {"word": [w.view(np.int64) for w, _ in found], "times": [n for _, n in found]}
+    A stretch is a run of texts of one partition.  Stretches are written with their tokens; their distinct n-grams, one
+    row for each segment, meet the segments' rows, and the answers the stretches' rows, in partitions sorted so that
+    either comes first, and tasks hold one of them at a time.
+    """
+    segments, totals = model.segments, model.totals
+    most = max(TOKENS_AT_ONCE, TOKENS_A_SEGMENT * segments)
+    row = T.StructType([docs.schema[c] for c in keep])
+    kept = T.StructType([T.StructField("stretch", T.LongType()), T.StructField("rows", T.ArrayType(row)), T.StructField("starts", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
+    kept_arrow, cells = to_arrow_schema(kept), to_arrow_schema(row)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch = TaskContext.get().partitionId() << 32
+        held, n = [], 0
 
-        return kernel
+        def made() -> pa.RecordBatch:
+            rows = pa.concat_arrays([h[0] for h in held])
+            offset = np.cumsum([0, *(len(h[1]) for h in held)])
+            starts = np.concatenate([h[2] + o for h, o in zip(held, offset, strict=False)])
+            columns = [pa.array([stretch]), pa.ListArray.from_arrays([0, len(rows)], rows).cast(kept_arrow.field(1).type), pa.array([starts.tobytes()]), pa.array([np.concatenate([h[1] for h in held]).tobytes()])]
+            return pa.RecordBatch.from_arrays(columns, schema=kept_arrow)
+
+        for batch in batches:
+            for a, b in slices(batch.column(len(keep))):
+                part = batch.slice(a, b - a)
+                words, starts = tokens(part.column(len(keep)).to_pylist())
+                held.append((pa.StructArray.from_arrays([part.column(i).cast(f.type) for i, f in enumerate(cells)], fields=list(cells)), words, starts))
+                n += len(words)
+                if n >= most:
+                    yield made()
+                    stretch, held, n = stretch + 1, [], 0
+        if held:
+            yield made()
+
+    source = docs.select(*map(col, keep), F.coalesce(col(text_col).cast("string"), F.lit("")).alias(fresh(docs, "__text")))
+    stretches = scratch.keep(source.mapInArrow(cut, kept), f"stretches-{uuid.uuid4().hex}")
+
+    asked = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("stretch", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("grams", T.BinaryType())])
+    asked_arrow = to_arrow_schema(asked)
 
-    held = annotate(keyed, text_col, bags, bag, "bag", [key]).dropDuplicates([key]).select(F.col(key).alias("key"), F.explode(F.arrays_zip("bag.word", "bag.times")).alias("b"))
-    wide = T.StructType([T.StructField("word", T.LongType()), T.StructField("c", T.LongType())])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                starts, words = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((1, "<i8"), (2, "<u8")))
+                _, singles, _, _, pairs, _ = _needed(words, starts)
+                with np.errstate(over="ignore"):
+                    order, parts = _by_segment(singles, pairs, segments)
+                singles, stretch = singles[order], batch.column(0)[i].as_py()
+                rows = [(s, stretch, singles[a].tobytes(), pairs[b].tobytes()) for s, a, b in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True), asked_arrow, strict=True)], schema=asked_arrow)
+
+    probes = stretches.select("stretch", "starts", "tokens").mapInArrow(ask, asked)
+    none = F.lit(None)
+    built = model.table.select("segment", none.cast("long").alias("stretch"), "words", none.cast("binary").alias("grams"), "bits", "counts")
+    met = built.unionByName(probes.withColumns({"bits": none.cast("binary"), "counts": none.cast("binary")}))
+    answer = T.StructType([T.StructField("stretch", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("words", "grams", "counts", "levels"))])
+    answer_arrow = to_arrow_schema(answer)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits, known, counts = None, None, None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda k, t, i=i, batch=batch: np.frombuffer(batch.column(k)[i].as_buffer(), t)
+                segment, stretch = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if stretch is None:
+                    now, bits, known, counts = segment, get(4, np.uint8).copy(), get(2, "<u8").copy(), get(5, "<i8").copy()
+                    continue
+                words, grams = get(2, "<u8"), get(3, "<u8")
+                n, level = np.zeros(len(words), "<i8"), np.zeros(len(words) + len(grams), np.uint8)
+                if segment == now:  # else no n-gram of the training texts is there
+                    with np.errstate(over="ignore"):
+                        keys = np.concatenate((single(words), grams))
+                    level = read_levels(bits, np.full(len(keys), 8 * len(bits), np.uint64), np.zeros(len(keys), np.int64), keys).astype(np.uint8)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                        n = np.where(known[at] == words, counts[at], 0)
+                made = [[stretch], [words.tobytes()], [grams.tobytes()], [n.astype("<i8").tobytes()], [level.tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(made, answer_arrow, strict=True)], schema=answer_arrow)
+
+    answers = met.select("segment", "stretch", "words", "grams", "bits", "counts").repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("stretch")).mapInArrow(probe, answer)
+
+    out = T.StructType([*row.fields, T.StructField(name, FIELDS)])
+    out_arrow, fields = to_arrow_schema(out), to_arrow_schema(FIELDS)
+    told = answers.select("stretch", none.cast(kept["rows"].dataType).alias("rows"), none.cast("binary").alias("starts"), none.cast("binary").alias("tokens"), "words", "grams", "counts", "levels")
+    whole = stretches.withColumns({n: none.cast("binary") for n in ("words", "grams", "counts", "levels")}).unionByName(told)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, got = None, []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            rows, starts, words = held
+            prior, singles, word, context, pairs, back = _needed(words, starts)
+            asked_words, asked_pairs = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+            counts, word_levels, pair_levels = (np.concatenate([g[k] for g in got]) for k in (2, 3, 4))
+            at = np.argsort(asked_words)
+            exact, quantised = counts[at], LEVELS[word_levels[at]]
+            both = LEVELS[pair_levels[np.argsort(asked_pairs)]]
+            assert len(exact) == len(singles) and len(both) == len(pairs)
+            sure, base = totals.base(exact[word], starts)
+            result = {"n_tokens": np.diff(np.append(starts, len(words))), "n_known": sure, "base_score": base, "score": totals.score(words, starts, prior, quantised[word], quantised[context], both[back])}
+            structs = pa.StructArray.from_arrays([pa.array(result[f.name], type=f.type) for f in fields], fields=list(fields))
+            for i in range(0, len(rows), 5000):
+                part = rows.slice(i, 5000)
+                yield pa.RecordBatch.from_arrays([*part.flatten(), structs.slice(i, 5000)], schema=out_arrow)
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(w, "<i8")), pa.array(np.frombuffer(c, "<i8"))], schema=to_arrow_schema(wide))
-
-    counts = model.table.select("words", "counts").mapInArrow(opened, wide)
-    joined = held.select("key", F.col("b.word").alias("word"), F.col("b.times").alias("times")).join(counts, "word", "left")
-    c = F.coalesce("c", F.lit(0).cast("long"))
-    sums = joined.groupBy("key").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("sure"), F.sum(F.col("times") * F.log10((c + 1) / F.lit(whole))).alias("base"))
-    sums = scratch.keep(sums, "base").select(F.col("key").alias(key), F.col("sure").alias("__sure"), F.col("base").alias("__base"))
-    made = annotate(keyed, text_col, make, FIELDS, name, [*keep, key]).join(sums, key)
-    whole_struct = F.struct(F.col(f"{name}.n_tokens"), F.col("__sure").alias("n_known"), F.col("__base").alias("base_score"), F.col(f"{name}.score"))
-    return made.select(*map(col, keep), whole_struct.alias(name))
+            for i in range(batch.num_rows):
+                get = lambda k, t, i=i, batch=batch: np.frombuffer(batch.column(k)[i].as_buffer(), t).copy()
+                if batch.column(3)[i].is_valid:
+                    if held is not None:
+                        yield from made()
+                    held, got = (batch.column(1)[i].values, get(2, "<i8"), get(3, "<u8")), []
+                else:
+                    words, level = get(4, "<u8"), get(7, np.uint8)
+                    got.append((words, get(5, "<u8"), get(6, "<i8"), level[: len(words)], level[len(words) :]))
+        if held is not None:
+            yield from made()
+
+    whole = whole.select("stretch", "rows", "starts", "tokens", "words", "grams", "counts", "levels")
+    return whole.repartition("stretch").sortWithinPartitions("stretch", F.col("tokens").isNull()).mapInArrow(finish, out)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:

@@ -35,7 +35,7 @@ def op3_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "lmscore")
     model = lmscore.train(spark, scratch, docs.where(~held))
     made, c = lmscore.score(spark, docs, model, scratch, keep=["doc_id"])
-    return made.select("doc_id", held.alias("held_out"), f"{c}.n_tokens", f"{c}.n_known", F.lit(model.filter.tokens).cast("long").alias("train_tokens"), f"{c}.base_score", f"{c}.score")
+    return made.select("doc_id", held.alias("held_out"), f"{c}.n_tokens", f"{c}.n_known", F.lit(model.totals.tokens).cast("long").alias("train_tokens"), f"{c}.base_score", f"{c}.score")
 
 
 def spans_digest(spans, kinds: list[str], only: int | None = None):

@@ -47,7 +47,7 @@ def test_base_scores_are_exact(scored):
     rows, _, model, _, got = scored
     train = Counter(t for i, x in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for t in plain_tokens(x))
     n, v = sum(train.values()), len(train)
-    assert (model.filter.tokens, model.filter.distinct) == (n, v)
+    assert (model.totals.tokens, model.totals.distinct) == (n, v)
     assert len(got) == len(rows)
     for r in got:
         t = plain_tokens(r["text"])
@@ -67,30 +67,60 @@ def test_levels_read_back(scored):
     words, starts = lmscore.tokens([x for i, x in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2])
     with np.errstate(over="ignore"):
         pairs, n = np.unique(lmscore.pair(lmscore.before(words, starts), words), return_counts=True)
-        got = model.filter.levels(pairs, model.filter.place(pairs))
+        got = model.filter.levels(pairs, lmscore.place(pairs, model.segments))
         strange = lmscore.mix(np.arange(1, 20_001, dtype=np.uint64))
-        wrong = model.filter.levels(strange, model.filter.place(strange))
+        wrong = model.filter.levels(strange, lmscore.place(strange, model.segments))
     want = lmscore.levels(n)
     assert (got >= want).all() and (got > want).mean() < 0.1
     assert (wrong > 0).mean() < 0.06
     assert lmscore.LEVELS[1:4].tolist() == [1, 2, 3]
 
 
-def test_joined_counts_give_the_same(scored, spark):
-    _, df, model, scratch, got = scored
-    other = lmscore.Model(model.filter, None, None, model.table)
-    made, c = lmscore.score(spark, df, other, Scratch(spark, "test"), keep=["doc_id", "text"])
-    key = lambda r, s: (str(r["doc_id"]), str(r["text"]), s["n_tokens"], s["n_known"], round(s["base_score"], 8), round(s["score"], 8))
-    assert sorted(key(r, r[c]) for r in made.collect()) == sorted(key(r, r["s"]) for r in got)
+def key(r, s):
+    return str(r["doc_id"]), str(r["text"]), s["n_tokens"], s["n_known"], round(s["base_score"], 8), round(s["score"], 8)
+
+
+@pytest.mark.parametrize("limit", ["MAX_FILTER_BYTES", "MAX_SENT_WORDS"])
+def test_routed_probes_give_the_same(spark, monkeypatch, limit):
+    rows = [*table(), (600, "w1 w2 " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lm", F.lit(1)).repartition(3)
+    train = df.where(~lmscore.held_out())
+    monkeypatch.setattr(lmscore, "SEGMENT_BYTES", 2000)
+    scratch = Scratch(spark, "test")
+    made, c = lmscore.score(spark, df, lmscore.train(spark, scratch, train), scratch)
+    want = sorted(key(r, r[c]) for r in made.collect())
+    monkeypatch.setattr(lmscore, limit, 10)
+    monkeypatch.setattr(lmscore, "TOKENS_AT_ONCE", 500)
+    monkeypatch.setattr(lmscore, "TOKENS_A_SEGMENT", 1)
+    monkeypatch.setattr(lmscore, "SUM_BYTES", 100)
+    scratch = Scratch(spark, "test")
+    model = lmscore.train(spark, scratch, train)
+    assert model.filter is None and model.segments > 4
+    made, c = lmscore.score(spark, df, model, scratch, keep=["doc_id", "text"])
+    assert made.columns == ["doc_id", "text", "_lm"]
+    assert sorted(key(r, r[c]) for r in made.collect()) == want
+    assert lmscore.score(spark, df.limit(0), model, scratch)[0].count() == 0
 
 
 def test_segments(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "SEGMENT_BYTES", 2000)
     df = spark.createDataFrame(table(), "doc_id long, text string")
     model = lmscore.train(spark, Scratch(spark, "test"), df)
-    assert model.filter.segments > 4
+    assert model.segments > 4
     counts = Counter(t for _, x in table() for t in plain_tokens(x))
-    assert model.counts.sum() == sum(counts.values()) and sorted(model.counts.tolist()) == sorted(counts.values())
+    assert model.filter.counts.sum() == sum(counts.values()) and sorted(model.filter.counts.tolist()) == sorted(counts.values())
+
+
+@pytest.mark.parametrize(("texts", "segment"), [(40, 4 << 20), (1500, 4 << 20), (1500, 8000)])
+def test_the_error_rate_does_not_depend_on_the_size(spark, monkeypatch, texts, segment):
+    monkeypatch.setattr(lmscore, "SEGMENT_BYTES", segment)
+    rng = random.Random(texts)
+    df = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**7)}" for _ in range(50))) for i in range(texts)], "doc_id long, text string")
+    model = lmscore.train(spark, Scratch(spark, "test"), df)
+    strange = lmscore.mix(np.arange(1, 40_001, dtype=np.uint64))
+    wrong = (model.filter.levels(strange, lmscore.place(strange, model.segments)) > 0).mean()
+    assert 0.02 < wrong < 0.045  # (1 - exp(-PROBES / BITS_EACH)) ** PROBES = 0.031
+    assert model.filter_bytes * 8 < 1.1 * lmscore.BITS_EACH * model.entries + 64 * model.segments
 
 
 def test_nothing(spark):
