@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.functions.special import let
 
-#: First code point given to tokens; from here on there are some 20,000 before the surrogates.
-_FIRST = 0x4E00
-MOST_TOKENS = 0xD7FF - _FIRST
+#: First code point given to tokens; they go up to the last one there is.
+_FIRST = 0x10000
+MOST_TOKENS = 0x10FFFF - _FIRST + 1
 
 
 def words(text: Column) -> Column:
@@ -21,25 +23,43 @@ def words(text: Column) -> Column:
 
 
 #: Tokenizers by name; others are added as functions from a text column to an array column.
-TOKENIZERS: dict[str, Callable[[Column], Column]] = {"words": words}
+TOKENIZERS: dict[str, Callable[[Column], Column]] = {"words": words, "letters": lambda text: F.split(text, "")}
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays of tokens.
+def tokenized(text: Column, name: str = "words") -> Column:
+    if name not in TOKENIZERS:
+        raise ValueError(f"no tokenizer {name}; there are {', '.join(sorted(TOKENIZERS))}")
+    return TOKENIZERS[name](text)
 
-    Each distinct token of the pair stands for one character, so that the built-in function does the work; a pair with
-    more than MOST_TOKENS distinct tokens is an error.
-    """
 
-    def body(p: Column) -> Column:
-        def coded(x: Column) -> Column:
-            place = lambda t: F.array_position(p["all"], t) + (_FIRST - 1)
-            return F.array_join(F.transform(x, lambda t: F.decode(F.unhex(F.lpad(F.hex(place(t)), 4, "0")), "UTF-16BE")), "")
+_CODED = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+
+
+@F.pandas_udf(_CODED)
+def _coded(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Both arrays as strings in which each distinct token of the pair is one character."""
+
+    def one(x, y):
+        if x is None or y is None:
+            return None, None
+        place: dict[str, str] = {}
+        for t in (*x, *y):
+            if t not in place:
+                if len(place) >= MOST_TOKENS:
+                    raise ValueError(f"more than {MOST_TOKENS} distinct tokens in a pair")
+                place[t] = chr(_FIRST + len(place))
+        return "".join([place[t] for t in x]), "".join([place[t] for t in y])
 
-        many = F.raise_error(F.lit(f"more than {MOST_TOKENS} distinct tokens in a pair")).cast("int")
-        return F.when(F.size(p["all"]) > MOST_TOKENS, many).otherwise(F.levenshtein(coded(p["a"]), coded(p["b"])))
+    return pd.DataFrame([one(x, y) for x, y in zip(a, b, strict=True)], columns=["a", "b"])
 
-    return let(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("all")), body)
+
+def distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two arrays of tokens.
+
+    Each distinct token of the pair stands for one character (in batches, as looking tokens up in arrays would take the
+    square of their number), so that the built-in function does the work.
+    """
+    return let(_coded(a, b), lambda p: F.levenshtein(p["a"], p["b"]))
 
 
 def change_pct(a: Column, b: Column) -> Column:

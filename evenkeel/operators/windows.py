@@ -155,23 +155,25 @@ def running_total(df: DataFrame, order: Sequence[str | Column], weight: str, nam
     return kept.join(bases, "__part").select(*source.columns, (F.col("__base") + F.col("__run")).alias(name))
 
 
-def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
-    """One row with q0, q1, ... : exact quantiles (linear between neighbours) of non-null values; null without any.
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
+    """q0, q1, ... of each group (or of all, in one row): exact quantiles, linear between neighbours, of non-null values.
 
     Equal values are counted before anything is ordered; the few ranks that are wanted are looked up in the running
-    counts of range partitions, so that no task holds all values.
+    counts of range partitions, so that no task holds all values of a group.  Null without any value.
     """
-    tied = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").cast("double").alias("__w"))
-    ranked = running_total(tied, [value], "__w", "__before")
-    n = df.agg(F.count(value)).first()[0]
+    tied = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").cast("double").alias("__w"))
+    ranked = running_total(tied, [*group, value], "__w", "__before")
+    sizes = df.groupBy(*group).agg(F.count(value).cast("double").alias("__n"))
+    firsts = ranked.groupBy(*group).agg(F.min("__before").alias("__first"))
+    whole = few(sizes.alias("a").join(firsts.alias("b"), _same(group) or F.lit(True), "left").select(*[F.col(f"a.{g}") for g in group], "__n", "__first"))
+    rows = whole.alias("a").join(ranked.alias("b"), _same(group) or F.lit(True), "left").select(*[F.col(f"a.{g}") for g in group], "__n", F.col("__w"), F.col(value), (F.col("__before") - F.col("__first")).alias("__at"))
     out = []
     for i, share in enumerate(shares):
-        at = share * (n - 1)
-        low, part = int(at), at - int(at)
-        pick = lambda k: F.max(F.when((F.col("__before") <= k) & (F.lit(k) < F.col("__before") + F.col("__w")), F.col(value)))
-        a, b = pick(low), pick(min(low + 1, n - 1))
-        out.append((a + (b - a) * part).alias(f"q{i}"))
-    return ranked.agg(*out)
+        rank = share * (F.col("__n") - 1)
+        pick = lambda k: F.max(F.when((F.col("__at") <= k) & (k < F.col("__at") + F.col("__w")), F.col(value)))
+        low, high = pick(F.floor(rank)), pick(F.least(F.floor(rank) + 1, F.col("__n") - 1))
+        out.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(f"q{i}"))
+    return rows.groupBy(*group).agg(*out)
 
 
 def head(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
@@ -193,11 +195,12 @@ def few_shot(df: DataFrame, context: str, key: str, cost: str, budget: int, draw
     rows = index_within_large(df.select(context, key, cost), [context], [key], "__i")
     sized = rows.join(few(df.groupBy(context).agg(F.count("*").alias("__n"))), context).where("__n > 2")
     tried = sized.select(context, key, "__i", "__n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("attempt"))
-    draw = lambda k, n: F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("attempt"), F.lit(k)), n)
-    tried = tried.withColumn("__a", draw(1, F.col("__n") - 1))
+    draw = lambda k, n: F.conv(F.substring(hashed(seed, key, "attempt", k), 1, 8), 16, 10).cast("long") % n
+    tried = tried.withColumns({"__one": F.lit(1), "__two": F.lit(2)})
+    tried = tried.withColumn("__a", draw("__one", F.col("__n") - 1))
     tried = tried.withColumn("__a", F.col("__a") + (F.col("__a") >= F.col("__i")).cast("long"))
     low, high = F.least("__a", "__i"), F.greatest("__a", "__i")
-    second = draw(2, F.col("__n") - 2)
+    second = draw("__two", F.col("__n") - 2)
     second = second + (second >= low).cast("long")
     tried = tried.withColumn("__b", second + (second >= high).cast("long"))
     one = rows.select(context, F.col("__i").alias("__a"), F.col(key).alias("first"), F.col(cost).alias("__ca"))

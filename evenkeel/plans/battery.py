@@ -63,3 +63,10 @@ def calibration_summary(power: DataFrame) -> DataFrame:
     """False-positive rates (sigma_pert = 0, sigma > 0) overall, by metric and by condition, in one pass."""
     null = power.where("sigma_pert = 0 AND sigma > 0")
     return null.groupingSets([[], ["metric"], ["condition"]], "metric", "condition").agg(F.avg("detection_rate").alias("mean_rate"), F.max("detection_rate").alias("max_rate"), F.count("*").alias("n"))
+
+
+def error_bars(counts: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """n, flip rate and its standard error for each cell, in order: what a plot with error bars draws."""
+    four = {n: F.col(n) for n in ("n00", "n01", "n10", "n11")}
+    c = counts.select(*cells, sum(list(four.values())[1:], four["n00"]).alias("n"), stats.flip_rate(four).alias("flip_rate"))
+    return c.withColumn("se", F.sqrt(F.col("flip_rate") * (1 - F.col("flip_rate")) / F.col("n"))).orderBy(*cells)

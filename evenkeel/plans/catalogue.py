@@ -1,14 +1,14 @@
 """Queries over the driver's tables, one or more for each operator family, with SQL that DuckDB can run beside them.
 
-Doubles are rounded to six places on both sides.  Word borders in SQL are ASCII, so that text queries whose SQL relies
-on them take ASCII documents on both sides.
+Doubles are rounded to six places on both sides.  Word borders are those of Unicode letters and digits on both sides;
+DuckDB's own are ASCII, so that its SQL spells them out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions import divergence as dv
@@ -253,7 +253,17 @@ def paired_t_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.select(*CELLS, F.col("n").cast("long").alias("n"), "mean", (F.col("sd") / F.sqrt("n")).alias("se"), "t"))
 
 
-@query("TST-4 FUN-2")
+def _ci_sql(levels: tuple[float, ...]) -> str:
+    """Quantiles by sixty bisections, as a recursive query over the few cells."""
+    m = "m AS (SELECT perturbation, task, CAST(count(*) AS DOUBLE) AS n, avg(d) AS mean, stddev_samp(d) AS sd FROM (SELECT *, logit_swapped - logit_baseline AS d FROM v) GROUP BY 1, 2)"
+    q = f"q AS (SELECT perturbation, task, n - 1 AS nu, unnest({[0.5 - x / 2 for x in levels]}) AS p, unnest(range({len(levels)})) AS i, 0.0::DOUBLE AS low, 1000.0::DOUBLE AS high, 0 AS k FROM m UNION ALL SELECT perturbation, task, nu, p, i, CASE WHEN u > p THEN (low + high) / 2 ELSE low END, CASE WHEN u > p THEN high ELSE (low + high) / 2 END, k + 1 FROM (SELECT *, {tsf('((low + high) / 2)', 'nu')} AS u FROM q WHERE k < 60))"
+    ends = ", ".join(f"{R(f'mean {s} max((low + high) / 2) FILTER (i = {i}) * any_value(sd) / sqrt(any_value(n))')} AS ci_{e}_{i}" for i in range(len(levels)) for s, e in (("-", "low"), ("+", "high")))
+    t = "any_value(mean) * sqrt(any_value(n)) / any_value(sd)"
+    up = tsf("t", "(n - 1)")
+    return f"WITH RECURSIVE {E_SQL}, {m}, {q}, r AS (SELECT perturbation, task, any_value(m.n) AS n, any_value(mean) AS mean, any_value(sd) AS sd, {t} AS t, {ends.replace('mean -', 'any_value(mean) -').replace('mean +', 'any_value(mean) +').replace('any_value(n)', 'any_value(m.n)')} FROM q JOIN m USING (perturbation, task) WHERE k = 60 GROUP BY 1, 2), s AS (SELECT *, {up} AS up FROM r) SELECT perturbation, task, n, {R('mean')} AS mean, {R('sd')} AS sd, {R('t')} AS t, {R('2 * least(up, 1 - up)')} AS p_two, {R('up')} AS p_greater, {R('1 - up')} AS p_less, ci_low_0, ci_high_0, ci_low_1, ci_high_1 FROM s".replace("sqrt(any_value(n)) / any_value(sd) AS t", "sqrt(any_value(m.n)) / any_value(sd) AS t")
+
+
+@query("TST-3 TST-4 FUN-2", _ci_sql((0.95, 1 - 0.05 / 28)))
 def paired_t_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With 95 % intervals, and those corrected for 28 tests."""
     return rounded(stats.paired_t(triples(spark, sf_dir), CELLS, F.col("logit_swapped") - F.col("logit_baseline"), "half", (0.95, 1 - 0.05 / 28)))
@@ -288,7 +298,14 @@ def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.wilcoxon(triples(spark, sf_dir), CELLS, d).select(*CELLS, "n", "w", "z"))
 
 
-@query("TST-6")
+@query(
+    "TST-6",
+    f"""WITH {E_SQL}, d AS (SELECT perturbation, task, logit_swapped - logit_baseline AS d FROM v),
+r AS (SELECT *, rank() OVER (PARTITION BY perturbation, task ORDER BY abs(d)) + (count(*) OVER (PARTITION BY perturbation, task, abs(d)) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY perturbation, task, abs(d)) AS t FROM d WHERE d <> 0),
+s AS (SELECT perturbation, task, CAST(count(*) AS DOUBLE) AS n, coalesce(sum(rk) FILTER (d > 0), 0) AS wp, coalesce(sum(rk) FILTER (d < 0), 0) AS wm, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r GROUP BY 1, 2),
+z AS (SELECT *, (least(wp, wm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s)
+SELECT perturbation, task, n, least(wp, wm) AS w, {R('z')} AS z, {R('least(1, 2 * ' + nsf('abs(z)') + ')')} AS p_two, CAST(NULL AS DOUBLE) AS p_exact FROM z""",
+)
 def wilcoxon_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.wilcoxon(triples(spark, sf_dir), CELLS, F.col("logit_swapped") - F.col("logit_baseline")))
 
@@ -329,7 +346,7 @@ def ols_level_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "TST-16 TST-17 TST-18",
+    "TST-16",
     f"""WITH {E_SQL}, {_LEVEL.replace("FROM v)", "FROM v WHERE cluster_id % 2 = 0)", 1)},
 test AS (SELECT perturbation, task, logit_original AS z, CAST(cluster_id % 3 AS DOUBLE) AS s, logit_swapped AS y FROM v WHERE cluster_id % 2 = 1)
 SELECT perturbation, task, CAST(count(*) AS DOUBLE) AS n, {R('sqrt(sum(pow(y - fit, 2)) / count(*))')} AS rmse, {R('1 - sum(pow(y - fit, 2)) / (var_pop(y) * count(*))')} AS r2
@@ -350,7 +367,7 @@ SELECT perturbation, task, metric, n, {R('x')} AS statistic_perturbation, {R('y'
 SELECT perturbation, task, n, unnest(['flip_rate', 'mutual_information', 'phi', 'jsd', 'kl']) AS metric, unnest([(p01 + p10) / n, {mi_sql('p')}, {phi_sql('p')}, jp, kp]) AS x, unnest([(b01 + b10) / n, {mi_sql('b')}, {phi_sql('b')}, jb, kb]) AS y FROM c JOIN l USING (perturbation, task))"""
 
 
-@query("TST-19 TST-22 TST-23 RSH-4 UDF-1", _BATTERY)
+@query("TST-19 RSH-4 UDF-1", _BATTERY)
 def battery_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bt.battery(triples(spark, sf_dir), CELLS, 12, replicates=50)
     return rounded(got.select(*CELLS, "metric", "n", "statistic_perturbation", "statistic_baseline", "difference"))
@@ -368,7 +385,7 @@ def bonferroni_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "TST-24 AGG-12 JOIN-6",
+    "TST-24 JOIN-6",
     f"""WITH v AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS INT) AS level, o_orderstatus AS task, CAST(o_totalprice > 200000 AS INT) AS o, CAST(o_totalprice * (1 + 0.02::DOUBLE * CAST(substr(o_orderpriority, 1, 1) AS INT) * (o_orderkey % 7 - 3)) > 200000 AS INT) AS p FROM orders), c AS ({count4('p', 'level, task')})
 SELECT level, task, n, {R('(p01 + p10) / n')} AS flip_rate, {R(mi_sql('p'))} AS mi FROM c""",
 )
@@ -482,7 +499,16 @@ def context_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", "idx", alignment.named(F.col("idx"), ["Ada", "Ben", "Cy", "Di"]).alias("name"))
 
 
-@query("TXT-21 WIN-7")
+_FEW = """WITH d AS (SELECT doc_id, source, len(string_split(text, ' ')) AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents),
+t AS (SELECT doc_id, source, i, n, a, {h1} % (n - 1) AS x, {h2} % (n - 2) AS y FROM d, range(10) r(a) WHERE n > 2),
+u AS (SELECT *, x + CAST(x >= i AS BIGINT) AS x1 FROM t), v AS (SELECT *, y + CAST(y >= least(x1, i) AS BIGINT) AS y1 FROM u), w AS (SELECT *, y1 + CAST(y1 >= greatest(x1, i) AS BIGINT) AS y2 FROM v),
+f AS (SELECT w.doc_id, w.a, one.doc_id AS first, two.doc_id AS second FROM w JOIN d one ON one.source = w.source AND one.i = w.x1 JOIN d two ON two.source = w.source AND two.i = w.y2 WHERE one.cost + two.cost <= 400),
+b AS (SELECT doc_id, arg_min(first, a) AS first, arg_min(second, a) AS second, min(a) AS attempt FROM f GROUP BY 1)
+SELECT d.source, d.doc_id, d.cost, first, second, attempt FROM d LEFT JOIN b USING (doc_id)"""
+_FEW = _FEW.format(**{f"h{k}": f"CAST(('0x' || substr(md5(concat_ws(':', 42, doc_id, a, {k})), 1, 8)) AS BIGINT)" for k in (1, 2)})
+
+
+@query("TXT-21", _FEW)
 def few_shot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(F.split("text", " ")).alias("cost"))
     return windows.few_shot(docs, "source", "doc_id", "cost", 400, draws=10)
@@ -529,7 +555,7 @@ def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.pending(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query("JOIN-1 JOIN-2 FLT-11", "SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("JOIN-1 FLT-11", "SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def left_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").withColumn("doc_id", F.col("doc_id").cast("string"))
     return alignment.attach(table(spark, sf_dir, "documents").select("doc_id", "lang"), labels, ["doc_id"])
@@ -547,7 +573,7 @@ def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "JOIN-8 RSH-3 SRC-8",
+    "JOIN-8 RSH-3",
     f"""WITH c AS (SELECT c_nationkey AS unit, c_mktsegment AS seg, c_acctbal > 0 AS pos, avg(c_acctbal) AS bal FROM customer GROUP BY 1, 2, 3),
 r AS (SELECT unit, bal AS ref_bal FROM c WHERE seg = 'BUILDING' AND pos)
 SELECT c.unit, CASE WHEN seg <> 'BUILDING' THEN 'seg' ELSE 'pos' END AS axis, CASE WHEN seg <> 'BUILDING' THEN seg ELSE CAST(pos AS VARCHAR) END AS level, {R('bal')} AS bal, {R('ref_bal')} AS ref_bal FROM c JOIN r USING (unit) WHERE (CAST(seg <> 'BUILDING' AS INT) + CAST(NOT pos AS INT)) = 1""",
@@ -614,11 +640,16 @@ def category_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Text ------------------------------------------------------------------------------------------------------------
 
 WORDS = ("the", "and", "of", "that", "an", "or")
-_ASCII = "NOT regexp_matches(text, '[^\\x00-\\x7F]')"
+_LETTER = r"\pL\pM\pN\p{Pc}"
+#: All words of a text in lower case.
+_TOKENS = f"regexp_extract_all(lower(text), '[{_LETTER}]+')"
 
 
-def ascii_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+def word_sql(text: str, word: str, other: str) -> str:
+    """Whole words replaced; twice, as neighbours share a border."""
+    for _ in range(2):
+        text = f"regexp_replace({text}, '(^|[^{_LETTER}]){word}($|[^{_LETTER}])', '\\1{other}\\2', 'g')"
+    return text
 
 
 @query("FLT-5 FLT-3 FLT-4", f"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '{'|'.join(k for k in ('license', 'token =', 'ation', 'pregnan'))}')")
@@ -633,67 +664,77 @@ def matched_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SWAP = "text"
-for _w in WORDS:
-    _SWAP = f"regexp_replace({_SWAP}, '\\b{_w}\\b', '<{_w}>', 'g')"
+for _i, _w in enumerate(WORDS):
+    _SWAP = word_sql(_SWAP, _w, f"\x01{_i}\x01")
+for _i, _w in enumerate(WORDS):
+    _SWAP = f"replace({_SWAP}, '\x01{_i}\x01', '<{_w}>')"
 
 
-@query("TXT-1 TXT-2 SRT-3", f"SELECT doc_id, md5({_SWAP}) AS swapped FROM documents WHERE {_ASCII}")
+@query("TXT-1 SRT-3", f"SELECT doc_id, md5({_SWAP}) AS swapped FROM documents")
 def lexicon_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lexicon of frequent words, each put into brackets, in one pass."""
-    return ascii_documents(spark, sf_dir).select("doc_id", F.md5(text.swap(F.col("text"), {w: f"<{w}>" for w in WORDS})).alias("swapped"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.swap(F.col("text"), {w: f"<{w}>" for w in WORDS})).alias("swapped"))
 
 
-@query("TXT-4 FLT-7 FLT-8", f"SELECT doc_id, array_to_string(list_filter(['\\bhe\\b', '\\bhis\\b', '\\bhim\\b'], lambda p: regexp_matches(text, '(?i)' || p)), ' ') AS residue FROM documents WHERE {_ASCII}")
-def residual_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ascii_documents(spark, sf_dir).select("doc_id", F.array_join(text.residue(F.col("text"), lexicons.MALE_RESIDUE[:3]), " ").alias("residue"))
+_CHAIN = (("the", "and"), ("and", "or"), ("of", "the"), ("or", "an"))
+_CHAIN_SQL = "text"
+for _w, _o in _CHAIN:
+    _CHAIN_SQL = word_sql(_CHAIN_SQL, _w, _o)
 
 
-_GENDER = {"woman": "(?i)\\b(woman|girl|female)\\b", "man": "(?i)\\b(man|boy|male)\\b"}
+@query("TXT-2", f"SELECT doc_id, md5({_CHAIN_SQL}) AS swapped FROM documents")
+def ordered_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs one after the other, so that later ones meet what earlier ones have put in."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.swap_in_order(F.col("text"), _CHAIN)).alias("swapped"))
+
+
+@query("TXT-4 FLT-7 FLT-8", f"SELECT doc_id, array_to_string(list_filter(['\\bhe\\b', '\\bhis\\b', '\\bhim\\b'], lambda p: list_contains(w, replace(p, '\\b', ''))), ' ') AS residue FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)")
+def residual_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.residue(F.col("text"), lexicons.MALE_RESIDUE[:3]), " ").alias("residue"))
 
 
 @query(
     "TXT-10",
-    f"""SELECT doc_id, CASE WHEN w AND NOT m THEN 'female' WHEN m AND NOT w THEN 'male' WHEN she > he AND she >= 2 THEN 'female' WHEN he > she AND he >= 2 THEN 'male' ELSE 'unclear' END AS gender FROM (
-SELECT doc_id, regexp_matches(text, '{_GENDER['woman']}') AS w, regexp_matches(text, '{_GENDER['man']}') AS m, len(regexp_extract_all(lower(text), '\\b(she|her)\\b')) AS she, len(regexp_extract_all(lower(text), '\\b(he|his|him)\\b')) AS he FROM documents WHERE {_ASCII})""",
+    f"""SELECT doc_id, CASE WHEN f AND NOT m THEN 'female' WHEN m AND NOT f THEN 'male' WHEN she > he AND she >= 2 THEN 'female' WHEN he > she AND he >= 2 THEN 'male' ELSE 'unclear' END AS gender FROM (
+SELECT doc_id, list_has_any(w, ['woman', 'girl', 'female']) AS f, list_has_any(w, ['man', 'boy', 'male']) AS m, len(list_filter(w, lambda x: x IN ('she', 'her'))) AS she, len(list_filter(w, lambda x: x IN ('he', 'his', 'him'))) AS he FROM (SELECT doc_id, {_TOKENS} AS w FROM documents))""",
 )
 def gender_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ascii_documents(spark, sf_dir).select("doc_id", text.patient_gender(F.col("text")).alias("gender"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.patient_gender(F.col("text")).alias("gender"))
 
 
-@query(
-    "TXT-15 TXT-22",
-    f"""SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\.(?:\\s+|$)'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' AND len(regexp_split_to_array(x, '\\s+')) >= 5 AND NOT regexp_matches(x, '^\\s*[-•0-9]+[.)]\\s*') AND NOT regexp_matches(x, '[,;]$')) AS s FROM documents WHERE {_ASCII})""",
-)
-def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ascii_documents(spark, sf_dir).select("doc_id", text.sentences(F.col("text")).alias("s"))
-    return s.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
+_SENTENCES = r"""list_filter(list_transform(regexp_split_to_array(text, '\.(?:\s+|$)'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND len(regexp_split_to_array(x, '\s+')) >= 5 AND NOT regexp_matches(x, '^\s*[-•0-9]+[.)]\s*') AND NOT regexp_matches(x, '[,;]$'))"""
 
 
-@query("TXT-16 TXT-17")
-def sentence_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ascii_documents(spark, sf_dir).select("doc_id", "text", text.pick(text.sentences(F.col("text")), F.col("doc_id")).alias("old"))
-    return s.select("doc_id", F.length(text.replace_sentence(F.col("text"), F.col("old"), F.lit("A new sentence stands here"))).alias("n"), F.length("old").alias("old_n"))
+@query("TXT-15 TXT-22", f"SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
-_DIST = f"""WITH s AS (SELECT doc_id, regexp_split_to_array(trim(text), '\\s+') AS a FROM documents WHERE {_ASCII} AND len(regexp_split_to_array(trim(text), '\\s+')) BETWEEN 1 AND 60 AND trim(text) <> ''),
-q AS (SELECT doc_id, a, list_transform([x FOR x, i IN a IF i % 7 <> 0], lambda x: replace(x, 'the', 'a')) AS b FROM s),
-c AS (SELECT doc_id, a, b, list_distinct(list_concat(a, b)) AS u FROM q)
-SELECT doc_id, {{d}} FROM c"""
-_CODE = "array_to_string(list_transform({x}, lambda t: chr(CAST(list_position(u, t) AS INT))), '')"
+_HASHED = "CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT)"
+_PUT = " ".join(f"WHEN strpos(text, {a}) > 0 THEN substr(text, 1, strpos(text, {a}) - 1) || 'A new sentence stands here{m}' || substr(text, strpos(text, {a}) + len({a}))" for m, a in [(m, f"(CASE WHEN ends_with(old, '{k}') THEN old ELSE old || '{k}' END)") for k, m in ((".", "."), ("?", "."), ("!", "."))] + [("", "old")])
 
 
 @query(
-    "TOK-1 TOK-2 TOK-3 TOK-4 PRJ-8",
-    _DIST.format(d=f"CAST(levenshtein({_CODE.format(x='a')}, {_CODE.format(x='b')}) AS INT) AS distance, {R(f'''100.0::DOUBLE * levenshtein({_CODE.format(x='a')}, {_CODE.format(x='b')}) / len(a)''')} AS pct"),
+    "TXT-16 TXT-17",
+    f"""WITH s AS (SELECT doc_id, text, {_SENTENCES} AS s FROM documents), o AS (SELECT doc_id, text, CASE WHEN len(s) > 0 THEN s[1 + {_HASHED.format(x="'42:' || doc_id")} % len(s)] END AS old FROM s)
+SELECT doc_id, md5(CASE {_PUT} END) AS edited, CAST(len(old) AS INT) AS old_n FROM o""",
 )
+def sentence_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "documents").select("doc_id", "text", text.pick(text.sentences(F.col("text")), F.lit(42), F.col("doc_id")).alias("old"))
+    return s.select("doc_id", F.md5(text.replace_sentence(F.col("text"), F.col("old"), F.lit("A new sentence stands here"))).alias("edited"), F.length("old").alias("old_n"))
+
+
+@query("TOK-1 TOK-2 TOK-3 TOK-4 PRJ-8 UDF-5")  # DuckDB's levenshtein counts bytes, of which whole texts need more than one a token
 def token_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ascii_documents(spark, sf_dir).select("doc_id", tokens.words(F.col("text")).alias("a")).where(F.size("a").between(1, 60))
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokens.tokenized(F.col("text"), "words").alias("a"))
     edited = docs.withColumn("b", F.transform(F.filter("a", lambda x, i: (i + 1) % 7 != 0), lambda x: F.replace(x, F.lit("the"), F.lit("a"))))
-    return rounded(edited.select("doc_id", tokens.distance(F.col("a"), F.col("b")).alias("distance"), tokens.change_pct(F.col("a"), F.col("b")).alias("pct")))
+    found = edited.select("doc_id", F.size("a").alias("n"), tokens.distance(F.col("a"), F.col("b")).alias("distance"))
+    return rounded(found.select("doc_id", "distance", F.when(F.col("n") > 0, F.col("distance") * 100.0 / F.col("n")).otherwise(0.0).alias("pct")))
 
 
 @query(
-    "CAL-1 CAL-2 CAL-6 AGG-16 FLT-9",
+    "CAL-1 CAL-2 AGG-16 FLT-9",
     """WITH a AS (SELECT l_orderkey AS k, l_quantity AS actual, 25.0::DOUBLE AS target, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS ord FROM lineitem),
 r AS (SELECT *, abs(actual - target) AS off, CASE WHEN abs(actual - target) <= 0.5 THEN 0 WHEN actual <= target THEN 1 ELSE 2 END AS kind FROM a),
 s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY kind, CASE WHEN kind = 0 THEN 0 ELSE off END, ord) AS rn, bool_and(actual > target + 0.5) OVER (PARTITION BY k) AS overshoot_only FROM r)
@@ -705,34 +746,93 @@ def calibration_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select_candidate(attempts, ["k"], "target", "actual", "ord").select("k", "actual", "ord", "accepted", "overshoot_only")
 
 
-def _literals(spark: SparkSession, rows: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+# Ages that are written into the documents, in ten ways: {n} an age, {d} the first digit of a decade.
+AGES = ("I am {n} and well. ", "A {n}-year-old man. ", "early {d}0s patient, {n}M. ", "F{n} with pain. ", "{n}(M) here. ", "Age = {n}, smoker. ", "Female, {n}, tired. ", "in my late {d}0s. ", "No age at all. ", "999 years old, but {n} male. ")
+
 
+def _aged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n, d = (18 + F.col("doc_id") % 60).cast("string"), (2 + F.col("doc_id") % 7).cast("string")
+    phrase = F.element_at(F.array(*[F.lit(a) for a in AGES]), (F.col("doc_id") % 10 + 1).cast("int"))
+    return docs.select("doc_id", F.concat(F.replace(F.replace(phrase, F.lit("{n}"), n), F.lit("{d}"), d), "text").alias("t"))
 
-AGES = ["I am 25 and well", "A 62-year-old man", "early 30s patient, 33M", "F24 with pain", "26(M) here", "Age = 28, smoker", "Female, 45, tired", "in my late 40s", "No age at all", "999 years old, but 30 male"]
 
+def _age_sql() -> str:
+    """The first pattern whose first match is a plausible age: a struct of age, matched, start."""
+    found = []
+    for kind, pattern, number, taken in text.AGES:
+        whole, part = f"regexp_extract(t, '{pattern.replace(chr(39), chr(39) * 2)}', 0)", f"regexp_extract(t, '{pattern.replace(chr(39), chr(39) * 2)}', {taken})"
+        age = f"TRY_CAST(regexp_extract(t, '{pattern.replace(chr(39), chr(39) * 2)}', {number}) AS INT)"
+        start = f"len(regexp_split_to_array(t, '{pattern.replace(chr(39), chr(39) * 2)}')[1])"
+        if kind == "decade":
+            age = f"TRY_CAST(regexp_extract({part}, '([0-9])0s', 1) AS INT) * 10 + CASE WHEN contains({part}, 'early') THEN 2 WHEN contains({part}, 'late') THEN 7 ELSE 5 END"
+        elif taken:
+            start += f" + strpos({whole}, {part}) - 1"
+        found.append(f"CASE WHEN {whole} <> '' AND {age} BETWEEN {text.MIN_AGE} AND {text.MAX_AGE} THEN {{'age': CAST({age} AS INT), 'matched': {part}, 'start': CAST({start} AS INT), 'decade': {kind == 'decade'}}} END")
+    return f"coalesce({', '.join(found)})"
 
-@query("TXT-11 PRJ-10", "SELECT * FROM (VALUES (0, 25, '25', 5), (1, 62, '62-year-old', 2), (2, 32, 'early 30s', 0), (3, 24, 'F24', 0), (4, 26, '26(M)', 0), (5, 28, '28', 6), (6, 45, '45', 8), (7, 47, 'late 40s', 6), (8, NULL, NULL, NULL), (9, 30, '30', 19)) t(id, age, matched, start)".replace("SELECT *", "SELECT CAST(id AS BIGINT) AS id, age, matched, start"))
+
+_PHRASE = f"replace(replace(([{', '.join(repr(a) for a in AGES)}])[doc_id % 10 + 1], '{{n}}', CAST(18 + doc_id % 60 AS VARCHAR)), '{{d}}', CAST(2 + doc_id % 7 AS VARCHAR))"
+_AGED = f"a AS (SELECT doc_id, t, {_age_sql()} AS a FROM (SELECT doc_id, {_PHRASE} || text AS t FROM documents))"
+
+
+@query("TXT-11 PRJ-10", f"WITH {_AGED} SELECT doc_id, a.age AS age, a.matched AS matched, a.start AS start FROM a")
 def age_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, AGES).select("id", text.extract_age(F.col("text")).alias("a")).select("id", "a.age", "a.matched", "a.start")
+    return _aged(spark, sf_dir).select("doc_id", text.extract_age(F.col("t")).alias("a")).select("doc_id", "a.age", "a.matched", "a.start")
 
 
-@query("TXT-12 TXT-13 TXT-14 UDF-4", "SELECT CAST(id AS BIGINT) AS id, t AS edited FROM (VALUES (0, 'I am 26 and well'), (1, 'A 63-year-old man'), (2, '33 patient, 33M'), (3, 'F25 with pain'), (4, '27(M) here'), (5, 'Age = 29, smoker'), (6, 'Female, 46, tired'), (7, 'in my 48'), (8, NULL), (9, '999 years old, but 31 male')) v(id, t)")
+@query(
+    "TXT-12 TXT-13 TXT-14 UDF-4",
+    rf"""WITH {_AGED}, o AS (SELECT doc_id, a, substr(t, 1, a.start) || CASE WHEN a.decade THEN CAST(a.age + 1 AS VARCHAR) ELSE regexp_replace(a.matched, '[0-9]+', CAST(a.age + 1 AS VARCHAR), 'g') END || substr(t, a.start + len(a.matched) + 1) AS o FROM a)
+SELECT doc_id, md5(replace(regexp_replace(regexp_replace(o, '\b' || a.age || '(\.[0-9])', chr(1) || '\1', 'g'), '\b' || a.age || '\b', CAST(a.age + 1 AS VARCHAR), 'g'), chr(1), CAST(a.age AS VARCHAR))) AS edited FROM o""",
+)
 def age_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _literals(spark, AGES).withColumn("a", text.extract_age(F.col("text")))
-    return a.select("id", text.replace_age(F.col("text"), F.col("a"), text.age_plus_one(F.col("a.age"), F.col("id"))).alias("edited"))
+    a = _aged(spark, sf_dir).withColumn("a", text.extract_age(F.col("t")))
+    return a.select("doc_id", F.md5(text.replace_age(F.col("t"), F.col("a"), text.age_plus_one(F.col("a.age"), F.col("doc_id")))).alias("edited"))
+
+
+# What an extractor and a model say, by turns of the conversations.
+EXTRACTED = (" 1 ", "Binary answer: 1. The binary answer is 0", "I say yes", "unsure", "none", "2", "binary answers are 1", "No, not 1 of them")
+SAID = ("no", "yes", "No.", "I can’t help with that", "as an AI, I would say yes", "perhaps")
+
+
+def array_sql(values: tuple[str, ...], index: str) -> str:
+    return "([" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"])[{index} % {len(values)} + 1]"
+
+
+def at(values: tuple[str, ...], index: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
+
 
+_REFUSALS = ", ".join("'" + r.replace("'", "''") + "'" for r in lexicons.REFUSALS)
 
-@query("SCR-6 TXT-19 SCR-8", "SELECT CAST(id AS BIGINT) AS id, CAST(v AS INT) AS value, m AS method, r AS refusal FROM (VALUES (0, 1, 'integer_parse', false), (1, 0, 'extractor_text_match', false), (2, 1, 'extractor_text_match', false), (3, 0, 'model_response_regex', false), (4, 0, 'default', true)) t(id, v, m, r)")
+
+@query(
+    "SCR-6 TXT-19",
+    rf"""WITH r AS (SELECT conv_id, turn, {array_sql(EXTRACTED, '(conv_id + turn)')} AS e, {array_sql(SAID, '(conv_id * 3 + turn)')} || CASE WHEN turn % 2 = 0 THEN '' ELSE ' ' || text END AS s FROM conversations),
+w AS (SELECT *, TRY_CAST(regexp_extract(e, '^\s*([+-]?[0-9]+)\s*$', 1) AS INT) AS i, TRY_CAST((regexp_extract_all(lower(e), 'binary answer[s]?\s*(?:is|are)?[:\s]*([01])', 1))[-1] AS INT) AS l, {_TOKENS.replace('text', 'e')} AS we, {_TOKENS.replace('text', 's')} AS ws, replace(lower(regexp_replace(s, '^\s+|\s+$', '', 'g')), '’', chr(39)) AS norm FROM r)
+SELECT conv_id, turn, CAST(CASE WHEN i IN (0, 1) THEN i WHEN l IS NOT NULL THEN l WHEN list_has_any(we, ['yes', '1']) THEN 1 WHEN list_has_any(we, ['no', '0']) THEN 0 WHEN list_contains(ws, 'yes') THEN 1 ELSE 0 END AS INT) AS value,
+  CASE WHEN i IN (0, 1) THEN 'integer_parse' WHEN l IS NOT NULL OR list_has_any(we, ['yes', '1', 'no', '0']) THEN 'extractor_text_match' WHEN list_has_any(ws, ['yes', 'no']) THEN 'model_response_regex' ELSE 'default' END AS method,
+  len(list_filter([{_REFUSALS}], lambda p: starts_with(norm, p))) > 0 AS refusal FROM w""",
+)
 def answer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(0, " 1 ", "no"), (1, "Binary answer: 1. The binary answer is 0", "yes"), (2, "I say yes", "no"), (3, "unsure", "No."), (4, "none", "I can’t help with that")], "id long, extracted string, response string")
-    return rows.select("id", parse.binary_answer(F.col("extracted"), F.col("response")).alias("a"), text.is_refusal(F.col("response")).alias("refusal")).select("id", "a.value", "a.method", "refusal")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    said = F.concat(at(SAID, conv * 3 + turn), F.when(turn % 2 == 0, "").otherwise(F.concat(F.lit(" "), F.col("text"))))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", at(EXTRACTED, conv + turn).alias("e"), said.alias("s"))
+    return rows.select("conv_id", "turn", parse.binary_answer(F.col("e"), F.col("s")).alias("a"), text.is_refusal(F.col("s")).alias("refusal")).select("conv_id", "turn", "a.value", "a.method", "refusal")
 
 
-@query("SCR-11 EVL-1 EVL-4 CAL-5")
-def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A prompt for each document and variant, each distinct one scored once by the stand-in scorer."""
+SCORED_SQL = f"SELECT doc_id, variant, prompt, {_HASHED.format(x='prompt')} % 6000 / 1000.0::DOUBLE - 3 AS logit FROM (SELECT doc_id, unnest(['original', 'fixed_sentence']) AS variant, 'Answer yes or no. ' || unnest(['', '{lexicons.FIXED_SENTENCE} ']) || text AS prompt FROM documents)"
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     variants = F.array(F.struct(F.lit("original").alias("variant"), F.col("text").alias("t")), F.struct(F.lit("fixed_sentence").alias("variant"), text.prefixed(F.col("text")).alias("t")))
-    long = docs.select("doc_id", F.explode(variants).alias("v")).select("doc_id", "v.variant", F.concat(F.lit("Answer yes or no. "), F.col("v.t")).alias("prompt"))
-    return parse.score(long, "prompt").select("doc_id", "variant", "logit")
+    long = docs.select("doc_id", F.explode(variants).alias("v"))
+    return long.select("doc_id", "v.variant", F.concat(F.lit("Answer yes or no. "), F.col("v.t")).alias("prompt"))
+
+
+@query("SCR-11 EVL-1 EVL-2 CAL-5 UDF-3", f"SELECT doc_id, variant, {R('logit')} AS logit FROM ({SCORED_SQL})")
+def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt for each document and variant, each distinct one scored once by the stand-in scorer."""
+    return rounded(parse.score(prompts(spark, sf_dir), "prompt").select("doc_id", "variant", "logit"))

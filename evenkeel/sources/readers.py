@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +33,11 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records, one to a line, as the record sink writes them; files are split among tasks."""
+    return spark.read.schema(schema).json(path)
+
+
 def json_map(spark: SparkSession, path: str, value: str, key: str = "id") -> DataFrame:
     """A JSON object whose keys are ids: one row per entry, with the record's fields beside `key`."""
     text = spark.read.text(path, wholetext=True)
@@ -57,6 +62,29 @@ def parquet(spark: SparkSession, path: str, renamed: Mapping[str, str] | None =
     return spark.read.parquet(path).withColumnsRenamed(dict(renamed or {}))
 
 
+def samples(spark: SparkSession, path: str, where: Column, renamed: Mapping[str, str] | None = None) -> DataFrame:
+    """The rows of a table that a loader takes; the filter reaches the scan."""
+    return spark.read.parquet(path).where(where).withColumnsRenamed(dict(renamed or {}))
+
+
+def newest(spark: SparkSession, root: str) -> DataFrame:
+    """The newest version (v=1, v=2, ...) whose write has finished."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path(root))]
+    numbers = sorted((int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()), reverse=True)
+    for k in numbers:
+        if fs.exists(path(f"{root}/v={k}/_SUCCESS")):
+            return spark.read.parquet(f"{root}/v={k}")
+    raise FileNotFoundError(f"no finished version in {root}")
+
+
+def checked(df: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame:
+    """df; the query fails at a value that is not allowed (null is)."""
+    wrong = F.raise_error(F.concat(F.lit(f"{column} has a value that is not allowed: "), F.col(column).cast("string"))).cast("boolean")
+    return df.where(F.when(F.col(column).isNull() | F.col(column).isin(*allowed), True).otherwise(wrong))
+
+
 def label_letter(label: Column, letters: str = "ABCD") -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in letters]), label + 1)
 

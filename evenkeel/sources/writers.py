@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
@@ -27,6 +28,26 @@ def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def csv_file(df: DataFrame, folder: str, name: str) -> None:
+    """One CSV file of a given name in a folder, for small tables that are told apart by file name."""
+    spark, held = df.sparkSession, f"{folder}-{uuid.uuid4().hex}"
+    csv(df.coalesce(1), held)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(path(held)) if s.getPath().getName().startswith("part-"))
+    fs.mkdirs(path(folder))
+    if not fs.rename(part, path(folder, name)):
+        raise FileExistsError(f"{folder}/{name}")
+    fs.delete(path(held), True)
+
+
+def json_object(df: DataFrame, key: str, path: str) -> None:
+    """One JSON object in one file: the key's values as names, the other columns as records.  For small tables."""
+    rest = [c for c in df.columns if c != key]
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), F.struct(*rest))))
+    df.agg(F.to_json(entries).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def version(df: DataFrame, root: str, number: int) -> str:
     """Writes a new version beside the older ones, and refuses to touch one that is there."""
     path = f"{root}/v={number}"

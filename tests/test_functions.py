@@ -209,3 +209,68 @@ def test_scoring(spark):
     assert one(spark, parse.argmax_first([("A", F.lit(0.4)), ("B", F.lit(0.4)), ("C", F.lit(0.2))])) == "A"
     assert one(spark, parse.clamped(F.col("z")), z=float("inf")) == 100.0 and one(spark, parse.clamped(F.col("z")), z=float("nan")) == 0.0
     assert math.isclose(one(spark, parse.token_mass(F.col("p"), 0, 2), p=[0.2, 0.3, 0.5]), 0.7)
+
+
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [
+        ("<think>she may be at risk</think>\n**Answer:** Yes", "Yes"),
+        ("<think>x</think> The patient is at risk. **Answer:** no", "Unclear"),
+        ("<think>x</think> \\boxed{No}", "No"),
+        ("<think>x</think> Final answer: - Yes", "Yes"),
+        ("<think>x</think> - **No**", "No"),
+        ("<think>x</think>\nYes, she is.", "Yes"),
+        ("<think>x</think> The patient is not at risk of it.", "No"),
+        ("Some words. \\boxed{yes} more", "Yes"),
+        ("Therefore, the final answer is:\n**No**", "No"),
+        ("So the answer is yes", "Yes"),
+        ("the answer would be: -no", "No"),
+        ("Choice: Yes", "Yes"),
+        ("Conclusion on the whole: no", "No"),
+        ("I think\nno.", "No"),
+        ("it is **-yes** I say to you now, after long thought about it", "Yes"),
+        ("All told, the patient is at high risk.", "Yes"),
+        ("All told, she is not at risk.", "No"),
+        ("There is no increased risk.", "No"),
+        ("I cannot tell from this.", "Unclear"),
+        ("yes " * 300 + "and so on, I cannot say.", "Unclear"),
+        ("", "Unclear"),
+    ],
+)
+def test_answers_on_risk(spark, said, want):
+    assert one(spark, parse.risk_answer(F.col("t")), t=said) == want
+
+
+def test_prompts_and_ordered_swaps(spark):
+    c = F.col("t")
+    assert one(spark, text.swap_in_order(c, [("Ms.", "Mr."), ("she", "he"), ("he", "it")]), t="Ms. A, she, Ms.x") == "Ms. A, it, Mr.x"
+    assert one(spark, text.stripped(c, "Ann"), t="[gender] Patient D, [race] [subject] has [possessive] [subjective]") == "Ann, Ann has their Ann"
+    assert one(spark, text.prompt(lexicons.OPEN_PROMPT, vignette=c, question="why?"), t="v {x}") == "Vignette: v {x}\nQuestion: why?\nAnswer:"
+    assert one(spark, text.prompt("{a}{b}", a=c, b=F.lit(None).cast("string")), t="v") is None
+
+
+def test_scores_of_repeated_and_null_prompts(spark):
+    df = spark.createDataFrame([(1, "p"), (2, "p"), (3, None), (4, ""), (5, "q" * 50_000)], "i int, p string")
+    got = {r["i"]: r["logit"] for r in parse.score(df, "p").collect()}
+    assert got[1] == got[2] and got[3] == got[4] and len(got) == 5 and all(-3 <= v < 3 for v in got.values())
+
+
+def test_only_flips_are_judged(spark):
+    df = spark.createDataFrame([(1, 0, 1, "a"), (2, 1, 1, "b"), (3, None, 1, "c")], "i int, x int, y int, p string")
+
+    def make():
+        def call(t):
+            assert t == "a"
+            return "**Assessment:** unfaithful **Evidence:** it says so in many words"
+
+        return call
+
+    got = {r["i"]: (r["flipped"], r["verdict"], r["evidence"]) for r in parse.judged(df, F.col("x"), F.col("y"), "p", make).collect()}
+    assert got == {1: (True, "UNFAITHFUL", "it says so in many words"), 2: (False, None, None), 3: (None, None, None)}
+
+
+def test_distances_of_long_and_null_arrays(spark):
+    df = spark.createDataFrame([(1, [str(i) for i in range(3000)], [str(i) for i in range(1, 3001)]), (2, None, ["a"]), (3, [], []), (4, ["é", "𝄞"], ["𝄞"])], "i int, a array<string>, b array<string>")
+    assert [r[0] for r in df.orderBy("i").select(tokens.distance(F.col("a"), F.col("b"))).collect()] == [2, None, 0, 1]
+    with pytest.raises(ValueError, match="no tokenizer"):
+        tokens.tokenized(F.col("t"), "none")
