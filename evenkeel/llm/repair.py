@@ -38,8 +38,8 @@ SHARD_IDS = 1 << 19  # a shard ends with the document that reaches this
 SLOT_BITS = 18
 #: Symbols that two bytes can tell apart.  Wider ones would double the sequence and the rules, which no rule earns.
 SYMBOLS = 1 << 16
-#: A round replaces the pairs that are seen at least this share as often as its most frequent one, or half as often as
-#: the round before asked for if that is less.
+#: A round replaces the pairs that are seen at least this share as often as its most frequent one, or a quarter as
+#: often as the round before asked for if that is less.
 NEXT_BEST = 0.125
 
 
@@ -67,6 +67,19 @@ def _settled(where: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return keep
 
 
+def _enough_alone(found: np.ndarray, places: np.ndarray, edge: np.ndarray, counts: np.ndarray, best: np.ndarray, half, pays: int) -> np.ndarray:
+    """Which of the pairs pay where no other is replaced: all but those that overlap themselves too much."""
+    low = type(half)((1 << int(half)) - 1)
+    pairs = found[edge[best]]
+    keep = np.ones(len(best), bool)
+    for k in np.flatnonzero(pairs >> half == pairs & low).tolist():
+        at = places[edge[best[k]] : edge[best[k]] + counts[best[k]]]
+        ends = np.flatnonzero(np.concatenate((np.diff(at) != 1, [True])))
+        runs = np.diff(np.concatenate(([-1], ends)))
+        keep[k] = ((runs + 1) // 2).sum() >= pays
+    return keep
+
+
 def compress(docs: list[np.ndarray], terminals: int) -> bytes:
     """The shard file of documents given as arrays of ids below `terminals`.
 
@@ -87,10 +100,10 @@ def compress(docs: list[np.ndarray], terminals: int) -> bytes:
     while len(seq) > 1 and room:
         across = begin[1:] - 1  # pairs of a document's last symbol and the next one's first
         if newest:  # only pairs with the symbols of the last round have come up
-            some = np.flatnonzero(seq >= whole(newest))
-            some = np.unique(np.concatenate((some - 1, some)))
-            some = some[(some >= 0) & (some < len(seq) - 1)]
-            some = some[~np.isin(some, across)]
+            new = seq >= whole(newest)
+            some = new[:-1] | new[1:]
+            some[across] = False
+            some = np.flatnonzero(some)
             keys = seq[some] << half | seq[some + 1]
         else:
             # Pairs are counted by a hash first; only those in places that hold enough are sorted.
@@ -98,7 +111,7 @@ def compress(docs: list[np.ndarray], terminals: int) -> bytes:
             slot = _slots(every)
             held = np.bincount(slot, minlength=1 << SLOT_BITS)
             np.subtract.at(held, slot[across], 1)
-            least = max(pays, min(int(held.max() * NEXT_BEST), least // 2))
+            least = max(pays, min(int(held.max() * NEXT_BEST), least // 4))
             some = (held >= least)[slot]
             some[across] = False
             some = np.flatnonzero(some)
@@ -113,22 +126,22 @@ def compress(docs: list[np.ndarray], terminals: int) -> bytes:
         counts = np.diff(np.concatenate((edge, [len(found)])))
         chosen = np.zeros(0, np.int64)
         best = np.flatnonzero(counts >= least)
-        while len(best):
+        if len(best):
+            best = best[_enough_alone(found, places, edge, counts, best, half, pays)]
+        if len(best):
             best = best[np.argsort(-counts[best], kind="stable")[:room]]  # in the order of their ranks
             n = counts[best]
             pick = np.arange(n.sum()) + np.repeat(edge[best] - np.cumsum(n) + n, n)
-            where, rank = places[pick], np.repeat(np.arange(len(best)), n)
-            order = np.argsort(where)
-            where, rank = where[order], rank[order]
+            ranks = np.full(len(seq), -1, np.int32)  # by place, which puts them in order
+            ranks[places[pick]] = np.repeat(np.arange(len(best), dtype=np.int32), n)
+            where = np.flatnonzero(ranks >= 0)
+            rank = ranks[where]
             keep = _settled(where, rank)
             where, rank = where[keep], rank[keep]
             enough = np.bincount(rank, minlength=len(best)) >= pays
-            if enough.any():
-                chosen = np.sort(best[enough])  # in the order of their symbols
-                good = enough[rank]
-                where, rule = where[good], np.searchsorted(chosen, best[rank[good]])
-                break
-            best = best[1:]  # the best one overlaps itself too much
+            chosen = np.sort(best[enough])  # in the order of their symbols; the best one is among them
+            good = enough[rank]
+            where, rule = where[good], np.searchsorted(chosen, best)[rank[good]]
         if not len(chosen):
             if newest:
                 newest = 0  # all pairs once more
