@@ -11,8 +11,6 @@ import os
 import re
 from array import array
 
-import numpy as np
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that each of the two halves of a worker's memory holds; about 250 MB in all.
@@ -21,9 +19,6 @@ CACHE_PIECES = 600_000
 #: Pieces at the starts of texts and lines that a worker remembers.
 CACHE_FIRST = 200_000
 
-#: Pieces that are encoded in one call, with a bar between them.
-PIECES_AT_ONCE = 1000
-
 _AFTER_SPACE = re.compile(r"\s ")
 #: Letters before this one are composed, and have one lower-case letter each.
 _BEYOND = "\u0130"
@@ -40,10 +35,26 @@ def _shown(word: str) -> str:
 
 
 _SIGN = re.compile(r"[!-/:-@\[-`{-~]")
+_MARKS = frozenset(",.;:!?)")
 _CUT = re.compile(r"(?<=\S) ")
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
+class _Memory(dict):
+    """Pieces with their ids, made when they are first asked for.  `old` holds the half that went before."""
+
+    def __init__(self, make, old: dict | None = None):
+        super().__init__()
+        self.make, self.old = make, old or {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """Texts to ids, as bytes of little-endian unsigned 32-bit integers."""
 
@@ -52,147 +63,67 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        bar = self.tokenizer.encode(" |", add_special_tokens=False).ids
-        self.bar = bar[0] if len(bar) == 1 else None
         self.model = self.tokenizer.model
         # How a word of plain letters reaches the vocabulary's model: with a mark for the space before it, or lower-cased.
-        for self.plain in (lambda w: _SPACE + _shown(w), lambda w: _shown(w.lower())):
-            if all(self._direct(w) == self._whole([" " + w])[0] for w in _SAMPLES):
-                break
-        else:
-            self.plain = None
-        self.bare = (lambda w: self.plain(w).removeprefix(_SPACE)) if self.plain is not None else None
-        self.feed = self._whole(["\n"])[0]
+        self.plain = None
+        for plain, bare in ((lambda w: _SPACE + _shown(w), _shown), (lambda w: _shown(w.lower()),) * 2):
+            if all(self._direct(plain(w)) == self._whole(" " + w) and self._direct(bare(w)) == self._whole(w) for w in _SAMPLES):
+                self.plain, self.bare = plain, bare
+        self.feed = self._whole("\n")
+        self.pieces = _Memory(self._after_space)
+        self.first = _Memory(self._at_start)
+        self.tails = _Memory(self._whole)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _direct(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(self.plain(word))]).tobytes()
+    def _direct(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces, each as it stands after a space, into the young half.
+    def _after_space(self, piece: str) -> bytes:
+        """The ids of a piece that stands after a space.
 
         A word of letters is one piece to the library, which hands it to the vocabulary's model; here that is done
-        without the steps before.  Another piece without a bar, and without white space at its end, has the same ids among others when bars stand
-        between them, and the bar's id then marks its end.
-        """
-        if self.plain is not None:
-            letters = [p for p in pieces if p.isalpha() and max(p) < _BEYOND]
-            self.young.update(zip(letters, map(self._direct, letters), strict=True))
-            pieces = [p for p in pieces if p not in self.young]
-        easy = [p for p in pieces if p and "|" not in p and not p[-1].isspace()] if self.bar is not None else []
-        for k in range(0, len(easy), PIECES_AT_ONCE):
-            part = easy[k : k + PIECES_AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " | ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.bar)
-            if len(ends) == len(part) - 1:
-                raw, ends = ids.tobytes(), (4 * ends).tolist()
-                self.young.update(zip(part, [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)], strict=True))
-        hard = [p for p in pieces if p not in self.young]
-        self.young.update(zip(hard, self._whole([" " + p for p in hard]), strict=True))
-
-    def _recall(self, pieces: set[str]) -> None:
-        """Sees to it that all pieces are in the young half.
-
-        A line feed between two signs or letters is a piece of its own (or none), so that what stands before and after
-        it is looked up apart.  Letters that an ASCII sign follows are a word of their own, so that a word with a short
-        tail of signs is put together from the two.
+        without the steps before.  A line feed between two signs or letters is a piece of its own (or none), so that what
+        stands before and after it is looked up apart.  Letters that an ASCII sign follows are a word of their own, so
+        that a word with a short tail of signs is put together from the two.
         """
-        young, old = self.young, self.old
-        lines, plain, joined = [], [], []
-        wanted = list(pieces)
-        for p in wanted:  # grows by what stands before line feeds
-            if p in young:
-                continue
-            if p in old:
-                young[p] = old[p]
-            elif p.isalpha():
-                plain.append(p)
-            elif "\n" in p:
-                head, _, rest = p.partition("\n")
-                if head and rest and "\n" not in rest and not head[-1].isspace() and not rest[0].isspace():
-                    lines.append((p, head, rest))
-                    wanted.append(head)
-                else:
-                    plain.append(p)
-            else:
-                stem, tail = _tailed(p)
-                if tail:
-                    joined.append((p, stem, tail))
-                    if stem not in young:
-                        if stem in old:
-                            young[stem] = old[stem]
-                        else:
-                            plain.append(stem)
-                else:
-                    plain.append(p)
-        self._learn(list(dict.fromkeys(plain)))
-        self._learn_tails({t for _, _, t in joined})
-        for p, stem, tail in joined:
-            young[p] = young[stem] + self.tails[tail]
-        if lines:
-            self._learn_first({r for _, _, r in lines})
-            for p, head, rest in lines:
-                young[p] = young[head] + self.feed + self.first[rest]
-
-    def _learn_tails(self, tails: set[str]) -> None:
-        new = list(tails.difference(self.tails))
-        self.tails.update(zip(new, self._whole(new), strict=True))
-
-    def _learn_first(self, pieces: set[str]) -> None:
-        """Pieces that stand at the start of a text or line."""
-        first, plain, joined = self.first, [], []
-        for p in pieces.difference(first):
-            stem, tail = _tailed(p)
+        if piece.isalpha() and self.plain is not None and (piece.isascii() or max(piece) < _BEYOND):
+            return self._direct(self.plain(piece))
+        if "\n" in piece:
+            head, _, rest = piece.partition("\n")
+            if head and rest and "\n" not in rest and not head[-1].isspace() and not rest[0].isspace():
+                return self.pieces[head] + self.feed + self.first[rest]
+        else:
+            stem, tail = _tailed(piece)
             if tail:
-                joined.append((p, stem, tail))
-            plain.append(stem)
-        plain = [p for p in dict.fromkeys(plain) if p not in first]
-        if self.plain is not None:
-            letters = [p for p in plain if p.isalpha() and max(p) < _BEYOND]
-            first.update((p, array("I", [t.id for t in self.model.tokenize(self.bare(p))]).tobytes()) for p in letters)
-            plain = [p for p in plain if p not in first]
-        first.update(zip(plain, self._whole(plain), strict=True))
-        self._learn_tails({t for _, _, t in joined})
-        for p, stem, tail in joined:
-            first[p] = first[stem] + self.tails[tail]
+                return self.pieces[stem] + self.tails[tail]
+        return self._whole(" " + piece)
+
+    def _at_start(self, piece: str) -> bytes:
+        """The ids of a piece at the start of a text or line."""
+        stem, tail = _tailed(piece)
+        if tail:
+            return self.first[stem] + self.tails[tail]
+        if self.plain is not None and piece.isalpha() and (piece.isascii() or max(piece) < _BEYOND):
+            return self._direct(self.bare(piece))
+        return self._whole(piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces = _Memory(self._after_space, dict(self.pieces))
         if len(self.first) + len(self.tails) > CACHE_FIRST:
             self.first.clear()
             self.tails.clear()
-        get, rows, lost, heads = self.young.get, [], set(), set()
+        get, first, out = self.pieces.__getitem__, self.first, []
         for t in texts:
             if any(s in t for s in self.special):
-                rows.append(None)  # a special token may take the space beside it
+                out.append(self._whole(t))  # a special token may take the space beside it
                 continue
             parts = _CUT.split(t) if _AFTER_SPACE.search(t) else t.split(" ")
-            heads.add(parts[0])
-            ids = list(map(get, parts))
-            ids[0] = b""
-            gaps = [i for i, x in enumerate(ids) if x is None]
-            lost.update([parts[i] for i in gaps])
-            rows.append((parts, ids, gaps))
-        self._recall(lost)
-        self._learn_first(heads)
-        out, young = [], self.young
-        for t, row in zip(texts, rows, strict=True):
-            if row is None:
-                out += self._whole([t])
-                continue
-            parts, ids, gaps = row
-            ids[0] = self.first[parts[0]]
-            for i in gaps:
-                ids[i] = young[parts[i]]
-            out.append(b"".join(ids))
+            head = first[parts[0]]
+            del parts[0]
+            out.append(head + b"".join(map(get, parts)))
         return out
 
 
@@ -201,6 +132,8 @@ def _tailed(piece: str) -> tuple[str, str]:
 
     U+0130 is left whole: its lower case ends in a mark that would go with the sign.
     """
+    if piece[-1:] in _MARKS and piece[:-1].isalpha() and "\u0130" not in piece:
+        return piece[:-1], piece[-1]
     m = _SIGN.search(piece)
     if m and len(piece) - m.start() <= 3 and not piece[-1].isspace() and piece[: m.start()].isalpha() and "\u0130" not in piece:
         return piece[: m.start()], piece[m.start() :]
