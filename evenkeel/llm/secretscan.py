@@ -145,6 +145,29 @@ def trigram_query(pattern: str):
     return _walk(parser.parse(pattern))[1]
 
 
+def thinned(query):
+    """A query that every text of the given one answers, with fewer trigrams: the index costs a look for each.
+
+    Of trigrams that follow one another in a string those stay that cover it (but for one last letter); of alternatives one that asks for all that
+    another asks for, and more, is left out.
+    """
+    if query is True or isinstance(query, str):
+        return query
+    if query[0] == "or":
+        asks = [frozenset(q[1:]) if isinstance(q, tuple) and q[0] == "and" else frozenset([q]) for q in query[1:]]
+        return _join("or", [thinned(q) for q, a in zip(query[1:], asks, strict=True) if not any(b < a for b in asks)])
+    kept, run = [], []
+    for p in [*map(thinned, query[1:]), None]:
+        if run and not (isinstance(p, str) and p[:2] == run[-1][1:]):
+            kept += [run[i] for i in range(len(run)) if i % 3 == 0 or i == len(run) - 1 and i % 3 == 2]
+            run = []
+        if isinstance(p, str):
+            run.append(p)
+        elif p is not None:
+            kept.append(p)
+    return _join("and", kept)
+
+
 def trigrams(query) -> list[str]:
     """The trigrams of a query, in order of their names."""
     if query is True:
@@ -183,7 +206,7 @@ def postings(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFrame | None:
     """(text, rules: bit i set if rule i may match); None if no rule has mandatory trigrams."""
-    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not True}
+    queries = {i: q for i, r in enumerate(rules) if (q := thinned(trigram_query(r.pattern))) is not True}
     names = sorted({t for q in queries.values() for t in trigrams(q)})
     if not names:
         return None
@@ -198,28 +221,31 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataF
 def matches(text: Column, rule: Rule, rank: int) -> Column:
     """All verified matches as array<struct<start, rank, end>>, in order.
 
-    The pieces between matches and the matches themselves give the offsets; their lengths are summed in blocks, so that
-    a text with very many matches takes little more than time in proportion.
+    The pieces between matches and the matches themselves give the offsets; their lengths are summed in blocks, and the
+    blocks' sums one after the other, so that a text with very many matches takes time in proportion.
     """
     span = "struct<start:bigint,rank:int,end:bigint>"
-    pattern, block = F.lit(rule.pattern), 256
+    pattern, block = F.lit(rule.pattern), 64
+    zero = F.lit(0).cast("long")
 
     def spans(x: Column) -> Column:
         pair = F.zip_with(F.slice(x["gaps"], 1, F.size(x["hits"])), x["hits"], lambda g, h: F.struct(F.length(g).cast("long").alias("g"), F.length(h).cast("long").alias("h")))
-        sized = F.struct(pair.alias("n"), x["held"].alias("held"))
+        total = lambda a: F.aggregate(a, zero, lambda s, p: s + p["g"] + p["h"])
 
         def blocked(y: Column) -> Column:
-            total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, p: s + p["g"] + p["h"])
             sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(y["n"]) / block).cast("int")), lambda b: total(F.slice(y["n"], b * block + 1, F.lit(block))))
-            return F.struct(y["n"].alias("n"), y["held"].alias("held"), sums.alias("sums"))
+            start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("before"))
+            before = F.aggregate(sums, start, lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["before"], F.array(s["at"])).alias("before")), lambda s: s["before"])
+            return F.struct(y["n"].alias("n"), y["held"].alias("held"), before.alias("before"))
 
         def placed(z: Column) -> Column:
-            before = lambda i: F.aggregate(F.slice(z["sums"], F.lit(1), F.floor(i / block).cast("int")), F.lit(0).cast("long"), lambda s, v: s + v) + F.aggregate(F.slice(z["n"], (F.floor(i / block) * block + 1).cast("int"), (i % block).cast("int")), F.lit(0).cast("long"), lambda s, p: s + p["g"] + p["h"])
+            first = lambda i: (F.floor(i / block) * block).cast("int")
+            before = lambda i: F.get(z["before"], F.floor(i / block).cast("int")) + total(F.slice(z["n"], first(i) + 1, i - first(i)))
             every = F.transform(z["n"], lambda p, i: F.struct((before(i) + p["g"]).alias("start"), F.lit(rank).alias("rank"), p["h"].alias("end")))
             kept = F.filter(every, lambda s, i: F.get(z["held"], i) >= rule.least)
             return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), (s["start"] + s["end"]).alias("end")))
 
-        return let(let(sized, blocked), placed)
+        return let(let(F.struct(pair.alias("n"), x["held"].alias("held")), blocked), placed)
 
     held = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
     whole = F.struct(F.split(text, rule.pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), held.alias("held"))

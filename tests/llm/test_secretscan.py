@@ -56,6 +56,13 @@ def test_queries_hold_for_every_match():
             return query in text
         return (all if query[0] == "and" else any)(holds(x, text) for x in query[1:])
 
+    assert s.thinned(("and", "pas", "ass", "ssw", "swo", "wor", "ord")) == ("and", "pas", "swo", "ord")
+    assert s.thinned(("or", ("and", "tok", "oke", "ken"), ("and", "tok", "oke", "ken", 'en"'), "xyz")) == ("or", ("and", "tok", "ken"), "xyz")
+    for t in filter(None, CASES):
+        for rule in ALL:
+            full, thin = s.trigram_query(rule.pattern), s.thinned(s.trigram_query(rule.pattern))
+            assert holds(thin, t.lower()) or not holds(full, t.lower())
+            assert len(s.trigrams(thin)) <= len(s.trigrams(full))
     for t in filter(None, CASES):
         for rule in ALL:
             if re.search(rule.pattern, t):
@@ -97,3 +104,15 @@ def test_private_keys_go_whole(spark, text, want):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     made, c = s.scan(spark, df, (s.MORE[0],))
     assert made.select(s.redacted(F.col("text"), F.col(c)).alias("t")).first()["t"] == want
+
+
+def test_very_many_matches_take_time_in_proportion(spark):
+    import time
+
+    text = "token: abcdef1 " * 40_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    t = time.perf_counter()
+    made, c = s.scan(spark, df, s.BASE)
+    got = made.select(F.size(c).alias("n"), F.element_at(c, -1).alias("last")).first()
+    assert (got["n"], got["last"]["start"], got["last"]["end"]) == (40_000, 15 * 39_999, 15 * 40_000 - 1)
+    assert time.perf_counter() - t < 40
