@@ -54,12 +54,12 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most ROWS_AT_ONCE rows and about CHARS_AT_ONCE bytes."""
+def slices(texts: pa.Array, rows: int = ROWS_AT_ONCE, chars: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `rows` rows and about `chars` bytes."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and (i - start >= ROWS_AT_ONCE or held + n > CHARS_AT_ONCE):
+        if i > start and (i - start >= rows or held + n > chars):
             yield start, i
             start, held = i, 0
         held += n

@@ -8,9 +8,9 @@ shuffled, and no sequence but the last has padding.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -22,25 +22,23 @@ from evenkeel.llm.common import Scratch, col, ship, slices
 from evenkeel.llm.tokenise import encoder
 
 WIDTH = 4  # bytes of an id
+AT_ONCE = (4096, 8_000_000)  # texts and bytes that are encoded together
 
 
 def _tokens(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
     key = T.StructField("key", docs.schema[id_col].dataType)
     schema = T.StructType([key, T.StructField("part", T.LongType()), T.StructField("before", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
-    arrow, end = to_arrow_schema(schema), struct.pack("<I", end_id)
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), *AT_ONCE):
                 rows = batch.slice(a, b - a)
-                ids = [x + end for x in enc.encode([t or "" for t in rows.column(1).to_pylist()])]
-                n = [len(x) // WIDTH for x in ids]
-                starts = []
-                for k in n:
-                    starts.append(before)
-                    before += k
-                made = [rows.column(0), pa.array([part] * len(n), pa.int64()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())]
+                flat, offsets = enc.encode_flat(rows.column(1), end_id)
+                ids = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((WIDTH * offsets).astype(np.int32)), pa.py_buffer(flat)])
+                made = [rows.column(0), pa.array(np.full(b - a, part)), pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)), ids]
+                before += int(offsets[-1])
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
 
     return docs.select(col(id_col).alias("key"), col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -34,6 +34,7 @@ from evenkeel.llm.common import Scratch, col, ship, slices
 from evenkeel.llm.tokenise import encoder
 
 MAGIC = b"EVKRPR01"
+AT_ONCE = (4096, 8_000_000)  # texts and bytes that are encoded together
 SHARD_IDS = 1 << 19  # a shard ends with the document that reaches this
 SLOT_BITS = 18
 #: Symbols that two bytes can tell apart.  Wider ones would double the sequence and the rules, which no rule earns.
@@ -72,7 +73,7 @@ def _enough_alone(found: np.ndarray, places: np.ndarray, edge: np.ndarray, count
     low = type(half)((1 << int(half)) - 1)
     pairs = found[edge[best]]
     keep = np.ones(len(best), bool)
-    for k in np.flatnonzero(pairs >> half == pairs & low).tolist():
+    for k in np.flatnonzero((pairs >> half == pairs & low) & (counts[best] < 2 * pays)).tolist():  # with more, every other one is enough
         at = places[edge[best[k]] : edge[best[k]] + counts[best[k]]]
         ends = np.flatnonzero(np.concatenate((np.diff(at) != 1, [True])))
         runs = np.diff(np.concatenate(([-1], ends)))
@@ -108,11 +109,11 @@ def compress(docs: list[np.ndarray], terminals: int) -> bytes:
         else:
             # Pairs are counted by a hash first; only those in places that hold enough are sorted.
             every = seq[:-1] << half | seq[1:]
-            slot = _slots(every)
+            slot = _slots(every).astype(np.intp)
             held = np.bincount(slot, minlength=1 << SLOT_BITS)
             np.subtract.at(held, slot[across], 1)
             least = max(pays, min(int(held.max() * NEXT_BEST), least // 4))
-            some = (held >= least)[slot]
+            some = np.take(held >= least, slot)
             some[across] = False
             some = np.flatnonzero(some)
             keys = every[some]
@@ -132,10 +133,15 @@ def compress(docs: list[np.ndarray], terminals: int) -> bytes:
             best = best[np.argsort(-counts[best], kind="stable")[:room]]  # in the order of their ranks
             n = counts[best]
             pick = np.arange(n.sum()) + np.repeat(edge[best] - np.cumsum(n) + n, n)
-            ranks = np.full(len(seq), -1, np.int32)  # by place, which puts them in order
-            ranks[places[pick]] = np.repeat(np.arange(len(best), dtype=np.int32), n)
-            where = np.flatnonzero(ranks >= 0)
-            rank = ranks[where]
+            where, rank = places[pick], np.repeat(np.arange(len(best), dtype=np.int32), n)
+            if 16 * len(where) < len(seq):
+                order = np.argsort(where)
+                where, rank = where[order], rank[order]
+            else:
+                ranks = np.full(len(seq), -1, np.int32)  # by place, which puts them in order
+                ranks[where] = rank
+                where = np.flatnonzero(ranks >= 0)
+                rank = ranks[where]
             keep = _settled(where, rank)
             where, rank = where[keep], rank[keep]
             enough = np.bincount(rank, minlength=len(best)) >= pays
@@ -177,8 +183,8 @@ def compress(docs: list[np.ndarray], terminals: int) -> bytes:
 class Shard:
     """A shard file opened for reading."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, data: bytes | pa.Buffer):
+        if bytes(data[:8]) != MAGIC:
             raise ValueError("not a shard file")
         self.terminals, rules, docs, symbols, rounds, width = struct.unpack_from("<6I", data, 8)
         at, kind = 32, f"<u{width}"
@@ -238,7 +244,7 @@ def write(spark: SparkSession, docs: DataFrame, scratch: Scratch, tokenizer: str
     ship(spark)
     key = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("before", T.LongType()), T.StructField("keys", T.ArrayType(key)), T.StructField("n", T.LongType()), T.StructField("data", T.BinaryType())])
-    arrow, end = to_arrow_schema(schema), struct.pack("<I", end_id)
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
@@ -251,13 +257,13 @@ def write(spark: SparkSession, docs: DataFrame, scratch: Scratch, tokenizer: str
             return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), *AT_ONCE):
                 rows = batch.slice(a, b - a)
-                ids = enc.encode([t or "" for t in rows.column(1).to_pylist()])
-                for k, x in zip(rows.column(0).to_pylist(), ids, strict=True):
+                flat, offsets = enc.encode_flat(rows.column(1), end_id)
+                for k, x, y in zip(rows.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     keys.append(k)
-                    held.append(np.frombuffer(x + end, "<u4"))
-                    n += len(held[-1])
+                    held.append(flat[x:y])
+                    n += y - x
                     if n >= SHARD_IDS:
                         yield row()
                         before += n
@@ -289,13 +295,18 @@ def read(spark: SparkSession, shards: DataFrame, id_col: str = "doc_id") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                base, keys, shard = batch.column(0)[i].as_py(), batch.column(1)[i].values, Shard(batch.column(2)[i].as_py())
-                raw, sizes = shard.ids().astype("<u4").tobytes(), shard.sizes.astype(np.int64)
+                base, keys, shard = batch.column(0)[i].as_py(), batch.column(1)[i].values, Shard(batch.column(2)[i].as_buffer())
+                raw, sizes = shard.ids().astype("<u4", copy=False), shard.sizes.astype(np.int64)
                 ends = np.cumsum(sizes)
                 for a in range(0, len(sizes), 1000):
                     b = min(len(sizes), a + 1000)
-                    bounds = (4 * np.concatenate((ends[a : a + 1] - sizes[a : a + 1], ends[a:b]))).tolist()
-                    made = [keys.slice(a, b - a), pa.array(base + ends[a:b] - sizes[a:b]), pa.array(sizes[a:b]), pa.array([raw[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())]
+                    low, high = int(ends[a] - sizes[a]), int(ends[b - 1])
+                    offsets = np.concatenate(([0], ends[a:b] - low)) * 4
+                    if offsets[-1] < 1 << 31:
+                        ids = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw[low:high])])
+                    else:
+                        ids = pa.array([raw[low + x // 4 : low + y // 4].tobytes() for x, y in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)], pa.binary())
+                    made = [keys.slice(a, b - a), pa.array(base + ends[a:b] - sizes[a:b]), pa.array(sizes[a:b]), ids]
                     yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
 
     return placed.mapInArrow(run, schema)

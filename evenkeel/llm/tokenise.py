@@ -11,6 +11,10 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that each of the two halves of a worker's memory holds; about 250 MB in all.
@@ -19,7 +23,8 @@ CACHE_PIECES = 600_000
 #: Pieces at the starts of texts and lines that a worker remembers.
 CACHE_FIRST = 200_000
 
-_AFTER_SPACE = re.compile(r"\s ")
+#: A space after white space (as Python has it), at which a piece may not end.
+_AFTER_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}] "
 #: Letters before this one are composed, and have one lower-case letter each.
 _BEYOND = "\u0130"
 
@@ -69,6 +74,8 @@ class PieceEncoder:
         for plain, bare in ((lambda w: _SPACE + _shown(w), _shown), (lambda w: _shown(w.lower()),) * 2):
             if all(self._direct(plain(w)) == self._whole(" " + w) and self._direct(bare(w)) == self._whole(w) for w in _SAMPLES):
                 self.plain, self.bare = plain, bare
+        self.mark = self.plain("a")[:-1] if self.plain is not None else ""
+        self.lower = self.plain is not None and self.plain("A")[-1] == "a"
         self.feed = self._whole("\n")
         self.pieces = _Memory(self._after_space)
         self.first = _Memory(self._at_start)
@@ -109,22 +116,75 @@ class PieceEncoder:
             return self._direct(self.bare(piece))
         return self._whole(piece)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _tidy(self) -> None:
         if len(self.pieces) > CACHE_PIECES:
             self.pieces = _Memory(self._after_space, dict(self.pieces))
         if len(self.first) + len(self.tails) > CACHE_FIRST:
             self.first.clear()
             self.tails.clear()
-        get, first, out = self.pieces.__getitem__, self.first, []
-        for t in texts:
-            if any(s in t for s in self.special):
-                out.append(self._whole(t))  # a special token may take the space beside it
-                continue
-            parts = _CUT.split(t) if _AFTER_SPACE.search(t) else t.split(" ")
-            head = first[parts[0]]
-            del parts[0]
-            out.append(head + b"".join(map(get, parts)))
-        return out
+
+    def _alone(self, text: str) -> bytes:
+        """The ids of one text."""
+        if any(s in text for s in self.special):
+            return self._whole(text)  # a special token may take the space beside it
+        first, *rest = _CUT.split(text)
+        return self.first[first] + b"".join(map(self.pieces.__getitem__, rest))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes."""
+        self._tidy()
+        return [self._alone(t) for t in texts]
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that stand after spaces; words of ASCII letters, which most new ones are, without a call."""
+        memory, old, tokenize = self.pieces, self.pieces.old, self.model.tokenize
+        ids = list(map(memory.get, pieces))
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            p = pieces[i]
+            got = old.get(p)
+            if got is None:
+                if self.plain is not None and p.isascii() and p.isalpha():
+                    got = array("I", [t.id for t in tokenize(self.mark + (p.lower() if self.lower else p))]).tobytes()
+                else:
+                    got = self._after_space(p)
+            memory[p] = ids[i] = got
+        return ids
+
+    def encode_flat(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each with the end id (null: that alone), and their offsets.
+
+        Texts are cut and their distinct pieces told apart by Arrow; only those are looked up, once for all texts.
+        """
+        self._tidy()
+        texts = pc.fill_null(texts, "")
+        hard = pc.match_substring_regex(texts, _AFTER_SPACE)
+        for s in self.special:
+            hard = pc.or_(hard, pc.match_substring(texts, s))
+        alone = {i: self._alone(texts[i].as_py()) for i in np.flatnonzero(hard.to_numpy(zero_copy_only=False)).tolist()}
+        if alone:
+            texts = pc.if_else(hard, "", texts)
+        cut = pc.split_pattern(texts, " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        values = cut.values.slice(offsets[0], offsets[-1] - offsets[0])
+        offsets -= offsets[0]
+        coded = values.dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.intp)
+        ids = self._ids_of(coded.dictionary.to_pylist())
+        index[offsets[:-1]] = len(ids) + np.arange(len(texts))
+        first = self.first
+        ids += [alone[i] if i in alone else first[h] for i, h in enumerate(values.take(pa.array(offsets[:-1])).to_pylist())]
+        index = np.insert(index, offsets[1:], len(ids))
+        ids.append(end.to_bytes(4, "little"))
+        table = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        n = np.take(size, index)
+        upto = np.cumsum(n)
+        total = int(upto[-1]) if len(upto) else 0
+        kind = np.int32 if max(total, len(table)) < 1 << 31 else np.int64
+        at = np.repeat((np.take(start, index) - upto + n).astype(kind), n)
+        at += np.arange(total, dtype=kind)
+        return np.take(table, at), np.concatenate(([0], upto[offsets[1:] + np.arange(len(texts))]))
 
 
 def _tailed(piece: str) -> tuple[str, str]:
