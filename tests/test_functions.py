@@ -274,3 +274,25 @@ def test_distances_of_long_and_null_arrays(spark):
     assert [r[0] for r in df.orderBy("i").select(tokens.distance(F.col("a"), F.col("b"))).collect()] == [2, None, 0, 1]
     with pytest.raises(ValueError, match="no tokenizer"):
         tokens.tokenized(F.col("t"), "none")
+
+
+def test_scorers_stops_and_limits(spark):
+    import time
+
+    assert parse.scorer("hash")() is parse.hash_scorer
+    with pytest.raises(ValueError, match="no scorer"):
+        parse.scorer("none")
+    c = F.col("t")
+    assert one(spark, parse.until(c, "</think>", "##"), t="a ## b </think> c") == "a ##"
+    assert one(spark, parse.until(c, "</think>"), t="no stop") == "no stop"
+
+    def make():
+        def call(t):
+            time.sleep(5 if t == "slow" else 0)
+            return t.upper()
+
+        return parse.limited(call, 0.5)
+
+    rows = parse.perturb(spark.createDataFrame([("slow",), ("x",)], "t string"), "t", make).collect()
+    got = {r["t"]: (r["perturbed"]["ok"], r["perturbed"]["value"]) for r in rows}
+    assert got == {"slow": (False, None), "x": (True, "X")}

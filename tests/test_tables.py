@@ -150,3 +150,40 @@ def test_queries_equal_their_sql(spark):
     for name in ("flip_rate_by_cell", "jsd_bits_paired_t", "ols_level_cluster", "wilcoxon", "balanced_sample", "calibration_select", "sentence_split", "subgroup_triples"):
         got, want = catalogue.queries()[name](spark, SMALL).toPandas(), con.sql(catalogue.oracle_sql()[name]).df()
         assert rows(got) == rows(want), name
+
+
+def test_queries_by_name_are_resumed(spark, tmp_path):
+    from evenkeel.__main__ import run_all
+
+    out = str(tmp_path / "out")
+    assert run_all(spark, SMALL, out, ["mi_by_cell", "head_k"]) == ["mi_by_cell", "head_k"]
+    assert run_all(spark, SMALL, out, ["mi_by_cell", "phi_by_cell"], "json") == ["phi_by_cell"]
+    assert spark.read.parquet(f"{out}/mi_by_cell").count() == spark.read.json(f"{out}/phi_by_cell").count() == 6
+    with pytest.raises(ValueError, match="no query"):
+        run_all(spark, SMALL, out, ["nothing"])
+
+
+def test_sinks_and_readers_of_the_catalogue(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a "b"'), (2, None)], "k long, v string")
+    writers.csv_file(rows, f"{tmp_path}/in", "one file.csv")
+    with pytest.raises(Exception, match="one file"):
+        writers.csv_file(rows, f"{tmp_path}/in", "one file.csv")
+    writers.json_object(rows, "k", f"{tmp_path}/object")
+    assert sorted(map(tuple, readers.json_map(spark, f"{tmp_path}/object", "struct<v:string>").collect())) == [("1", 'a "b"'), ("2", None)]
+    with pytest.raises(FileNotFoundError):
+        readers.newest(spark, f"{tmp_path}/in")
+    assert readers.checked(rows, "v", ['a "b"']).count() == 2
+    with pytest.raises(Exception, match="not allowed"):
+        readers.checked(rows, "v", ["x"]).collect()
+
+
+def test_gates_name_what_failed(spark):
+    from evenkeel.plans import studies
+
+    df = spark.createDataFrame([(1.0,), (0.5,)], "mass double")
+    gates = studies.gate(df, "mass", F.col("mass") >= 0.99).unionByName(studies.gate(df.limit(0), "empty", F.lit(True))).unionByName(studies.gate(df, "good", F.lit(True)))
+    with pytest.raises(ValueError, match="gates failed: (mass, empty|empty, mass)$"):
+        studies.require(gates)
+    studies.require(gates.where("passed"))
+    with pytest.raises(ValueError, match="1 of 2 shards"):
+        studies.merged(spark.createDataFrame([(1, 1)], "s int, k int"), "s", 2, ["k"], ["s"])
