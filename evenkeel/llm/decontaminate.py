@@ -10,11 +10,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.llm.common import annotate, col, fresh, ship
+from evenkeel.llm.common import Scratch, annotate, col, fresh, ship
 
 #: Letters and digits in lower case, and every byte of a non-ASCII character; all else separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -27,9 +27,15 @@ FIELDS = T.StructType([
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
 ])
 
-#: Bytes of benchmark text that one automaton may hold (some 100 bytes of memory each); larger sets are refused, so
-#: that what is sent to the workers has a bound.  Split such a set and apply the operator once for each part.
-MAX_BENCHMARK_BYTES = 64_000_000
+_RUN = T.StructType([T.StructField(n, T.LongType()) for n in ("first", "last", "start", "end")])
+_PART = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("runs", T.ArrayType(_RUN))])
+
+#: Bytes of benchmark text in one automaton.  Each takes some 270 bytes of a worker's memory (46,121 bytes of text made
+#: 316,039 nodes, 12.6 MB), so that an automaton stays at about 1.1 GB.  More text is dealt into several automata, for
+#: each of which the documents are passed over once.
+AUTOMATON_BYTES = 4_000_000
+#: Bytes of benchmark text at most, all of which the driver and each worker hold; larger sets are refused.
+MAX_BENCHMARK_BYTES = 256_000_000
 
 _AUTOMATA: dict[int, object] = {}
 
@@ -63,15 +69,15 @@ def _automaton(token: int, items: list[tuple[str, str | None]], size: int):
     return _AUTOMATA[token]
 
 
-def scan(automaton, text: str | None) -> tuple[int, int, list[str], list[tuple[int, int]]]:
-    """(words, hit words, sorted ids of the items found, spans of hit words in the original text)."""
+def runs(automaton, text: str | None) -> tuple[int, list[str], list[tuple[int, int, int, int]]]:
+    """(words, sorted ids of the items found, maximal runs of hit words: first and last word, start and end in the text)."""
     w = words(text)
     if not w or not len(automaton):
-        return len(w), 0, [], []
+        return len(w), [], []
     norm = b" " + b" ".join(w) + b" "
     found = list(automaton.iter(norm.decode("latin-1")))
     if not found:
-        return len(w), 0, [], []
+        return len(w), [], []
     gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
     last = np.searchsorted(gaps, np.array([e for e, _ in found]))  # the word before this gap is the match's last
     first = last - np.array([v[0] for _, v in found])
@@ -81,8 +87,33 @@ def scan(automaton, text: str | None) -> tuple[int, int, list[str], list[tuple[i
     hit = np.cumsum(edge[:-1]) > 0
     change = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
     places = [m.span() for m in _WORD.finditer(text)]
-    spans = [(places[a][0], places[b - 1][1]) for a, b in change.reshape(-1, 2).tolist()]
-    return len(w), int(hit.sum()), sorted({i for _, v in found for i in v[1]}), spans
+    return len(w), sorted({i for _, v in found for i in v[1]}), [(a, b - 1, places[a][0], places[b - 1][1]) for a, b in change.reshape(-1, 2).tolist()]
+
+
+def scan(automaton, text: str | None) -> tuple[int, int, list[str], list[tuple[int, int]]]:
+    """(words, hit words, sorted ids of the items found, spans of hit words in the original text)."""
+    n, items, found = runs(automaton, text)
+    return n, sum(b - a + 1 for a, b, _, _ in found), items, [(x, y) for _, _, x, y in found]
+
+
+def dealt(items: list[tuple[str, str]], most: int, window: int) -> list[list[tuple[str, str]]]:
+    """Items in groups of about `most` bytes of text; a larger one is cut into stretches that share window - 1 words, so
+    that each of its windows is in one of them."""
+    out, held = [[]], 0
+    for item, text in items:
+        pieces = [text]
+        if len(text.encode("utf-8", "surrogatepass")) > most:
+            w = [x.decode("utf-8", "surrogatepass") for x in words(text)]
+            step = max(1, len(w) * most // (2 * len(text.encode("utf-8", "surrogatepass"))))
+            pieces = [" ".join(w[i : i + step + window - 1]) for i in range(0, max(1, len(w) - window + 1), step)]
+        for t in pieces:
+            size = len(t.encode("utf-8", "surrogatepass"))
+            if out[-1] and held + size > most:
+                out.append([])
+                held = 0
+            out[-1].append((item, t))
+            held += size
+    return out
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, str]:
@@ -97,24 +128,64 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     pick = benchmark.select(col(item_col).cast("string").alias("i"), col(item_text).cast("string").alias("t"))
     held = pick.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     if held > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {held} bytes of text; one automaton takes {MAX_BENCHMARK_BYTES}")
+        raise ValueError(f"the benchmark has {held} bytes of text; {MAX_BENCHMARK_BYTES} are taken")
     items = sorted(("null" if r["i"] is None else r["i"], r["t"] or "") for r in pick.collect())
-    sent = spark.sparkContext.broadcast(items)
-    token = hash((tuple(items), window))
+    name, parts = fresh(docs, "decontamination"), dealt(items, AUTOMATON_BYTES, window)
+    if len(parts) == 1:
+        make = _kernel(spark, items, window, lambda a, t: dict(zip(FIELDS.names, _row(scan(a, t)), strict=True)), FIELDS)
+        return annotate(docs, text_col, make, FIELDS, name, keep), name
+    return _in_parts(spark, docs, parts, window, text_col, name, list(docs.columns if keep is None else keep)), name
+
+
+def _row(found: tuple[int, int, list[str], list[tuple[int, int]]]) -> tuple:
+    return (*found[:3], [{"start": a, "end": b} for a, b in found[3]])
+
+
+def _kernel(spark: SparkSession, items: list[tuple[str, str]], window: int, one, fields: T.StructType):
+    sent, token = spark.sparkContext.broadcast(items), hash((tuple(items), window))
 
     def make():
         automaton = _automaton(token, sent.value, window)
 
         def kernel(texts):
-            found = [scan(automaton, t) for t in texts]
-            return {
-                "n_words": [x[0] for x in found],
-                "n_hit": [x[1] for x in found],
-                "item_ids": [x[2] for x in found],
-                "spans": [[{"start": a, "end": b} for a, b in x[3]] for x in found],
-            }
+            found = [one(automaton, t) for t in texts]
+            return {n: [f[n] for f in found] for n in fields.names}
 
         return kernel
 
-    name = fresh(docs, "decontamination")
-    return annotate(docs, text_col, make, FIELDS, name, keep), name
+    return make
+
+
+def _in_parts(spark: SparkSession, docs: DataFrame, parts: list[list[tuple[str, str]]], window: int, text_col: str, name: str, keep: list[str]) -> DataFrame:
+    """The same with one automaton after the other: what each finds is written, and put together for each document."""
+    scratch, key, n_words = Scratch(spark, "decontamination"), fresh(docs, "__key"), fresh(docs, "__n_words")
+    docs = scratch.keep(docs.withColumn(key, F.monotonically_increasing_id()), "docs")
+
+    def one(automaton, text):
+        n, items, found = runs(automaton, text)
+        return {"n_words": n, "item_ids": items, "runs": [dict(zip(_RUN.names, r, strict=True)) for r in found]}
+
+    found = []
+    for k, items in enumerate(parts):
+        every = annotate(docs, text_col, _kernel(spark, items, window, one, _PART), _PART, "p", [key])
+        kept = every.select(key, "p.*") if k == 0 else every.where("size(p.runs) > 0").select(key, "p.*")
+        found.append(scratch.keep(kept, f"part-{k}"))
+    hits = found[0].where("size(runs) > 0")
+    for f in found[1:]:
+        hits = hits.unionByName(f)
+    hits = hits.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
+
+    def step(acc: Column, r: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.when(r["last"] > last["last"], r).otherwise(last)
+        joined = F.struct(last["first"].alias("first"), longer["last"].alias("last"), last["start"].alias("start"), longer["end"].alias("end"))
+        return F.when((F.size(acc) > 0) & (r["first"] <= F.try_element_at(acc, F.lit(-1))["last"] + 1), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(r)))
+
+    runs_type = f"array<{_RUN.simpleString()}>"
+    hits = hits.withColumn("runs", F.aggregate("runs", F.array().cast(runs_type), step))
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1)
+    hits = hits.select(key, n_hit.alias("n_hit"), "item_ids", F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias("spans"))
+    out = docs.join(found[0].select(key, F.col("n_words").alias(n_words)), key).join(hits, key, "left")
+    none = lambda c: F.array().cast(FIELDS[c].dataType)
+    made = F.struct(F.col(n_words).alias("n_words"), F.coalesce(F.col("n_hit"), F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.col("item_ids"), none("item_ids")).alias("item_ids"), F.coalesce(F.col("spans"), none("spans")).alias("spans"))
+    return out.select(*[docs[c] for c in keep], made.alias(name))

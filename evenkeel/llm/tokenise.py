@@ -40,7 +40,7 @@ def _shown(word: str) -> str:
 
 
 _SIGN = re.compile(r"[!-/:-@\[-`{-~]")
-_MARKS = frozenset(",.;:!?)")
+_MARKS = frozenset(",.;:!?")
 _CUT = re.compile(r"(?<=\S) ")
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -95,9 +95,10 @@ class PieceEncoder:
         stands before and after it is looked up apart.  Letters that an ASCII sign follows are a word of their own, so
         that a word with a short tail of signs is put together from the two.
         """
-        if piece.isalpha() and self.plain is not None and (piece.isascii() or max(piece) < _BEYOND):
-            return self._direct(self.plain(piece))
-        if "\n" in piece:
+        if piece.isalpha():
+            if self.plain is not None and max(piece) < _BEYOND:
+                return self._direct(self.plain(piece))
+        elif "\n" in piece:
             head, _, rest = piece.partition("\n")
             if head and rest and "\n" not in rest and not head[-1].isspace() and not rest[0].isspace():
                 return self.pieces[head] + self.feed + self.first[rest]
@@ -136,15 +137,27 @@ class PieceEncoder:
         return [self._alone(t) for t in texts]
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces that stand after spaces; words of ASCII letters, which most new ones are, without a call."""
-        memory, old, tokenize = self.pieces, self.pieces.old, self.model.tokenize
+        """The ids of pieces that stand after spaces; the most common new ones, words of letters and such words with a sign
+        at the end, without the way through `_after_space`."""
+        memory, old, tails, tokenize, mark, lower = self.pieces, self.pieces.old, self.tails, self.model.tokenize, self.mark, self.lower
         ids = list(map(memory.get, pieces))
+        simple = self.plain is not None
         for i in [i for i, x in enumerate(ids) if x is None]:
             p = pieces[i]
             got = old.get(p)
             if got is None:
-                if self.plain is not None and p.isascii() and p.isalpha():
-                    got = array("I", [t.id for t in tokenize(self.mark + (p.lower() if self.lower else p))]).tobytes()
+                if not (simple and p.isascii()):
+                    got = self._after_space(p)
+                elif p.isalpha():
+                    got = array("I", [t.id for t in tokenize(mark + (p.lower() if lower else p))]).tobytes()
+                elif p[-1:] in _MARKS and (stem := p[:-1]).isalpha():
+                    head = memory.get(stem)
+                    if head is None:
+                        head = old.get(stem)
+                        if head is None:
+                            head = array("I", [t.id for t in tokenize(mark + (stem.lower() if lower else stem))]).tobytes()
+                        memory[stem] = head
+                    got = head + tails[p[-1]]
                 else:
                     got = self._after_space(p)
             memory[p] = ids[i] = got
