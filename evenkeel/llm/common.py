@@ -42,6 +42,17 @@ def join_hot(rows: DataFrame, by_key: DataFrame, key: str, n: str, total: int) -
     return rows.join(some, key).unionByName(rest)
 
 
+def left_join_hot(rows: DataFrame, by_key: DataFrame, key: str, value: str, n: str, total: int) -> DataFrame:
+    """rows with the column `value` of by_key (null where the key, a bigint, has none), hot keys apart as in join_hot."""
+    hot = F.col(n) > max(LEAST_HOT, total // MOST_HOT)
+    first, other = fresh(rows, "__hot"), fresh(rows, "__other")
+    told = rows.join(F.broadcast(by_key.where(hot).select(key, F.col(value).alias(first))), key, "left")
+    # Rows of hot keys are spread; should such a row meet a key by chance, what it has already counts.
+    told = told.withColumn(other, F.when(col(first).isNull(), col(key)).otherwise(F.xxhash64(F.monotonically_increasing_id())))
+    told = told.join(by_key.where(~hot).select(F.col(key).alias(other), value), other, "left")
+    return told.select(*map(col, rows.columns), F.coalesce(col(first), col(value)).alias(value))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores in front if df has such a column already (in either case of letters)."""
     taken = {c.lower() for c in df.columns}

@@ -22,7 +22,7 @@ from evenkeel.llm.common import Scratch, col, ship, slices
 from evenkeel.llm.tokenise import encoder
 
 WIDTH = 4  # bytes of an id
-AT_ONCE = (4096, 8_000_000)  # texts and bytes that are encoded together
+AT_ONCE = (4096, 4_000_000)  # texts and bytes that are encoded together
 
 
 def _tokens(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions.special import let
-from evenkeel.llm.common import Scratch, col, fresh
+from evenkeel.llm.common import Scratch, col, fresh, left_join_hot
 
 #: Candidates of at most so many texts (16 bytes each) are sent to all workers; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -205,7 +205,7 @@ def postings(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFrame | None:
-    """(text, rules: bit i set if rule i may match); None if no rule has mandatory trigrams."""
+    """(text, rules: bit i set if rule i may match, n: its postings); None if no rule has mandatory trigrams."""
     queries = {i: q for i, r in enumerate(rules) if (q := thinned(trigram_query(r.pattern))) is not True}
     names = sorted({t for q in queries.values() for t in trigrams(q)})
     if not names:
@@ -213,9 +213,9 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataF
     place = {t: i for i, t in enumerate(names)}
     words = range(-(-len(names) // 62))
     bit = lambda w: F.when(F.floor(F.col("trigram") / 62) == w, F.expr("shiftleft(1L, cast(trigram % 62 AS int))")).otherwise(F.lit(0).cast("long"))
-    lists = postings(docs, text_col, names).groupBy("text").agg(*[F.bit_or(bit(w)).alias(f"p{w}") for w in words])
+    lists = postings(docs, text_col, names).groupBy("text").agg(F.count("*").alias("n"), *[F.bit_or(bit(w)).alias(f"p{w}") for w in words])
     found = sum((F.when(_holds(q, place), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, q in queries.items()), F.lit(0).cast("long"))
-    return lists.select("text", found.alias("rules")).where("rules != 0")
+    return lists.select("text", found.alias("rules"), "n").where("rules != 0")
 
 
 def matches(text: Column, rule: Rule, rank: int) -> Column:
@@ -266,10 +266,9 @@ def scan(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...] = BASE +
     if found is None:
         joined = docs.withColumn(mask, F.lit(0).cast("long"))
     else:
-        found = Scratch(spark, "secrets").keep(found, "candidates").select(F.col("text").alias(key), F.col("rules").alias(mask))
-        if found.count() <= BROADCAST_ROWS:
-            found = F.broadcast(found)
-        joined = docs.withColumn(key, F.xxhash64(text)).join(found, key, "left")
+        found = Scratch(spark, "secrets").keep(found, "candidates").select(F.col("text").alias(key), F.col("rules").alias(mask), "n")
+        keyed, held = docs.withColumn(key, F.xxhash64(text)), found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        joined = keyed.join(F.broadcast(found.drop("n")), key, "left") if held[0] <= BROADCAST_ROWS else left_join_hot(keyed, found, key, mask, "n", held[1])
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
     parts = []
     for i, rule in enumerate(rules):

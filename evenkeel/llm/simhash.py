@@ -216,6 +216,7 @@ _SET = T.StructType([T.StructField("grams", T.ArrayType(T.LongType(), False))])
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 HUBS = 4  # orders by which the text is picked that a cell's others are compared with first
+PAIRS_A_TASK = 10_000
 BLOCK = 512  # members of a full cell that are compared with another such block, or with one another, at a time
 BLOCK_SHINGLES = 1 << 20  # shingles of a block, about; bounds a task where texts are long
 
@@ -241,7 +242,16 @@ def verified(scratch: Scratch, pairs: DataFrame, firsts: DataFrame, texts: DataF
     pairs = scratch.keep(pairs, f"{label}-candidates")
     named = scratch.keep(pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct().join(firsts.select("f", "row"), "f"), f"{label}-named")
     sets = scratch.keep(shingle_sets(texts, named, size), f"{label}-sets")
-    both = pairs.join(sets.select(F.col("f").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("f").alias("b"), F.col("grams").alias("y")), "b")
+    total = pairs.count()
+
+    def beside(pairs: DataFrame, key: str, name: str) -> DataFrame:
+        """The sets of one side.  A text of very many pairs is copied, so that no task gets more than PAIRS_A_TASK of them."""
+        each = pairs.groupBy(key).agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / PAIRS_A_TASK))
+        dealt = join_hot(pairs, each, key, "n", total).withColumn("copy", F.expr("pmod(xxhash64(a, b), copies)")).drop("n", "copies")
+        copies = sets.select(F.col("f").alias(key), F.col("grams").alias(name)).join(each, key).withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)"))).drop("n", "copies")
+        return dealt.join(copies, [key, "copy"]).drop("copy")
+
+    both = beside(beside(pairs, "a", "x"), "b", "y")
     common = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
     return scratch.keep(common.where(F.col("common") / (F.col("n") - F.col("common")) >= similarity).select("a", "b"), label)
 

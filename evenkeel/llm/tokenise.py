@@ -182,10 +182,13 @@ class PieceEncoder:
         offsets -= offsets[0]
         coded = values.dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.intp)
+        heads = values.take(pa.array(offsets[:-1])).to_pylist()
         ids = self._ids_of(coded.dictionary.to_pylist())
+        del cut, values, coded
+        pa.default_memory_pool().release_unused()
         index[offsets[:-1]] = len(ids) + np.arange(len(texts))
         first = self.first
-        ids += [alone[i] if i in alone else first[h] for i, h in enumerate(values.take(pa.array(offsets[:-1])).to_pylist())]
+        ids += [alone[i] if i in alone else first[h] for i, h in enumerate(heads)]
         index = np.insert(index, offsets[1:], len(ids))
         ids.append(end.to_bytes(4, "little"))
         table = np.frombuffer(b"".join(ids), "<u4")

@@ -116,3 +116,17 @@ def test_very_many_matches_take_time_in_proportion(spark):
     got = made.select(F.size(c).alias("n"), F.element_at(c, -1).alias("last")).first()
     assert (got["n"], got["last"]["start"], got["last"]["end"]) == (40_000, 15 * 39_999, 15 * 40_000 - 1)
     assert time.perf_counter() - t < 40
+
+
+def test_hot_texts_without_a_broadcast(spark, monkeypatch):
+    from evenkeel.llm import common
+
+    rows = [(i, "token: abcdef12 " + "x" * (i % 3)) for i in range(60)] + [(100 + i, f"{i} AKIA{'Q' * 16}") for i in range(20)] + [(200, None), (201, "plain")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__rules", F.lit(7))
+    key = lambda r, c: str((r["doc_id"], r["text"], [tuple(x) for x in r[c]]))
+    made, c = s.scan(spark, df)
+    want = sorted(key(r, c) for r in made.collect())
+    monkeypatch.setattr(s, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "LEAST_HOT", 10)
+    made, c = s.scan(spark, df)
+    assert made.columns == ["doc_id", "text", "__rules", c] and sorted(key(r, c) for r in made.collect()) == want

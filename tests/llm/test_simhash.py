@@ -198,3 +198,19 @@ def test_hot_fingerprints(spark, monkeypatch):
     for i, g in want.items():
         least[g] = min(least.get(g, i), i)
     assert got == {i: least[g] for i, g in want.items()}
+
+
+def test_pairs_of_one_hub_are_dealt_out(spark, monkeypatch):
+    from evenkeel.llm import common
+
+    monkeypatch.setattr(simhash, "PAIRS_A_TASK", 7)
+    monkeypatch.setattr(common, "LEAST_HOT", 10)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[: 200 - k % 60] + [f"x{k}"]) for k in range(80)]  # similar to the first, down to 0.7
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    firsts = docs.selectExpr("row AS f", "row")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 80)] + [(3, 4)], "a long, b long")
+    got = simhash.verified(Scratch(spark, "test"), pairs, firsts, docs, 5, 0.8, "edges").collect()
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    want = [(a, b) for a, b in [(0, k) for k in range(1, 80)] + [(3, 4)] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sorted(map(tuple, got)) == sorted(want) and 20 < len(want) < 80
