@@ -176,5 +176,6 @@ def scan(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, id_col: str
     blocks = scratch.keep(held.groupBy("block").agg(F.first("reach").alias("reach"), F.first("words").alias("words")), "blocks")
     found = few(_joined(spark, sets, blocks), "license-blocks")
     per_text = few(held.select("key", "block").join(found, "block").groupBy("key").agg(F.sort_array(F.collect_set("label")).alias("labels"), F.max("share").alias("score")), "license-texts")
+    scratch.drop("held", "blocks")  # read for the last time
     out = made.join(per_text, "key", "left")
     return out.select(F.col("id").alias(id_col), "n_words", "hits", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

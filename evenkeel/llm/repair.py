@@ -188,6 +188,7 @@ class Shard:
             raise ValueError("not a shard file")
         self.terminals, rules, docs, symbols, rounds, width = struct.unpack_from("<6I", data, 8)
         at, kind = 32, f"<u{width}"
+        self._expanded: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
         def take(n: int, dtype: str) -> np.ndarray:
             nonlocal at
@@ -204,23 +205,31 @@ class Shard:
         if at != len(data):
             raise ValueError("the shard file is cut short or has more at its end")
 
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What every symbol stands for, one after the other (ids first, then rules, made round by round), where each
+        starts and how long it is."""
+        if self._expanded is None:
+            size = np.concatenate((np.ones(self.terminals, np.int32), self.expands.astype(np.int32)))
+            start = np.cumsum(size, dtype=np.int64) - size
+            table = np.arange(int(size.sum()), dtype=np.uint32)
+            done = self.terminals
+            for n in self.rounds.tolist():
+                new = self.rules[done - self.terminals : done - self.terminals + n].ravel()  # left and right of each rule
+                made = self._gathered(new, table, start, size)
+                table[start[done] : start[done] + len(made)] = made
+                done += n
+            self._expanded = table, start, size
+        return self._expanded
+
+    def _gathered(self, seq: np.ndarray, table: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        n = np.take(size, seq)
+        upto = np.cumsum(n, dtype=np.int64)
+        at = np.repeat(np.take(start, seq) - upto + n, n)
+        at += np.arange(len(at))
+        return np.take(table, at)
+
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        low = self.terminals + len(self.rules)
-        for n in self.rounds[::-1]:
-            low -= int(n)
-            new = np.flatnonzero(seq >= low)  # of this round: later ones are gone
-            if not len(new):
-                continue
-            rule = self.rules[seq[new] - self.terminals]
-            to = new + np.arange(len(new))  # each earlier one has made room for one more
-            out = np.empty(len(seq) + len(new), np.uint32)
-            keep = np.ones(len(out), bool)
-            keep[to + 1] = False
-            out[keep] = seq
-            out[to] = rule[:, 0]
-            out[to + 1] = rule[:, 1]
-            seq = out
-        return seq.astype(np.uint32)
+        return self._gathered(seq, *self._table())
 
     def ids(self) -> np.ndarray:
         """All documents' ids, one after the other."""

@@ -400,5 +400,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, size: int = 5, similari
     edges = edges.unionByName(dense_links(scratch, left, scratch.keep(shingle_sets(texts, wanted, size), "left-sets"), similarity))
 
     done = _labelled(scratch, worded.select("id", "f", "print"), firsts.select("f", "first", "n"), edges)
+    # What is returned reads prints, firsts and the labels only.
+    scratch.drop("alike", "cells", "hubs", "band-cells", "shared", "edges", "edges-candidates", "edges-named", "edges-sets", "left", "left-named", "left-sets", "dense")
     alone = prints.where("f IS NULL").select("id", "f", "print", F.col("id").alias("component"))
     return done.select("id", "f", "print", "component").unionByName(alone).select(F.col("id").alias(id_col), F.col("print").alias("fingerprint"), F.col("component").alias("component_id"))

@@ -53,7 +53,7 @@ class _Memory(dict):
         self.make, self.old = make, old or {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
+        ids = self.old.get(piece)  # does not ask it to make any
         if ids is None:
             ids = self.make(piece)
         self[piece] = ids
@@ -119,7 +119,8 @@ class PieceEncoder:
 
     def _tidy(self) -> None:
         if len(self.pieces) > CACHE_PIECES:
-            self.pieces = _Memory(self._after_space, dict(self.pieces))
+            self.pieces.old = {}
+            self.pieces = _Memory(self._after_space, self.pieces)
         if len(self.first) + len(self.tails) > CACHE_FIRST:
             self.first.clear()
             self.tails.clear()

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from evenkeel.llm import htmlcut, licenses, queries, secretscan
+from evenkeel.llm import htmlcut, licenses, lmscore, queries, secretscan
 from evenkeel.llm.tokenise import PieceEncoder
 
 AZ = {i: i + 32 for i in range(65, 91)}
@@ -105,6 +105,24 @@ def test_op3(spark, folder):
         assert math.isclose(r["base_score"], sum(math.log10((train[y] + 1) / (n + v + 1)) for y in x), rel_tol=1e-9)
         assert -20 * len(x) < r["score"] < 0
     assert got[104]["score"] == got[3]["score"]  # equal texts
+    # The model with all counts read rightly; the filter reads some n-grams a level too high.
+    pairs, texts = Counter(), 0
+    for i, t, _ in rows:
+        if crc(i, 7) != 2:
+            x = tokens(t)
+            texts += 1
+            pairs.update(zip(["start", *x], x, strict=False))
+    level = lambda c: lmscore.LEVELS[int(lmscore.levels(np.array([c]))[0])] if c else 0.0
+    near = 0
+    for i, t, _ in rows:
+        x, want = tokens(t), 0.0
+        for v0, w in zip(["start", *x], x, strict=False):
+            word, context = level(train[w]), texts if v0 == "start" else level(train[v0])
+            both = min(level(pairs[v0, w]), context, word)
+            want += math.log10(min(1.0, (both + lmscore.MU * (word + 1) / (n + v + 1)) / (context + lmscore.MU)))
+        assert abs(got[i]["score"] - want) < 0.1 * abs(want)
+        near += abs(got[i]["score"] - want) < 0.02 * abs(want)
+    assert near > 0.8 * len(rows)
 
 
 def test_op4(spark, folder):
@@ -177,7 +195,10 @@ def test_op8(spark, folder):
         pad = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-32:])), i
-        assert r["media_bytes"] > 0 and re.fullmatch("[0-9a-f]{64}", r["media_sha256"]) and r["feature"]
+        assert r["media_bytes"] > 0 and re.fullmatch("[0-9a-f]{64}", r["media_sha256"])
+        f = dict(x.split("=") for x in r["feature"].split(";"))
+        steps = sum(abs(pad[k] - pad[k - 1]) for k in range(1, len(pad)) if k % 64)
+        assert {k: int(v) for k, v in f.items() if k != "pages"} == {"rows": len(pad) // 64, "levels": len(set(pad)), "sum": sum(pad), "steps": steps} and int(f["pages"]) >= 1
     same = lambda i: [got[i][k] for k in ("media_sha256", "feature", "media_bytes")]
     assert same(104) == same(3) and same(100) == same(101) and same(104) != same(105)
 
