@@ -6,12 +6,15 @@ The embedding of a text is the mean over all of its subwords, so whole texts of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evenkeel.llm.common import annotate, col, fresh, ship
 
@@ -59,7 +62,7 @@ def subwords(text: str) -> np.ndarray:
 
 def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     ids, counts = np.unique(subwords(text), return_counts=True)
-    return ids, (counts / counts.sum()).astype(np.float32)
+    return ids.astype(np.uint16), (counts / counts.sum()).astype(np.float32)  # BUCKETS fit; the sample's bags are held at once
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -154,6 +157,9 @@ def fit(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.25, seed:
     return Model(labels, table, bias, float(best), min(0.5, below))
 
 
+_FITTED = T.StructType([T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("table", T.BinaryType()), T.StructField("bias", T.BinaryType()), T.StructField("temperature", T.DoubleType()), T.StructField("reject_below", T.DoubleType())])
+
+
 def train(spark: SparkSession, docs: DataFrame, where: Column | None = None, text_col: str = "text", label_col: str = "lang", per_label: int = ROWS_PER_LABEL, bytes_per_label: int = BYTES_PER_LABEL) -> Model:
     """A model of the labels of `docs`, from a sample of per_label texts and bytes_per_label bytes for each of MAX_LABELS
     labels, about.
@@ -170,7 +176,19 @@ def train(spark: SparkSession, docs: DataFrame, where: Column | None = None, tex
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["y"], min(1.0, per_label / r["n"], bytes_per_label / max(1, r["size"])))])
     place = F.pmod(F.xxhash64("t"), F.lit(1_000_003)) / F.lit(1_000_003)
     taken = rows.where(place < F.coalesce(F.try_element_at(share, F.col("y")), F.lit(0.0))).distinct()
-    return fit([(r["t"], r["y"]) for r in taken.collect()])
+    ship(spark)
+    arrow = to_arrow_schema(_FITTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = fit([r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+        made = [[m.labels], [m.table.tobytes()], [m.bias.tobytes()], [m.temperature], [m.reject_below]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
+
+    got = taken.coalesce(1).mapInArrow(run, _FITTED).collect()  # the sample is bounded, and one task fits it
+    if not got:
+        return fit([])
+    r = got[0]
+    return Model(r["labels"], np.frombuffer(r["table"]).reshape(-1, len(r["labels"])), np.frombuffer(r["bias"]), r["temperature"], r["reject_below"])
 
 
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

@@ -34,7 +34,7 @@ from evenkeel.llm.common import Scratch, col, ship, slices
 from evenkeel.llm.tokenise import encoder
 
 MAGIC = b"EVKRPR01"
-AT_ONCE = (4096, 4_000_000)  # texts and bytes that are encoded together
+AT_ONCE = (8192, 8_000_000)  # texts and bytes that are encoded together
 SHARD_IDS = 1 << 19  # a shard ends with the document that reaches this
 SLOT_BITS = 18
 #: Symbols that two bytes can tell apart.  Wider ones would double the sequence and the rules, which no rule earns.

@@ -242,16 +242,14 @@ def verified(scratch: Scratch, pairs: DataFrame, firsts: DataFrame, texts: DataF
     pairs = scratch.keep(pairs, f"{label}-candidates")
     named = scratch.keep(pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct().join(firsts.select("f", "row"), "f"), f"{label}-named")
     sets = scratch.keep(shingle_sets(texts, named, size), f"{label}-sets")
-    total = pairs.count()
-
-    def beside(pairs: DataFrame, key: str, name: str) -> DataFrame:
-        """The sets of one side.  A text of very many pairs is copied, so that no task gets more than PAIRS_A_TASK of them."""
+    # A text of very many pairs is copied, so that no task gets more than PAIRS_A_TASK of them.
+    total, dealt, copies = pairs.count(), pairs, {}
+    for key in ("a", "b"):
         each = pairs.groupBy(key).agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / PAIRS_A_TASK))
-        dealt = join_hot(pairs, each, key, "n", total).withColumn("copy", F.expr("pmod(xxhash64(a, b), copies)")).drop("n", "copies")
-        copies = sets.select(F.col("f").alias(key), F.col("grams").alias(name)).join(each, key).withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)"))).drop("n", "copies")
-        return dealt.join(copies, [key, "copy"]).drop("copy")
-
-    both = beside(beside(pairs, "a", "x"), "b", "y")
+        dealt = join_hot(dealt, each, key, "n", total).withColumn(f"{key}_copy", F.expr("pmod(xxhash64(a, b), copies)")).drop("n", "copies")
+        some = sets.select(F.col("f").alias(key), F.col("grams").alias(f"{key}_grams")).join(each, key)
+        copies[key] = some.withColumn(f"{key}_copy", F.explode(F.expr("sequence(0L, copies - 1)"))).drop("n", "copies")
+    both = dealt.join(copies["a"], ["a", "a_copy"]).join(copies["b"], ["b", "b_copy"]).select("a", "b", F.col("a_grams").alias("x"), F.col("b_grams").alias("y"))
     common = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
     return scratch.keep(common.where(F.col("common") / (F.col("n") - F.col("common")) >= similarity).select("a", "b"), label)
 
