@@ -69,6 +69,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # pieces are remembered here, so that the library would only write its memory
         # How a word of plain letters reaches the vocabulary's model: with a mark for the space before it, or lower-cased.
         self.plain = None
         for plain, bare in ((lambda w: _SPACE + _shown(w), _shown), (lambda w: _shown(w.lower()),) * 2):
