@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontaminate, htmlcut, langid, licenses, lmscore, packing, repair, secretscan, simhash, tiff
+from evenkeel.llm import decontaminate, golden, htmlcut, langid, licenses, lmscore, merkle, packing, repair, secretscan, simhash, tiff, topk
 from evenkeel.llm.common import Scratch
 
 
@@ -93,8 +93,30 @@ def op10_htmlcut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", "url", f"{c}.text", f"{c}.n_chars")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = lambda text: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    tampered = F.when(even & F.contains(F.col("text"), F.lit("\n")), fields(F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", fields(F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    made = merkle.prove(spark, docs, "source", "doc_id", "leaf")
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    proofs = made.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return proofs.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = topk.top_k(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+    return made.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op13_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = golden.survivors(spark, _table(spark, sf_dir, "clients"))
+    return made.select("cluster_id", "n_records", "n_stale", "name", "email", "segment", "city", "nation_id", golden.cents(F.col("balance")).alias("balance_cents"), "name_from", "email_from", "segment_from", "balance_from", "address_from")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_lmscore, op4_secrets, op5_licenses, op6_packing, op7_repair, op8_tiff, op9_langid, op10_htmlcut)}
+    made = (op1_simhash, op2_decontaminate, op3_lmscore, op4_secrets, op5_licenses, op6_packing, op7_repair, op8_tiff, op9_langid, op10_htmlcut, op11_merkle, op12_topk, op13_golden)
+    return {f.__name__: f for f in made}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -152,6 +174,61 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_bas
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
+_FIELD = "coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(x=c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_BIT = "(CASE WHEN r & 1 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)"
+_CRC = f"xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda c, b: list_reduce(range(8), lambda r, i: {_BIT}, xor(c, b)), 4294967295), 4294967295)"
+OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_LEAF.format(text='text')} AS leaf, CASE WHEN {_CRC} % 2 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")} END AS tampered FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM d),
+low(tree, k, i, n, hash, run) AS (
+  SELECT tree, 0, i, n, leaf, CAST([] AS VARCHAR[]) FROM numbered
+  UNION ALL
+  SELECT tree, k + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(hash, '' ORDER BY i)), list(hash ORDER BY i) FROM low WHERE n > 1 GROUP BY tree, k, i // 3),
+high(k, i, n, hash, run) AS (
+  SELECT 0, tree, count(*) OVER (), hash, CAST([] AS VARCHAR[]) FROM low WHERE n = 1
+  UNION ALL
+  SELECT k + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(hash, '' ORDER BY i)), list(hash ORDER BY i) FROM high WHERE n > 1 GROUP BY k, i // 3),
+tops AS (SELECT tree, k AS height, hash AS subroot FROM low WHERE n = 1),
+way(doc_id, leaf, tree, k, i, cur, proof) AS (
+  SELECT doc_id, leaf, tree, 0, i, coalesce(tampered, leaf), '' FROM numbered
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.tree, w.k + 1, p.i, sha256(array_to_string(list_concat(run[1:pos], [cur], run[pos + 2:len(run)]), '')), proof || array_to_string(list_concat(run[1:pos], run[pos + 2:len(run)]), '')
+  FROM (SELECT way.*, CASE WHEN k < height THEN i % 3 ELSE CASE WHEN k = height THEN way.tree % 3 ELSE i % 3 END END AS pos, CASE WHEN k = height THEN way.tree ELSE i END AS here, height FROM way JOIN tops USING (tree)) w
+  JOIN (SELECT tree, k, i, run, 'low' AS part FROM low WHERE k > 0 UNION ALL SELECT tops.tree, height + h.k, h.i, h.run, 'high' FROM high h, tops WHERE h.k > 0) p ON p.tree = w.tree AND p.k = w.k + 1 AND p.i = here // 3 AND p.part = CASE WHEN w.k < height THEN 'low' ELSE 'high' END)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM way JOIN tops USING (tree), (SELECT k AS more, hash AS root FROM high WHERE n = 1) WHERE way.k = height + more
+"""
+
+OP12_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored) WHERE rank <= 10
+"""
+
+_RECENT = "updated_at DESC NULLS LAST, trust DESC, client_id NULLS LAST"
+_TRUSTED = f"stale, trust DESC, {_RECENT}"
+_KEPT = "CASE WHEN regexp_matches({c}, '[^\\x20\\x09-\\x0D]') THEN {c} END AS {c}"
+
+
+def _first(field: str, order: str) -> str:
+    return f"(list({{'v': {field}, 'id': client_id}} ORDER BY {order}, {field} DESC) FILTER ({field} IS NOT NULL))[1]"
+
+
+OP13_SQL = f"""
+WITH c AS (SELECT coalesce(master_id, client_id) AS cluster_id, client_id, updated_at, nation_id, CASE WHEN isfinite(balance) THEN balance END AS balance,
+  CASE source WHEN 'partner' THEN 4 WHEN 'store' THEN 3 WHEN 'web' THEN 2 WHEN 'crm' THEN 1 ELSE 0 END AS trust, {', '.join(_KEPT.format(c=x) for x in ('name', 'email', 'segment', 'city'))} FROM clients),
+d AS (SELECT *, coalesce(max(updated_at) OVER (PARTITION BY cluster_id) - updated_at > INTERVAL 720 HOUR, true) AS stale FROM c),
+f AS (SELECT cluster_id, count(*) AS n_records, count(*) FILTER (stale) AS n_stale, {_first('name', 'len(name) DESC, ' + _TRUSTED)} AS name, {_first('email', _TRUSTED)} AS email, {_first('segment', _RECENT)} AS segment,
+  list({{'city': city, 'nation_id': nation_id, 'id': client_id}} ORDER BY CAST(city IS NOT NULL AS INT) + CAST(nation_id IS NOT NULL AS INT) DESC, {_TRUSTED}, city DESC NULLS LAST, nation_id DESC NULLS LAST)[1] AS address FROM d GROUP BY cluster_id),
+b AS (SELECT d.cluster_id, {_first('balance', 'coalesce(segment = chosen, false) DESC, ' + _RECENT)} AS balance FROM d JOIN (SELECT cluster_id, segment.v AS chosen FROM f) g ON d.cluster_id IS NOT DISTINCT FROM g.cluster_id GROUP BY d.cluster_id)
+SELECT f.cluster_id, n_records, n_stale, name.v AS name, email.v AS email, segment.v AS segment, address.city AS city, address.nation_id AS nation_id, CAST(floor(100 * balance.v + 0.5::DOUBLE) AS BIGINT) AS balance_cents,
+  name.id AS name_from, email.id AS email_from, segment.id AS segment_from, balance.id AS balance_from, CASE WHEN address.city IS NOT NULL OR address.nation_id IS NOT NULL THEN address.id END AS address_from
+FROM f JOIN b ON f.cluster_id IS NOT DISTINCT FROM b.cluster_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op4_secrets": OP4_SQL, "op5_licenses": OP5_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op4_secrets": OP4_SQL, "op5_licenses": OP5_SQL, "op11_merkle": OP11_SQL, "op12_topk": OP12_SQL, "op13_golden": OP13_SQL}
