@@ -1,6 +1,7 @@
 """Divergences between two answer distributions, as column expressions.
 
-The variants differ on purpose (base of the logarithm, guards, renormalisation) and are named, never merged.
+The variants differ on purpose (base of the logarithm, guards, renormalisation) and are named, never merged.  A null or
+NaN on either side is a missing answer and makes the divergence null, so that all metrics of a cell count the same cases.
 """
 
 from __future__ import annotations
@@ -9,13 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def known(*xs: Column) -> Column:
+    """Whether all are there: neither null nor NaN."""
+    out = F.lit(True)
+    for x in xs:
+        out = out & x.isNotNull() & ~F.isnan(x)
+    return out
+
+
 def sigmoid(z: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-z))
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:
     q = F.greatest(F.least(p, F.lit(1.0 - eps)), F.lit(eps))
-    return F.ln(q / (1.0 - q))
+    return F.when(known(p), F.ln(q / (1.0 - q)))
 
 
 def softmax(z: Column) -> Column:
@@ -45,12 +54,12 @@ def jsd_bits(p: Column, q: Column, base: float = 2.0) -> Column:
     for a, b in ((p, q), (1.0 - p, 1.0 - q)):
         m = (a + b) / 2
         total = total + _term(a, m, log) / 2 + _term(b, m, log) / 2
-    return F.when(p == q, F.lit(0.0)).otherwise(total)
+    return F.when(known(p, q), F.when(p == q, F.lit(0.0)).otherwise(total))
 
 
 def probabilities(df: DataFrame, **logits: str) -> DataFrame:
-    """Adds a probability column for each name=logit column, to be computed once however often it is used."""
-    return df.withColumns({n: sigmoid(F.col(c)) for n, c in logits.items()})
+    """Adds a probability column for each name=logit column, to be computed once however often it is used; null for NaN."""
+    return df.withColumns({n: F.when(known(F.col(c)), sigmoid(F.col(c))) for n, c in logits.items()})
 
 
 def _kl(p: Column, q: Column) -> Column:
@@ -60,10 +69,10 @@ def _kl(p: Column, q: Column) -> Column:
 def kl_bits_clipped(p: Column, q: Column, eps: float = 1e-15) -> Column:
     """KL(p || q) of Bernoulli probabilities, clipped to [eps, 1 - eps] and not renormalised."""
     clip = lambda x: F.greatest(F.least(x, F.lit(1.0 - eps)), F.lit(eps))
-    return _kl(clip(p), clip(q))
+    return F.when(known(p, q), _kl(clip(p), clip(q)))
 
 
 def kl_bits_floored(p: Column, q: Column, floor: float = 1e-10) -> Column:
     """KL(p || q) of Bernoulli probabilities, each part raised to `floor` and then renormalised."""
     up = lambda x: F.greatest(x, F.lit(floor)) / (F.greatest(x, F.lit(floor)) + F.greatest(1.0 - x, F.lit(floor)))
-    return _kl(up(p), up(q))
+    return F.when(known(p, q), _kl(up(p), up(q)))

@@ -15,8 +15,8 @@ SAMPLE = {"jsd": dv.jsd_bits, "kl": dv.kl_bits_clipped}
 
 
 def answers(triples: DataFrame, o: str = "logit_original", p: str = "logit_swapped", b: str = "logit_baseline") -> DataFrame:
-    """Adds the binary answers o, p, b: a logit above 0."""
-    return triples.withColumns({n: (F.col(c) > 0).cast("int") for n, c in (("o", o), ("p", p), ("b", b))})
+    """Adds the binary answers o, p, b: a logit above 0; null for a logit that is null or NaN."""
+    return triples.withColumns({n: F.when(dv.known(F.col(c)), (F.col(c) > 0).cast("int")) for n, c in (("o", o), ("p", p), ("b", b))})
 
 
 def battery(triples: DataFrame, cells: Sequence[str], tests: int, replicates: int = 1000, alpha: float = 0.05) -> DataFrame:

@@ -140,6 +140,40 @@ def t_sql(d: str, cells: str = "perturbation, task") -> str:
 FROM (SELECT *, {tsf('t', 'greatest(n - 1, 1.0::DOUBLE)')} AS up FROM (SELECT *, {t} AS t FROM (SELECT {cells}, CAST(count(d) AS DOUBLE) AS n, avg(d) AS mean, coalesce(stddev_samp(d), 0) AS sd FROM (SELECT *, {d} AS d FROM v) GROUP BY {cells})))"""
 
 
+# Missing answers -----------------------------------------------------------------------------------------------------
+
+
+_MISSING = "CASE WHEN {c} IS NOT NULL AND NOT isnan({c}) THEN {c} END AS {c}"
+
+
+@query(
+    "FLT-11 MET-5 MET-6 SCR-3",
+    f"""WITH {E_SQL}, m AS (SELECT perturbation, task, cluster_id, CASE WHEN cluster_id % 13 = 1 THEN NULL ELSE logit_original END AS logit_original, CASE WHEN cluster_id % 11 = 2 THEN 'NaN'::DOUBLE ELSE logit_swapped END AS logit_swapped,
+  CASE WHEN cluster_id % 7 = 3 THEN NULL WHEN cluster_id % 7 = 4 THEN 'NaN'::DOUBLE ELSE logit_baseline END AS logit_baseline FROM e),
+k AS (SELECT *, 1 / (1 + exp(-logit_original)) AS po, 1 / (1 + exp(-logit_swapped)) AS pp, 1 / (1 + exp(-logit_baseline)) AS pb
+  FROM (SELECT perturbation, task, {', '.join(_MISSING.format(c=c) for c in ('logit_original', 'logit_swapped', 'logit_baseline'))} FROM m)
+  WHERE logit_original IS NOT NULL AND logit_swapped IS NOT NULL AND logit_baseline IS NOT NULL)
+SELECT perturbation, task, CAST(count(*) AS DOUBLE) AS n, {R('avg(CAST((logit_original > 0) <> (logit_swapped > 0) AS INT))')} AS flip_rate, {R(f"avg({jsd_sql('po', 'pp')} - {jsd_sql('po', 'pb')})")} AS jsd,
+  {R(f"avg({kl_sql(clip_sql('po'), clip_sql('pp'))} - {kl_sql(clip_sql('po'), clip_sql('pb'))})")} AS kl, {R(f"avg({kl_sql(floor_sql('po'), floor_sql('pp'))} - {kl_sql(floor_sql('po'), floor_sql('pb'))})")} AS kl_floored
+FROM k GROUP BY perturbation, task""",
+)
+def missing_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric of a cell leaves out the same cases: those with a null or NaN logit in any variant."""
+    k, nan = F.col("cluster_id"), F.lit(float("nan"))
+    gaps = triples(spark, sf_dir).withColumns({
+        "logit_original": F.when(k % 13 != 1, F.col("logit_original")), "logit_swapped": F.when(k % 11 == 2, nan).otherwise(F.col("logit_swapped")),
+        "logit_baseline": F.when(k % 7 == 4, nan).when(k % 7 != 3, F.col("logit_baseline")),
+    })
+    counts = stats.triple_counts(bt.answers(gaps), CELLS, "o", "p", "b")
+    flips = counts.select(*CELLS, stats.flip_rate(stats.margins("p")).alias("flip_rate"))
+    rows = dv.probabilities(gaps, po="logit_original", pp="logit_swapped", pb="logit_baseline")
+    gap = lambda f: f(F.col("po"), F.col("pp")) - f(F.col("po"), F.col("pb"))
+    each = {"jsd": dv.jsd_bits, "kl": dv.kl_bits_clipped, "kl_floored": dv.kl_bits_floored}
+    means = rows.select(*CELLS, *[gap(f).alias(n) for n, f in each.items()]).groupBy(*CELLS).agg(*[F.count(n).cast("double").alias(f"n_{n}") for n in each], *[F.avg(n).alias(n) for n in each])
+    same = (F.col("n_jsd") == F.col("n_kl")) & (F.col("n_jsd") == F.col("n_kl_floored"))
+    return rounded(flips.join(means, CELLS).select(*CELLS, F.when(same, F.col("n_jsd")).alias("n"), "flip_rate", *each))
+
+
 # Count metrics ---------------------------------------------------------------------------------------------------
 
 

@@ -108,8 +108,9 @@ def paired_t(df: DataFrame, cells: Sequence[str], d: Column, degenerate: str = "
     Without variance or with one case: t = 0 and p_two = 1, and the one-sided values are 1 (degenerate="one") or 0.5
     ("half").  confidence adds ci_low_<i>, ci_high_<i> for each level (the mean where there is no variance).
     """
-    d = df.select(*cells, d.alias("__d")).where("__d IS NOT NULL")
-    return t_test(d.groupBy(*cells).agg(*moments(F.col("__d"))), degenerate, confidence)
+    # No filter on d before the sums: Spark would write the whole expression twice, and undo what its parts share.
+    m = df.select(*cells, d.alias("__d")).groupBy(*cells).agg(*moments(F.col("__d")))
+    return t_test(m.where("n > 0") if cells else m, degenerate, confidence)
 
 
 def cohens_d(df: DataFrame, cells: Sequence[str], d: Column) -> DataFrame:
