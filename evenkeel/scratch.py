@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class Scratch:
     """Tables in the folder that the cluster names in spark.checkpoint.dir, which every executor can read.
 
@@ -16,7 +21,11 @@ class Scratch:
     temporary folder is taken; a cluster without the setting is refused, for its executors would not see such files.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, folder: str | None = None):
+        """folder: a shared folder to be used as it is, so that a later run finds what an earlier one has written."""
+        if folder:
+            self.spark, self.root = spark, folder.rstrip("/")
+            return
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not spark.sparkContext.master.startswith("local"):
@@ -29,6 +38,13 @@ class Scratch:
         df.write.option("compression", codec).parquet(f"{self.root}/{name}")
         return self.read(df.schema, name)
 
+    def keep_once(self, df: DataFrame, name: str) -> DataFrame:
+        """What is there under the name if it is whole; else df, written now."""
+        if exists(self.spark, f"{self.root}/{name}/_SUCCESS"):
+            return self.read(df.schema, name)
+        df.write.option("compression", "zstd").mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.read(df.schema, name)
+
     def read(self, schema: T.StructType, name: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
