@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import Scratch, col, join_hot
+from evenkeel.llm.common import Scratch, col, fresh, join_hot
 from evenkeel.operators.windows import row_index
 
 FANOUT = 3
@@ -98,31 +98,28 @@ def _height_of(n: Column, most: int, fanout: int) -> Column:
     return F.lit(most) if not most else F.coalesce(*[F.when(n <= fanout**k, F.lit(k)) for k in range(most + 1)])
 
 
-def prove(spark: SparkSession, rows: DataFrame, source: str, order: str, leaf_col: str, fanout: int = FANOUT) -> DataFrame:
-    """rows (small ones: keys and hashes, with a leaf in the column `leaf_col`) with the columns subroot, root and path, an
-    array of the hashes before and after the row's node on every level, from the leaf up.
-
-    The columns subroot, root and path, and names that begin with two underscores, are taken.
-    """
+def prove(spark: SparkSession, rows: DataFrame, source: str, order: str, leaf_col: str, fanout: int = FANOUT) -> tuple[DataFrame, str]:
+    """rows (small ones: keys and hashes, with a leaf in the column `leaf_col`) with one more struct column, and its name:
+    subroot, root and path, an array of the hashes before and after the row's node on every level, from the leaf up."""
     if fanout < 2:
         raise ValueError("a run needs two nodes at least")
-    scratch = Scratch(spark, "merkle")
-    # The source as text that is never null; hashing and writing once, before the rows are put in order.
-    hashed = scratch.keep(rows.withColumn("__source", field(col(source))), "leaves")
-    placed = row_index(hashed, [F.asc_nulls_first(col(source)), F.asc_nulls_first(col(order)), col(leaf_col)], "__n")
-    sizes = placed.groupBy("__source").agg(F.max(col(source)).alias("__value"), F.count("*").alias("__size"), F.min("__n").alias("__first"))
-    trees = scratch.keep(row_index(scratch.keep(sizes, "sizes"), [F.asc_nulls_first("__value")], "__tree"), "trees")
-    n_rows, n_trees, largest = trees.agg(F.coalesce(F.sum("__size"), F.lit(0)), F.count("*"), F.coalesce(F.max("__size"), F.lit(0))).first()
-
-    told = join_hot(placed, trees.select("__source", "__tree", "__first", "__size"), "__source", "__size", n_rows)
-    leaves = scratch.keep(told.select(*[col(c) for c in rows.columns], F.col("__tree").alias("tree"), (F.col("__n") - F.col("__first")).alias("i"), F.col("__size").alias("n"), col(leaf_col).alias("hash")), "numbered")
+    scratch, name = Scratch(spark, "merkle"), fresh(rows, "merkle")
+    # Hashed and written once before the rows are put in order; `of` is the source as text that is never null.
+    narrow = rows.select(F.struct(*map(col, rows.columns)).alias("kept"), col(source).alias("source"), col(order).alias("order"), col(leaf_col).alias("hash"), field(col(source)).alias("of"))
+    placed = row_index(scratch.keep(narrow, "leaves"), [F.asc_nulls_first("source"), F.asc_nulls_first("order"), "hash"], "place")
+    sizes = placed.groupBy("of").agg(F.max("source").alias("source"), F.count("*").alias("n"), F.min("place").alias("first"))
+    trees = scratch.keep(row_index(scratch.keep(sizes, "sizes"), [F.asc_nulls_first("source")], "tree").drop("source"), "trees")
+    n_rows, n_trees, largest = trees.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+
+    told = join_hot(placed.select("kept", "hash", "of", "place"), trees, "of", "n", n_rows)
+    leaves = scratch.keep(told.select("kept", "tree", (F.col("place") - F.col("first")).alias("i"), "n", "hash"), "numbered")
     high, over = _height(largest, fanout), _height(n_trees, fanout)
     levels = _climb(scratch, leaves.select("tree", "i", "n", "hash"), high, fanout, "level")
 
     tops = leaves.where("n = 1").select("tree", "hash")
     for x in levels:
         tops = tops.unionByName(x.where("n = 1").select("tree", "hash"))
-    heights = trees.select(F.col("__tree").alias("tree"), _height_of(F.col("__size"), high, fanout).alias("level"))
+    heights = trees.select("tree", _height_of(F.col("n"), high, fanout).alias("level"))
     # The subroots are the leaves of one more tree, whose number is 0.
     subroots = scratch.keep(tops.join(heights, "tree").select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("i"), F.lit(n_trees).cast("long").alias("n"), "hash", "level"), "subroots")
     above = _climb(scratch, subroots.select("tree", "i", "n", "hash"), over, fanout, "above")
@@ -131,8 +128,9 @@ def prove(spark: SparkSession, rows: DataFrame, source: str, order: str, leaf_co
     ways = scratch.keep(_descend(scratch, subroots, above, ended, fanout, "way-above").select(F.col("i").alias("tree"), "level", "hash", "path"), "ways")
 
     proved = _descend(scratch, leaves, levels, ways.select("tree", "level", "path"), fanout, "way")
-    with_top = join_hot(proved, ways.join(trees.select(F.col("__tree").alias("tree"), "__size"), "tree").select("tree", F.col("hash").alias("__top"), "__size"), "tree", "__size", n_rows)
-    return with_top.select(*[col(c) for c in rows.columns], F.col("__top").alias("subroot"), F.lit(top[0] if top else None).cast("string").alias("root"), "path")
+    with_top = join_hot(proved, ways.join(trees, "tree").select("tree", F.col("hash").alias("subroot"), F.col("n").alias("size")), "tree", "size", n_rows)
+    root = F.lit(top[0] if top else None).cast("string")
+    return with_top.select("kept.*", F.struct("subroot", root.alias("root"), "path").alias(name)), name
 
 
 def proof(path: Column) -> Column:

@@ -98,9 +98,9 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
     tampered = F.when(even & F.contains(F.col("text"), F.lit("\n")), fields(F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", fields(F.col("text")).alias("leaf"), tampered.alias("tampered"))
-    made = merkle.prove(spark, docs, "source", "doc_id", "leaf")
-    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
-    proofs = made.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    made, c = merkle.prove(spark, docs, "source", "doc_id", "leaf")
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col(f"{c}.path"))
+    proofs = made.select("doc_id", "leaf", f"{c}.subroot", f"{c}.root", F.sha2(merkle.proof(F.col(f"{c}.path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
     return proofs.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
