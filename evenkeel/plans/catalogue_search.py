@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.functions import tokens
+from evenkeel.functions import service, tokens
 from evenkeel.plans import search
 from evenkeel.plans.catalogue import _HASHED, R, query, rounded, table
 
@@ -68,3 +68,42 @@ def calibrated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = table(spark, sf_dir, "documents").select("doc_id", "text", (1.0 + F.col("doc_id") % 12).alias("target"))
     found = search.calibrate(spark, cases, _stand_in, ["doc_id"], max_retries=RETRIES, reset_every=RESET)
     return rounded(found.select("doc_id", "actual_pct", "deviation", "retries_used", "phase", "attempts", F.md5("paraphrase").alias("digest")))
+
+
+# Services --------------------------------------------------------------------------------------------------------
+
+
+def _slow_service() -> service.Call:
+    """A stand-in for a service: by the prompt's hash it answers, fails for good, fails at first, or hangs."""
+    import asyncio
+    import hashlib
+
+    met: set[str] = set()
+
+    async def call(prompt: str | None) -> str | None:
+        h = int(hashlib.md5((prompt or "").encode()).hexdigest()[:8], 16) % 50
+        await asyncio.sleep(h / 10_000)
+        if h == 0:
+            raise ValueError("no such prompt")
+        if h < 10 and prompt not in met:
+            met.add(prompt)
+            raise ConnectionError("again")
+        if h == 10:
+            await asyncio.sleep(3600)
+        return f"{h}:{(prompt or '').upper()}"
+
+    return call
+
+
+@query(
+    "CAL-5 EVL-2 UDF-6 SCR-12",
+    f"""SELECT doc_id, h NOT IN (0, 10) AS ok, md5(CASE WHEN h NOT IN (0, 10) THEN h || ':' || upper(prompt) END) AS digest, CASE h WHEN 0 THEN 'ValueError: no such prompt' WHEN 10 THEN 'TimeoutError: more than 5 s' END AS error,
+  CAST(CASE WHEN h = 0 THEN 1 WHEN h <= 10 THEN 2 ELSE 1 END AS INT) AS calls
+FROM (SELECT doc_id, prompt, {_HASHED.format(x="prompt")} % 50 AS h FROM (SELECT doc_id, 'Judge ' || doc_id || ' ' || lang || ' ' || md5(text) AS prompt FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL))""",
+)
+def fanned_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call for each document, hundreds in flight at once, with retries, limits and errors that stay with their rows."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND lang IS NOT NULL")
+    asked = docs.select("doc_id", F.concat_ws(" ", F.lit("Judge"), F.col("doc_id").cast("string"), "lang", F.md5("text")).alias("prompt"))
+    told = service.fan_out(asked, "prompt", lambda: _slow_service(), in_flight=200, seconds=5.0, retries=1, pause=0.01)
+    return told.select("doc_id", "answer.ok", F.md5("answer.value").alias("digest"), "answer.error", "answer.calls")

@@ -276,9 +276,7 @@ def test_distances_of_long_and_null_arrays(spark):
         tokens.tokenized(F.col("t"), "none")
 
 
-def test_scorers_stops_and_limits(spark):
-    import time
-
+def test_scorers_and_stops(spark):
     assert parse.scorer("hash")() is parse.hash_scorer
     with pytest.raises(ValueError, match="no scorer"):
         parse.scorer("none")
@@ -286,13 +284,13 @@ def test_scorers_stops_and_limits(spark):
     assert one(spark, parse.until(c, "</think>", "##"), t="a ## b </think> c") == "a ##"
     assert one(spark, parse.until(c, "</think>"), t="no stop") == "no stop"
 
-    def make():
-        def call(t):
-            time.sleep(5 if t == "slow" else 0)
-            return t.upper()
 
-        return parse.limited(call, 0.5)
-
-    rows = parse.perturb(spark.createDataFrame([("slow",), ("x",)], "t string"), "t", make).collect()
-    got = {r["t"]: (r["perturbed"]["ok"], r["perturbed"]["value"]) for r in rows}
-    assert got == {"slow": (False, None), "x": (True, "X")}
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_missing_answers_are_missing_in_every_metric(spark, bad):
+    df = spark.createDataFrame([(bad, 0.3)], "p double, q double")
+    p, q = F.col("p"), F.col("q")
+    for f in (dv.jsd_bits, dv.kl_bits_clipped, dv.kl_bits_floored):
+        assert df.select(f(p, q).alias("x")).first().x is None and df.select(f(q, p).alias("x")).first().x is None, f
+    assert df.select(dv.logit(p).alias("x")).first().x is None
+    assert df.select(parse.clamped(p).alias("x")).first().x == (None if bad is None else 0.0)
+    assert dv.probabilities(df, x="p").first().x is None
