@@ -759,7 +759,7 @@ def sentence_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", F.md5(text.replace_sentence(F.col("text"), F.col("old"), F.lit("A new sentence stands here"))).alias("edited"), F.length("old").alias("old_n"))
 
 
-@query("TOK-1 TOK-2 TOK-3 TOK-4 PRJ-8 UDF-5")  # DuckDB's levenshtein counts bytes, of which whole texts need more than one a token
+@query("TOK-1 TOK-2 TOK-3 PRJ-8 UDF-5")  # DuckDB's levenshtein counts bytes, of which whole texts need more than one a token
 def token_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", tokens.tokenized(F.col("text"), "words").alias("a"))
     edited = docs.withColumn("b", F.transform(F.filter("a", lambda x, i: (i + 1) % 7 != 0), lambda x: F.replace(x, F.lit("the"), F.lit("a"))))
@@ -866,7 +866,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("doc_id", "v.variant", F.concat(F.lit("Answer yes or no. "), F.col("v.t")).alias("prompt"))
 
 
-@query("SCR-11 EVL-1 EVL-2 CAL-5 UDF-3", f"SELECT doc_id, variant, {R('logit')} AS logit FROM ({SCORED_SQL})")
+@query("SCR-11 EVL-1 UDF-3", f"SELECT doc_id, variant, {R('logit')} AS logit FROM ({SCORED_SQL})")
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prompt for each document and variant, each distinct one scored once by the stand-in scorer."""
     return rounded(parse.score(prompts(spark, sf_dir), "prompt").select("doc_id", "variant", "logit"))

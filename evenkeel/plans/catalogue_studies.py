@@ -295,7 +295,7 @@ def inverse_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SCR-3 SRC-11",
+    "SCR-3",
     f"""SELECT doc_id, CAST(y >= 2 AS INT) AS y, {R('ln(greatest(least(p, 1 - 1e-6::DOUBLE), 1e-6::DOUBLE) / (1 - greatest(least(p, 1 - 1e-6::DOUBLE), 1e-6::DOUBLE)))')} AS z, {R('CASE WHEN doc_id % 11 = 0 THEN 0 ELSE greatest(least(500.0::DOUBLE * (p - 0.5), 100), -100) END')} AS clamped
 FROM (SELECT doc_id, (doc_id % 101) / 100.0::DOUBLE AS p, CAST(doc_id % 2 = 0 AS INT) + CAST(doc_id % 3 = 0 AS INT) + CAST(doc_id % 5 = 0 AS INT) AS y FROM documents)""",
 )

@@ -42,10 +42,45 @@ def csv_file(df: DataFrame, folder: str, name: str) -> None:
 
 
 def json_object(df: DataFrame, key: str, path: str) -> None:
-    """One JSON object in one file: the key's values as names, the other columns as records.  For small tables."""
+    """One JSON object in one file: the key's values as names, the other columns as records."""
     rest = [c for c in df.columns if c != key]
-    entries = F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), F.struct(*rest))))
-    df.agg(F.to_json(entries).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    name = F.to_json(F.array(F.col(key).cast("string")))
+    name = F.substring(name, F.lit(2), F.length(name) - 2)
+    joined(df.select(F.concat(name, F.lit(":"), F.to_json(F.struct(*rest)))), path, "{", ",", "}")
+
+
+def json_array(df: DataFrame, path: str) -> None:
+    """One JSON array of records in one file."""
+    joined(df.select(F.to_json(F.struct(*df.columns))), path, "[", ",", "]")
+
+
+def joined(lines: DataFrame, path: str, head: str, between: str, tail: str) -> None:
+    """One file in the folder `path`: head, the lines of a text column with `between` before all but the first, tail.
+
+    Tasks write their parts; these are copied one after the other, as streams, into the file.
+    """
+    spark, held = lines.sparkSession, f"{path}-{uuid.uuid4().hex}"
+    # Every line brings its separator along; of the first, it is skipped.
+    lines.select(F.concat(F.lit(between), F.col(lines.columns[0])).alias("value")).write.option("lineSep", "\n").text(held)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(held).getFileSystem(conf)
+    parts = sorted(s.getPath().getName() for s in fs.listStatus(at(held)) if s.getPath().getName().startswith("part-") and s.getLen())
+    fs.delete(at(path), True)
+    out = fs.create(at(f"{held}/joined"))
+    out.write(bytearray(head.encode()))
+    for i, name in enumerate(parts):
+        source = fs.open(at(f"{held}/{name}"))
+        if i == 0:
+            source.seek(len(between.encode()))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+        source.close()
+    out.write(bytearray(tail.encode()))
+    out.close()
+    fs.mkdirs(at(path))
+    fs.rename(at(f"{held}/joined"), at(f"{path}/part-00000.json"))
+    fs.create(at(f"{path}/_SUCCESS")).close()
+    fs.delete(at(held), True)
 
 
 def version(df: DataFrame, root: str, number: int) -> str:
