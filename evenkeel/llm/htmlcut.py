@@ -11,6 +11,7 @@ the least total cost.
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -28,8 +29,10 @@ _NAME = re.compile(r"[a-z]+|[0-9]+")
 
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noframes xmp template svg math object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img input nobr rp rt ruby".split())
+RAW = frozenset("script style textarea title noscript iframe noframes xmp template annotation annotation-xml desc metadata".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img input nobr rp rt ruby".split()) | frozenset(
+    "object math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd svg g text tspan textpath path rect circle ellipse line polygon polyline use".split()
+)
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]),
@@ -40,12 +43,16 @@ FENCE = frozenset("html body article section div table td th ul ol dl main aside
 DROPPED = frozenset("nav footer aside form button select fieldset dialog menu head".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
 
-# Words in class and id names, and what they add to the evidence for content.
+# Words that make up class and id names, and what a name adds to the evidence for content if all its words are known.
 HINTS = {
     -9.0: "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup paywall share sharing social sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer copyright legal comment comments commentlist disqus discussion respond replies reply feedback related recommended recommendations trending pagination pager toolbar masthead skip login search form sidenav topbar".split(),
     3.0: "article post entry content main story body text prose".split(),
 }
 _HINT = {w: v for v, ws in HINTS.items() for w in ws}
+#: Words that say nothing by themselves, but leave a name what its other words make it.
+PLAIN = frozenset("a all area bar bars block blocks body box boxes btn button buttons by col column container content count cta desktop first footer form forms group head header icon icons inner item items js label last left link links list lists main mobile module more most new of on open out outer page panel panes posts read right row section sections site slot small stories story tab tabs tag tags text the thread title to tool tools top us view wide wrap wrapper you your".split())
+#: What a name with other words in it counts: it may as well be what the text is about.
+DOUBT = 1.0
 
 #: Evidence that the cut should not go against.
 HARD = 60.0
@@ -83,6 +90,18 @@ class Region:
     blocks: int = 0  # in it and in the regions within
 
 
+@functools.lru_cache(1 << 14)
+def _hint(name: str) -> float:
+    """What one class or id says.  Its words must all be known; else it weighs no more than DOUBT either way."""
+    words = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+    hints = [_HINT[w] for w in words if w in _HINT]
+    if not hints:
+        return 0.0
+    value = min(hints) if min(hints) < 0 else max(hints)
+    known = all(w in _HINT or w in PLAIN or w.isdigit() or len(w) == 1 for w in words)
+    return value if known else math.copysign(DOUBT, value)
+
+
 def _evidence(tag: str, attributes: str) -> float:
     """What an element says about the blocks in it; -HARD and beyond settles it."""
     if tag in DROPPED:
@@ -94,8 +113,7 @@ def _evidence(tag: str, attributes: str) -> float:
         if role in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
             return -HARD
         total += 8.0 * (role in ("main", "article")) + 4.0 * ("articlebody" in found.get("itemprop", "").lower())
-        names = set(_NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get("class", "") + " " + found.get("id", "")).lower()))
-        hints = [_HINT[n] for n in names if n in _HINT]
+        hints = [h for n in (found.get("class", "") + " " + found.get("id", "")).split() if (h := _hint(n))]
         if hints:
             total += min(hints) if tag not in ("html", "body") and min(hints) < 0 else max(0.0, max(hints))
     return total

@@ -111,3 +111,36 @@ def test_deep_pages_take_time_in_proportion():
         t = time.perf_counter()
         assert h.extract(page)
         assert time.perf_counter() - t < 5
+
+
+PROSE = "<p>It was long held that power must rest with the many, and not the few. Others said that order came first, and that the many were easily led.</p><p>Each of the two has had its day, and neither has won for good.</p>"
+
+
+@pytest.mark.parametrize("mark", ['class="form-of-government"', 'id="search-algorithms"', 'class="story-tags social-history"', 'id="cookie-recipe-box"', 'class="share-of-the-vote"', 'class="ad-hoc-committee"', 'id="bannerStates"', 'class="menu-engineering"'])
+def test_names_that_speak_of_the_subject_drop_nothing(mark):
+    want = [x.replace("<p>", "") for x in PROSE.split("</p>")[:-1]]
+    assert h.extract(f"<body><nav><a href=x>Home</a></nav><article><h1>Title</h1><div {mark}>{PROSE}</div></article></body>").split("\n\n") == ["Title", *want]
+    assert h.extract(f"<main {mark}>{PROSE}</main>").split("\n\n") == want
+
+
+@pytest.mark.parametrize("mark", ['class="comments"', 'id="comment-list"', 'class="sidebar-right"', 'class="cookieNotice"', 'id="ad_3"', 'class="x related-posts"', 'class="social-share-buttons"', 'class="newsletter-signup-box"', 'class="footer-links"', 'class="main-menu"'])
+def test_names_of_boilerplate_drop_their_blocks(mark):
+    assert h.extract(f"<article><h1>Title</h1>{PROSE}<div {mark}>{PROSE}</div></article>").count("Each of the two") == 1
+
+
+def test_formulas_and_drawn_text_stay_in_their_sentences():
+    page = "<article><p>The formula <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation>E=m</annotation></semantics></math> holds, and <svg><title>icon</title><path d=x /><text>that</text></svg> is <object data=x>all</object> of it.</p></article>"
+    assert h.extract(page) == "The formula E=m holds, and that is all of it."
+
+
+def test_labels_are_the_best_of_all_labellings():
+    """The whole way from a page to its labels against trying every labelling of its blocks and regions."""
+    for page in [p for p, _ in PAGES] + [PAGE, f"<div class=ad>{PROSE}</div><div class=entry>{PROSE}</div>"]:
+        found, regions = h.blocks(page)
+        found = found[:9]
+        if any(b.at.region >= 7 for b in found):
+            continue
+        gain, edges = h.graph(found, regions[:7])
+        value = lambda x: sum(g for g, y in zip(gain, x, strict=True) if y) - sum((e[2] if x[e[0]] else e[3]) for e in edges if x[e[0]] != x[e[1]])  # noqa: E731, B023
+        best = max(map(value, itertools.product([False, True], repeat=len(gain))))
+        assert abs(value(h.min_cut(gain, edges)) - best) < 1e-6
