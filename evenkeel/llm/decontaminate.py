@@ -8,6 +8,7 @@ the word it ends at, and words map back to offsets in the original text.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,9 +35,6 @@ _PART = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("ite
 #: 316,039 nodes, 12.6 MB), so that an automaton stays at about 1.1 GB.  More text is dealt into several automata, for
 #: each of which the documents are passed over once.
 AUTOMATON_BYTES = 4_000_000
-#: Bytes of benchmark text at most, all of which the driver and each worker hold; larger sets are refused.
-MAX_BENCHMARK_BYTES = 256_000_000
-
 _AUTOMATA: dict[int, object] = {}
 
 
@@ -127,16 +125,20 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     ship(spark)
     pick = benchmark.select(col(item_col).cast("string").alias("i"), col(item_text).cast("string").alias("t"))
     held = pick.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    if held > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {held} bytes of text; {MAX_BENCHMARK_BYTES} are taken")
-    items = sorted(("null" if r["i"] is None else r["i"], r["t"] or "") for r in pick.collect())
-    name, parts = fresh(docs, "decontamination"), dealt(items, AUTOMATON_BYTES, window)
-    if len(parts) == 1:
-        make = _kernel(spark, items, window, lambda a, t: dict(zip(FIELDS.names, _row(scan(a, t)), strict=True)), FIELDS)
+    name, drawers = fresh(docs, "decontamination"), max(1, -(-2 * held // AUTOMATON_BYTES))
+    if held <= AUTOMATON_BYTES:
+        make = _kernel(spark, _items(pick), window, lambda a, t: dict(zip(FIELDS.names, _row(scan(a, t)), strict=True)), FIELDS)
         return annotate(docs, text_col, make, FIELDS, name, keep), name
+    # The driver holds a drawer of the benchmark at a time.
+    drawer = F.pmod(F.xxhash64("i", "t"), F.lit(drawers))
+    parts = (p for k in range(drawers) for p in dealt(_items(pick.where(drawer == k)), AUTOMATON_BYTES, window) if p)
     return _in_parts(spark, docs, parts, window, text_col, name, list(docs.columns if keep is None else keep)), name
 
 
+def _items(pick: DataFrame) -> list[tuple[str, str]]:
+    return sorted(("null" if r["i"] is None else r["i"], r["t"] or "") for r in pick.collect())
+
+
 def _row(found: tuple[int, int, list[str], list[tuple[int, int]]]) -> tuple:
     return (*found[:3], [{"start": a, "end": b} for a, b in found[3]])
 
@@ -156,7 +158,7 @@ def _kernel(spark: SparkSession, items: list[tuple[str, str]], window: int, one,
     return make
 
 
-def _in_parts(spark: SparkSession, docs: DataFrame, parts: list[list[tuple[str, str]]], window: int, text_col: str, name: str, keep: list[str]) -> DataFrame:
+def _in_parts(spark: SparkSession, docs: DataFrame, parts: Iterable[list[tuple[str, str]]], window: int, text_col: str, name: str, keep: list[str]) -> DataFrame:
     """The same with one automaton after the other: what each finds is written, and put together for each document."""
     scratch, key, n_words = Scratch(spark, "decontamination"), fresh(docs, "__key"), fresh(docs, "__n_words")
     docs = scratch.keep(docs.withColumn(key, F.monotonically_increasing_id()), "docs")
@@ -185,7 +187,9 @@ def _in_parts(spark: SparkSession, docs: DataFrame, parts: list[list[tuple[str,
     hits = hits.withColumn("runs", F.aggregate("runs", F.array().cast(runs_type), step))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1)
     hits = hits.select(key, n_hit.alias("n_hit"), "item_ids", F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias("spans"))
+    found_in = fresh(docs, "__hits")
+    hits = hits.select(key, F.struct("n_hit", "item_ids", "spans").alias(found_in))
     out = docs.join(found[0].select(key, F.col("n_words").alias(n_words)), key).join(hits, key, "left")
-    none = lambda c: F.array().cast(FIELDS[c].dataType)
-    made = F.struct(F.col(n_words).alias("n_words"), F.coalesce(F.col("n_hit"), F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.col("item_ids"), none("item_ids")).alias("item_ids"), F.coalesce(F.col("spans"), none("spans")).alias("spans"))
-    return out.select(*[docs[c] for c in keep], made.alias(name))
+    none = {"n_hit": F.lit(0).cast("long"), "item_ids": F.array().cast(FIELDS["item_ids"].dataType), "spans": F.array().cast(FIELDS["spans"].dataType)}
+    made = F.struct(F.col(n_words).alias("n_words"), *[F.coalesce(F.col(found_in)[c], v).alias(c) for c, v in none.items()])
+    return out.select(*map(col, keep), made.alias(name))

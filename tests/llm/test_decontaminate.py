@@ -64,12 +64,12 @@ def test_several_automata_find_what_one_finds(spark, monkeypatch):
     vocabulary = ["a", "b", "ab", "é", "Ü1", "x9", "c"]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate([0, 2, 5, 7, 9, 4, 300, 6, 3, 8])] + [(3, "a b"), (99, None)]
     texts = ["".join(rng.choice(vocabulary) + rng.choice([" ", ", ", "\n", "--"]) for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", "?"]
-    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id long, text string").withColumn("__key", F.lit("x")).repartition(3)
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id long, text string").withColumns({n: F.lit("x") for n in ("__key", "n_hit", "item_ids", "spans", "runs", "__hits")}).repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     one, c = d.decontaminate(spark, docs, bench, 4)
     key = lambda r: str((r["doc_id"], r["text"], r["__key"], r[c]["n_words"], r[c]["n_hit"], r[c]["item_ids"], [tuple(s) for s in r[c]["spans"]]))
     want = sorted(map(key, one.collect()))
-    monkeypatch.setattr(d, "AUTOMATON_BYTES", 25)
+    monkeypatch.setattr(d, "AUTOMATON_BYTES", 160)
     more, c2 = d.decontaminate(spark, docs, bench, 4)
     assert c2 == c and more.columns == one.columns and more.schema.simpleString() == one.schema.simpleString()
     got = more.collect()
