@@ -93,6 +93,8 @@ def compress(docs: list[np.ndarray], terminals: int) -> bytes:
     width = 2 if narrow else 4
     pays = (2 * width + 4) // width + 1  # replacements; a rule takes its two symbols and the length it expands to
     whole, half = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
+    if any(len(d) and int(d.max()) >= terminals for d in docs):
+        raise ValueError(f"an id is {max(int(d.max()) for d in docs if len(d))}, but rules start at {terminals}")
     seq = np.concatenate(docs).astype(whole) if docs else np.zeros(0, whole)
     begin = (np.cumsum(sizes) - sizes)[sizes > 0]
     left, right, rounds = [], [], []
@@ -243,14 +245,24 @@ class Shard:
         return self._expand(self.symbols[self.begin[k] : after[0] if len(after) else len(self.symbols)])
 
 
-def write(spark: SparkSession, docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 2, terminals: int = 49408, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def vocabulary(tokenizer: str, end_id: int) -> int:
+    """The number of ids that a tokenizer's file and the end id take."""
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()
+    return max(end_id, *ids) + 1
+
+
+def write(spark: SparkSession, docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 2, terminals: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all documents' ids, in ascending id order, to shard files; returns the table that holds them.
 
     Columns: part and shard (in this order, shards follow one another), before (ids in the part's shards before it),
     keys (the documents' ids), n (ids in the shard), data (the file).  A null or empty text is its end id alone; null ids come first; rows of equal id are in
-    the order of a hash of their texts.  An empty table has no shards.
+    the order of a hash of their texts.  An empty table has no shards.  Rules' symbols start at `terminals`, by default
+    the size of the vocabulary; an id at or above it is an error.
     """
     ship(spark)
+    terminals = vocabulary(tokenizer, end_id) if terminals is None else terminals
     key = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("before", T.LongType()), T.StructField("keys", T.ArrayType(key)), T.StructField("n", T.LongType()), T.StructField("data", T.BinaryType())])
     arrow = to_arrow_schema(schema)

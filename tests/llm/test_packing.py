@@ -143,3 +143,10 @@ def test_wide_symbols():
     shard = repair.Shard(repair.compress(docs, 200_000))
     assert len(shard.rules) and shard.ids().tolist() == np.concatenate(docs).tolist()
     assert max(pair_uses(shard.symbols.tolist(), set(shard.begin.tolist())).values()) < 4
+
+
+def test_ids_beyond_the_vocabulary_are_refused():
+    repair.compress([np.array([1, 99], np.uint32)], 100)
+    for bad in (100, 70_000):
+        with pytest.raises(ValueError, match="rules start at 100"):
+            repair.compress([np.array([1, bad], np.uint32)], 100)
