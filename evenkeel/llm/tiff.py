@@ -310,7 +310,8 @@ def tiff_pages(spark: SparkSession, media: DataFrame, media_col: str = "media")
     """
     ship(spark)
     rest = [c for c in media.columns if c != media_col]
-    schema = T.StructType([*(media.schema[c] for c in rest), T.StructField("__pages", T.ArrayType(PAGE))])
+    every, one = fresh(media, "__pages"), fresh(media, "__page")
+    schema = T.StructType([*(media.schema[c] for c in rest), T.StructField(every, T.ArrayType(PAGE))])
 
     def run(batches):
         import pyarrow as pa
@@ -323,8 +324,8 @@ def tiff_pages(spark: SparkSession, media: DataFrame, media_col: str = "media")
                 kept = [row.column(k).cast(arrow.field(k).type) for k in range(len(rest))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array([read_pages(row.column(len(rest))[0].as_py())], type=arrow.field(len(rest)).type)], schema=arrow)
 
-    made = media.select(*map(col, rest), col(media_col)).mapInArrow(run, schema).select(*map(col, rest), F.explode("__pages").alias("__page"))
-    return made.select(*map(col, rest), *(F.col(f"__page.{n}").alias(fresh(made.drop("__page"), n)) for n in PAGE.names))
+    made = media.select(*map(col, rest), col(media_col)).mapInArrow(run, schema).select(*map(col, rest), F.explode(every).alias(one))
+    return made.select(*map(col, rest), *(col(one)[n].alias(fresh(made.drop(one), n)) for n in PAGE.names))
 
 
 STORED = T.StructType([

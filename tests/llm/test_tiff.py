@@ -74,3 +74,10 @@ def test_texts_and_pages(spark):
     whole = sorted((p for p in pages if p["doc_id"] == 4), key=lambda p: p["_page"])
     assert b"".join(p["pixels"] for p in whole) == bytes(rows[4][c]["payload"])
     assert tiff.tiff_pages(spark, media.limit(0)).count() == 0
+
+
+def test_pages_beside_columns_of_their_names(spark):
+    media = spark.createDataFrame([(tiff.write(tiff.payload_of("text")), 1, "a", "b", "c")], "media binary, `__pages` int, `__page` string, width string, error string")
+    made = tiff.tiff_pages(spark, media)
+    assert made.columns[:4] == ["__pages", "__page", "width", "error"] and "_width" in made.columns and "_error" in made.columns
+    assert made.first()["__page"] == "a" and made.first()["width"] == "b"
