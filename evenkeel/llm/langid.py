@@ -29,8 +29,8 @@ ROWS_PER_LABEL = 800
 BYTES_PER_LABEL = 8 << 20
 #: Texts of more bytes are not learned from (they are predicted like any other).
 LONGEST_LEARNED = 1 << 20
-#: Languages learned at most, the most frequent first; bounds the sample with ROWS_PER_LABEL.
-MAX_LABELS = 256
+#: Bytes of text taken for all languages together, about; where there are many, each gets less.
+BYTES_IN_ALL = 128 << 20
 #: Length of the linear layer's vectors at most; with the rate it keeps a step of SGD from overshooting.
 LONGEST_VECTOR = 4.0
 
@@ -161,8 +161,8 @@ _FITTED = T.StructType([T.StructField("labels", T.ArrayType(T.StringType())), T.
 
 
 def train(spark: SparkSession, docs: DataFrame, where: Column | None = None, text_col: str = "text", label_col: str = "lang", per_label: int = ROWS_PER_LABEL, bytes_per_label: int = BYTES_PER_LABEL) -> Model:
-    """A model of the labels of `docs`, from a sample of per_label texts and bytes_per_label bytes for each of MAX_LABELS
-    labels, about.
+    """A model of the labels of `docs`, all of them, from a sample of per_label texts and bytes_per_label bytes for each
+    label, about, and of BYTES_IN_ALL bytes in all.
 
     Rows with a null text or label, and texts of more than LONGEST_LEARNED bytes, are not learned from; equal texts of
     one label count once.  The sample is the texts with the smallest hashes, by a threshold set from the labels' counts
@@ -170,9 +170,10 @@ def train(spark: SparkSession, docs: DataFrame, where: Column | None = None, tex
     """
     rows = docs.where(col(text_col).isNotNull() & col(label_col).isNotNull() & (F.lit(True) if where is None else where))
     rows = rows.select(col(text_col).cast("string").alias("t"), col(label_col).cast("string").alias("y")).where(F.octet_length("t") <= LONGEST_LEARNED)
-    counts = rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("size")).orderBy(F.desc("n"), "y").limit(MAX_LABELS).collect()
+    counts = rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("size")).collect()  # one row a language
     if not counts:
         return fit([])
+    bytes_per_label = min(bytes_per_label, BYTES_IN_ALL // len(counts))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["y"], min(1.0, per_label / r["n"], bytes_per_label / max(1, r["size"])))])
     place = F.pmod(F.xxhash64("t"), F.lit(1_000_003)) / F.lit(1_000_003)
     taken = rows.where(place < F.coalesce(F.try_element_at(share, F.col("y")), F.lit(0.0))).distinct()

@@ -95,3 +95,49 @@ def test_the_test_table_is_learned_finite_accurate_and_calibrated(spark):
     bins = np.digitize(sure, [0.5, 0.8, 0.9, 0.95, 0.99])
     error = sum(abs(right[bins == b].mean() - sure[bins == b].mean()) * (bins == b).mean() for b in set(bins.tolist()))
     assert error < 0.03  # expected calibration error
+
+
+def plain_prediction(m, text):
+    """The mean of the subwords' rows, a softmax, and the largest of it, one subword at a time."""
+    import math
+
+    u32 = 0xFFFFFFFF
+    folded = [c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode()]
+    a = [32]
+    for c in [*folded, 32]:
+        if c != 32 or a[-1] != 32:
+            a.append(c)
+    odd, total, count = [0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], [0.0] * len(m.labels), 0
+    for start in range(len(a)):
+        h = 0
+        for n in range(1, max(langid.GRAMS) + 1):
+            if start + n > len(a):
+                break
+            h = (h + (a[start + n - 1] + n) * odd[n - 1]) & u32
+            h ^= h >> 15
+            if n in langid.GRAMS:
+                row = m.table[((h * 0x2C1B3C6D) & u32) >> 17]
+                total = [t + x for t, x in zip(total, row, strict=True)]
+                count += 1
+    z = [(t / count + b) / m.temperature for t, b in zip(total, m.bias, strict=True)]
+    e = [math.exp(x - max(z)) for x in z]
+    p = [x / sum(e) for x in e]
+    k = p.index(max(p))
+    return m.labels[k], p[k]
+
+
+def test_predictions_against_a_plain_computation():
+    rng = random.Random(8)
+    words = {"aa": ["tha", "ing", "the"], "bb": ["eau", "que", "é"], "cc": ["sch", "ung", "ß"]}
+    rows = [(" ".join(rng.choice(ws) + rng.choice(ws) for _ in range(rng.randint(3, 20))), y) for y, ws in words.items() for _ in range(60)]
+    m = langid.fit(rows)
+    for text in [t for t, _ in rows[::9]] + ["x", "The 12, que!", "日本 é", "a" * 3000]:
+        label, score, _ = m.predict(text)
+        want, p = plain_prediction(m, text)
+        assert label == want and abs(score - p) < 1e-6
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(f"w{k}a w{k}b " + f"{chr(97 + k % 26)}{chr(97 + k // 26)}q" * 3, f"l{k}") for k in range(300) for _ in range(2)]
+    df = spark.createDataFrame([(t + f" {i}", y) for i, (t, y) in enumerate(rows)], "text string, lang string")
+    assert len(langid.train(spark, df).labels) == 300
