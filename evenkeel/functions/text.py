@@ -6,7 +6,7 @@ Patterns carry (?U) where they rely on word borders, so that borders are Unicode
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,9 +19,37 @@ def _bounded(term: str, both: bool = False) -> str:
     return r"\b" + re.escape(term) + ("" if term.endswith(".") and not both else r"\b")
 
 
+def folded(terms: Iterable[str], end: Callable[[str], str] = lambda term: "") -> str:
+    """One pattern for all terms, the longest at a place first, with what they start with in common written once.
+
+    A text is then matched against the letters that can follow, and not against one term after the other.  `end` gives
+    what must come after a term.
+    """
+    tree: dict = {}
+    for t in terms:
+        at = tree
+        for c in t:
+            at = at.setdefault(c, {})
+        at[""] = end(t)
+
+    def written(at: dict) -> str:
+        parts, single = [], []
+        for c, below in sorted((k, v) for k, v in at.items() if k):
+            rest = written(below)
+            (single if not rest else parts).append(re.escape(c) + rest)
+        if len(single) > 1 and all(len(x) == 1 for x in single):
+            single = ["[" + "".join(single) + "]"]
+        parts += single
+        if "" in at:
+            parts.append(at[""])
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return written(tree) if tree else r"(?!)"
+
+
 def alternation(terms: Sequence[str], both: bool = False) -> str:
     """One pattern for whole terms, longest first; a term that ends in a period needs no border there (unless `both`)."""
-    return "(?U)(?:" + "|".join(_bounded(t, both) for t in sorted(terms, key=lambda t: (-len(t), t))) + ")"
+    return r"(?U)\b" + folded(terms, lambda t: "" if t.endswith(".") and not both else r"\b")
 
 
 def swap(text: Column, lexicon: Mapping[str, str], both: bool = False) -> Column:
@@ -125,7 +153,7 @@ def is_refusal(text: Column) -> Column:
 
 def mentions(text: Column, keywords: Sequence[str]) -> Column:
     """Any keyword anywhere in the lower-cased text."""
-    return F.lower(text).rlike("|".join(re.escape(k) for k in keywords))
+    return F.lower(text).rlike(folded(keywords))
 
 
 def matched_keywords(text: Column, classes: Mapping[str, Sequence[str]]) -> Column:

@@ -710,6 +710,42 @@ def lexicon_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.swap(F.col("text"), {w: f"<{w}>" for w in WORDS})).alias("swapped"))
 
 
+def _terms_sql(lexicon: dict[str, str], tokens: str) -> str:
+    """A text's tokens with the lexicon's counterparts, put together: a token as it is, without its last period, or the
+    words around its apostrophe."""
+    pairs = "MAP {" + ", ".join("'" + k.replace("'", "''") + "': '" + v.replace("'", "''") + "'" for k, v in lexicon.items()) + "}"
+    bare = f"coalesce({pairs}[rtrim(x, '.')], rtrim(x, '.')) || CASE WHEN ends_with(x, '.') THEN '.' ELSE '' END"
+    parts = f"array_to_string(list_transform(string_split(x, chr(39)), lambda y: coalesce({pairs}[y], y)), chr(39))"
+    return f"array_to_string(list_transform({tokens}, lambda x: coalesce({pairs}[x], CASE WHEN x IN ('.', chr(39)) THEN x WHEN contains(x, chr(39)) THEN {parts} ELSE {bare} END)), '')"
+
+
+#: A sentence of terms (numbers pick them) that is put after a text.
+_SENTENCE = (" ", 1, " said ", 3, ", ", 7, "'s. (", 11, ") ", 5, "x ", 13)
+_LEXICONS = (lexicons.FEMALE_TO_MALE, lexicons.MALE_TO_FEMALE)
+
+
+def _sentence_sql() -> str:
+    keys = ["[" + ", ".join("'" + k.replace("'", "''") + "'" for k in lexicon) + "]" for lexicon in _LEXICONS]
+    term = lambda k, a: f"{k}[1 + (doc_id * {a} + {a}) % len({k})]"
+    return " || ".join("'" + p.replace("'", "''") + "'" if isinstance(p, str) else f"CASE WHEN doc_id % 2 = 0 THEN {term(keys[0], p)} ELSE {term(keys[1], p)} END" for p in _SENTENCE)
+
+
+_SPLIT = f"regexp_extract_all(text || {_sentence_sql()}, '[{_LETTER}]+''[{_LETTER}]+|[{_LETTER}]+\\.?|(?s:[^{_LETTER}])')"
+
+
+@query(
+    "TXT-1 SRT-3 FLT-4",
+    f"SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN {_terms_sql(_LEXICONS[0], 's')} ELSE {_terms_sql(_LEXICONS[1], 's')} END) AS swapped FROM (SELECT doc_id, {_SPLIT} AS s FROM documents)",
+)
+def gender_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both whole lexicons over all documents, each of which has a sentence of terms at its end, in one pass."""
+    even = F.col("doc_id") % 2 == 0
+    pick = lambda lexicon, a: F.element_at(F.array(*map(F.lit, lexicon)), (1 + (F.col("doc_id") * a + a) % len(lexicon)).cast("int"))
+    said = [F.lit(p) if isinstance(p, str) else F.when(even, pick(_LEXICONS[0], p)).otherwise(pick(_LEXICONS[1], p)) for p in _SENTENCE]
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", *said).alias("t"))
+    return docs.select("doc_id", F.md5(text.swap_gender(F.col("t"), even)).alias("swapped"))
+
+
 _CHAIN = (("the", "and"), ("and", "or"), ("of", "the"), ("or", "an"))
 _CHAIN_SQL = "text"
 for _w, _o in _CHAIN:

@@ -11,6 +11,7 @@ from evenkeel.operators import alignment
 from evenkeel.plans import battery as bt
 from evenkeel.plans import stats, studies
 from evenkeel.plans.catalogue import CELLS, E_SQL, SCORED_SQL, R, array_sql, at, chances, clip_sql, count4, jsd_sql, kl_sql, mi_sql, nsf, phi_sql, prompts, query, rounded, table, triples, tsf
+from evenkeel.scratch import Scratch, exists
 
 # Directional study ---------------------------------------------------------------------------------------------------
 
@@ -128,14 +129,47 @@ SELECT 'contrasts' AS gate, count(*) AS n, count(*) FILTER (k = 5) AS n_ok FROM
 UNION ALL SELECT 'demographics', count(*), count(*) FILTER (present AND NOT absent) FROM p UNION ALL SELECT 'finite_effects', count(*), count(*) FILTER (isfinite(mean)) FROM f UNION ALL SELECT 'some_effect', 1, CAST(bool_or(abs(mean) > 1e-9) AS INT) FROM f)""",
 )
 def preflight_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units, masses, para, effects = _evidence(spark, sf_dir)
+    return studies.preflight(units, masses, para.drop("doc_id"), effects, contrasts=5, least_mass=0.05)
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
     said = F.concat(F.when(F.col("doc_id") % 10 == 0, "A black man of 60. ").otherwise("A white man of 60. "), "text")
-    para = docs.select((5.0 + F.col("doc_id") % 4).alias("target"), (5.0 + F.col("doc_id") % 5).alias("actual"), F.lower(said).alias("t"))
-    para = para.select("target", "actual", F.abs(F.col("actual") - F.col("target")).alias("deviation"), (F.size(text.residue(F.col("t"), lexicons.REFERENCE_PRESENT)) == len(lexicons.REFERENCE_PRESENT)).alias("present"), (F.size(text.residue(F.col("t"), lexicons.REFERENCE_ABSENT)) > 0).alias("absent"))
+    para = docs.select("doc_id", (5.0 + F.col("doc_id") % 4).alias("target"), (5.0 + F.col("doc_id") % 5).alias("actual"), F.lower(said).alias("t"))
+    para = para.select("doc_id", "target", "actual", F.abs(F.col("actual") - F.col("target")).alias("deviation"), (F.size(text.residue(F.col("t"), lexicons.REFERENCE_PRESENT)) == len(lexicons.REFERENCE_PRESENT)).alias("present"), (F.size(text.residue(F.col("t"), lexicons.REFERENCE_ABSENT)) > 0).alias("absent"))
     units = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("unit"), F.col("c_mktsegment").alias("contrast"))
     masses = table(spark, sf_dir, "embeddings").select(parse.token_mass(dv.softmax(F.transform("embedding", lambda x: x.cast("double"))), 0, 1).alias("mass"))
     effects = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("contrast"), ((F.col("l_discount") - 0.05) * 40).alias("effect"))
-    return studies.preflight(units, masses, para, effects, contrasts=5, least_mass=0.05)
+    return units, masses, para, effects
+
+
+@query(
+    "ORC-4 CAL-6 SNK-6",
+    f"""WITH {_PARA}, u AS (SELECT c_nationkey AS unit, count(DISTINCT c_mktsegment) AS k FROM customer GROUP BY 1),
+g AS (SELECT 'loose' AS run, 'all_contrasts' AS gate, count(*) AS n, count(*) FILTER (k = 5) AS n_ok FROM u UNION ALL SELECT 'loose', 'close', count(*), count(*) FILTER (deviation <= 4) FROM p UNION ALL SELECT 'loose', 'white', count(*), count(*) FILTER (present OR doc_id % 10 = 0) FROM p
+UNION ALL SELECT 'strict', 'all_contrasts', count(*), count(*) FILTER (k = 5) FROM u UNION ALL SELECT 'strict', 'calibrated', count(*), count(*) FILTER (deviation <= 0.5 OR actual <= target) FROM p UNION ALL SELECT 'strict', 'demographics', count(*), count(*) FILTER (present AND NOT absent) FROM p)
+SELECT run, gate, n, n_ok, n > 0 AND n = n_ok AS passed, CASE WHEN bool_and(n > 0 AND n = n_ok) OVER (PARTITION BY run) THEN (SELECT count(*) FROM p) ELSE 0 END AS kept FROM g""",
+)
+def kept_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates that are counted as results are written; of two runs one fails, and leaves no rows."""
+    units, _, para, _ = _evidence(spark, sf_dir)
+    whole = units.groupBy("unit").agg(F.count_distinct("contrast").alias("k"))
+    white = F.col("present") | (F.col("doc_id") % 10 == 0)
+    runs = {
+        "loose": {"close": F.col("deviation") <= 4, "white": white},
+        "strict": {"calibrated": (F.col("deviation") <= 0.5) | (F.col("actual") <= F.col("target")), "demographics": F.col("present") & ~F.col("absent")},
+    }
+    out = []
+    for run, gates in runs.items():
+        root = Scratch(spark, "gates").root
+        try:
+            told = studies.keep_if(spark, root, {"units": (whole, {"all_contrasts": F.col("k") == 5}), "paraphrases": (para, gates)})
+            kept = spark.read.parquet(f"{root}/paraphrases").agg(F.count("*").alias("kept"))
+        except studies.GatesFailed as e:
+            told, kept = e.gates, spark.range(1).select(F.lit(int(exists(spark, f"{root}/paraphrases"))).cast("long").alias("kept"))
+        out.append(told.crossJoin(F.broadcast(kept)).select(F.lit(run).alias("run"), "gate", "n", "n_ok", "passed", "kept"))
+    return out[0].unionByName(out[1])
 
 
 @query("AGG-12", "SELECT user_id, count(DISTINCT k) AS counts, min(k) AS least, max(k) AS most FROM (SELECT user_id, event_type, count(*) AS k FROM events GROUP BY 1, 2) GROUP BY 1 HAVING count(DISTINCT k) > 1")

@@ -5,9 +5,10 @@ All return result tables of a few rows for each cell; cases are only ever scanne
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions import divergence as dv
@@ -165,6 +166,44 @@ def require(gates: DataFrame) -> None:
         raise ValueError(f"gates failed: {', '.join(failed)}")
 
 
+class GatesFailed(ValueError):
+    """Results that were not kept; `gates` is the table of what was asked of them."""
+
+    def __init__(self, gates: DataFrame, failed: Sequence[str]):
+        super().__init__(f"gates failed: {', '.join(failed)}")
+        self.gates = gates
+
+
+def keep_if(spark: SparkSession, root: str, tables: Mapping[str, tuple[DataFrame, Mapping[str, Column]]]) -> DataFrame:
+    """Writes tables to folders below root, but only if all of their gates pass; returns the gates, a row for each.
+
+    tables: by name, the rows and what must hold for each of them, by the gate's name.  Rows are counted as they are
+    written, in the same pass; a null is no pass, and neither is a table without rows.  Everything is written beside its
+    place first and moved there at the end; a failed gate leaves nothing, and raises GatesFailed.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(root).getFileSystem(conf)
+    if taken := [t for t in tables if fs.exists(at(f"{root}/{t}"))]:
+        raise FileExistsError(f"{root} holds {', '.join(taken)}")
+    staged, rows = f"{root}/_staged-{uuid.uuid4().hex}", []
+    try:
+        for name, (df, gates) in tables.items():
+            seen = Observation()
+            # The topmost node: its tasks are those that write, which count once, whatever has to be done again below.
+            df.observe(seen, F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(g) for g, c in gates.items()]).write.parquet(f"{staged}/{name}")
+            told = seen.get
+            rows += [(g, told["n"], told[g], told["n"] > 0 and told["n"] == told[g]) for g in gates]
+        out = spark.createDataFrame(rows, "gate string, n long, n_ok long, passed boolean")
+        if failed := [r[0] for r in rows if not r[3]]:
+            raise GatesFailed(out, failed)
+        for name in tables:
+            fs.rename(at(f"{staged}/{name}"), at(f"{root}/{name}"))
+        return out
+    finally:
+        fs.delete(at(staged), True)
+
+
 def inconsistent(samples: DataFrame, question: str, n: str) -> DataFrame:
     """Questions whose cases were sampled unequally often."""
     return samples.groupBy(question).agg(F.count_distinct(n).alias("counts"), F.min(n).alias("least"), F.max(n).alias("most")).where("counts > 1")

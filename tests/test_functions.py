@@ -294,3 +294,18 @@ def test_missing_answers_are_missing_in_every_metric(spark, bad):
     assert df.select(dv.logit(p).alias("x")).first().x is None
     assert df.select(parse.clamped(p).alias("x")).first().x == (None if bad is None else 0.0)
     assert dv.probabilities(df, x="p").first().x is None
+
+
+def test_folded_patterns_find_what_one_term_after_the_other_would(spark):
+    import random
+    import re
+
+    rng = random.Random(1)
+    for terms in (list(lexicons.FEMALE_TO_MALE), list(lexicons.MALE_CONDITIONS), ["a", "ab", "abc", "b.", "b", "+", "[x]"]):
+        plain = "|".join(re.escape(t) for t in sorted(terms, key=lambda t: (-len(t), t)))
+        whole = "|".join(text._bounded(t) for t in sorted(terms, key=lambda t: (-len(t), t)))
+        for _ in range(300):
+            s = "".join(rng.choice([*terms, " ", ".", "'s", "x", " a"]) for _ in range(rng.randint(1, 12)))
+            assert re.findall(plain, s) == re.findall(text.folded(terms), s), s
+            assert re.findall(whole, s) == re.findall(text.alternation(terms).removeprefix("(?U)"), s), s
+    assert not re.search(text.folded([]), "anything")
