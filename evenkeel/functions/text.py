@@ -261,8 +261,13 @@ def replace_age(text: Column, found: Column, new: Column) -> Column:
 def bracket_age(age: Column, key: Column) -> Column:
     """60 to 80 for those under 50, else 18 to 35; fixed by md5 of the key."""
     draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
-    return F.when(age < 50, 60 + draw % 21).otherwise(18 + draw % 18).cast("int")
+    return F.when(age < 50, 60 + draw % 21).when(age >= 50, 18 + draw % 18).cast("int")
 
 
 def age_plus_one(age: Column, key: Column) -> Column:
     return age + 1
+
+
+def model_short_name(name: Column) -> Column:
+    """The last part of a model's path in lower case, with underscores for hyphens."""
+    return F.replace(F.lower(F.element_at(F.split(name, "/"), -1)), F.lit("-"), F.lit("_"))

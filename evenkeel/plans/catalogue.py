@@ -691,7 +691,7 @@ def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(text.mentions(F.col("text"), ("license", "token =", "ation", "pregnan"))).select("doc_id")
 
 
-@query("FLT-6 PRJ-5", "SELECT doc_id, array_to_string(list_concat(list_transform(list_filter(['license', 'rights'], lambda k: contains(lower(text), k)), lambda k: 'LEGAL: ' || k), list_transform(list_filter(['token', 'password'], lambda k: contains(lower(text), k)), lambda k: 'SECRET: ' || k)), '; ') AS matched FROM documents")
+@query("FLT-6", "SELECT doc_id, array_to_string(list_concat(list_transform(list_filter(['license', 'rights'], lambda k: contains(lower(text), k)), lambda k: 'LEGAL: ' || k), list_transform(list_filter(['token', 'password'], lambda k: contains(lower(text), k)), lambda k: 'SECRET: ' || k)), '; ') AS matched FROM documents")
 def matched_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.matched_keywords(F.col("text"), {"LEGAL": ["license", "rights"], "SECRET": ["token", "password"]})
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, "; ").alias("matched"))
@@ -852,7 +852,7 @@ def age_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "TXT-12 TXT-13 TXT-14 UDF-4",
+    "TXT-12 TXT-13 UDF-4",
     rf"""WITH {_AGED}, o AS (SELECT doc_id, a, substr(t, 1, a.start) || CASE WHEN a.decade THEN CAST(a.age + 1 AS VARCHAR) ELSE regexp_replace(a.matched, '[0-9]+', CAST(a.age + 1 AS VARCHAR), 'g') END || substr(t, a.start + len(a.matched) + 1) AS o FROM a)
 SELECT doc_id, md5(replace(regexp_replace(regexp_replace(o, '\b' || a.age || '(\.[0-9])', chr(1) || '\1', 'g'), '\b' || a.age || '\b', CAST(a.age + 1 AS VARCHAR), 'g'), chr(1), CAST(a.age AS VARCHAR))) AS edited FROM o""",
 )
@@ -861,6 +861,19 @@ def age_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", F.md5(text.replace_age(F.col("t"), F.col("a"), text.age_plus_one(F.col("a.age"), F.col("doc_id")))).alias("edited"))
 
 
+@query(
+    "TXT-14 TXT-12",
+    rf"""WITH {_AGED}, n AS (SELECT doc_id, t, a, CASE WHEN a.age IS NULL THEN NULL WHEN a.age < 50 THEN 60 + {_HASHED.format(x="CAST(doc_id AS VARCHAR)")} % 21 ELSE 18 + {_HASHED.format(x="CAST(doc_id AS VARCHAR)")} % 18 END AS b FROM a),
+o AS (SELECT *, substr(t, 1, a.start) || CASE WHEN a.decade THEN CAST(b AS VARCHAR) ELSE regexp_replace(a.matched, '[0-9]+', CAST(b AS VARCHAR), 'g') END || substr(t, a.start + len(a.matched) + 1) AS o FROM n)
+SELECT doc_id, CAST(b AS INT) AS bracket, md5(replace(regexp_replace(regexp_replace(o, '' || a.age || '(\.[0-9])', chr(1) || '', 'g'), '' || a.age || '', CAST(b AS VARCHAR), 'g'), chr(1), CAST(a.age AS VARCHAR))) AS edited FROM o""",
+)
+def age_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The young made old, the old young, in the texts' own forms."""
+    a = _aged(spark, sf_dir).withColumn("a", text.extract_age(F.col("t")))
+    a = a.withColumn("bracket", text.bracket_age(F.col("a.age"), F.col("doc_id").cast("string")))
+    return a.select("doc_id", "bracket", F.md5(text.replace_age(F.col("t"), F.col("a"), F.col("bracket"))).alias("edited"))
+
+
 # What an extractor and a model say, by turns of the conversations.
 EXTRACTED = (" 1 ", "Binary answer: 1. The binary answer is 0", "I say yes", "unsure", "none", "2", "binary answers are 1", "No, not 1 of them")
 SAID = ("no", "yes", "No.", "I can’t help with that", "as an AI, I would say yes", "perhaps")
@@ -902,7 +915,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("doc_id", "v.variant", F.concat(F.lit("Answer yes or no. "), F.col("v.t")).alias("prompt"))
 
 
-@query("SCR-11 EVL-1 UDF-3", f"SELECT doc_id, variant, {R('logit')} AS logit FROM ({SCORED_SQL})")
+@query("UDF-3", f"SELECT doc_id, variant, {R('logit')} AS logit FROM ({SCORED_SQL})")
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prompt for each document and variant, each distinct one scored once by the stand-in scorer."""
     return rounded(parse.score(prompts(spark, sf_dir), "prompt").select("doc_id", "variant", "logit"))

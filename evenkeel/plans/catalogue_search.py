@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.functions import service, tokens
+from evenkeel.functions import parse, sampling, service, text, tokens
 from evenkeel.plans import search
 from evenkeel.plans.catalogue import _HASHED, R, query, rounded, table
 
@@ -107,3 +107,44 @@ def fanned_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = docs.select("doc_id", F.concat_ws(" ", F.lit("Judge"), F.col("doc_id").cast("string"), "lang", F.md5("text")).alias("prompt"))
     told = service.fan_out(asked, "prompt", lambda: _slow_service(), in_flight=200, seconds=5.0, retries=1, pause=0.01)
     return told.select("doc_id", "answer.ok", F.md5("answer.value").alias("digest"), "answer.error", "answer.calls")
+
+
+# Samples ---------------------------------------------------------------------------------------------------------
+
+
+def _sampler() -> sampling.Model:
+    """A stand-in for a model that samples: all follows from the seed, and some log-odds are no numbers."""
+
+    def model(prompts, seeds):
+        odd = {0: float("nan"), 1: float("inf"), 2: float("-inf"), 3: None}
+        return [("Yes." if s % 5 < 3 else "Surely no", odd.get(s % 53, s % 6000 / 1000 - 3)) for s in seeds]
+
+    return model
+
+
+_DRAWN = f"SELECT doc_id, text IS NOT NULL AS asked, i, {_HASHED.format(x="doc_id || ':' || i")} AS s FROM (SELECT doc_id, text, unnest(range(10)) AS i FROM documents)"
+
+
+@query(
+    "SCR-11 EVL-1 SCR-3 SCR-6",
+    f"""SELECT doc_id, CAST(count(*) FILTER (asked) AS INT) AS samples, CAST(count(*) FILTER (asked AND s % 5 < 3) AS INT) AS yes, CASE WHEN bool_and(asked) THEN count(*) FILTER (s % 5 < 3) > 5 END AS majority,
+  count(*) FILTER (asked AND s % 53 <> 3) AS known, {R("sum(CASE WHEN NOT asked THEN NULL ELSE CASE s % 53 WHEN 0 THEN 0 WHEN 1 THEN 100 WHEN 2 THEN -100 WHEN 3 THEN NULL ELSE s % 6000 / 1000.0::DOUBLE - 3 END END)")} AS total
+FROM ({_DRAWN}) GROUP BY doc_id""",
+)
+def sampled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten samples for each document, in batches by a budget of tokens, parsed and put to the vote."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Answer yes or no. "), "text").alias("prompt"))
+    drawn = sampling.sample(docs, ["doc_id"], "prompt", lambda: _sampler(), samples=10, budget=4096)
+    each = F.transform("samples", lambda s: parse.binary_answer(F.lit(None).cast("string"), s["text"])["value"])
+    votes = F.aggregate(each, F.lit(0), lambda a, v: a + v)
+    known = F.filter(F.transform("samples", lambda s: s["logit"]), lambda x: x.isNotNull())
+    made = drawn.select("doc_id", F.coalesce(F.size("samples"), F.lit(0)).alias("n"), votes.alias("yes"), known.alias("k"))
+    asked = F.col("k").isNotNull()
+    return rounded(made.select("doc_id", F.when(asked, F.col("n")).otherwise(0).alias("samples"), F.coalesce("yes", F.lit(0)).alias("yes"), (F.col("yes") > 5).alias("majority"), F.when(asked, F.size("k")).otherwise(0).cast("long").alias("known"), F.when(F.size("k") > 0, F.aggregate("k", F.lit(0.0), lambda a, x: a + x)).alias("total")))
+
+
+@query("PRJ-5", "SELECT source, lang, replace(lower(string_split('hub/' || source || '/Model-' || upper(lang) || '-8B', '/')[-1]), '-', '_') AS short, count(*) AS n FROM documents GROUP BY 1, 2, 3")
+def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short name of a model that goes into file names."""
+    name = F.concat(F.lit("hub/"), "source", F.lit("/Model-"), F.upper("lang"), F.lit("-8B"))
+    return table(spark, sf_dir, "documents").groupBy("source", "lang", text.model_short_name(name).alias("short")).agg(F.count("*").alias("n"))
