@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,17 +26,88 @@ def tokenized(text: Column, name: str = "words") -> Column:
     return TOKENIZERS[name](text)
 
 
-def edit_distance(a: Sequence[str], b: Sequence[str]) -> int:
-    """Levenshtein distance by bit vectors: a column of the table is two long integers (where it rises, where it falls),
-    and the next follows from it by a few operations on them (Myers 1999, Hyyro 2003)."""
-    if not len(a) or not len(b):
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance of two sequences of hashable tokens.
+
+    What both start and end with in common is left out.  The rest is followed along diagonals, as far as each number of
+    edits reaches, which takes steps in proportion to the square of the distance, and the tokens it passes; from a
+    distance on where the whole table is cheaper, bits stand for the table's columns.
+    """
+    short = min(len(a), len(b))
+    if not short:
         return max(len(a), len(b))
-    places: dict[str, int] = {}
-    for i, t in enumerate(a):
-        places[t] = places.get(t, 0) | 1 << i
+    places: dict = {}
+    x = np.fromiter((places.setdefault(t, len(places)) for t in a), np.int64, len(a))
+    y = np.fromiter((places.setdefault(t, len(places)) for t in b), np.int64, len(b))
+    differ = np.flatnonzero(x[:short] != y[:short])
+    if not len(differ):
+        return max(len(a), len(b)) - short
+    start = int(differ[0])
+    x, y, short = x[start:], y[start:], short - start
+    differ = np.flatnonzero(x[::-1][:short] != y[::-1][:short])
+    end = int(differ[0]) if len(differ) else short
+    x, y = (x[: len(x) - end], y[: len(y) - end]) if end else (x, y)
+    if not len(x) or not len(y):
+        return max(len(x), len(y))
+    # A step along a diagonal costs as much as some hundred words of 64 bits; it may take a quarter of what these would.
+    most = int((len(x) * len(y) / 64 / 400) ** 0.5) + 8
+    found = _by_diagonals(x, y, most)
+    return _by_bits(x, y) if found is None else found
+
+
+def _by_diagonals(x: np.ndarray, y: np.ndarray, most: int) -> int | None:
+    """The distance if it is at most `most`.  Of each diagonal, numbered by the place in y less that in x, the furthest
+    place in x that so many edits reach is kept (Ukkonen 1985)."""
+    n, m = len(x), len(y)
+    goal, none = m - n, -(1 << 40)
+    if abs(goal) > most:
+        return None
+    reach = {0: _run(x, y, 0, 0)}
+    if reach[0] >= n and goal == 0:
+        return 0
+    for d in range(1, most + 1):
+        now = {}
+        for k in range(max(-d, -n), min(d, m) + 1):
+            i = max(reach.get(k, none) + 1, reach.get(k + 1, none) + 1, reach.get(k - 1, none))
+            i = min(i, n, m - k)
+            if i < max(0, -k):
+                continue
+            now[k] = _run(x, y, i, k)
+        reach = now
+        if reach.get(goal, none) >= n:
+            return d
+    return None
+
+
+def _run(x: np.ndarray, y: np.ndarray, i: int, k: int) -> int:
+    """The place in x up to which x and y agree from i and i + k on."""
+    step, end = 16, min(len(x), len(y) - k)
+    while i < end:
+        differ = np.flatnonzero(x[i : min(end, i + step)] != y[i + k : min(end, i + step) + k])
+        if len(differ):
+            return i + int(differ[0])
+        i = min(end, i + step)
+        step *= 4
+    return i
+
+
+def _by_bits(a: np.ndarray, b: np.ndarray) -> int:
+    """A column of the table is two long integers (where it rises, where it falls), and the next follows from it by a few
+    operations on them (Myers 1999, Hyyro 2003)."""
+    order = np.argsort(a, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], np.diff(a[order]) != 0, [True])))
+    places: dict[int, int] = {}
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        here = order[i:j]
+        if j - i < 64:
+            places[int(a[here[0]])] = sum(1 << p for p in here.tolist())
+        else:
+            bits = np.zeros(len(a), np.uint8)
+            bits[here] = 1
+            places[int(a[here[0]])] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
     whole, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     rise, fall, out = whole, 0, len(a)
-    for t in b:
+    for t in b.tolist():
         same = places.get(t, 0)
         diagonal = (((same & rise) + rise) ^ rise) | same
         right = fall | whole & ~(diagonal | rise)

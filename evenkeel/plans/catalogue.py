@@ -803,6 +803,28 @@ def token_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("doc_id", "distance", F.when(F.col("n") > 0, F.col("distance") * 100.0 / F.col("n")).otherwise(0.0).alias("pct")))
 
 
+_WORD_LIST = "CASE WHEN trim(text, E' \\t\\n\\r') = '' THEN [] ELSE regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+') END"
+
+
+@query(
+    "TOK-1 TOK-2 TOK-3 TOK-4 PRJ-8",
+    f"""SELECT doc_id, n, CAST(n // 11 + (n - n // 11 + 8) // 9 AS INT) AS distance, {R('CASE WHEN n > 0 THEN (n // 11 + (n - n // 11 + 8) // 9) * 100.0::DOUBLE / n ELSE 0 END')} AS pct, CAST(greatest(1, round_even(7.5::DOUBLE * n / 100, 0)) AS INT) AS edits
+FROM (SELECT doc_id, CAST(len({_WORD_LIST}) AS INT) AS n FROM documents)""",
+)
+def token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances that are known beforehand, over whole texts: every 11th word goes, and every 9th of the others becomes a
+    mark that is no word of the text.
+
+    A mark costs an edit, and so does each word that the text is shorter by, so that no fewer edits will do.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokens.tokenized(F.col("text")).alias("a"))
+    kept = F.filter("a", lambda x, i: (i + 1) % 11 != 0)
+    marks = docs.withColumn("b", F.transform(kept, lambda x, i: F.when(i % 9 == 0, F.concat(F.lit("\x02"), i.cast("string"))).otherwise(x)))
+    n = F.size("a")
+    made = marks.select("doc_id", n.alias("n"), tokens.distance(F.col("a"), F.col("b")).alias("distance"), tokens.change_pct(F.col("a"), F.col("b")).alias("pct"), tokens.target_edits(F.lit(7.5), n).alias("edits"))
+    return rounded(made)
+
+
 @query(
     "CAL-1 CAL-2 AGG-16 FLT-9",
     """WITH a AS (SELECT l_orderkey AS k, l_quantity AS actual, 25.0::DOUBLE AS target, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS ord FROM lineitem),

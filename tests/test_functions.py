@@ -309,3 +309,34 @@ def test_folded_patterns_find_what_one_term_after_the_other_would(spark):
             assert re.findall(plain, s) == re.findall(text.folded(terms), s), s
             assert re.findall(whole, s) == re.findall(text.alternation(terms).removeprefix("(?U)"), s), s
     assert not re.search(text.folded([]), "anything")
+
+
+def test_edit_distances_by_every_way():
+    import random
+
+    import numpy as np
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(600):
+        letters = "abcdef"[: rng.randint(1, 6)]
+        a = [rng.choice(letters) for _ in range(rng.randint(0, 25))]
+        b = [rng.choice(letters) for _ in range(rng.randint(0, 25))] if rng.random() < 0.5 else [c for c in a if rng.random() < 0.9]
+        assert tokens.edit_distance(a, b) == plain(a, b), (a, b)
+        if a and b:
+            x, y = (np.array([ord(c) for c in s]) for s in (a, b))
+            assert tokens._by_diagonals(x, y, 60) == tokens._by_bits(x, y) == plain(a, b)
+    long = [str(rng.randint(0, 500)) for _ in range(5000)]
+    for edits in (0, 4, 400, 3000):
+        other = list(long)
+        for k in range(edits):
+            other[rng.randrange(len(other))] = f"m{k}"
+        d = tokens.edit_distance(long, other)
+        assert d == tokens._by_bits(*(np.array([hash(t) for t in s]) for s in (long, other))) and d <= edits
