@@ -88,7 +88,7 @@ def json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.json_map(spark, f"{root}/cases", "struct<turns:bigint,first:string>")
 
 
-@query("SRC-6 SRC-7 SRC-8 SRC-9 SRC-12", "SELECT doc_id AS id, text IS NOT NULL AS has_text, (['A', 'B', 'C', 'D'])[doc_id % 4 + 1] AS letter FROM documents WHERE lang = 'en'")
+@query("SRC-6 SRC-8 SRC-9 SRC-12", "SELECT doc_id AS id, text IS NOT NULL AS has_text, (['A', 'B', 'C', 'D'])[doc_id % 4 + 1] AS letter FROM documents WHERE lang = 'en'")
 def exported_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workbooks, pickles and hub splits come as Parquet exports: renamed, decoded and filtered on load."""
     root = _root(spark)
@@ -97,7 +97,7 @@ def exported_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("id", F.col("text").isNotNull().alias("has_text"), readers.label_letter(F.col("label")).alias("letter"))
 
 
-@query("SNK-1 SNK-2 SNK-8", f"WITH {E_SQL}, c AS ({count4('p')}) SELECT 'rates' AS sheet, count(*) AS n, {R('sum((p01 + p10) / n)')} AS total FROM c UNION ALL SELECT 'summary', 2, {R('sum(n) + max(n)')} FROM c")
+@query("SNK-8", f"WITH {E_SQL}, c AS ({count4('p')}) SELECT 'rates' AS sheet, count(*) AS n, {R('sum((p01 + p10) / n)')} AS total FROM c UNION ALL SELECT 'summary', 2, {R('sum(n) + max(n)')} FROM c")
 def workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result tables of one analysis, a folder for each sheet."""
     root = _root(spark)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import divergence as dv
 from evenkeel.plans import battery as bt
-from evenkeel.plans.catalogue import _HASHED, R, mi_sql, query, rounded, table
+from evenkeel.plans import stats
+from evenkeel.plans.catalogue import _HASHED, CELLS, E_SQL, R, count4, mi_sql, query, rounded, table, triples
 from evenkeel.scratch import Scratch
-from evenkeel.sources import documents, writers
+from evenkeel.sources import documents, workbook, writers
 from evenkeel.sources.pieces import Pieces
 
 # JSON of any size ------------------------------------------------------------------------------------------------
@@ -107,3 +108,26 @@ def pieced_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fs.delete(s.getPath(), False)
     held.run(docs, work(2))
     return held.result(work(2)(docs).schema)
+
+
+# Workbooks -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "SRC-7 SNK-1 SNK-2",
+    f"""WITH {E_SQL}, c AS ({count4('p')})
+SELECT 'rates' AS sheet, perturbation || '/' || task AS name, CAST(n AS BIGINT) AS n, {R('(p01 + p10) / n')} AS value, (p01 + p10) / n > 0.1 AS flag, CAST(NULL AS VARCHAR) AS digest FROM c
+UNION ALL SELECT 'sources', source, count(*), {R('avg(CAST(n_chars AS DOUBLE))')}, bool_or(lang = 'de'), md5(min(text) || chr(10) || '<&_x0041_>') FROM documents GROUP BY source""",
+)
+def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result tables of two analyses in one workbook, typed cells and whole texts among them, and read back."""
+    c = stats.pair_counts(bt.answers(triples(spark, sf_dir)), CELLS, "o", "p").withColumn("n", sum((F.col(f"n{i}{j}") for i in (0, 1) for j in (0, 1)), F.lit(0.0)))
+    rate = (F.col("n01") + F.col("n10")) / F.col("n")
+    rates = c.select(F.concat_ws("/", *CELLS).alias("name"), F.col("n").cast("long").alias("n"), rate.alias("value"), (rate > 0.1).alias("flag"))
+    docs = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name"))
+    sources = docs.agg(F.count("*").alias("n"), F.avg("n_chars").alias("value"), F.bool_or(F.col("lang") == "de").alias("flag"), F.concat(F.min("text"), F.lit("\n<&_x0041_>")).alias("first text"))
+    path = Scratch(spark, "exchange").root + "/book.xlsx"
+    workbook.write({"rates": rates, "sources": sources}, path)
+    schema = "name string, n long, value double, flag boolean, `first text` string"
+    read = [workbook.read(spark, path, s, schema).withColumn("sheet", F.lit(s)) for s in ("rates", "sources")]
+    return rounded(read[0].unionByName(read[1]).select("sheet", "name", "n", "value", "flag", F.md5("first text").alias("digest")))
