@@ -19,14 +19,14 @@ def answers(triples: DataFrame, o: str = "logit_original", p: str = "logit_swapp
     return triples.withColumns({n: F.when(dv.known(F.col(c)), (F.col(c) > 0).cast("int")) for n, c in (("o", o), ("p", p), ("b", b))})
 
 
-def battery(triples: DataFrame, cells: Sequence[str], tests: int, replicates: int = 1000, alpha: float = 0.05) -> DataFrame:
+def battery(triples: DataFrame, cells: Sequence[str], tests: int, replicates: int = 1000, alpha: float = 0.05, draws: str = "random") -> DataFrame:
     """One row per cell and metric: n, both arms' statistics, their difference, p_two, p_one and its direction, flag.
 
     Count metrics are bootstrapped from eight counts, row metrics tested by paired t.
     """
     rows = answers(triples)
     counts = stats.triple_counts(rows, cells, "o", "p", "b")
-    boot = stats.bootstrap(counts, cells, replicates)
+    boot = stats.bootstrap(counts, cells, replicates, draws=draws)
     arms = counts.select(*cells, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), f(stats.margins("p")).alias("statistic_perturbation"), f(stats.margins("b")).alias("statistic_baseline"), F.lit(side).alias("alternative")) for m, (f, side) in stats.POPULATION.items()])).alias("a")).select(*cells, "a.*")
     out = boot.join(arms, [*cells, "metric"]).select(*cells, "metric", "n", "statistic_perturbation", "statistic_baseline", F.col("observed").alias("difference"), "p_two", F.when(F.col("alternative") == "less", F.col("p_less")).otherwise(F.col("p_greater")).alias("p_one"), "alternative")
     # Row metrics of both arms in one scan and one shuffle: moments of all metrics side by side, long afterwards.

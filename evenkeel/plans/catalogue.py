@@ -407,17 +407,6 @@ def battery_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got.select(*CELLS, "metric", "n", "statistic_perturbation", "statistic_baseline", "difference"))
 
 
-@query("TST-9 TST-10 TST-19 TST-20 TST-21 MUL-1")
-def battery_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bt.battery(triples(spark, sf_dir), CELLS, 12))
-
-
-@query("MUL-1 AGG-3 AGG-7 TST-20")
-def bonferroni_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = bt.battery(triples(spark, sf_dir), CELLS, 12)
-    return bt.survival(got, ["metric"], CELLS)
-
-
 @query(
     "TST-24 JOIN-6",
     f"""WITH v AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS INT) AS level, o_orderstatus AS task, CAST(o_totalprice > 200000 AS INT) AS o, CAST(o_totalprice * (1 + 0.02::DOUBLE * CAST(substr(o_orderpriority, 1, 1) AS INT) * (o_orderkey % 7 - 3)) > 200000 AS INT) AS p FROM orders), c AS ({count4('p', 'level, task')})
@@ -449,10 +438,79 @@ def bootstrap_phi_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(c.select("b", stats.phi({k: F.col(k) for k in ("n00", "n01", "n10", "n11")}).alias("phi")))
 
 
-@query("TST-9 TST-12")
+def _drawn_sql(n: str, q: str, u: str) -> str:
+    """A binomial draw by inversion: the least k whose cumulative probability is u or more."""
+    spread = f"(9 * sqrt({n} * {q} * (1 - {q})) + 9)"
+    low, high = f"CAST(greatest(0, floor({n} * {q} - {spread})) AS BIGINT)", f"CAST(least({n}, ceil({n} * {q} + {spread})) AS BIGINT)"
+    chance = f"exp(lgamma({n} + 1) - lgamma(k + 1) - lgamma({n} - k + 1) + k * ln({q}) + ({n} - k) * ln(1 - {q}))"
+    steps = f"list_reduce(list_transform(range({low}, {high} + 1), lambda k: {{'c': {chance}, 'n': 0}}), lambda s, x: {{'c': s.c + x.c, 'n': s.n + CAST(s.c + x.c < {u} AS INT)}}, {{'c': 0.0::DOUBLE, 'n': 0}}).n"
+    return f"CAST(CASE WHEN {n} = 0 OR {q} <= 0 THEN 0 WHEN {q} >= 1 THEN {n} ELSE least({high}, {low} + {steps}) END AS BIGINT)"
+
+
+_KINDS = [f"{i}{j}{k}" for i in (0, 1) for j in (0, 1) for k in (0, 1)]
+
+
+def boot_sql(replicates: int, cells: str = "perturbation, task", seed: int = 42) -> str:
+    """CTEs up to `boot`: the bootstrap of the three count metrics, over `v` with answers o, p and b."""
+    key = f"concat_ws(':', '{seed}', {cells})"
+    steps = [f"c8 AS (SELECT {cells}, {', '.join(f'count(*) FILTER (o = {x[0]} AND p = {x[1]} AND b = {x[2]}) AS n{x}' for x in _KINDS)}, count(*) AS n FROM v GROUP BY {cells})"]
+    steps.append(f"d0 AS (SELECT *, n AS left0, n AS rest0 FROM c8, range({replicates}) r(rep))")
+    for j, x in enumerate(_KINDS[:-1]):
+        u = f"((CAST('0x' || substr(md5({key} || ':' || rep || ':{j}'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+        prepared = f"(SELECT *, {u} AS u, CASE WHEN rest{j} > 0 THEN CAST(n{x} AS DOUBLE) / rest{j} ELSE 0 END AS q FROM d{j})"
+        steps.append(f"d{j + 1} AS (SELECT * EXCLUDE (u, q, k), k AS m{x}, left{j} - k AS left{j + 1}, rest{j} - n{x} AS rest{j + 1} FROM (SELECT *, {_drawn_sql(f'left{j}', 'q', 'u')} AS k FROM {prepared}))")
+    four = lambda arm, name: ", ".join(f"CAST({' + '.join(f'{name}{x}' for x in _KINDS if x[0] == i and x['pb'.index(arm) + 1] == j)} AS DOUBLE) AS {arm}{i}{j}" for i in "01" for j in "01")
+    flip = lambda a: f"(({a}01 + {a}10) / n)"
+    metrics = {"flip_rate": (flip, "greater"), "mutual_information": (mi_sql, "less"), "phi": (phi_sql, "less")}
+    values = "UNION ALL ".join(f"SELECT {cells}, rep, '{m}' AS metric, '{side}' AS alternative, n, {f('p')} AS x, {f('b')} AS y FROM {{t}} " for m, (f, side) in metrics.items())
+    steps.append(f"f AS (SELECT {cells}, rep, CAST(n AS DOUBLE) AS n, {four('p', 'm')}, {four('b', 'm')} FROM (SELECT *, left7 AS m111 FROM d7)), o AS (SELECT {cells}, -1 AS rep, CAST(n AS DOUBLE) AS n, {four('p', 'n')}, {four('b', 'n')} FROM c8)")
+    steps.append(f"drawn AS ({values.format(t='f')}), seen AS ({values.format(t='o')})")
+    steps.append(f"""boot AS (SELECT {', '.join('s.' + c for c in cells.split(', '))}, s.metric, s.alternative, s.n, s.x, s.y, s.x - s.y AS observed, avg(CAST(d.x - d.y <= 0 AS DOUBLE)) AS le, avg(CAST(d.x - d.y >= 0 AS DOUBLE)) AS ge,
+  quantile_cont(d.x - d.y, 0.025) AS ci_low, quantile_cont(d.x - d.y, 0.975) AS ci_high, stddev_pop(d.x - d.y) AS se FROM seen s JOIN drawn d ON {' AND '.join(f's.{c} = d.{c}' for c in cells.split(', '))} AND s.metric = d.metric GROUP BY ALL)""")
+    return ",\n".join(steps)
+
+
+_TWO = "least(1.0::DOUBLE, 2 * CASE WHEN observed >= 0 THEN le ELSE ge END)"
+REPLICATES = 300
+
+
+@query("TST-9 TST-10 TST-12", f"WITH {E_SQL}, {boot_sql(REPLICATES)} SELECT perturbation, task, metric, n, {', '.join(f'{R(x)} AS {y}' for x, y in (('observed', 'observed'), (_TWO, 'p_two'), ('le', 'p_greater'), ('ge', 'p_less'), ('ci_low', 'ci_low'), ('ci_high', 'ci_high'), ('se', 'se')))} FROM boot")
 def bootstrap_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = stats.triple_counts(bt.answers(triples(spark, sf_dir)), CELLS, "o", "p", "b")
-    return rounded(stats.bootstrap(c, CELLS))
+    return rounded(stats.bootstrap(c, CELLS, REPLICATES, draws="inverted"))
+
+
+@query("TST-11 TST-9", f"WITH {E_SQL}, {boot_sql(REPLICATES, 'task', 7)} SELECT task, metric, n, {R('observed')} AS observed, {R('least(1.0::DOUBLE, 2 * least(le, ge))')} AS p_two FROM boot")
+def bootstrap_both_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-sided p that doubles the smaller tail."""
+    c = stats.triple_counts(bt.answers(triples(spark, sf_dir)), ["task"], "o", "p", "b")
+    return rounded(stats.bootstrap(c, ["task"], REPLICATES, seed=7, rule="both", draws="inverted").select("task", "metric", "n", "observed", "p_two"))
+
+
+def battery_sql(tests: int) -> str:
+    """CTEs up to `bat`, the five metrics' tests of every cell."""
+    rows = []
+    for m, f in (("jsd", jsd_sql), ("kl", lambda a, b: kl_sql(clip_sql(a), clip_sql(b)))):
+        x, y = f("po", "pp"), f("po", "pb")
+        moments = f"SELECT perturbation, task, CAST(count(*) AS DOUBLE) AS n, avg(x) AS x, avg(y) AS y, avg(x - y) AS mean, stddev_samp(x - y) AS sd FROM (SELECT perturbation, task, {x} AS x, {y} AS y FROM v) GROUP BY 1, 2"
+        up = tsf("t", "(n - 1)")
+        rows.append(f"SELECT perturbation, task, '{m}' AS metric, n, x AS statistic_perturbation, y AS statistic_baseline, mean AS difference, 2 * least(up, 1 - up) AS p_two, up AS p_one, 'greater' AS alternative FROM (SELECT *, {up} AS up FROM (SELECT *, mean * sqrt(n) / sd AS t FROM ({moments})))")
+    counted = f"SELECT perturbation, task, metric, n, x AS statistic_perturbation, y AS statistic_baseline, observed AS difference, {_TWO} AS p_two, CASE WHEN alternative = 'less' THEN ge ELSE le END AS p_one, alternative FROM boot"
+    return f"{boot_sql(REPLICATES)}, bat AS (SELECT *, p_two < 0.05::DOUBLE / {tests} AS significant FROM ({counted} UNION ALL {' UNION ALL '.join(rows)}))"
+
+
+def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bt.battery(triples(spark, sf_dir), CELLS, 12, REPLICATES, draws="inverted")
+
+
+@query("TST-9 TST-10 TST-19 TST-21 MUL-1", f"WITH {E_SQL}, {battery_sql(12)} SELECT perturbation, task, metric, n, {', '.join(f'{R(c)} AS {c}' for c in ('statistic_perturbation', 'statistic_baseline', 'difference', 'p_two', 'p_one'))}, alternative, significant FROM bat")
+def battery_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tested(spark, sf_dir))
+
+
+@query("MUL-1 AGG-3 AGG-7 TST-21", f"WITH {E_SQL}, {battery_sql(12)} SELECT metric, count(*) FILTER (significant) AS survived, count(*) AS units FROM bat GROUP BY 1")
+def bonferroni_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bt.survival(tested(spark, sf_dir), ["metric"], CELLS)
 
 
 @query("TST-13")

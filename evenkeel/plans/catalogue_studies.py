@@ -10,7 +10,7 @@ from evenkeel.functions import lexicons, parse, text, tokens
 from evenkeel.operators import alignment
 from evenkeel.plans import battery as bt
 from evenkeel.plans import stats, studies
-from evenkeel.plans.catalogue import CELLS, E_SQL, SCORED_SQL, R, array_sql, at, chances, clip_sql, count4, jsd_sql, kl_sql, mi_sql, nsf, phi_sql, prompts, query, rounded, table, triples, tsf
+from evenkeel.plans.catalogue import CELLS, E_SQL, SCORED_SQL, R, array_sql, at, battery_sql, chances, clip_sql, count4, jsd_sql, kl_sql, mi_sql, nsf, phi_sql, prompts, query, rounded, table, tested, triples, tsf
 from evenkeel.scratch import Scratch, exists
 
 # Directional study ---------------------------------------------------------------------------------------------------
@@ -92,10 +92,13 @@ def controlled_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got)
 
 
-@query("TST-20 MUL-1")
+_STARS = "CASE WHEN p_two < 0.001 THEN '***' WHEN p_two < 0.01 THEN '**' WHEN p_two < 0.05 THEN '*' ELSE '' END"
+
+
+@query("TST-20 MUL-1", f"WITH {E_SQL}, {battery_sql(12)} SELECT perturbation, task, bool_and(p_two > 0.05) AS passes, list_sort(list(metric || {_STARS})) AS labels FROM bat GROUP BY 1, 2")
 def control_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Controls: no metric of a cell may detect anything."""
-    return bt.control_passes(bt.battery(triples(spark, sf_dir), CELLS, 12), CELLS)
+    return bt.control_passes(tested(spark, sf_dir), CELLS)
 
 
 @query("TST-21 AGG-3 AGG-7", f"""WITH {E_SQL}, d AS (SELECT perturbation, task, logit_swapped - logit_baseline AS d FROM v), m AS (SELECT perturbation, task, CAST(count(*) AS DOUBLE) AS n, avg(d) AS mean, stddev_samp(d) AS sd FROM d GROUP BY 1, 2),

@@ -130,3 +130,22 @@ def test_battery_controls(spark):
     by = {(r["cell"], r["metric"]): r for r in got.collect()}
     assert len(by) == 10 and all(by["hit", m]["significant"] and by["hit", m]["p_one"] < 0.05 for m in ("flip_rate", "phi", "jsd", "kl"))
     assert {r["metric"]: (r["survived"], r["units"]) for r in battery.survival(got, ["metric"], ["cell"]).collect()}["jsd"][1] == 2
+
+
+def test_inverted_draws_have_the_distribution():
+    import math
+
+    rng = np.random.default_rng(1)
+    for n, q in ((0, 0.3), (1, 0.5), (7, 0.2), (40, 0.97), (3000, 0.41), (50, 0.0), (50, 1.0)):
+        u = rng.random(400)
+        cdf = np.cumsum([math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(min(n, 60) + 1)]) if n < 1000 else None
+        got = stats.binomial_inverse(np.full(400, n), q, u)
+        if cdf is not None:
+            assert got.tolist() == [int(min(n, (cdf < x).sum())) for x in u], (n, q)
+        else:
+            assert abs(got.mean() - n * q) < 6 * math.sqrt(n * q * (1 - q) / 400) and 0 <= got.min() and got.max() <= n
+    counts = np.array([5, 0, 300, 2, 0, 40, 1, 7])
+    drawn = stats.multinomial_inverse(counts, stats.uniforms("x", 500, 7))
+    assert (drawn.sum(axis=1) == counts.sum()).all() and (drawn[:, [1, 4]] == 0).all()
+    assert np.allclose(drawn.mean(axis=0), counts, atol=6 * np.sqrt(counts / 500 + 1e-9).max())
+    assert np.allclose(stats._log_factorial(np.array([0, 1, 5, 63, 64, 200, 10_000])), [math.lgamma(k + 1) for k in (0, 1, 5, 63, 64, 200, 10_000)], rtol=1e-13)
