@@ -11,9 +11,11 @@ As long as the filter and the exact counts of words are small enough they are se
 probes are sent to the segments instead: the distinct n-grams of a stretch of texts go to the tasks that hold their
 segments, and the levels come back to the stretch.  Both ways give the same scores.
 
-The model is a bigram model with a Dirichlet prior:  P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU)  with
-P(w) = (c(w) + 1) / (N + V + 1), every c read from the filter; N tokens and V distinct ones are exact.  As the counts are
-quantised and may be read too high, the probabilities of all w need not add up to one; they are not renormalised.
+The model is a bigram model with a Dirichlet prior:  P(w | v) = (q(v w) + MU * P(w)) / (S(v) + MU)  with
+P(w) = (q(w) + 1) / (Q + V + 1), every q a quantised count read from the filter.  S(v) is the sum of q(v w) over all w that
+follow v, and Q that of q(w) over all V distinct tokens; both are added up while the filter is built and kept exactly, S(v)
+beside the exact count of v.  So the probabilities of all known w and of one unknown add up to one for every v, as far as
+levels are read rightly; a level that is read too high adds to them, and is held to those of v and w.
 
 The base score uses exact counts.  Words are known by their 64-bit hashes.
 """
@@ -127,8 +129,12 @@ def place(hashes: np.ndarray, segments: int) -> np.ndarray:
 
 # Counting and building ----------------------------------------------------------------------------------------------
 
-_COUNTED = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-_BUILT = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("bits", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("entries", T.LongType()), T.StructField("tokens", T.LongType())])
+_COUNTED = T.StructType([T.StructField("segment", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("words", "grams", "contexts", "counts"))])
+#: A row for each segment; and rows with contexts and sums alone: what tasks have found of S (times two, which is whole).
+_BUILT = T.StructType([T.StructField("segment", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("bits", "words", "counts")), *(T.StructField(n, T.LongType()) for n in ("entries", "tokens", "mass")), *(T.StructField(n, T.BinaryType()) for n in ("contexts", "sums"))])
+#: S of a segment's words, in their order, and of the start of texts if it belongs there.
+_SUMMED = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("sums", T.BinaryType()), T.StructField("start", T.LongType())])
+_TWICE = (2 * LEVELS).astype(np.int64)
 
 
 def _by_segment(words: np.ndarray, grams: np.ndarray, segments: int) -> tuple[np.ndarray, Iterator[tuple[int, slice, slice]]]:
@@ -147,13 +153,14 @@ def _counted(texts: DataFrame, segments: int) -> DataFrame:
     arrow = to_arrow_schema(_COUNTED)
     most = max(TOKENS_AT_ONCE, TOKENS_A_SEGMENT * segments)
 
-    def passed_on(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def passed_on(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         words, n_words = np.unique(np.concatenate([h[0] for h in held]), return_counts=True)
-        grams, n_grams = np.unique(np.concatenate([h[1] for h in held]), return_counts=True)
+        grams, first, n_grams = np.unique(np.concatenate([h[1] for h in held]), return_index=True, return_counts=True)
+        contexts = np.concatenate([h[2] for h in held])[first]
         with np.errstate(over="ignore"):
             order, parts = _by_segment(words, grams, segments)
         words, n_words = words[order], n_words[order]
-        rows = [(s, words[a].tobytes(), grams[b].tobytes(), np.concatenate((n_words[a], n_grams[b])).astype("<u4").tobytes()) for s, a, b in parts]
+        rows = [(s, words[a].tobytes(), grams[b].tobytes(), contexts[b].tobytes(), np.concatenate((n_words[a], n_grams[b])).astype("<u4").tobytes()) for s, a, b in parts]
         return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +168,9 @@ def _counted(texts: DataFrame, segments: int) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 words, starts = tokens(batch.column(0).slice(a, b - a).to_pylist())
+                prior = before(words, starts)
                 with np.errstate(over="ignore"):
-                    held.append((words, pair(before(words, starts), words)))
+                    held.append((words, pair(prior, words), prior))
                 n += len(words)
                 if n >= most:
                     yield passed_on(held)
@@ -174,35 +182,45 @@ def _counted(texts: DataFrame, segments: int) -> DataFrame:
 
 
 class _Sums:
-    """Counts by key, added up whenever SUM_BYTES have come in."""
+    """Counts by key (and a value that goes with the key), added up whenever SUM_BYTES have come in."""
 
-    def __init__(self):
-        self.keys, self.n, self.size = [], [], 0
+    def __init__(self, valued: bool = False):
+        self.keys, self.n, self.values, self.size, self.valued = [], [], [], 0, valued
 
-    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, n: np.ndarray, values: np.ndarray | None = None) -> None:
         self.keys.append(keys)
         self.n.append(n)
-        self.size += 16 * len(keys)
+        if self.valued:
+            self.values.append(values)
+        self.size += (24 if self.valued else 16) * len(keys)
         if self.size > SUM_BYTES + 32 * len(self.keys[0]):
             self.done()
 
-    def done(self) -> tuple[np.ndarray, np.ndarray]:
+    def done(self) -> tuple[np.ndarray, ...]:
         every = np.concatenate(self.keys) if self.keys else np.zeros(0, np.uint64)
-        distinct, at = np.unique(every, return_inverse=True)
+        if self.valued:
+            distinct, first, at = np.unique(every, return_index=True, return_inverse=True)
+            self.values = [np.concatenate(self.values)[first] if self.values else np.zeros(0, np.uint64)]
+        else:
+            distinct, at = np.unique(every, return_inverse=True)
+        # Whole doubles up to 2**53 are added exactly.
         n = np.bincount(at, weights=np.concatenate(self.n) if self.n else None, minlength=len(distinct)).astype(np.int64)
         self.keys, self.n, self.size = [distinct], [n], 0
-        return distinct, n
+        return (distinct, n, *self.values)
 
 
-def _built(counted: DataFrame) -> DataFrame:
-    """The segments' bits, and their words with exact counts; a task holds one segment at a time."""
+def _built(counted: DataFrame, segments: int) -> DataFrame:
+    """The segments' bits, and their words with exact counts; a task holds one segment at a time.  And, from each task, S
+    of the contexts that it has met, a row for each of their segments."""
     arrow = to_arrow_schema(_BUILT)
 
-    def made(segment: int, words: _Sums, grams: _Sums) -> pa.RecordBatch:
-        (words, n_words), (grams, n_grams) = words.done(), grams.done()
+    def made(segment: int, words: _Sums, grams: _Sums, found: _Sums) -> pa.RecordBatch:
+        (words, n_words), (grams, n_grams, contexts) = words.done(), grams.done()
         with np.errstate(over="ignore"):
             # A word's own entry may belong to another segment than its pairs' and is put where the word is.
-            keys, level = np.concatenate((single(words), grams)), np.concatenate((levels(n_words), levels(n_grams)))
+            own, both = levels(n_words), levels(n_grams)
+            found.add(contexts, _TWICE[both])
+            keys, level = np.concatenate((single(words), grams)), np.concatenate((own, both))
             entries = int(level.sum())
             size = max(64, math.ceil(entries * BITS_EACH / 64) * 64)
             bits = np.zeros(size, bool)
@@ -210,27 +228,73 @@ def _built(counted: DataFrame) -> DataFrame:
                 at = keys[level >= j]
                 for k in range(PROBES):
                     bits[_probe(at, j, k) % np.uint64(size)] = True
-        row = [[segment], [np.packbits(bits, bitorder="little").tobytes()], [words.astype("<u8").tobytes()], [n_words.astype("<i8").tobytes()], [entries], [int(n_words.sum())]]
+        row = [[segment], [np.packbits(bits, bitorder="little").tobytes()], [words.astype("<u8").tobytes()], [n_words.astype("<i8").tobytes()], [entries], [int(n_words.sum())], [int(_TWICE[own].sum())], [None], [None]]
         return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(row, arrow, strict=True)], schema=arrow)
 
+    def sums(found: _Sums) -> pa.RecordBatch:
+        contexts, n = found.done()
+        with np.errstate(over="ignore"):
+            order, parts = _by_segment(contexts, np.zeros(0, np.uint64), segments)
+        contexts, n = contexts[order], n[order]
+        rows = [(s, contexts[a].tobytes(), n[a].astype("<i8").tobytes()) for s, a, _ in parts]
+        none = [None] * len(rows)
+        columns = [[r[0] for r in rows], *[none] * 6, [r[1] for r in rows], [r[2] for r in rows]]
+        return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, grams = None, _Sums(), _Sums()
+        now, words, grams, found = None, _Sums(), _Sums(True), _Sums()
         for batch in batches:
             for i in range(batch.num_rows):
                 segment = batch.column(0)[i].as_py()
                 if segment != now:
                     if now is not None:
-                        yield made(now, words, grams)
-                    now, words, grams = segment, _Sums(), _Sums()
-                w, g, n = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((1, "<u8"), (2, "<u8"), (3, "<u4")))
+                        yield made(now, words, grams, found)
+                        if found.size + 16 * len(found.keys[0]) > 2 * SUM_BYTES:
+                            yield sums(found)
+                            found = _Sums()
+                    now, words, grams = segment, _Sums(), _Sums(True)
+                w, g, c, n = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((1, "<u8"), (2, "<u8"), (3, "<u8"), (4, "<u4")))
                 words.add(w.copy(), n[: len(w)].copy())
-                grams.add(g.copy(), n[len(w) :].copy())
+                grams.add(g.copy(), n[len(w) :].copy(), c.copy())
         if now is not None:
-            yield made(now, words, grams)
+            yield made(now, words, grams, found)
+            yield sums(found)
 
     return counted.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, _BUILT)
 
 
+def _summed(built: DataFrame) -> DataFrame:
+    """S of every segment's words, from what the tasks have found; a task holds one segment at a time."""
+    arrow = to_arrow_schema(_SUMMED)
+
+    def made(segment: int, words: np.ndarray, found: _Sums) -> pa.RecordBatch:
+        contexts, n = found.done()
+        at = np.searchsorted(contexts, words)
+        at[at == len(contexts)] = 0
+        known = contexts[at] == words if len(contexts) else np.zeros(len(words), bool)
+        start = int(n[contexts == _START].sum())
+        row = [[segment], [np.where(known, n[at] if len(n) else 0, 0).astype("<i8").tobytes()], [start]]
+        return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(row, arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words, found = None, np.zeros(0, np.uint64), _Sums()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                segment, w = batch.column(0)[i].as_py(), batch.column(1)[i]
+                if segment != now:
+                    if now is not None:
+                        yield made(now, words, found)
+                    now, words, found = segment, np.zeros(0, np.uint64), _Sums()
+                if w.is_valid:
+                    words = np.frombuffer(w.as_buffer(), "<u8").copy()
+                else:
+                    found.add(*(np.frombuffer(batch.column(k)[i].as_buffer(), t).copy() for k, t in ((2, "<u8"), (3, "<i8"))))
+        if now is not None:
+            yield made(now, words, found)
+
+    return built.select("segment", "words", "contexts", "sums").repartition("segment").sortWithinPartitions("segment").mapInArrow(run, _SUMMED)
+
+
 @dataclass
 class Totals:
     """What a score needs beside the counts."""
@@ -238,13 +302,18 @@ class Totals:
     texts: int
     tokens: int
     distinct: int
-
-    def score(self, words: np.ndarray, starts: np.ndarray, prior: np.ndarray, word: np.ndarray, context: np.ndarray, both: np.ndarray) -> np.ndarray:
-        """log10 probability of each text, from the counts of its words, of those before them, and of the pairs."""
-        context = np.where(prior == _START, self.texts, context)
-        plain = (word + 1) / (self.tokens + self.distinct + 1)
-        both = np.minimum(both, np.minimum(context, word))  # a pair is no more frequent than its words
-        p = (both + MU * plain) / (context + MU)
+    mass: float  # Q
+    start: float  # S of the start of a text
+
+    def score(self, starts: np.ndarray, prior: np.ndarray, word: np.ndarray, context: np.ndarray, both: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, from the quantised counts of its words, of those before them and of the pairs,
+        and S of those before (times two)."""
+        first = prior == _START
+        context = np.where(first, LEVELS[levels(np.array([max(1, self.texts)]))[0]], context)
+        total = np.where(first, self.start, sums / 2)
+        plain = (word + 1) / (self.mass + self.distinct + 1)
+        both = np.where(total > 0, np.minimum(both, np.minimum(context, word)), 0.0)  # a pair is no more frequent than its words
+        p = (both + MU * plain) / (total + MU)
         return np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
 
     def base(self, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,15 +332,18 @@ class Filter:
     bits: np.ndarray  # bytes
     words: np.ndarray  # sorted hashes
     counts: np.ndarray  # and their counts
+    sums: np.ndarray  # and S, times two
 
     def levels(self, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
         return read_levels(self.bits, self.sizes[segment], self.offsets[segment], keys)
 
-    def exact(self, words: np.ndarray) -> np.ndarray:
+    def exact(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and S (times two) of words, 0 of unknown ones."""
         if not len(self.words):
-            return np.zeros(len(words), np.int64)
+            return np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.counts[at].astype(np.int64), 0)
+        known = self.words[at] == words
+        return tuple(np.where(known, x[at].astype(np.int64), 0) for x in (self.counts, self.sums))
 
 
 @dataclass
@@ -280,6 +352,7 @@ class Model:
     segments: int
     filter: Filter | None  # where it may be sent
     table: DataFrame  # the segments (_BUILT)
+    sums: DataFrame  # S of their words (_SUMMED)
     filter_bytes: int
     entries: int
 
@@ -291,17 +364,21 @@ def train(spark: SparkSession, scratch: Scratch, docs: DataFrame, text_col: str
     texts = docs.select(F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     segments = min(MAX_SEGMENTS, 1 << max(0, math.ceil(math.log2(max(1, size / SEGMENT_BYTES)))))
-    built = scratch.keep(_built(_counted(texts, segments)), "built", "uncompressed")
+    built = scratch.keep(_built(_counted(texts, segments), segments), "built", "uncompressed")
+    sums = scratch.keep(_summed(built), "sums", "uncompressed")
+    built = built.where("bits IS NOT NULL")
     none = F.lit(0).cast("long")
-    size, distinct, total, entries = built.agg(*[F.coalesce(F.sum(c), none) for c in (F.octet_length("bits"), F.octet_length("words") / 8, F.col("tokens"), F.col("entries"))]).first()
+    size, distinct, total, entries, mass = built.agg(*[F.coalesce(F.sum(c), none) for c in (F.octet_length("bits"), F.octet_length("words") / 8, F.col("tokens"), F.col("entries"), F.col("mass"))]).first()
+    start = sums.agg(F.coalesce(F.sum("start"), none)).first()[0]
     distinct = int(distinct)
-    totals = Totals(rows, total, distinct)
+    totals = Totals(rows, total, distinct, mass / 2, start / 2)
     if size > MAX_FILTER_BYTES or distinct > MAX_SENT_WORDS:
-        return Model(totals, segments, None, built, size, entries)
+        return Model(totals, segments, None, built, sums, size, entries)
     # Everything is put where it belongs as it arrives, so that nothing is held twice.
     flat = np.zeros(size + 8, np.uint8)
-    words, counts = np.empty(distinct, np.uint64), np.empty(distinct, np.int64)
-    sizes, offsets, at, w = np.full(segments, 64, np.uint64), np.full(segments, size, np.int64), 0, 0
+    small = total < 1 << 30  # S is no more than one and a quarter times the tokens
+    words, counts, twice = np.empty(distinct, np.uint64), np.empty(distinct, np.int64), np.empty(distinct, np.uint32 if small else np.int64)
+    sizes, offsets, at, w, placed = np.full(segments, 64, np.uint64), np.full(segments, size, np.int64), 0, 0, {}
     for r in built.select("segment", "bits", "counts", "words").toLocalIterator():
         bits, n = np.frombuffer(r["bits"], np.uint8), np.frombuffer(r["counts"], "<i8")
         sizes[r["segment"]], offsets[r["segment"]] = 8 * len(bits), at
@@ -309,13 +386,18 @@ def train(spark: SparkSession, scratch: Scratch, docs: DataFrame, text_col: str
         at += len(bits)
         words[w : w + len(n)] = np.frombuffer(r["words"], "<u8")
         counts[w : w + len(n)] = n
+        placed[r["segment"]] = w
         w += len(n)
+    for r in sums.select("segment", "sums").toLocalIterator():
+        n = np.frombuffer(r["sums"], "<i8")
+        if len(n):
+            twice[placed[r["segment"]] : placed[r["segment"]] + len(n)] = n
     if counts.max(initial=0) < 1 << 32:
         counts = counts.astype(np.uint32)
     order = np.argsort(words)
-    counts = counts[order]
+    counts, twice = counts[order], twice[order]
     words.sort()
-    return Model(totals, segments, Filter(segments, sizes, offsets, flat, words, counts), built, size, entries)
+    return Model(totals, segments, Filter(segments, sizes, offsets, flat, words, counts, twice), built, sums, size, entries)
 
 
 # Scoring ------------------------------------------------------------------------------------------------------------
@@ -354,8 +436,9 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, scratch: Scratch,
             with np.errstate(over="ignore"):
                 counts = LEVELS[lm.levels(single(singles), place(mix(singles), lm.segments))]
                 both = LEVELS[lm.levels(pairs, place(pairs, lm.segments))][back]
-            sure, base = totals.base(lm.exact(singles)[word], starts)
-            return {"n_tokens": np.diff(np.append(starts, len(words))), "n_known": sure, "base_score": base, "score": totals.score(words, starts, prior, counts[word], counts[context], both)}
+            exact, sums = lm.exact(singles)
+            sure, base = totals.base(exact[word], starts)
+            return {"n_tokens": np.diff(np.append(starts, len(words))), "n_known": sure, "base_score": base, "score": totals.score(starts, prior, counts[word], counts[context], both, sums[context])}
 
         return kernel
 
@@ -417,38 +500,46 @@ def _score_routed(docs: DataFrame, model: Model, scratch: Scratch, text_col: str
 
     probes = stretches.select("stretch", "starts", "tokens").mapInArrow(ask, asked)
     none = F.lit(None)
-    built = model.table.select("segment", none.cast("long").alias("stretch"), "words", none.cast("binary").alias("grams"), "bits", "counts")
-    met = built.unionByName(probes.withColumns({"bits": none.cast("binary"), "counts": none.cast("binary")}))
-    answer = T.StructType([T.StructField("stretch", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("words", "grams", "counts", "levels"))])
+    blank = lambda *names: {n: none.cast("binary") for n in names}
+    built = model.table.select("segment", "words", "bits", "counts").withColumns({"stretch": none.cast("long"), **blank("grams", "sums")})
+    summed = model.sums.select("segment", "sums").withColumns({"stretch": none.cast("long"), **blank("words", "grams", "bits", "counts")})
+    met = built.unionByName(summed).unionByName(probes.withColumns(blank("bits", "counts", "sums")))
+    answer = T.StructType([T.StructField("stretch", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("words", "grams", "counts", "levels", "sums"))])
     answer_arrow = to_arrow_schema(answer)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits, known, counts = None, None, None, None
+        nothing = np.zeros(8, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        now, (bits, known, counts, twice) = None, nothing
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda k, t, i=i, batch=batch: np.frombuffer(batch.column(k)[i].as_buffer(), t)
                 segment, stretch = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if stretch is None:
-                    now, bits, known, counts = segment, get(4, np.uint8).copy(), get(2, "<u8").copy(), get(5, "<i8").copy()
+                if stretch is None:  # a segment's two rows come in any order, both before those that ask
+                    if segment != now:
+                        now, (bits, known, counts, twice) = segment, nothing
+                    if batch.column(6)[i].is_valid:
+                        twice = get(6, "<i8").copy()
+                    else:
+                        bits, known, counts = get(4, np.uint8).copy(), get(2, "<u8").copy(), get(5, "<i8").copy()
                     continue
                 words, grams = get(2, "<u8"), get(3, "<u8")
-                n, level = np.zeros(len(words), "<i8"), np.zeros(len(words) + len(grams), np.uint8)
+                n, own, level = np.zeros(len(words), "<i8"), np.zeros(len(words), "<i8"), np.zeros(len(words) + len(grams), np.uint8)
                 if segment == now:  # else no n-gram of the training texts is there
                     with np.errstate(over="ignore"):
                         keys = np.concatenate((single(words), grams))
                     level = read_levels(bits, np.full(len(keys), 8 * len(bits), np.uint64), np.zeros(len(keys), np.int64), keys).astype(np.uint8)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-                        n = np.where(known[at] == words, counts[at], 0)
-                made = [[stretch], [words.tobytes()], [grams.tobytes()], [n.astype("<i8").tobytes()], [level.tobytes()]]
+                        n, own = (np.where(known[at] == words, x[at], 0) for x in (counts, twice))
+                made = [[stretch], [words.tobytes()], [grams.tobytes()], [n.astype("<i8").tobytes()], [level.tobytes()], [own.astype("<i8").tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(made, answer_arrow, strict=True)], schema=answer_arrow)
 
-    answers = met.select("segment", "stretch", "words", "grams", "bits", "counts").repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("stretch")).mapInArrow(probe, answer)
+    answers = met.select("segment", "stretch", "words", "grams", "bits", "counts", "sums").repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("stretch")).mapInArrow(probe, answer)
 
     out = T.StructType([*row.fields, T.StructField(name, FIELDS)])
     out_arrow, fields = to_arrow_schema(out), to_arrow_schema(FIELDS)
-    told = answers.select("stretch", none.cast(kept["rows"].dataType).alias("rows"), none.cast("binary").alias("starts"), none.cast("binary").alias("tokens"), "words", "grams", "counts", "levels")
-    whole = stretches.withColumns({n: none.cast("binary") for n in ("words", "grams", "counts", "levels")}).unionByName(told)
+    told = answers.select("stretch", none.cast(kept["rows"].dataType).alias("rows"), none.cast("binary").alias("starts"), none.cast("binary").alias("tokens"), "words", "grams", "counts", "levels", "sums")
+    whole = stretches.withColumns(blank("words", "grams", "counts", "levels", "sums")).unionByName(told)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, got = None, []
@@ -459,11 +550,11 @@ def _score_routed(docs: DataFrame, model: Model, scratch: Scratch, text_col: str
             asked_words, asked_pairs = (np.concatenate([g[k] for g in got]) for k in (0, 1))
             counts, word_levels, pair_levels = (np.concatenate([g[k] for g in got]) for k in (2, 3, 4))
             at = np.argsort(asked_words)
-            exact, quantised = counts[at], LEVELS[word_levels[at]]
+            exact, sums, quantised = counts[at], np.concatenate([g[5] for g in got])[at], LEVELS[word_levels[at]]
             both = LEVELS[pair_levels[np.argsort(asked_pairs)]]
             assert len(exact) == len(singles) and len(both) == len(pairs)
             sure, base = totals.base(exact[word], starts)
-            result = {"n_tokens": np.diff(np.append(starts, len(words))), "n_known": sure, "base_score": base, "score": totals.score(words, starts, prior, quantised[word], quantised[context], both[back])}
+            result = {"n_tokens": np.diff(np.append(starts, len(words))), "n_known": sure, "base_score": base, "score": totals.score(starts, prior, quantised[word], quantised[context], both[back], sums[context])}
             structs = pa.StructArray.from_arrays([pa.array(result[f.name], type=f.type) for f in fields], fields=list(fields))
             for i in range(0, len(rows), 5000):
                 part = rows.slice(i, 5000)
@@ -478,11 +569,11 @@ def _score_routed(docs: DataFrame, model: Model, scratch: Scratch, text_col: str
                     held, got = (batch.column(1)[i].values, get(2, "<i8"), get(3, "<u8")), []
                 else:
                     words, level = get(4, "<u8"), get(7, np.uint8)
-                    got.append((words, get(5, "<u8"), get(6, "<i8"), level[: len(words)], level[len(words) :]))
+                    got.append((words, get(5, "<u8"), get(6, "<i8"), level[: len(words)], level[len(words) :], get(8, "<i8")))
         if held is not None:
             yield from made()
 
-    whole = whole.select("stretch", "rows", "starts", "tokens", "words", "grams", "counts", "levels")
+    whole = whole.select("stretch", "rows", "starts", "tokens", "words", "grams", "counts", "levels", "sums")
     return whole.repartition("stretch").sortWithinPartitions("stretch", F.col("tokens").isNull()).mapInArrow(finish, out)
 
 

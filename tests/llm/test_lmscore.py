@@ -76,6 +76,31 @@ def test_levels_read_back(scored):
     assert lmscore.LEVELS[1:4].tolist() == [1, 2, 3]
 
 
+@pytest.mark.parametrize("segment", [4 << 20, 1500])
+def test_probabilities_add_up_to_one(spark, monkeypatch, segment):
+    """Over all known tokens and one unknown, after every token and the start; in a filter that reads no level too high."""
+    monkeypatch.setattr(lmscore, "SEGMENT_BYTES", segment)
+    monkeypatch.setattr(lmscore, "BITS_EACH", 300.0)
+    monkeypatch.setattr(lmscore, "SUM_BYTES", 2000)
+    rows = table()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = lmscore.train(spark, Scratch(spark, "test"), df)
+    lm, totals = model.filter, model.totals
+    every = np.concatenate((lm.words, [np.uint64(12345)]))
+    with np.errstate(over="ignore"):
+        word = lmscore.LEVELS[lm.levels(lmscore.single(every), lmscore.place(lmscore.mix(every), model.segments))]
+        assert word[-1] == 0 and (word[:-1] > 0).all()
+        _, sums = lm.exact(every)
+        for i, v in enumerate([*every, np.uint64(lmscore._START)]):
+            prior = np.full(len(every), v, np.uint64)
+            pairs = lmscore.pair(prior, every)
+            both = lmscore.LEVELS[lm.levels(pairs, lmscore.place(pairs, model.segments))]
+            k = min(i, len(every) - 1)
+            context, own = np.full(len(every), word[k]), np.full(len(every), sums[k])
+            made = totals.score(np.arange(len(every)), prior, word, context, both, own)
+            assert abs((10.0**made).sum() - 1) < 1e-9, v
+
+
 def key(r, s):
     return str(r["doc_id"]), str(r["text"]), s["n_tokens"], s["n_known"], round(s["base_score"], 8), round(s["score"], 8)
 
