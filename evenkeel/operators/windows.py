@@ -11,6 +11,8 @@ from evenkeel.scratch import Scratch
 
 #: Rows that a table sent to all workers may have; it is joined by a shuffle beyond that.
 BROADCAST_ROWS = 500_000
+#: Rows of a group that a task may rank.
+WINDOW_ROWS = 1_000_000
 
 
 def _c(names: Sequence[str | Column]) -> list[Column]:
@@ -49,7 +51,8 @@ def balanced_sample(df: DataFrame, group: Sequence[str], ids: Sequence[str], see
 
     Rows are first cut at a hash that leaves each group about that many and a margin of ten standard deviations, so that
     what is ranked does not grow with a large group; a group that the cut leaves short (as where ids repeat) is ranked
-    whole.
+    whole.  Where that is more than WINDOW_ROWS rows, ranks are taken from the order of the whole table, so that no task
+    holds a group.
     """
     sizes = few(df.groupBy(*group).agg(F.count("*").alias("__size")))
     least = sizes.agg(F.min("__size")).first()[0] or 0
@@ -57,8 +60,11 @@ def balanced_sample(df: DataFrame, group: Sequence[str], ids: Sequence[str], see
     joined = df.alias("a").join(sizes.alias("b"), _same(group)).select("a.*", (place <= (least + 10.0 * (least + 1) ** 0.5) / F.col("__size")).alias("__in"))
     short = few(joined.groupBy(*group).agg(F.count_if("__in").alias("__left")).where(F.col("__left") < least).select(*group, F.lit(True).alias("__whole")))
     cut = joined.alias("a").join(short.alias("b"), _same(group), "left").select("a.*", "__whole").where("__in OR __whole")
-    ranked = cut.withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(hashed(seed, *ids), *ids)))
-    return ranked.where(F.col("__rn") <= least).select(*df.columns, hashed(seed + 1, *ids).alias("shuffled"))
+    if least > WINDOW_ROWS or not short.isEmpty():
+        ranked = index_within_large(cut.select(*df.columns), group, [hashed(seed, *ids), *ids], "__rn")
+    else:
+        ranked = index_within(cut.select(*df.columns), group, [hashed(seed, *ids), *ids], "__rn")
+    return ranked.where(F.col("__rn") < least).select(*df.columns, hashed(seed + 1, *ids).alias("shuffled"))
 
 
 def _placed(df: DataFrame, keys: list[Column], label: str) -> tuple[DataFrame, DataFrame, int]:

@@ -404,7 +404,7 @@ def permutation(cases: DataFrame, cells: Sequence[str], k_a: str, n_a: str, k_b:
     cases: one row per case with ones and totals of both sets.  Shuffling a pool of votes leaves the first set's ones
     hypergeometric, so only counts are drawn.  Cases with equal counts are one kind, and how many of a kind's cases get
     each outcome is one multinomial draw, so that the work grows with the kinds and not with the cases.  Kinds are
-    dealt over all tasks, each with a seed of its own, and their sums are added for each replicate.
+    dealt over all tasks, each with a seed of its own, and their sums are added for each replicate, in the tasks first.
     p = (1 + replicates at or above the observed mean) / (1 + replicates).
     """
     kinds = cases.groupBy(*cells, k_a, n_a, k_b, n_b).agg(F.count("*").alias("times"))
@@ -413,8 +413,15 @@ def permutation(cases: DataFrame, cells: Sequence[str], k_a: str, n_a: str, k_b:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zlib
 
+        # A cell's kinds are added up in the task, so that a row for each cell and task is passed on, not one for each kind.
+        held: dict[tuple, list] = {}
+
+        def summed() -> pd.DataFrame:
+            made = pd.DataFrame([(*k, *v[:3], v[3].tolist()) for k, v in held.items()], columns=drawn.names)
+            held.clear()
+            return made
+
         for pdf in batches:
-            rows = []
             for r in pdf.to_dict("records"):
                 a, na, b, nb, times = (int(r[c]) for c in (k_a, n_a, k_b, n_b, "times"))
                 seen = times * float(_jsd_np(np.float64(a / na), np.float64(b / nb)))
@@ -423,8 +430,13 @@ def permutation(cases: DataFrame, cells: Sequence[str], k_a: str, n_a: str, k_b:
                     rng = np.random.default_rng([seed, zlib.crc32(repr((tuple(r[c] for c in cells), a, na, b, nb)).encode())])
                     table = _jsd_np(np.arange(na + 1) / na, np.clip((a + b - np.arange(na + 1)) / nb, 0, 1))
                     null = rng.multinomial(times, hypergeometric(a + b, na + nb - a - b, na), size=replicates) @ table
-                rows.append((*(r[c] for c in cells), float(times), float(times * active), seen, null.tolist()))
-            yield pd.DataFrame(rows, columns=drawn.names)
+                cell = held.setdefault(tuple(r[c] for c in cells), [0.0, 0.0, 0.0, np.zeros(replicates)])
+                for i, x in enumerate((float(times), float(times * active), seen, null)):
+                    cell[i] = cell[i] + x
+                if len(held) >= 256:
+                    yield summed()
+        if held:
+            yield summed()
 
     ship(cases.sparkSession)
     sums = kinds.repartition(*cells, k_a, n_a, k_b, n_b).mapInPandas(run, drawn)
