@@ -309,7 +309,7 @@ def cohens_d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "TST-8",
+    "TST-8 FUN-3",
     f"""WITH {E_SQL}, c AS (SELECT perturbation, task, CAST(count(*) FILTER (p = 1 AND b = 0) AS DOUBLE) AS x, CAST(count(*) FILTER (p = 0 AND b = 1) AS DOUBLE) AS y FROM v GROUP BY 1, 2),
 s AS (SELECT *, CASE WHEN x + y > 0 THEN pow(abs(x - y) - 1, 2) / (x + y) ELSE 0 END AS st FROM c)
 SELECT perturbation, task, x AS only_first, y AS only_second, {R('st')} AS statistic, {R(f"CASE WHEN st > 0 THEN 2 * {nsf('sqrt(st)')} ELSE 1 END")} AS p FROM s""",
@@ -996,7 +996,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("doc_id", "v.variant", F.concat(F.lit("Answer yes or no. "), F.col("v.t")).alias("prompt"))
 
 
-@query("UDF-3", f"SELECT doc_id, variant, {R('logit')} AS logit FROM ({SCORED_SQL})")
+@query("UDF-3 EVL-3", f"SELECT doc_id, variant, {R('logit')} AS logit FROM ({SCORED_SQL})")
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prompt for each document and variant, each distinct one scored once by the stand-in scorer."""
-    return rounded(parse.score(prompts(spark, sf_dir), "prompt").select("doc_id", "variant", "logit"))
+    return rounded(parse.score(prompts(spark, sf_dir), "prompt", parse.scorer("hash")).select("doc_id", "variant", "logit"))

@@ -148,3 +148,9 @@ def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The short name of a model that goes into file names."""
     name = F.concat(F.lit("hub/"), "source", F.lit("/Model-"), F.upper("lang"), F.lit("-8B"))
     return table(spark, sf_dir, "documents").groupBy("source", "lang", text.model_short_name(name).alias("short")).agg(F.count("*").alias("n"))
+
+
+@query("SCR-13", "SELECT doc_id, md5(CASE WHEN least(CASE WHEN strpos(text, '. ') > 0 THEN strpos(text, '. ') + 1 END, CASE WHEN strpos(text, chr(10)) > 0 THEN strpos(text, chr(10)) END) IS NULL THEN text ELSE substr(text, 1, least(CASE WHEN strpos(text, '. ') > 0 THEN strpos(text, '. ') + 1 END, CASE WHEN strpos(text, chr(10)) > 0 THEN strpos(text, chr(10)) END)) END) AS digest FROM documents")
+def stopped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts up to and with the first of two stop strings."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(parse.until(F.col("text"), ". ", "\n")).alias("digest"))

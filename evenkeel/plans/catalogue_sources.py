@@ -131,3 +131,25 @@ def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "name string, n long, value double, flag boolean, `first text` string"
     read = [workbook.read(spark, path, s, schema).withColumn("sheet", F.lit(s)) for s in ("rates", "sources")]
     return rounded(read[0].unionByName(read[1]).select("sheet", "name", "n", "value", "flag", F.md5("first text").alias("digest")))
+
+
+# Whole runs ------------------------------------------------------------------------------------------------------
+
+_CELL_COUNT = "(SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem))"
+
+
+@query(
+    "ORC-1 PLB-1",
+    f"SELECT 'flip_rate_by_cell' AS name, {_CELL_COUNT} AS n, true AS again UNION ALL SELECT 'majority_vote', (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events)), true UNION ALL SELECT 'phi_by_cell', {_CELL_COUNT}, true",
+)
+def umbrella_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several analyses in one run, each into its folder; a second run finds all of them done but one that was taken away."""
+    from evenkeel.__main__ import run_all
+
+    scratch, names = Scratch(spark, "umbrella"), ["flip_rate_by_cell", "majority_vote", "phi_by_cell"]
+    done = run_all(spark, sf_dir, scratch.root, names)
+    scratch.drop("majority_vote")
+    again = run_all(spark, sf_dir, scratch.root, names)
+    good = done == names and again == ["majority_vote"]
+    parts = [spark.read.parquet(f"{scratch.root}/{n}").agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.lit(good).alias("again")) for n in names]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
