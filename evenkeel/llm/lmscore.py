@@ -148,6 +148,15 @@ def _by_segment(words: np.ndarray, grams: np.ndarray, segments: int) -> tuple[np
     return order, ((s, slice(a[s], a[s + 1]), slice(b[s], b[s + 1])) for s in full.tolist())
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """A stretch's counts in one byte each, as most are, or in four."""
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def _widened(data: pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(data, "u1" if data.size == n else "<u4").astype(np.int64)
+
+
 def _counted(texts: DataFrame, segments: int) -> DataFrame:
     """Counts by segment: words' and pairs' hashes (their places in `counts` follow one another), summed per stretch."""
     arrow = to_arrow_schema(_COUNTED)
@@ -160,7 +169,7 @@ def _counted(texts: DataFrame, segments: int) -> DataFrame:
         with np.errstate(over="ignore"):
             order, parts = _by_segment(words, grams, segments)
         words, n_words = words[order], n_words[order]
-        rows = [(s, words[a].tobytes(), grams[b].tobytes(), contexts[b].tobytes(), np.concatenate((n_words[a], n_grams[b])).astype("<u4").tobytes()) for s, a, b in parts]
+        rows = [(s, words[a].tobytes(), grams[b].tobytes(), contexts[b].tobytes(), _narrow(np.concatenate((n_words[a], n_grams[b])))) for s, a, b in parts]
         return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +262,8 @@ def _built(counted: DataFrame, segments: int) -> DataFrame:
                             yield sums(found)
                             found = _Sums()
                     now, words, grams = segment, _Sums(), _Sums(True)
-                w, g, c, n = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((1, "<u8"), (2, "<u8"), (3, "<u8"), (4, "<u4")))
+                w, g, c = (np.frombuffer(batch.column(k)[i].as_buffer(), "<u8") for k in (1, 2, 3))
+                n = _widened(batch.column(4)[i].as_buffer(), len(w) + len(g))
                 words.add(w.copy(), n[: len(w)].copy())
                 grams.add(g.copy(), n[len(w) :].copy(), c.copy())
         if now is not None:
