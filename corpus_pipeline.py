@@ -43,8 +43,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark's words.  Null and wordless texts have none, and stay; with an empty
-    benchmark all stay."""
+    """Documents without a window of the benchmark's words: ten of an item's words, or all of an item that has fewer, so
+    that an item of one word takes every document with that word.  Null and wordless texts have none, and stay; with an
+    empty benchmark all stay."""
     made, c = decontaminate.decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return made.where(F.col(f"{c}.n_hit") == 0).select(*docs.columns)
 
