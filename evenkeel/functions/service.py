@@ -97,6 +97,7 @@ def fan_out(
                     f.cancel()
             loop.call_soon_threadsafe(loop.stop)
             thread.join()
+            loop.close()
 
     return (df if tasks is None else df.repartition(tasks)).mapInArrow(run, schema)
 

@@ -18,7 +18,8 @@ class Scratch:
     """Tables in the folder that the cluster names in spark.checkpoint.dir, which every executor can read.
 
     They stand in for lineage: a lost executor re-reads them.  Where the setting is absent (tests, local mode) a
-    temporary folder is taken; a cluster without the setting is refused, for its executors would not see such files.
+    temporary folder is taken; a cluster without the setting is refused, for its executors would not see such files.  A
+    folder of its own is removed when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, label: str, folder: str | None = None):
@@ -32,6 +33,11 @@ class Scratch:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="evenkeel-")
         self.spark, self.root = spark, f"{base.rstrip('/')}/evenkeel/{label}-{uuid.uuid4().hex}"
+        # Results are read from here as long as the application runs; its end is that of the folder.
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
 
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Writes df and returns a DataFrame that reads what was written."""
