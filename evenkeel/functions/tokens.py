@@ -33,26 +33,23 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     edits reaches, which takes steps in proportion to the square of the distance, and the tokens it passes; from a
     distance on where the whole table is cheaper, bits stand for the table's columns.
     """
-    short = min(len(a), len(b))
-    if not short:
+    start, short = 0, min(len(a), len(b))
+    while start < short and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < short - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not len(a) or not len(b):
         return max(len(a), len(b))
-    places: dict = {}
-    x = np.fromiter((places.setdefault(t, len(places)) for t in a), np.int64, len(a))
-    y = np.fromiter((places.setdefault(t, len(places)) for t in b), np.int64, len(b))
-    differ = np.flatnonzero(x[:short] != y[:short])
-    if not len(differ):
-        return max(len(a), len(b)) - short
-    start = int(differ[0])
-    x, y, short = x[start:], y[start:], short - start
-    differ = np.flatnonzero(x[::-1][:short] != y[::-1][:short])
-    end = int(differ[0]) if len(differ) else short
-    x, y = (x[: len(x) - end], y[: len(y) - end]) if end else (x, y)
-    if not len(x) or not len(y):
-        return max(len(x), len(y))
     # A step along a diagonal costs as much as some hundred words of 64 bits; it may take a quarter of what these would.
-    most = int((len(x) * len(y) / 64 / 400) ** 0.5) + 8
-    found = _by_diagonals(x, y, most)
-    return _by_bits(x, y) if found is None else found
+    most = int((len(a) * len(b) / 64 / 400) ** 0.5) + 4
+    if abs(len(a) - len(b)) <= most:
+        codes: dict = {}
+        x, y = (np.fromiter((codes.setdefault(t, len(codes)) for t in s), np.int64, len(s)) for s in (a, b))
+        if (found := _by_diagonals(x, y, most)) is not None:
+            return found
+    return _by_bits(a, b)
 
 
 def _by_diagonals(x: np.ndarray, y: np.ndarray, most: int) -> int | None:
@@ -91,23 +88,26 @@ def _run(x: np.ndarray, y: np.ndarray, i: int, k: int) -> int:
     return i
 
 
-def _by_bits(a: np.ndarray, b: np.ndarray) -> int:
+def _by_bits(a: Sequence, b: Sequence) -> int:
     """A column of the table is two long integers (where it rises, where it falls), and the next follows from it by a few
     operations on them (Myers 1999, Hyyro 2003)."""
-    order = np.argsort(a, kind="stable")
-    edge = np.flatnonzero(np.concatenate(([True], np.diff(a[order]) != 0, [True])))
-    places: dict[int, int] = {}
-    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        here = order[i:j]
-        if j - i < 64:
-            places[int(a[here[0]])] = sum(1 << p for p in here.tolist())
+    where: dict = {}
+    for i, t in enumerate(a):
+        where.setdefault(t, []).append(i)
+    places = {}
+    for t, here in where.items():
+        if len(here) < 64:
+            bits = 0
+            for i in here:
+                bits |= 1 << i
         else:
-            bits = np.zeros(len(a), np.uint8)
-            bits[here] = 1
-            places[int(a[here[0]])] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            marks = np.zeros(len(a), np.uint8)
+            marks[here] = 1
+            bits = int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
+        places[t] = bits
     whole, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     rise, fall, out = whole, 0, len(a)
-    for t in b.tolist():
+    for t in b:
         same = places.get(t, 0)
         diagonal = (((same & rise) + rise) ^ rise) | same
         right = fall | whole & ~(diagonal | rise)
