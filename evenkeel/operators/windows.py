@@ -165,11 +165,12 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], group: Sequenc
     """q0, q1, ... of each group (or of all, in one row): exact quantiles, linear between neighbours, of non-null values.
 
     Equal values are counted before anything is ordered; the few ranks that are wanted are looked up in the running
-    counts of range partitions, so that no task holds all values of a group.  Null without any value.
+    counts of range partitions, so that no task holds all values of a group.  Null without any value.  df is read once.
     """
-    tied = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").cast("double").alias("__w"))
-    ranked = running_total(tied, [*group, value], "__w", "__before")
-    sizes = df.groupBy(*group).agg(F.count(value).cast("double").alias("__n"))
+    tied = Scratch(df.sparkSession, "quantiles").keep(df.groupBy(*group, value).agg(F.count("*").cast("double").alias("__w")), "tied")
+    there = F.col(value).isNotNull()
+    ranked = running_total(tied.where(there), [*group, value], "__w", "__before")
+    sizes = tied.groupBy(*group).agg(F.coalesce(F.sum(F.when(there, F.col("__w"))), F.lit(0.0)).alias("__n"))
     firsts = ranked.groupBy(*group).agg(F.min("__before").alias("__first"))
     whole = few(sizes.alias("a").join(firsts.alias("b"), _same(group) or F.lit(True), "left").select(*[F.col(f"a.{g}") for g in group], "__n", "__first"))
     rows = whole.alias("a").join(ranked.alias("b"), _same(group) or F.lit(True), "left").select(*[F.col(f"a.{g}") for g in group], "__n", F.col("__w"), F.col(value), (F.col("__before") - F.col("__first")).alias("__at"))

@@ -123,14 +123,18 @@ def wilcoxon(df: DataFrame, cells: Sequence[str], d: Column, exact_below: int =
 
     Ranks are taken over the distinct absolute values of a cell, each with its counts, rather than over its rows, and
     from running totals of range partitions, so that a cell of any size is dealt over many tasks.  p_two is the normal
-    approximation with correction for ties; p_exact is set for fewer than `exact_below` differences without ties.
+    approximation with correction for ties; p_exact is set for fewer than `exact_below` differences without ties.  df is
+    read once.
     Without differences: w = 0, p = 1.
     """
     from evenkeel.operators.windows import few, running_total
+    from evenkeel.scratch import Scratch
 
     ship(df.sparkSession)
     cases = df.select(*cells, d.alias("__d"))
-    values = cases.where("__d != 0").groupBy(*cells, F.abs("__d").alias("a")).agg(F.count_if(F.col("__d") > 0).cast("double").alias("up"), F.count_if(F.col("__d") < 0).cast("double").alias("down"))
+    values = cases.groupBy(*cells, F.abs("__d").alias("a")).agg(F.count_if(F.col("__d") > 0).cast("double").alias("up"), F.count_if(F.col("__d") < 0).cast("double").alias("down"))
+    kept = Scratch(df.sparkSession, "wilcoxon").keep(values, "values")
+    values = kept.where("a != 0")
     tie = F.col("up") + F.col("down")
     every = running_total(values.withColumn("tie", tie), [*cells, "a"], "tie", "__before")
     firsts = few(every.groupBy(*cells).agg(F.min("__before").alias("__first")))
@@ -138,7 +142,7 @@ def wilcoxon(df: DataFrame, cells: Sequence[str], d: Column, exact_below: int =
     ranked = every.alias("x").join(firsts.alias("y"), same).select(*[F.col(f"x.{c}").alias(c) for c in cells], "up", "down", "tie", (F.col("__before") - F.col("__first") + (F.col("tie") + 1) / 2).alias("rank"))
     tie = F.col("tie")
     sums = ranked.groupBy(*cells).agg(F.sum(tie).alias("n"), F.sum(F.col("up") * F.col("rank")).alias("wp"), F.sum(F.col("down") * F.col("rank")).alias("wm"), F.sum(tie * tie * tie - tie).alias("ties"))
-    every = cases.select(*cells).distinct().join(sums, list(cells), "left").fillna(0.0, ["n", "wp", "wm", "ties"])
+    every = kept.select(*cells).distinct().join(sums, list(cells), "left").fillna(0.0, ["n", "wp", "wm", "ties"])
     n, low = F.col("n"), F.least("wp", "wm")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     z = F.when(var > 0, (low - n * (n + 1) / 4) / F.sqrt(F.when(var > 0, var).otherwise(1.0))).otherwise(0.0)

@@ -15,6 +15,7 @@ from evenkeel.functions import divergence as dv
 from evenkeel.operators import windows
 from evenkeel.plans import battery as bt
 from evenkeel.plans import stats
+from evenkeel.scratch import Scratch
 
 
 def _stacked(df: DataFrame, baselines: Mapping[str, str], name: str = "baseline") -> DataFrame:
@@ -111,9 +112,11 @@ def controlled(cases: DataFrame, cells: Sequence[str], g: str, b: str, g_flip: C
     """The controlled battery of two divergences per case, targeted g and benign b, and of two flips, in one row per cell:
     descriptives, paired t, Wilcoxon, Cohen's d, overlap of flips, McNemar, and means of the columns `averages`.
 
-    Cases with both divergences are paired by the row that they stand in; others only count as cases.
+    Cases with both divergences are paired by the row that they stand in; others only count as cases.  What is asked of
+    a case is computed once and written, as some ten sums read it.
     """
-    rows = cases.withColumns({"__g": g_flip, "__b": b_flip})
+    narrow = cases.select(*[F.col(c) for c in dict.fromkeys([*cells, g, b, *averages])], g_flip.alias("__g"), b_flip.alias("__b"))
+    rows = Scratch(cases.sparkSession, "controlled").keep(narrow, "cases")
     both = rows.where(F.col(g).isNotNull() & F.col(b).isNotNull())
     d = F.round(F.col(g) - F.col(b), 9)  # equal differences tie, whatever their last bits
     t = stats.paired_t(both, cells, d).select(*cells, F.col("mean").alias("mean_diff"), "t", F.col("p_two").alias("t_p_two"), F.col("p_greater").alias("t_p_one"))
