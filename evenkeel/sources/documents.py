@@ -67,8 +67,9 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     told = told.withColumn("ends", F.when(~inside & (depth == 1), F.col("n")))
     # The end of a piece's element: in its own range, or the first one of a later range.
     firsts = told.groupBy("file", "block").agg(F.min("ends").alias("first"))
-    later = firsts.select("file", "block", F.first_value(F.when(F.col("first").isNotNull(), F.struct("block", "first")), True).over(Window.partitionBy("file").orderBy("block").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    here = F.min("ends").over(Window.partitionBy("file", "block").orderBy("n").rowsBetween(0, Window.unboundedFollowing))
+    later = firsts.select("file", "block", F.last_value(F.when(F.col("first").isNotNull(), F.struct("block", "first")), True).over(Window.partitionBy("file").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    # Taken backwards: a frame up to the last row would be gone through anew for every row.
+    here = F.min("ends").over(Window.partitionBy("file", "block").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
     placed = told.withColumn("here", here).join(later, ["file", "block"])
     end = F.when(F.col("here").isNotNull(), F.struct("block", F.col("here").alias("first"))).otherwise(F.col("later"))
     grouped = placed.withColumn("end", end).where("end IS NOT NULL").groupBy("file", "end").agg(F.sort_array(F.collect_list(F.struct("block", "n", "value"))).alias("parts"))

@@ -74,3 +74,11 @@ def test_cases_of_documents_with_keys_of_their_own(spark):
     df = spark.createDataFrame([(json.dumps(d),) for d in docs] + [("{broken",), (None,)], "value string")
     got = sorted(map(tuple, documents.cases(spark, df).collect()), key=str)
     assert got == sorted([("N1", "original", "VISIT", 0.25, [1, 0, 1]), ("N1", "pct2.5", "MANAGE", None, [0]), ("7", "gender_swap", "VISIT", None, []), (None, "original", "VISIT", None, None)], key=str)
+
+
+def test_no_row_goes_through_the_rest_of_its_range_anew(spark, tmp_path):
+    """A frame from each row to the last takes the square of a range's pieces."""
+    (tmp_path / "a.json").write_text(json.dumps(made(300)))
+    read = documents.elements(spark, f"file://{tmp_path}/a.json")
+    assert "unboundedfollowing" not in read._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert read.count() == 300
