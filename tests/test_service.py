@@ -88,3 +88,35 @@ def test_a_broken_service_fails_the_task(spark):
 
     with pytest.raises(Exception, match="no credentials"):
         service.fan_out(asked(spark, 3), "p", make).collect()
+
+
+def slow_now_and_then():
+    """Of forty calls one is slow; answers tell how many slow ones are under way."""
+
+    def make():
+        now = [0]
+
+        async def call(p):
+            slow = int(p[1:]) % 40 == 0
+            now[0] += slow
+            seen = now[0]
+            await asyncio.sleep(0.6 if slow else 0)
+            now[0] -= slow
+            return str(seen)
+
+        return call
+
+    return make
+
+
+def test_a_slow_call_keeps_no_others_from_being_made(spark):
+    rows = service.fan_out(asked(spark, 800), "p", slow_now_and_then(), in_flight=10, every=5).collect()
+    assert [r["id"] for r in rows] == list(range(800))
+    assert max(int(r["answer"]["value"]) for r in rows) >= 6
+
+
+@pytest.mark.parametrize("limit", ["held", "held_bytes"])
+def test_what_is_held_behind_a_slow_call_is_bounded(spark, limit):
+    rows = service.fan_out(asked(spark, 200), "p", slow_now_and_then(), in_flight=10, every=5, **{limit: 50}).collect()
+    assert [r["id"] for r in rows] == list(range(200))
+    assert max(int(r["answer"]["value"]) for r in rows) <= 3
