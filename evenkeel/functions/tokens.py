@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 def words(text: Column) -> Column:
     """Tokens between white space; none for a blank text."""
     t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -27,27 +29,24 @@ def tokenized(text: Column, name: str = "words") -> Column:
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
-    """Levenshtein distance of two sequences of hashable tokens.
+    """Levenshtein distance of two sequences of hashable tokens, or of two arrays of their numbers.
 
     What both start and end with in common is left out.  The rest is followed along diagonals, as far as each number of
     edits reaches, which takes steps in proportion to the square of the distance, and the tokens it passes; from a
     distance on where the whole table is cheaper, bits stand for the table's columns.
     """
-    start, short = 0, min(len(a), len(b))
-    while start < short and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < short - start and a[-1 - end] == b[-1 - end]:
-        end += 1
+    if not isinstance(a, np.ndarray) or not isinstance(b, np.ndarray):
+        codes: dict = {}
+        a, b = (np.fromiter((codes.setdefault(t, len(codes)) for t in s), np.int64, len(s)) for s in (a, b))
+    start, short = _run(a, b, 0, 0), min(len(a), len(b))
+    end = min(_run(a[::-1], b[::-1], 0, 0), short - start)
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not len(a) or not len(b):
         return max(len(a), len(b))
     # A step along a diagonal costs as much as some hundred words of 64 bits; it may take a quarter of what these would.
     most = int((len(a) * len(b) / 64 / 400) ** 0.5) + 4
     if abs(len(a) - len(b)) <= most:
-        codes: dict = {}
-        x, y = (np.fromiter((codes.setdefault(t, len(codes)) for t in s), np.int64, len(s)) for s in (a, b))
-        if (found := _by_diagonals(x, y, most)) is not None:
+        if (found := _by_diagonals(a, b, most)) is not None:
             return found
     return _by_bits(a, b)
 
@@ -88,9 +87,10 @@ def _run(x: np.ndarray, y: np.ndarray, i: int, k: int) -> int:
     return i
 
 
-def _by_bits(a: Sequence, b: Sequence) -> int:
+def _by_bits(a: np.ndarray, b: np.ndarray) -> int:
     """A column of the table is two long integers (where it rises, where it falls), and the next follows from it by a few
     operations on them (Myers 1999, Hyyro 2003)."""
+    a, b = a.tolist(), b.tolist()
     where: dict = {}
     for i, t in enumerate(a):
         where.setdefault(t, []).append(i)
@@ -123,9 +123,36 @@ def _by_bits(a: Sequence, b: Sequence) -> int:
     return out
 
 
-@F.pandas_udf(T.IntegerType())
-def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else edit_distance(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)], dtype="Int32")
+#: Tokens that are turned into numbers at once.
+TOKENS_AT_ONCE = 1 << 20
+
+
+@F.arrow_udf(T.IntegerType())
+def _distances(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Tokens become numbers where they stand, some rows at a time, so that no Python object is made for any of them."""
+    out: list[int | None] = []
+    length = lambda s: pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False)
+    sizes = np.cumsum(length(a).astype(np.int64) + length(b))
+    at = 0
+    while at < len(a):
+        done = int(sizes[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, done + TOKENS_AT_ONCE, "right")))
+        x, y = a.slice(at, end - at), b.slice(at, end - at)
+        first, second = x.flatten(), y.flatten()
+        codes = _codes(first, second)
+        missing = pc.or_(x.is_null(), y.is_null()).to_pylist()
+        i, j = 0, len(first)
+        for n, m, none in zip(length(x).tolist(), length(y).tolist(), missing, strict=True):
+            out.append(None if none else edit_distance(codes[i : i + n], codes[j : j + m]))
+            i, j = i + n, j + m
+        at = end
+    return pa.array(out, pa.int32())
+
+
+def _codes(*tokens: pa.Array) -> np.ndarray:
+    """A number for each token, the same for equal ones; a null is a token of its own."""
+    found = pa.chunked_array(tokens).combine_chunks().dictionary_encode(null_encoding="encode")
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def distance(a: Column, b: Column) -> Column:

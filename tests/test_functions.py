@@ -340,3 +340,26 @@ def test_edit_distances_by_every_way():
             other[rng.randrange(len(other))] = f"m{k}"
         d = tokens.edit_distance(long, other)
         assert d == tokens._by_bits(*(np.array([hash(t) for t in s]) for s in (long, other))) and d <= edits
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
+def test_distances_of_a_batch_make_no_object_for_a_token(monkeypatch, at_once):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    kind = pa.list_(pa.string())
+    monkeypatch.setitem(tokens._distances.func.__globals__, "TOKENS_AT_ONCE", at_once)
+    few = [["a", "b"], None, [], ["x", None], [None], ["c"]], [["b"], ["a"], ["a", "a", "b"], ["x"], None, ["c"]]
+    left, right = (pa.array([["no row"], *x], kind).slice(1) for x in few)
+    assert tokens._distances.func(left, right).to_pylist() == [1, None, 3, 1, None, 0]
+    if at_once > 7:
+        rows = [[f"{r}-{i}" for i in range(50_000)] for r in range(40)]
+        left = pa.array(rows, kind)
+        right = pa.array([[*r[:100], "new", *r[100:]] for r in rows], kind)
+        tracemalloc.start()
+        try:
+            assert tokens._distances.func(left, right).to_pylist() == [1] * 40
+            assert tracemalloc.get_traced_memory()[1] < 64 << 20  # four million tokens
+        finally:
+            tracemalloc.stop()
