@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evenkeel.functions import lexicons
+from evenkeel.functions import lexicons, tokens
 from evenkeel.functions.special import let
 
 
@@ -147,7 +147,9 @@ def stripped_quotes(text: Column) -> Column:
 
 
 def is_refusal(text: Column) -> Column:
-    norm = F.replace(F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")), F.lit("’"), F.lit("'"))
+    # Lower case may be longer than upper case, never shorter: twice the longest phrase is enough.
+    start = F.substring(tokens.trimmed(text), 1, 2 * max(map(len, lexicons.REFUSALS)))
+    norm = F.replace(F.lower(start), F.lit("’"), F.lit("'"))
     return let(norm, lambda n: F.exists(F.array(*[F.lit(p) for p in lexicons.REFUSALS]), lambda p: F.startswith(n, p)))
 
 

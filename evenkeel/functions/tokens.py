@@ -11,10 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Unicode's white space: what (?U) makes of \s.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACES))
+
+
+def spaced(text: Column) -> Column:
+    """The words with one blank between them; what is so already is passed over."""
+    return F.regexp_replace(trimmed(text), r"(?U) \s+|[^\S ]\s*", " ")
+
 
 def words(text: Column) -> Column:
     """Tokens between white space; none for a blank text."""
-    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    t = trimmed(text)
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"(?U)\s+"))
 
 
@@ -31,9 +43,10 @@ def tokenized(text: Column, name: str = "words") -> Column:
 def edit_distance(a: Sequence, b: Sequence) -> int:
     """Levenshtein distance of two sequences of hashable tokens, or of two arrays of their numbers.
 
-    What both start and end with in common is left out.  The rest is followed along diagonals, as far as each number of
-    edits reaches, which takes steps in proportion to the square of the distance, and the tokens it passes; from a
-    distance on where the whole table is cheaper, bits stand for the table's columns.
+    What both start and end with in common is left out.  A rest without any token in common is replaced token by token.
+    Else it is followed along diagonals, as far as each number of edits reaches, which takes steps in proportion to the
+    square of the distance, and the tokens it passes; from a distance on where the whole table is cheaper, bits stand for
+    the table's columns.
     """
     if not isinstance(a, np.ndarray) or not isinstance(b, np.ndarray):
         codes: dict = {}
@@ -41,7 +54,7 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     start, short = _run(a, b, 0, 0), min(len(a), len(b))
     end = min(_run(a[::-1], b[::-1], 0, 0), short - start)
     a, b = a[start : len(a) - end], b[start : len(b) - end]
-    if not len(a) or not len(b):
+    if not len(a) or not len(b) or set(a.tolist()).isdisjoint(b.tolist()):
         return max(len(a), len(b))
     # A step along a diagonal costs as much as some hundred words of 64 bits; it may take a quarter of what these would.
     most = int((len(a) * len(b) / 64 / 400) ** 0.5) + 4

@@ -22,9 +22,10 @@ def _stand_in(asked: DataFrame) -> DataFrame:
     """A rewriter without a model, which marks the first words of the text; how many follows from the conversation.
 
     Some cases do not listen and always overshoot, some are refused now and then, some always."""
-    h, n, edits = _hash(F.col("doc_id")), F.col("n"), F.col("edits")
+    h, n, edits, before = F.col("h"), F.col("n"), F.col("edits"), F.col("before")
     last, size = F.element_at("messages", -1)["content"], F.size("messages")
-    before = F.size(F.filter(tokens.words(F.get("messages", size - 2)["content"]), lambda w: F.startswith(w, F.lit("~"))))
+    marks = F.regexp_count(F.get("messages", size - 2)["content"], F.lit(r"(?U)~(?<=(?:^|\s)~)"))
+    asked = asked.withColumns({"h": _hash(F.col("doc_id")), "before": F.when(size > 1, marks)})
     first = F.when(h % 3 == 0, edits * 2).when(h % 3 == 1, F.floor(edits / 2)).otherwise(edits + 3)
     plain = (size == 1) & F.startswith(last, F.lit("Replace about"))
     k = (
@@ -33,9 +34,12 @@ def _stand_in(asked: DataFrame) -> DataFrame:
         .when(F.contains(last, F.lit("fewer")), before - F.greatest(F.lit(1), F.floor(before / 4))).otherwise(before + F.greatest(F.lit(1), F.floor(before / 3)))
     )
     asked = asked.withColumn("k", F.least(n, F.greatest(F.lit(0), k)).cast("int"))
-    marked = F.array_join(F.transform(tokens.words(F.col("text")), lambda w, i: F.when(i < F.col("k"), F.concat(F.lit("~"), w)).otherwise(w)), " ")
-    quoted = F.when(h % 4 == 1, F.concat(F.lit(' "'), marked, F.lit('"\n'))).otherwise(marked)
-    return asked.withColumn("reply", F.when((h % 17 == 0) | ((h + size) % 5 == 0), "I can’t help with that.").otherwise(quoted)).drop("k")
+    asked = asked.withColumn("refused", (h % 17 == 0) | ((h + size) % 5 == 0))
+    asked = asked.withColumn("whole", F.when(~F.col("refused"), tokens.spaced(F.col("text"))))
+    asked = asked.withColumn("begin", F.call_function("substring_index", "whole", F.lit(" "), "k"))
+    marked = F.concat(F.when(F.col("k") > 0, "~").otherwise(""), F.replace("begin", F.lit(" "), F.lit(" ~")), F.substring("whole", F.length("begin") + 1, F.length("whole")))
+    quoted = F.concat(F.when(h % 4 == 1, ' "').otherwise(""), marked, F.when(h % 4 == 1, '"\n').otherwise(""))
+    return asked.withColumn("reply", F.when(F.col("refused"), "I can’t help with that.").otherwise(quoted)).drop("h", "before", "k", "refused", "whole", "begin")
 
 
 _KEEP = "CASE WHEN off IS NOT NULL AND {ok} AND ({b}.off IS NULL OR off < {b}.off) THEN {{'off': off, 'att': att, 'pct': pct, 'k': k}} ELSE {b} END AS {b}"

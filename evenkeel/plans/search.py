@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions import text, tokens
+from evenkeel.functions.special import let
 from evenkeel.scratch import Scratch, exists
 
 #: One message of a conversation.
@@ -56,35 +57,47 @@ def said(role: str, content: Column) -> Column:
 
 def bare(reply: Column) -> Column:
     """A reply without white space around it, and without one pair of double quotes, then one of single ones."""
-    out = F.regexp_replace(reply, r"(?U)^\s+|\s+$", "")
+    out = tokens.trimmed(reply)
     for q in ('"', "'"):
-        out = F.when(F.startswith(out, F.lit(q)) & F.endswith(out, F.lit(q)), F.substring(out, F.lit(2), F.length(out) - 2)).otherwise(out)
+        out = let(out, _without(q))
     return out
 
 
+def _without(q: str) -> Callable[[Column], Column]:
+    return lambda o: F.when(F.startswith(o, F.lit(q)) & F.endswith(o, F.lit(q)), F.substring(o, F.lit(2), F.length(o) - 2)).otherwise(o)
+
+
 def _measured(asked: DataFrame, attempt: int, tolerance: float, tokenizer: str) -> DataFrame:
     """Adds what the reply is worth, and what is best so far."""
     df = asked.withColumn("reply", bare(F.col("reply")))
     # A failed call counts like a refusal, but leaves no trace in the conversation.
     df = df.withColumn("usable", F.col("reply").isNotNull() & ~F.coalesce(text.is_refusal(F.col("reply")), F.lit(False)))
-    df = df.withColumn("pct", F.when(F.col("usable"), tokens.change_pct(tokens.tokenized(F.col("text"), tokenizer), tokens.tokenized(F.col("reply"), tokenizer))))
+    # Only what is compared is split into tokens; those of the original have been counted.
+    split = lambda c: F.when(F.col("usable") & (F.col("n") > 0), tokens.tokenized(F.col(c), tokenizer))
+    df = df.withColumn("distance", tokens.distance(split("text"), split("reply")))
+    empty = F.when(F.size(tokens.tokenized(F.col("reply"), tokenizer)) == 0, 0.0).otherwise(100.0)
+    df = df.withColumn("pct", F.when(F.col("usable"), F.when(F.col("n") == 0, empty).otherwise(F.col("distance") * 100.0 / F.when(F.col("n") != 0, F.col("n")))))
     df = df.withColumn("off", F.abs(F.col("pct") - F.col("target")))
-    made = F.when(F.col("usable"), F.struct("off", F.lit(attempt).alias("attempt"), "pct", F.col("reply").alias("paraphrase")))
+    df = df.withColumn("made", F.when(F.col("usable"), F.struct("off", F.lit(attempt).alias("attempt"), "pct", F.col("reply").alias("paraphrase"))))
     return df.withColumns({
-        "best": F.least("best", made), "under": F.least("under", F.when(F.col("pct") <= F.col("target"), made)),
-        "overshot": F.col("overshot") & F.coalesce(F.col("pct") > F.col("target") + tolerance, F.lit(True)), "accepted": F.coalesce(F.col("off") <= tolerance, F.lit(False)), "made": made,
+        "best": F.least("best", "made"), "under": F.least("under", F.when(F.col("pct") <= F.col("target"), F.col("made"))),
+        "overshot": F.col("overshot") & F.coalesce(F.col("pct") > F.col("target") + tolerance, F.lit(True)), "accepted": F.coalesce(F.col("off") <= tolerance, F.lit(False)),
     })
 
 
 def _conversed(df: DataFrame, prompts: Prompts, attempt: int, reset_every: int, tolerance: float) -> DataFrame:
-    """Adds the messages of the next round."""
+    """What the next round's messages are made of."""
     if (attempt + 1) % reset_every == 0:
         hint = F.when(F.col("best").isNotNull(), prompts.hint(F.col("best.pct"), F.col("target"))).otherwise("")
-        return df.withColumn("messages", F.array(said("user", F.concat("prompt", hint))))
+        return df.withColumns({"hint": hint, "turns": _no_turns()})
     over = F.col("pct") > F.col("target") + tolerance
     answer = F.when(F.col("usable"), prompts.again(F.col("pct"), F.col("target"), over)).otherwise(prompts.refused)
     more = F.array(said("assistant", F.col("reply")), said("user", answer))
-    return df.withColumn("messages", F.when(F.col("reply").isNull(), F.col("messages")).otherwise(F.concat("messages", more)))
+    return df.withColumn("turns", F.when(F.col("reply").isNull(), F.col("turns")).otherwise(F.concat("turns", more)))
+
+
+def _no_turns() -> Column:
+    return F.array().cast(f"array<{MESSAGE}>")
 
 
 def calibrate(
@@ -101,29 +114,36 @@ def calibrate(
     measured = F.size(tokens.tokenized(F.col("text"), tokenizer))
     start = cases.select(*keys, F.col(text_col).alias("text"), F.col(target_col).cast("double").alias("target"))
     none = start.where("text IS NULL OR target IS NULL").select(*keys, F.lit(None).cast("string").alias("paraphrase"), *[F.lit(None).cast("double").alias(c) for c in ("actual_pct", "deviation")], F.lit(0).alias("retries_used"), F.lit(0).alias("phase"), F.lit(0).alias("attempts"))
-    start = start.where("text IS NOT NULL AND target IS NOT NULL").withColumn("n", measured).withColumn("edits", tokens.target_edits(F.col("target"), F.col("n")))
+    # Dealt anew: a table of one row group, or of a few long files, would be one or a few tasks in every round.
+    start = start.where("text IS NOT NULL AND target IS NOT NULL").hint("rebalance").withColumn("n", measured).withColumn("edits", tokens.target_edits(F.col("target"), F.col("n")))
     open_ = start.withColumns({
-        "prompt": prompts.first(F.col("text"), F.col("target"), F.col("n"), F.col("edits")), "best": F.lit(None).cast(_ATTEMPT), "under": F.lit(None).cast(_ATTEMPT),
-        "overshot": F.lit(True), "attempts": F.lit(0), "messages": F.array(said("user", F.lit(""))),
-    }).withColumn("messages", F.array(said("user", F.col("prompt"))))
+        "best": F.lit(None).cast(_ATTEMPT), "under": F.lit(None).cast(_ATTEMPT), "overshot": F.lit(True), "attempts": F.lit(0), "hint": F.lit(""), "turns": _no_turns(),
+    })
     state = open_.columns
     paths: list[DataFrame] = []
+    first = F.concat(prompts.first(F.col("text"), F.col("target"), F.col("n"), F.col("edits")), F.col("hint"))
+    messages = {1: F.concat(F.array(said("user", first)), F.col("turns")), 2: F.array(said("user", prompts.synonyms(F.col("text"), F.greatest(F.lit(1), F.col("edits")))))}
+    # A text is written once for each use that the next rounds have for it: the prompt is made anew, an accepted case
+    # keeps its paraphrase alone, and where the best attempt is also the best that does not overshoot, it stands for both.
+    both = F.col("under.attempt") == F.col("best.attempt")
+    bare_under = F.struct("under.off", "under.attempt", "under.pct", F.lit(None).cast("string").alias("paraphrase"))
 
     def rounds(pending: DataFrame, phase: int) -> DataFrame:
         for k in range(max_retries + 1):
             name, attempt = f"phase-{phase}-round-{k}", k if phase == 1 else max_retries + k + 1
-            done = _measured(rewrite(pending), attempt, tolerance, tokenizer).withColumn("attempts", F.col("attempts") + F.col("usable").cast("int"))
-            if phase == 1 and k < max_retries:
-                done = _conversed(done, prompts, k, reset_every, tolerance)
-            whole = scratch.keep_once(done.select(*state, "accepted", "made", F.lit(phase).alias("phase")), name)
+            done = _measured(rewrite(pending.withColumn("messages", messages[phase])), attempt, tolerance, tokenizer).withColumn("attempts", F.col("attempts") + F.col("usable").cast("int"))
+            done = _conversed(done, prompts, k, reset_every, tolerance) if phase == 1 and k < max_retries else done.withColumn("turns", _no_turns())
+            done = done.withColumn("under", F.when(both, bare_under).otherwise(F.col("under")))
+            carried = [F.when(~F.col("accepted"), F.col(c)).alias(c) for c in state if c not in (*keys, "attempts")]
+            whole = scratch.keep_once(done.select(*keys, "attempts", *carried, "accepted", F.when(F.col("accepted"), F.col("made")).alias("made"), F.lit(phase).alias("phase")), name)
             paths.append(whole.where("accepted").select(*keys, "made", "phase", "attempts"))
-            pending = whole.where(~F.col("accepted")).select(*state)
+            pending = whole.where(~F.col("accepted")).select(*state).withColumn("under", F.when(both, F.col("best")).otherwise(F.col("under")))
             if pending.isEmpty():
                 break
         return pending
 
     left = rounds(open_, 1)
-    second = left.where("overshot AND best IS NOT NULL").withColumn("messages", F.array(said("user", prompts.synonyms(F.col("text"), F.greatest(F.lit(1), F.col("edits"))))))
+    second = left.where("overshot AND best IS NOT NULL")
     rest = left.where("NOT overshot OR best IS NULL")
     if not second.isEmpty():
         rest = rest.unionByName(rounds(second, 2))

@@ -363,3 +363,18 @@ def test_distances_of_a_batch_make_no_object_for_a_token(monkeypatch, at_once):
             assert tracemalloc.get_traced_memory()[1] < 64 << 20  # four million tokens
         finally:
             tracemalloc.stop()
+
+
+def test_words_part_at_all_of_unicodes_white_space(spark):
+    d = spark.createDataFrame([(f"{chr(c)}a{chr(c)}b{chr(c)}",) for c in range(0x10000) if not 0xD800 <= c < 0xE000], "t string")
+    bare = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert d.where(tokens.trimmed(F.col("t")) != bare).isEmpty()
+    assert d.where(F.size(tokens.words(F.col("t"))) == 2).count() == len(tokens.SPACES) == 25
+    assert d.where(tokens.spaced(F.col("t")) != F.array_join(tokens.words(F.col("t")), " ")).isEmpty()
+    c = F.col("t")
+    assert one(spark, tokens.spaced(c), t=" a  b \n\n c\td ") == "a b c d" and one(spark, tokens.spaced(c), t=" \n ") == ""
+
+
+def test_distance_of_tokens_without_any_in_common():
+    assert tokens.edit_distance(list("abc") + ["x"], list("defgh") + ["x"]) == 5
+    assert tokens.edit_distance([1, 2, 3, 4], [2, 3, 4, 5]) == 2

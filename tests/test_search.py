@@ -105,3 +105,48 @@ def test_a_search_that_was_cut_off_goes_on_after_its_last_whole_round(spark, tmp
     got = {r["id"]: r["retries_used"] for r in search.calibrate(spark, df, counted, ["id"], max_retries=4, folder=folder).collect()}
     assert got == {1: 2, 2: 0}
     assert noted == [2, 1, 1]  # plans of the two whole rounds are made, but what they wrote is read
+
+
+def test_an_expression_of_a_round_stands_once_and_a_text_is_written_once_for_each_use(spark, tmp_path):
+    """A reply that is written into the plan again for each use of it is trimmed, split and compared that often."""
+    rewrite, _ = script({1: [TEN, "x y c d e f g h i j"], 2: ["x b c d e f g h i j"]})
+    df = spark.createDataFrame([(1, TEN, 10.0), (2, TEN, 10.0)], "id int, text string, target double")
+    folder, plans = f"file://{tmp_path}/search", []
+
+    def seen(d):
+        out = rewrite(d)
+        plans.append(search._measured(out, 0, 0.5, "words")._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    search.calibrate(spark, df, seen, ["id"], max_retries=1, folder=folder)
+    assert plans[0].count("trim(") <= 10 and "regexp_replace" not in plans[0]
+    written = spark.read.parquet(f"{folder}/phase-1-round-0")
+    assert not {"prompt", "messages"} & set(written.columns)
+    rows = {r["id"]: r for r in written.collect()}
+    assert rows[2]["made"]["paraphrase"] == "x b c d e f g h i j" and rows[2]["text"] is None and rows[2]["best"] is None and rows[2]["turns"] is None
+    assert rows[1]["made"] is None and rows[1]["best"]["paraphrase"] == TEN and rows[1]["under"]["paraphrase"] is None
+
+
+def test_what_stands_for_two_attempts_is_kept_when_the_best_moves_on(spark):
+    """The closest that does not overshoot is written with the best while they are the same, and alone afterwards."""
+    got, _ = run(spark, [(1, TEN, 30.0)], {1: [TEN, "x y z w e f g h i j", "I cannot help with it"]}, max_retries=2)
+    assert (got[1]["paraphrase"], got[1]["actual_pct"], got[1]["phase"]) == (TEN, 0.0, 0)
+
+
+def test_a_table_of_one_part_is_dealt_to_all_cores(spark):
+    df = spark.range(4000).coalesce(1).select("id", F.repeat(F.lit("a b c d e f g h i j "), 200).alias("text"), F.lit(10.0).alias("target"))
+    df = df.withColumn("text", F.concat("text", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.md5(F.concat(F.col("id").cast("string"), i.cast("string")))), " ")))
+    parts = []
+    keep = search.Scratch.keep_once
+
+    def noted(self, d, name):
+        out = keep(self, d, name)
+        parts.append(out.select(F.input_file_name()).distinct().count())
+        return out
+
+    search.Scratch.keep_once = noted
+    try:
+        search.calibrate(spark, df, lambda d: d.withColumn("reply", F.col("text")), ["id"], max_retries=0).count()
+    finally:
+        search.Scratch.keep_once = keep
+    assert parts[0] >= 4
