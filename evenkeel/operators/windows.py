@@ -13,6 +13,9 @@ from evenkeel.scratch import Scratch
 BROADCAST_ROWS = 500_000
 #: Rows of a group that a task may rank.
 WINDOW_ROWS = 1_000_000
+#: A quantile is looked for among this share of the values on either side, as a sketch of this size places them (within
+#: 2e-4 of the values, mostly).
+MARGIN, SKETCH = 5e-4, 32_768
 
 
 def _c(names: Sequence[str | Column]) -> list[Column]:
@@ -161,26 +164,72 @@ def running_total(df: DataFrame, order: Sequence[str | Column], weight: str, nam
     return kept.join(bases, "__part").select(*source.columns, (F.col("__base") + F.col("__run")).alias(name))
 
 
-def quantiles(df: DataFrame, value: str, shares: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
-    """q0, q1, ... of each group (or of all, in one row): exact quantiles, linear between neighbours, of non-null values.
+def _marks(rows: DataFrame, value: str, shares: Sequence[float], group: Sequence[str], also: Sequence[Column] = ()) -> DataFrame:
+    """For each group two values for each share, between which its quantile should lie; null where a sketch sees none.
+    With the aggregates `also`."""
+    points = F.array(*[F.lit(min(1.0, max(0.0, s + m))) for s in shares for m in (-MARGIN, MARGIN)])
+    sketched = rows.groupBy(*group).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH).alias("__s"), *also)
+    return few(sketched.withColumn("__marks", F.when(F.kll_sketch_get_n_double("__s") > 0, F.kll_sketch_get_quantile_double("__s", points))).drop("__s"))
 
-    Equal values are counted before anything is ordered; the few ranks that are wanted are looked up in the running
-    counts of range partitions, so that no task holds all values of a group.  Null without any value.  df is read once.
-    """
-    tied = Scratch(df.sparkSession, "quantiles").keep(df.groupBy(*group, value).agg(F.count("*").cast("double").alias("__w")), "tied")
-    there = F.col(value).isNotNull()
-    ranked = running_total(tied.where(there), [*group, value], "__w", "__before")
-    sizes = tied.groupBy(*group).agg(F.coalesce(F.sum(F.when(there, F.col("__w"))), F.lit(0.0)).alias("__n"))
-    firsts = ranked.groupBy(*group).agg(F.min("__before").alias("__first"))
-    whole = few(sizes.alias("a").join(firsts.alias("b"), _same(group) or F.lit(True), "left").select(*[F.col(f"a.{g}") for g in group], "__n", "__first"))
-    rows = whole.alias("a").join(ranked.alias("b"), _same(group) or F.lit(True), "left").select(*[F.col(f"a.{g}") for g in group], "__n", F.col("__w"), F.col(value), (F.col("__before") - F.col("__first")).alias("__at"))
-    out = []
+
+def _cells(rows: DataFrame, value: str, marks: DataFrame, shares: int, group: Sequence[str]) -> DataFrame:
+    """Counts __w of the values between two marks by value, and of all others by the gap that they lie in; with the least
+    and the largest value, __low and __high, of what was counted together."""
+    v, ends = F.col(f"a.{value}"), [(F.col("__marks")[2 * i], F.col("__marks")[2 * i + 1]) for i in range(shares)]
+    within, gap = F.lit(False), F.lit(0)
+    for low, high in ends:
+        within, gap = within | ((v >= low) & (v <= high)), gap + (v > high).cast("int")
+    joined = rows.alias("a").join(marks.select(*group, "__marks").alias("b"), _same(group) or F.lit(True))
+    seen = joined.select(*[F.col(f"a.{g}") for g in group], v.alias("__v"), F.when(within, v).alias("__value"), F.when(~within, gap).alias("__gap"))
+    return seen.groupBy(*group, "__value", "__gap").agg(F.count("*").cast("double").alias("__w"), F.min("__v").alias("__low"), F.max("__v").alias("__high")).where("__low IS NOT NULL").drop("__value", "__gap")
+
+
+def _picked(cells: DataFrame, groups: DataFrame, shares: Sequence[float], group: Sequence[str]) -> DataFrame:
+    """q0, q1, ... of the groups from counts in the order of their values, and __loose, how many of the cells that were
+    looked up stand for more than one value."""
+    if cells.count() > WINDOW_ROWS:
+        ranked = running_total(cells, [*group, "__high"], "__w", "__before")
+    else:
+        earlier = Window.partitionBy(*group).orderBy("__high").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = cells.withColumn("__before", F.coalesce(F.sum("__w").over(earlier), F.lit(0.0)))
+    sizes = ranked.groupBy(*group).agg(F.sum("__w").alias("__n"), F.min("__before").alias("__first"))
+    own = [F.col(f"a.{g}") for g in group]
+    whole = few(groups.alias("a").join(sizes.alias("b"), _same(group) or F.lit(True), "left").select(*own, F.coalesce("__n", F.lit(0.0)).alias("__n"), "__first"))
+    rows = whole.alias("a").join(ranked.alias("b"), _same(group) or F.lit(True), "left").select(*own, "__n", "__w", "__low", "__high", (F.col("__before") - F.col("__first")).alias("__at"))
+    at = lambda k: (F.col("__at") <= k) & (k < F.col("__at") + F.col("__w"))
+    out, wanted = [], F.lit(False)
     for i, share in enumerate(shares):
         rank = share * (F.col("__n") - 1)
-        pick = lambda k: F.max(F.when((F.col("__at") <= k) & (k < F.col("__at") + F.col("__w")), F.col(value)))
-        low, high = pick(F.floor(rank)), pick(F.least(F.floor(rank) + 1, F.col("__n") - 1))
+        below, above = at(F.floor(rank)), at(F.least(F.floor(rank) + 1, F.col("__n") - 1))
+        low, high = F.max(F.when(below, F.col("__high"))), F.max(F.when(above, F.col("__high")))
         out.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(f"q{i}"))
-    return rows.groupBy(*group).agg(*out)
+        wanted = wanted | below | above
+    return rows.groupBy(*group).agg(*out, F.count_if(wanted & (F.col("__low") != F.col("__high"))).alias("__loose"))
+
+
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], group: Sequence[str] = (), again: bool = False, also: Sequence[Column] = ()) -> DataFrame:
+    """q0, q1, ... of each group (or of all, in one row): exact quantiles, linear between neighbours, of non-null values.
+
+    A sketch gives two values of each group between which a quantile should lie.  Values between them are counted one by
+    one, all others together, and the few ranks that are wanted are looked up in running counts (those of range partitions
+    where they are many), so that neither all values are ordered nor does a task hold those of a group.  Groups where a
+    rank lies elsewhere are done again with all their values.  Null without any value.  df is read once, and its columns
+    written; or, if it may be read `again`, twice.  The aggregates `also` are taken along, under their names.
+    """
+    scratch = Scratch(df.sparkSession, "quantiles")
+    rows = df.select(*group, value) if again else scratch.keep(df.select(*group, value), "rows")
+    marks = _marks(rows, value, shares, group, also)
+    took = lambda q: q.alias("a").join(marks.drop("__marks").alias("b"), _same(group) or F.lit(True)).select("a.*", *[F.col(f"b.{c}") for c in marks.columns if c not in (*group, "__marks")]) if also else q
+    narrow = scratch.keep(_cells(rows, value, marks, len(shares), group), "narrow")
+    got = scratch.keep(_picked(narrow, marks.select(*group, "__marks"), shares, group), "got")
+    loose = got.where("__loose > 0")
+    if loose.isEmpty():
+        return took(got.drop("__loose"))
+    back = few(loose.select(*group, F.lit(True).alias("__back")))
+    rest = rows.where(F.col(value).isNotNull()).alias("a").join(back.alias("b"), _same(group) or F.lit(True), "left_semi")
+    each = rest.groupBy(*group, F.col(value).alias("__low")).agg(F.count("*").cast("double").alias("__w")).withColumn("__high", F.col("__low"))
+    done = _picked(scratch.keep(each, "whole"), back, shares, group)
+    return took(got.where("__loose = 0").unionByName(done).drop("__loose"))
 
 
 def head(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:

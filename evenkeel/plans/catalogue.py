@@ -274,7 +274,7 @@ def jsd_nats_softmax4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("AGG-5 AGG-6 FUN-4 SNK-8", f"WITH {E_SQL} SELECT metric, {R('value')} AS value FROM (SELECT unnest(['mean', 'median', 'p95', 'sd', 'max']) AS metric, unnest([avg(d), quantile_cont(d, 0.5), quantile_cont(d, 0.95), stddev_pop(d), max(d)]) AS value FROM (SELECT {jsd_sql('po', 'pp')} AS d FROM v))")
 def aggregate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = chances(spark, sf_dir).select(dv.jsd_bits(F.col("po"), F.col("pp")).alias("d"))
-    one = d.agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"), F.max("d").alias("max")).crossJoin(F.broadcast(windows.quantiles(d, "d", (0.5, 0.95))))  # one row each
+    one = windows.quantiles(d, "d", (0.5, 0.95), again=True, also=[F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"), F.max("d").alias("max")])
     return rounded(writers.metric_value(one.select("mean", F.col("q0").alias("median"), F.col("q1").alias("p95"), "sd", "max")))
 
 

@@ -121,7 +121,7 @@ def controlled(cases: DataFrame, cells: Sequence[str], g: str, b: str, g_flip: C
     d = F.round(F.col(g) - F.col(b), 9)  # equal differences tie, whatever their last bits
     t = stats.paired_t(both, cells, d).select(*cells, F.col("mean").alias("mean_diff"), "t", F.col("p_two").alias("t_p_two"), F.col("p_greater").alias("t_p_one"))
     w = stats.wilcoxon(both, cells, d).select(*cells, F.col("w").alias("wilcoxon"), F.coalesce("p_exact", "p_two").alias("wilcoxon_p"))
-    medians = [windows.quantiles(both, c, (0.5,), cells).withColumnRenamed("q0", f"median_{k}") for k, c in (("g", g), ("b", b))]
+    medians = [windows.quantiles(both, c, (0.5,), cells, again=True).withColumnRenamed("q0", f"median_{k}") for k, c in (("g", g), ("b", b))]
     basic = rows.groupBy(*cells).agg(F.count("*").alias("n_cases"), F.avg(g).alias("mean_g"), F.avg(b).alias("mean_b"), F.stddev_pop(g).alias("sd_g"), F.stddev_pop(b).alias("sd_b"), *[F.avg(c).alias(f"mean_{c}") for c in averages], F.count_if(F.col("__g") & ~F.col("__b")).cast("double").alias("__x"), F.count_if(~F.col("__g") & F.col("__b")).cast("double").alias("__y"))
     stat, p = stats.mcnemar(F.col("__x"), F.col("__y"))
     out = basic.withColumns({"mcnemar": stat, "mcnemar_p": p}).drop("__x", "__y")

@@ -51,6 +51,48 @@ def test_running_totals_and_quantiles(spark):
     assert list(windows.quantiles(df.limit(0), "v", (0.5,)).first()) == [None]
 
 
+SHARES = (0, 0.25, 0.5, 0.95, 1)
+
+
+def by_numpy(values):
+    return [float(np.quantile(values, q)) for q in SHARES]
+
+
+def test_quantiles_order_few_of_many_values(spark, monkeypatch):
+    asked = []
+    picked = windows._picked
+    monkeypatch.setattr(windows, "_picked", lambda cells, *a: asked.append(cells.count()) or picked(cells, *a))
+    df = spark.range(300_000, numPartitions=7).select(F.exp(F.col("id") * 7_368_787 % 1_000_003 / 1e5).alias("v"))
+    got = windows.quantiles(df, "v", SHARES).first()
+    assert list(got) == pytest.approx(by_numpy(df.toPandas()["v"]), rel=1e-12)
+    assert len(asked) == 1 and asked[0] < 5_000
+
+
+@pytest.mark.parametrize(("marks", "rows"), [("sketch", 0), ("wrong", 1_000_000), ("none", 0)])
+def test_quantiles_do_not_depend_on_the_sketch(spark, monkeypatch, marks, rows):
+    monkeypatch.setattr(windows, "WINDOW_ROWS", rows)
+    if marks != "sketch":
+        wrong = F.array(*[F.lit(x) for x in (5.0, 9.0, -1.0, -1.0, 60.0, 70.0, 8.0, 11.0, 2.0, 1.0)])
+        monkeypatch.setattr(windows, "_marks", lambda rows, value, shares, group, also: rows.groupBy(*group).agg(*also, F.lit(None).cast("array<double>").alias("__marks") if marks == "none" else wrong.alias("__marks")))
+    rng = random.Random(3)
+    groups = {"a": [rng.gauss(0, 50) for _ in range(900)], "b": [7.5] * 40, "c": [1.0], None: [float(rng.randrange(12)) for _ in range(500)], "d": [-0.0, 0.0, float("-inf"), 3.0, 4.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]] + [("e", None)], "g string, v double").repartition(5)
+    rows = windows.quantiles(df, "v", SHARES, ["g"], again=True, also=[F.count("v").alias("n")]).collect()
+    assert {r["g"]: r["n"] for r in rows} == {"e": 0} | {g: len(vs) for g, vs in groups.items()}
+    got = {r["g"]: [r[f"q{i}"] for i in range(1, 5)] for r in rows}
+    assert got.pop("e") == [None] * 4
+    assert got == {g: pytest.approx(by_numpy(vs)[1:]) for g, vs in groups.items()}
+    alone = [v for vs in groups.values() for v in vs if v > -1e9]
+    assert list(windows.quantiles(df.where("v > -1e9"), "v", SHARES).first()) == pytest.approx(by_numpy(alone))
+    assert list(windows.quantiles(df.where("v IS NULL"), "v", (0.5,)).first()) == [None]
+
+
+def test_quantiles_take_nan_as_the_largest(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", float("nan")), ("a", float("nan")), ("b", float("nan"))], "g string, v double")
+    got = {r["g"]: (r["q0"], r["q1"]) for r in windows.quantiles(df, "v", (0.25, 1), ["g"]).collect()}
+    assert got["a"][0] == 2.0 and np.isnan([got["a"][1], *got["b"]]).all()
+
+
 def test_balanced_sample_of_hot_groups(spark):
     rows = spark.range(30_000).select(F.col("id"), F.when(F.col("id") < 29_000, "hot").when(F.col("id") < 29_960, "warm").otherwise("cold").alias("g"))
     got = windows.balanced_sample(rows, ["g"], ["id"]).collect()
