@@ -7,9 +7,10 @@ with each level.  The filter is laid out in segments by the n-gram's hash; each
 from counts that were summed before the shuffle, with BITS_EACH bits for each entry, however many there are: its error
 rate does not depend on the size of the corpus, and its size grows with it.
 
-As long as the filter and the exact counts of words are small enough they are sent to all workers.  Beyond that the
-probes are sent to the segments instead: the distinct n-grams of a stretch of texts go to the tasks that hold their
-segments, and the levels come back to the stretch.  Both ways give the same scores.
+As long as the filter and the exact counts of words are small enough they are sent to all executors, as a file that the
+workers of one map and share.  Beyond that the probes are sent to the segments instead: the distinct n-grams of a stretch
+of texts go to the tasks that hold their segments, and the levels come back to the stretch, in the order in which the
+n-grams were sent.  Both ways give the same scores.
 
 The model is a bigram model with a Dirichlet prior:  P(w | v) = (q(v w) + MU * P(w)) / (S(v) + MU)  with
 P(w) = (q(w) + 1) / (Q + V + 1), every q a quantised count read from the filter.  S(v) is the sum of q(v w) over all w that
@@ -22,14 +23,18 @@ The base score uses exact counts.  Words are known by their 64-bit hashes.
 
 from __future__ import annotations
 
+import atexit
 import math
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,19 +46,20 @@ BASE = 1.5
 MU = 24.0
 PROBES = 5
 BITS_EACH = 7.3  # bits for each entry: PROBES / ln 2; an entry that is not there is then read with a chance of 0.031
-#: Bytes of a filter that is sent to the workers at most.
+#: Bytes of a filter that is sent to the executors at most.
 MAX_FILTER_BYTES = 192 << 20
-#: Words whose exact counts are sent to the workers (12 to 16 bytes each) at most.
+#: Words whose exact counts are sent to the executors (16 to 24 bytes each) at most.
 MAX_SENT_WORDS = 12_000_000
 #: Bytes of text for each segment, about, as long as there are fewer than MAX_SEGMENTS.
 SEGMENT_BYTES = 4 << 20
 MAX_SEGMENTS = 1 << 16
-#: Tokens counted or scored together before they are passed on: so many, and so many for each segment if that is more,
-#: so that what is passed on for a segment is worth a row.
+#: Tokens counted together before they are passed on (a third of them where probes are routed): so many, and so many for
+#: each segment if that is more, so that what is passed on for a segment is worth a row.  Even MAX_SEGMENTS make them no
+#: more than a twentieth more, so that a worker's memory does not grow with the texts.
 TOKENS_AT_ONCE = 1_500_000
-TOKENS_A_SEGMENT = 64
+TOKENS_A_SEGMENT = 24
 #: Bytes of counts that a segment's task takes before it adds them up.
-SUM_BYTES = 64 << 20
+SUM_BYTES = 24 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _END, _START = np.uint64(0x1D), np.uint64(0x51)
@@ -149,12 +155,13 @@ def _by_segment(words: np.ndarray, grams: np.ndarray, segments: int) -> tuple[np
 
 
 def _narrow(counts: np.ndarray) -> bytes:
-    """A stretch's counts in one byte each, as most are, or in four."""
-    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+    """Counts in one byte each, as most take no more, or in two, four or eight."""
+    most = int(counts.max(initial=0))
+    return counts.astype(next(t for t in ("u1", "<u2", "<u4", "<u8") if most <= np.iinfo(t).max)).tobytes()
 
 
 def _widened(data: pa.Buffer, n: int) -> np.ndarray:
-    return np.frombuffer(data, "u1" if data.size == n else "<u4").astype(np.int64)
+    return np.frombuffer(data, f"<u{data.size // n}" if n else "u1").astype(np.int64)
 
 
 def _counted(texts: DataFrame, segments: int) -> DataFrame:
@@ -334,7 +341,7 @@ class Totals:
 
 @dataclass
 class Filter:
-    """The filter and the exact counts, as they are sent to the workers."""
+    """The filter and the exact counts; the arrays of the last four are parts of the mapped file."""
 
     segments: int
     sizes: np.ndarray  # bits of each segment
@@ -356,11 +363,39 @@ class Filter:
         return tuple(np.where(known, x[at].astype(np.int64), 0) for x in (self.counts, self.sums))
 
 
+@dataclass
+class Sent:
+    """Where a filter's file is, and what the file does not tell."""
+
+    file: str
+    segments: int
+    sizes: np.ndarray
+    offsets: np.ndarray
+    distinct: int
+    size: int  # bytes of the bits, with a rest
+    count: str  # type of counts and S
+
+    def mapped(self, path: str, mode: str = "r") -> Filter:
+        """The filter as the file at `path`; what is mapped of it is shared by all processes of a machine."""
+        n, at = self.distinct, 0
+        parts = []
+        for kind, k in (("<u8", n), (self.count, n), (self.count, n), ("u1", self.size)):
+            parts.append(np.asarray(np.memmap(path, kind, mode, at, (k,))) if k else np.zeros(0, kind))
+            at += k * np.dtype(kind).itemsize
+        words, counts, sums, bits = parts
+        return Filter(self.segments, self.sizes, self.offsets, bits, words, counts, sums)
+
+    def here(self) -> Filter:
+        """In a task."""
+        return self.mapped(SparkFiles.get(self.file))
+
+
 @dataclass
 class Model:
     totals: Totals
     segments: int
     filter: Filter | None  # where it may be sent
+    sent: Sent | None  # and its file
     table: DataFrame  # the segments (_BUILT)
     sums: DataFrame  # S of their words (_SUMMED)
     filter_bytes: int
@@ -374,8 +409,8 @@ def train(spark: SparkSession, scratch: Scratch, docs: DataFrame, text_col: str
     texts = docs.select(F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     segments = min(MAX_SEGMENTS, 1 << max(0, math.ceil(math.log2(max(1, size / SEGMENT_BYTES)))))
-    built = scratch.keep(_built(_counted(texts, segments), segments), "built", "uncompressed")
-    sums = scratch.keep(_summed(built), "sums", "uncompressed")
+    built = scratch.keep(_built(_counted(texts, segments), segments), "built", "uncompressed", wide=True)
+    sums = scratch.keep(_summed(built), "sums", "uncompressed", wide=True)
     built = built.where("bits IS NOT NULL")
     none = F.lit(0).cast("long")
     size, distinct, total, entries, mass = built.agg(*[F.coalesce(F.sum(c), none) for c in (F.octet_length("bits"), F.octet_length("words") / 8, F.col("tokens"), F.col("entries"), F.col("mass"))]).first()
@@ -383,31 +418,35 @@ def train(spark: SparkSession, scratch: Scratch, docs: DataFrame, text_col: str
     distinct = int(distinct)
     totals = Totals(rows, total, distinct, mass / 2, start / 2)
     if size > MAX_FILTER_BYTES or distinct > MAX_SENT_WORDS:
-        return Model(totals, segments, None, built, sums, size, entries)
-    # Everything is put where it belongs as it arrives, so that nothing is held twice.
-    flat = np.zeros(size + 8, np.uint8)
-    small = total < 1 << 30  # S is no more than one and a quarter times the tokens
-    words, counts, twice = np.empty(distinct, np.uint64), np.empty(distinct, np.int64), np.empty(distinct, np.uint32 if small else np.int64)
+        return Model(totals, segments, None, None, built, sums, size, entries)
+    # Everything is put where it belongs in the file as it arrives; the driver holds a few arrays over the words besides.
+    path = os.path.join(folder := tempfile.mkdtemp(), f"filter-{uuid.uuid4().hex}")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    count = "<u4" if total < 1 << 30 else "<i8"  # S is no more than one and a quarter times the tokens
     sizes, offsets, at, w, placed = np.full(segments, 64, np.uint64), np.full(segments, size, np.int64), 0, 0, {}
+    sent = Sent(os.path.basename(path), segments, sizes, offsets, distinct, size + 8, count)
+    with open(path, "wb") as f:
+        f.truncate((8 + 2 * np.dtype(count).itemsize) * distinct + sent.size)
+    made = sent.mapped(path, "r+")
     for r in built.select("segment", "bits", "counts", "words").toLocalIterator():
         bits, n = np.frombuffer(r["bits"], np.uint8), np.frombuffer(r["counts"], "<i8")
         sizes[r["segment"]], offsets[r["segment"]] = 8 * len(bits), at
-        flat[at : at + len(bits)] = bits
+        made.bits[at : at + len(bits)] = bits
         at += len(bits)
-        words[w : w + len(n)] = np.frombuffer(r["words"], "<u8")
-        counts[w : w + len(n)] = n
+        made.words[w : w + len(n)] = np.frombuffer(r["words"], "<u8")
+        made.counts[w : w + len(n)] = n
         placed[r["segment"]] = w
         w += len(n)
     for r in sums.select("segment", "sums").toLocalIterator():
         n = np.frombuffer(r["sums"], "<i8")
         if len(n):
-            twice[placed[r["segment"]] : placed[r["segment"]] + len(n)] = n
-    if counts.max(initial=0) < 1 << 32:
-        counts = counts.astype(np.uint32)
-    order = np.argsort(words)
-    counts, twice = counts[order], twice[order]
-    words.sort()
-    return Model(totals, segments, Filter(segments, sizes, offsets, flat, words, counts, twice), built, sums, size, entries)
+            made.sums[placed[r["segment"]] : placed[r["segment"]] + len(n)] = n
+    order = np.argsort(made.words)
+    for x in (made.words, made.counts, made.sums):
+        x[:] = x[order]
+    del made
+    spark.sparkContext.addFile(path)
+    return Model(totals, segments, sent.mapped(path), sent, built, sums, size, entries)
 
 
 # Scoring ------------------------------------------------------------------------------------------------------------
@@ -435,10 +474,11 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, scratch: Scratch,
     name, keep = fresh(docs, "lm"), list(docs.columns if keep is None else keep)
     if model.filter is None:
         return _score_routed(docs, model, scratch, text_col, name, keep), name
-    sent = spark.sparkContext.broadcast((model.totals, model.filter))
+    sent = spark.sparkContext.broadcast((model.totals, model.sent))
 
     def make():
-        totals, lm = sent.value
+        totals, file = sent.value
+        lm = file.here()
 
         def kernel(texts):
             words, starts = tokens(texts)
@@ -458,14 +498,15 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, scratch: Scratch,
 def _score_routed(docs: DataFrame, model: Model, scratch: Scratch, text_col: str, name: str, keep: list[str]) -> DataFrame:
     """The same, with the probes sent to the segments.
 
-    A stretch is a run of texts of one partition.  Stretches are written with their tokens; their distinct n-grams, one
-    row for each segment, meet the segments' rows, and the answers the stretches' rows, in partitions sorted so that
-    either comes first, and tasks hold one of them at a time.
+    A stretch is a run of texts of one partition.  Stretches are written with their distinct words and each token's place
+    among them; their distinct n-grams, one row for each segment, meet the segments' rows, and the answers the stretches'
+    rows, in partitions sorted so that either comes first, and tasks hold one of them at a time.  An answer has levels and
+    counts alone, in the order of the n-grams that were sent, which the stretch's row gives again.
     """
     segments, totals = model.segments, model.totals
-    most = max(TOKENS_AT_ONCE, TOKENS_A_SEGMENT * segments)
+    most = max(TOKENS_AT_ONCE // 3, TOKENS_A_SEGMENT * segments)
     row = T.StructType([docs.schema[c] for c in keep])
-    kept = T.StructType([T.StructField("stretch", T.LongType()), T.StructField("rows", T.ArrayType(row)), T.StructField("starts", T.BinaryType()), T.StructField("tokens", T.BinaryType())])
+    kept = T.StructType([T.StructField("stretch", T.LongType()), T.StructField("rows", T.ArrayType(row)), *(T.StructField(n, T.BinaryType()) for n in ("starts", "distinct", "tokens"))])
     kept_arrow, cells = to_arrow_schema(kept), to_arrow_schema(row)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,7 +517,8 @@ def _score_routed(docs: DataFrame, model: Model, scratch: Scratch, text_col: str
             rows = pa.concat_arrays([h[0] for h in held])
             offset = np.cumsum([0, *(len(h[1]) for h in held)])
             starts = np.concatenate([h[2] + o for h, o in zip(held, offset, strict=False)])
-            columns = [pa.array([stretch]), pa.ListArray.from_arrays([0, len(rows)], rows).cast(kept_arrow.field(1).type), pa.array([starts.tobytes()]), pa.array([np.concatenate([h[1] for h in held]).tobytes()])]
+            words, at = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+            columns = [pa.array([stretch]), pa.ListArray.from_arrays([0, len(rows)], rows).cast(kept_arrow.field(1).type), *(pa.array([x]) for x in (starts.astype("<i8").tobytes(), words.astype("<u8").tobytes(), at.astype("<u4").tobytes()))]
             return pa.RecordBatch.from_arrays(columns, schema=kept_arrow)
 
         for batch in batches:
@@ -492,7 +534,7 @@ def _score_routed(docs: DataFrame, model: Model, scratch: Scratch, text_col: str
             yield made()
 
     source = docs.select(*map(col, keep), F.coalesce(col(text_col).cast("string"), F.lit("")).alias(fresh(docs, "__text")))
-    stretches = scratch.keep(source.mapInArrow(cut, kept), f"stretches-{uuid.uuid4().hex}")
+    stretches = scratch.keep(source.mapInArrow(cut, kept), f"stretches-{uuid.uuid4().hex}", wide=True)
 
     asked = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("stretch", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("grams", T.BinaryType())])
     asked_arrow = to_arrow_schema(asked)
@@ -500,90 +542,121 @@ def _score_routed(docs: DataFrame, model: Model, scratch: Scratch, text_col: str
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                starts, words = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((1, "<i8"), (2, "<u8")))
-                _, singles, _, _, pairs, _ = _needed(words, starts)
+                starts, words, at = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((1, "<i8"), (2, "<u8"), (3, "<u4")))
                 with np.errstate(over="ignore"):
-                    order, parts = _by_segment(singles, pairs, segments)
-                singles, stretch = singles[order], batch.column(0)[i].as_py()
-                rows = [(s, stretch, singles[a].tobytes(), pairs[b].tobytes()) for s, a, b in parts]
+                    every = words[at]
+                    pairs = np.unique(pair(before(every, starts), every))
+                    order, parts = _by_segment(words, pairs, segments)
+                words, stretch = words[order], batch.column(0)[i].as_py()
+                rows = [(s, stretch, words[a].tobytes(), pairs[b].tobytes()) for s, a, b in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True), asked_arrow, strict=True)], schema=asked_arrow)
 
-    probes = stretches.select("stretch", "starts", "tokens").mapInArrow(ask, asked)
+    probes = stretches.select("stretch", "starts", "distinct", "tokens").mapInArrow(ask, asked)
     none = F.lit(None)
     blank = lambda *names: {n: none.cast("binary") for n in names}
     built = model.table.select("segment", "words", "bits", "counts").withColumns({"stretch": none.cast("long"), **blank("grams", "sums")})
     summed = model.sums.select("segment", "sums").withColumns({"stretch": none.cast("long"), **blank("words", "grams", "bits", "counts")})
     met = built.unionByName(summed).unionByName(probes.withColumns(blank("bits", "counts", "sums")))
-    answer = T.StructType([T.StructField("stretch", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("words", "grams", "counts", "levels", "sums"))])
+    answer = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("stretch", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("counts", "levels", "sums"))])
     answer_arrow = to_arrow_schema(answer)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = np.zeros(8, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         now, (bits, known, counts, twice) = None, nothing
+        held, n = [], 0  # (stretch, words, grams) that ask one segment, answered together
+
+        def answered(segment: int) -> pa.RecordBatch:
+            words, grams = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+            n, own, level = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words) + len(grams), np.uint8)
+            if segment == now:  # else no n-gram of the training texts is there
+                with np.errstate(over="ignore"):
+                    keys = np.concatenate((single(words), grams))
+                level = read_levels(bits, np.full(len(keys), 8 * len(bits), np.uint64), np.zeros(len(keys), np.int64), keys).astype(np.uint8)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                    n, own = (np.where(known[at] == words, x[at], 0) for x in (counts, twice))
+            rows, w, g = [], 0, len(words)
+            for stretch, a, b in held:
+                rows.append((segment, stretch, _narrow(n[w : w + len(a)]), level[w : w + len(a)].tobytes() + level[g : g + len(b)].tobytes(), _narrow(own[w : w + len(a)])))
+                w, g = w + len(a), g + len(b)
+            return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True), answer_arrow, strict=True)], schema=answer_arrow)
+
+        asks = None
         for batch in batches:
             for i in range(batch.num_rows):
-                get = lambda k, t, i=i, batch=batch: np.frombuffer(batch.column(k)[i].as_buffer(), t)
+                get = lambda k, t, i=i, batch=batch: np.frombuffer(batch.column(k)[i].as_buffer(), t).copy()
                 segment, stretch = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if held and (segment != asks or n >= most):
+                    yield answered(asks)
+                    held, n = [], 0
                 if stretch is None:  # a segment's two rows come in any order, both before those that ask
                     if segment != now:
                         now, (bits, known, counts, twice) = segment, nothing
                     if batch.column(6)[i].is_valid:
-                        twice = get(6, "<i8").copy()
+                        twice = get(6, "<i8")
                     else:
-                        bits, known, counts = get(4, np.uint8).copy(), get(2, "<u8").copy(), get(5, "<i8").copy()
+                        bits, known, counts = get(4, np.uint8), get(2, "<u8"), get(5, "<i8")
                     continue
-                words, grams = get(2, "<u8"), get(3, "<u8")
-                n, own, level = np.zeros(len(words), "<i8"), np.zeros(len(words), "<i8"), np.zeros(len(words) + len(grams), np.uint8)
-                if segment == now:  # else no n-gram of the training texts is there
-                    with np.errstate(over="ignore"):
-                        keys = np.concatenate((single(words), grams))
-                    level = read_levels(bits, np.full(len(keys), 8 * len(bits), np.uint64), np.zeros(len(keys), np.int64), keys).astype(np.uint8)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-                        n, own = (np.where(known[at] == words, x[at], 0) for x in (counts, twice))
-                made = [[stretch], [words.tobytes()], [grams.tobytes()], [n.astype("<i8").tobytes()], [level.tobytes()], [own.astype("<i8").tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(made, answer_arrow, strict=True)], schema=answer_arrow)
+                asks = segment
+                held.append((stretch, get(2, "<u8"), get(3, "<u8")))
+                n += len(held[-1][1]) + len(held[-1][2])
+        if held:
+            yield answered(asks)
 
     answers = met.select("segment", "stretch", "words", "grams", "bits", "counts", "sums").repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("stretch")).mapInArrow(probe, answer)
 
     out = T.StructType([*row.fields, T.StructField(name, FIELDS)])
     out_arrow, fields = to_arrow_schema(out), to_arrow_schema(FIELDS)
-    told = answers.select("stretch", none.cast(kept["rows"].dataType).alias("rows"), none.cast("binary").alias("starts"), none.cast("binary").alias("tokens"), "words", "grams", "counts", "levels", "sums")
-    whole = stretches.withColumns(blank("words", "grams", "counts", "levels", "sums")).unionByName(told)
+    told = answers.withColumns({"rows": none.cast(kept["rows"].dataType), **blank("starts", "distinct", "tokens")})
+    whole = stretches.withColumns({"segment": none.cast("int"), **blank("counts", "levels", "sums")}).unionByName(told)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, got = None, []
+    class Held:
+        """A stretch, and the answers to it as they come in."""
 
-        def made() -> Iterator[pa.RecordBatch]:
-            rows, starts, words = held
-            prior, singles, word, context, pairs, back = _needed(words, starts)
-            asked_words, asked_pairs = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-            counts, word_levels, pair_levels = (np.concatenate([g[k] for g in got]) for k in (2, 3, 4))
-            at = np.argsort(asked_words)
-            exact, sums, quantised = counts[at], np.concatenate([g[5] for g in got])[at], LEVELS[word_levels[at]]
-            both = LEVELS[pair_levels[np.argsort(asked_pairs)]]
-            assert len(exact) == len(singles) and len(both) == len(pairs)
-            sure, base = totals.base(exact[word], starts)
-            result = {"n_tokens": np.diff(np.append(starts, len(words))), "n_known": sure, "base_score": base, "score": totals.score(starts, prior, quantised[word], quantised[context], both[back], sums[context])}
+        def __init__(self, rows: pa.Array, starts: np.ndarray, words: np.ndarray, at: np.ndarray):
+            self.rows, self.starts, self.at = rows, starts, at
+            with np.errstate(over="ignore"):
+                every = words[at]
+                self.prior = before(every, starts)
+                pairs, self.back = np.unique(pair(self.prior, every), return_inverse=True)
+                self.order, parts = _by_segment(words, pairs, segments)
+            self.open = {s: (a, b) for s, a, b in parts}
+            self.counts, self.sums = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            self.level, self.both = np.zeros(len(words), np.uint8), np.zeros(len(pairs), np.uint8)
+
+        def take(self, segment: int, counts: pa.Buffer, levels: pa.Buffer, sums: pa.Buffer) -> None:
+            a, b = self.open.pop(segment)
+            of, level = self.order[a], np.frombuffer(levels, np.uint8)
+            self.counts[of], self.sums[of] = _widened(counts, len(of)), _widened(sums, len(of))
+            self.level[of], self.both[b] = level[: len(of)], level[len(of) :]
+
+        def scored(self) -> Iterator[pa.RecordBatch]:
+            assert not self.open
+            starts, at, quantised = self.starts, self.at, LEVELS[self.level]
+            context = np.concatenate((at[:1], at[:-1]))  # what it says of a text's first token is not used
+            sure, base = totals.base(self.counts[at], starts)
+            result = {"n_tokens": np.diff(np.append(starts, len(at))), "n_known": sure, "base_score": base, "score": totals.score(starts, self.prior, quantised[at], quantised[context], LEVELS[self.both][self.back], self.sums[context])}
             structs = pa.StructArray.from_arrays([pa.array(result[f.name], type=f.type) for f in fields], fields=list(fields))
-            for i in range(0, len(rows), 5000):
-                part = rows.slice(i, 5000)
+            for i in range(0, len(self.rows), 5000):
+                part = self.rows.slice(i, 5000)
                 yield pa.RecordBatch.from_arrays([*part.flatten(), structs.slice(i, 5000)], schema=out_arrow)
 
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             for i in range(batch.num_rows):
-                get = lambda k, t, i=i, batch=batch: np.frombuffer(batch.column(k)[i].as_buffer(), t).copy()
-                if batch.column(3)[i].is_valid:
+                data = [batch.column(k)[i].as_buffer() for k in range(3, 9)]
+                if data[2] is not None:
                     if held is not None:
-                        yield from made()
-                    held, got = (batch.column(1)[i].values, get(2, "<i8"), get(3, "<u8")), []
+                        yield from held.scored()
+                    rows = batch.column(2)[i].values
+                    held = Held(rows, *(np.frombuffer(x, t).copy() for x, t in zip(data[:3], ("<i8", "<u8", "<u4"), strict=True)))
                 else:
-                    words, level = get(4, "<u8"), get(7, np.uint8)
-                    got.append((words, get(5, "<u8"), get(6, "<i8"), level[: len(words)], level[len(words) :], get(8, "<i8")))
+                    held.take(batch.column(0)[i].as_py(), *data[3:])
         if held is not None:
-            yield from made()
+            yield from held.scored()
 
-    whole = whole.select("stretch", "rows", "starts", "tokens", "words", "grams", "counts", "levels", "sums")
+    whole = whole.select("segment", "stretch", "rows", "starts", "distinct", "tokens", "counts", "levels", "sums")
     return whole.repartition("stretch").sortWithinPartitions("stretch", F.col("tokens").isNull()).mapInArrow(finish, out)
 
 

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+#: Bytes of wide rows that are written or read together, about.
+WIDE_BYTES = 16 << 20
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -39,9 +42,11 @@ class Scratch:
         fs.mkdirs(at)
         fs.deleteOnExit(at)
 
-    def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Writes df and returns a DataFrame that reads what was written."""
-        df.write.option("compression", codec).parquet(f"{self.root}/{name}")
+    def keep(self, df: DataFrame, name: str, codec: str = "zstd", wide: bool = False) -> DataFrame:
+        """Writes df and returns a DataFrame that reads what was written.  wide: rows may take megabytes each; their sizes
+        are looked at row by row, so that a writer or a reader holds few of them (a hundred at least otherwise)."""
+        options = {"parquet.block.size": WIDE_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1} if wide else {}
+        df.write.option("compression", codec).options(**options).parquet(f"{self.root}/{name}")
         return self.read(df.schema, name)
 
     def keep_once(self, df: DataFrame, name: str) -> DataFrame:

@@ -1,13 +1,18 @@
+import glob
 import math
+import pickle
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from evenkeel import scratch as scratches
 from evenkeel.llm import lmscore
 from evenkeel.llm.common import Scratch
 
@@ -127,6 +132,40 @@ def test_routed_probes_give_the_same(spark, monkeypatch, limit):
     assert lmscore.score(spark, df.limit(0), model, scratch)[0].count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 200, 60_000, 1 << 20, 1 << 33])
+def test_counts_take_as_few_bytes_as_they_need(most):
+    counts = np.array([0, 7, most])
+    made = lmscore._narrow(counts)
+    assert len(made) == 3 * next(b for b in (1, 2, 4, 8) if most < 1 << 8 * b)
+    assert lmscore._widened(pa.py_buffer(made), 3).tolist() == counts.tolist() and len(lmscore._widened(pa.py_buffer(b""), 0)) == 0
+
+
+def test_workers_share_the_filter_instead_of_holding_it(spark, monkeypatch):
+    """What is sent to each worker as an object does not grow with the filter."""
+    sent, put = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(len(pickle.dumps(x))) or put(x))
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(400)], "doc_id long, text string")
+    scratch = Scratch(spark, "test")
+    model = lmscore.train(spark, scratch, df)
+    made, c = lmscore.score(spark, df, model, scratch)
+    assert made.agg(F.sum(f"{c}.n_known")).first()[0] == 400 * 51
+    assert model.filter_bytes + 16 * model.totals.distinct > 300_000 and len(sent) == 1 and sent[0] < 10_000
+
+
+def test_stretches_are_written_small_and_in_small_parts(spark, monkeypatch):
+    """Tokens by their places among the distinct words of a stretch; row groups of megabytes, whatever the number of rows."""
+    monkeypatch.setattr(lmscore, "MAX_SENT_WORDS", 10)
+    monkeypatch.setattr(lmscore, "TOKENS_AT_ONCE", 60_000)
+    monkeypatch.setattr(scratches, "WIDE_BYTES", 1 << 20)
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 5000), x -> concat('w', (x * (id + 7)) % 5003)))").alias("text")).coalesce(1)
+    scratch = Scratch(spark, "test")
+    made, c = lmscore.score(spark, df, lmscore.train(spark, scratch, df), scratch, keep=["doc_id"])
+    assert made.agg(F.sum(f"{c}.n_tokens"), F.sum(f"{c}.n_known")).first() == (400 * 5001, 400 * 5001)
+    kept = pq.ParquetFile(*glob.glob(scratch.root.removeprefix("file://") + "/stretches-*/*.parquet"))
+    size = sum(kept.read([c]).column(0).nbytes for c in kept.schema_arrow.names if kept.schema_arrow.field(c).type == pa.binary())
+    assert size < 7 * 400 * 5001 and kept.num_row_groups > 1
+
+
 def test_segments(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "SEGMENT_BYTES", 2000)
     df = spark.createDataFrame(table(), "doc_id long, text string")
