@@ -6,6 +6,8 @@ Patterns carry (?U) where they rely on word borders, so that borders are Unicode
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -227,22 +229,30 @@ AGES = (
     ("i_am", r"(?:I'?m|I am)\s+(?:a\s+)?(\d{1,3})\b", 1, 1),
 )
 MIN_AGE, MAX_AGE = 1, 110
+#: Digits of all other scripts than ours; a pattern with (?U) takes them as digits too.
+DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+
+
+def _number(digits: Column) -> Column:
+    """A number in the digits of any script; null if there is none."""
+    return F.translate(digits, DIGITS, "".join(str(unicodedata.digit(c)) for c in DIGITS)).try_cast("int")
 
 
 def extract_age(text: Column) -> Column:
-    """struct<age, matched, start (from 0), kind>: the first pattern whose first match is a plausible age; else null."""
+    """struct<age, matched, start (from 0, in code points), kind>: the first pattern whose first match is a plausible age;
+    else null."""
     found = []
     for kind, pattern, number, taken in AGES:
         p = "(?U)" + pattern
         whole, part = F.regexp_extract(text, p, 0), F.regexp_extract(text, p, taken)
         if kind == "decade":
             add = F.when(F.contains(part, F.lit("early")), 2).when(F.contains(part, F.lit("late")), 7).otherwise(5)
-            age = F.regexp_extract(part, r"(\d)0s", 1).try_cast("int") * 10 + add
+            age = _number(F.regexp_extract(part, r"(?U)(\d)0s", 1)) * 10 + add
         else:
-            age = F.regexp_extract(text, p, number).try_cast("int")
-        start = F.regexp_instr(text, F.lit(p)) - 1
+            age = _number(F.regexp_extract(text, p, number))
+        start = F.length(F.element_at(F.split(text, p, 2), 1))  # regexp_instr counts a letter beyond 0xFFFF twice
         if taken:  # the number's last place in the match
-            start = start + F.when(F.lit(kind == "decade"), 0).otherwise(F.length(whole) - F.length(F.regexp_extract(whole, r"\d{1,3}(?!.*\d)[\s\S]*$", 0)))
+            start = start + F.when(F.lit(kind == "decade"), 0).otherwise(F.length(whole) - F.length(F.regexp_extract(whole, r"(?U)\d{1,3}(?!.*\d)[\s\S]*$", 0)))
         found.append(F.when((whole != "") & age.between(MIN_AGE, MAX_AGE), F.struct(age.alias("age"), part.alias("matched"), start.cast("int").alias("start"), F.lit(kind).alias("kind"))))
     return F.coalesce(*found)
 
@@ -252,7 +262,7 @@ def replace_age(text: Column, found: Column, new: Column) -> Column:
 
     def body(a: Column) -> Column:
         age = new.cast("string")
-        bare = F.regexp_replace(a["matched"], r"\d+", age)
+        bare = F.regexp_replace(a["matched"], r"(?U)\d+", age)
         put = F.when(a["kind"] == "decade", age).otherwise(bare)
         once = F.concat(F.substring(text, F.lit(1), a["start"]), put, F.substring(text, a["start"] + F.length(a["matched"]) + 1, F.length(text)))
         return F.regexp_replace(once, F.concat(F.lit(r"(?U)\b"), a["age"].cast("string"), F.lit(r"\b(?!\.\d)")), age)
